@@ -1,0 +1,148 @@
+"""A durable store of users and messages in plain parquet folders.
+
+Rows are spread over buckets by user. A commit writes its rows to a new folder
+and then publishes them by appending one manifest file, so readers see either
+all of a commit or nothing, and no path in use is overwritten. A commit either
+replaces the buckets it names or adds to them; buckets it does not name are not
+rewritten.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from parley.schemas import MESSAGES, USERS
+
+MANIFEST = "commit bigint, bucket int, replaces boolean, source string, batch bigint"
+TABLES = {"users": (USERS, ["id"]), "messages": (MESSAGES, ["user_id", "position"])}
+BUCKETS = 64
+ROWS_PER_FILE = 5_000_000
+
+
+class Snapshot(NamedTuple):
+    users: DataFrame
+    messages: DataFrame
+
+
+class ConversationStore:
+    """One writer at a time; any number of readers."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.buckets = buckets
+
+    def read(self, buckets: list[int] | None = None) -> Snapshot:
+        """The published rows, or those of some buckets only."""
+        return Snapshot(*[self._table(name, buckets) for name in TABLES])
+
+    def replace(
+        self,
+        snapshot: Snapshot,
+        buckets: list[int] | None = None,
+        source: str = "",
+        batch: int = -1,
+    ) -> int:
+        """Publish the snapshot as the whole content of ``buckets`` (of all by default)."""
+        named = list(range(self.buckets)) if buckets is None else buckets
+        return self._commit(snapshot, named, True, source, batch)
+
+    def append(self, snapshot: Snapshot, source: str = "", batch: int = -1) -> int:
+        """Publish additional rows."""
+        return self._commit(snapshot, list(range(self.buckets)), False, source, batch)
+
+    def applied(self, source: str, batch: int) -> bool:
+        """Whether a batch of a stream is already in, so that a replay can be skipped."""
+        same = (F.col("source") == source) & (F.col("batch") == batch)
+        return not self._manifest().filter(same).isEmpty()
+
+    def touched(self, ids: DataFrame, key: str = "user_id") -> list[int]:
+        """The buckets holding some users; at most as many numbers as there are buckets."""
+        numbers = ids.select(self._bucket(key).alias("bucket")).distinct()
+        return sorted(row.bucket for row in numbers.collect())
+
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _manifest(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], MANIFEST)
+
+    def _live(self) -> dict[int, list[int]]:
+        """Buckets to read of each commit: the last replacing commit and all later ones.
+
+        The manifest has one row per commit and bucket, whatever the data size.
+        """
+        base = F.max(F.when(F.col("replaces"), F.col("commit"))).over(Window.partitionBy("bucket"))
+        live = self._manifest().withColumn("base", F.coalesce(base, F.lit(0)))
+        by_commit = live.filter("commit >= base").groupBy("commit").agg(F.collect_set("bucket"))
+        return {commit: sorted(buckets) for commit, buckets in by_commit.collect()}
+
+    def _table(self, name: str, buckets: list[int] | None) -> DataFrame:
+        schema, _ = TABLES[name]
+        live = self._live()
+        if buckets is not None:
+            live = {c: [b for b in known if b in set(buckets)] for c, known in live.items()}
+        live = {commit: known for commit, known in live.items() if known}
+        if not live:
+            return self.spark.createDataFrame([], schema)
+        root = f"{self.path}/{name}"
+        rows = (
+            self.spark.read.schema(f"{_ddl(schema)}, commit bigint, bucket int")
+            .option("basePath", root)
+            .parquet(*[f"{root}/commit={commit}" for commit in live])
+        )
+        # Folder columns only, so this prunes folders before any file is opened.
+        wanted = [(F.col("commit") == c) & F.col("bucket").isin(known) for c, known in live.items()]
+        return rows.filter(reduce(Column.__or__, wanted)).select(*schema.names)
+
+    def _commit(
+        self, snapshot: Snapshot, buckets: list[int], replaces: bool, source: str, batch: int
+    ) -> int:
+        commit = (self._manifest().agg(F.max("commit")).first()[0] or 0) + 1
+        for name, table in zip(TABLES, snapshot):
+            self._write(name, table, commit)
+        published = [(commit, bucket, replaces, source, batch) for bucket in buckets]
+        rows = self.spark.createDataFrame(published, MANIFEST).coalesce(1)
+        rows.write.mode("append").json(f"{self.path}/manifest")
+        return commit
+
+    def _write(self, name: str, table: DataFrame, commit: int) -> None:
+        """Write rows clustered by bucket, user and position.
+
+        The range shuffle spreads a user with very many messages over several
+        files, and in sorted files lookups by user skip row groups. A folder left
+        by a commit that failed before publishing is overwritten.
+        """
+        schema, order = TABLES[name]
+        clustered = table.select(*schema.names).withColumn("bucket", self._bucket(order[0]))
+        (
+            clustered.repartitionByRange("bucket", *order)
+            .sortWithinPartitions("bucket", *order)
+            .write.mode("overwrite")
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
+            .partitionBy("bucket")
+            .parquet(f"{self.path}/{name}/commit={commit}")
+        )
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+
+
+def write_snapshot(
+    users: DataFrame, messages: DataFrame, path: str, buckets: int = BUCKETS
+) -> ConversationStore:
+    """Publish users and messages as the whole content of the store at ``path``."""
+    store = ConversationStore(users.sparkSession, path, buckets)
+    store.replace(Snapshot(users, messages))
+    return store

@@ -1,0 +1,66 @@
+"""Turn and command streams applied to a durable store."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.query import StreamingQuery
+
+from parley.operators.routing import check_permissions, route_commands
+from parley.operators.turns import apply_commands, ingest_turns
+from parley.schemas import DEFAULT_PROMPT, PREFIX
+from parley.session import durable
+from parley.sources.store import ConversationStore, Snapshot
+from parley.streaming.sinks import foreach_batch_sink
+
+KEYED_COMMANDS = ("reset-conversation", "set-param", "reset-param", "get-param")
+
+
+def stream_turns(
+    turns: DataFrame,
+    store: ConversationStore,
+    checkpoint: str,
+    default_prompt: str = DEFAULT_PROMPT,
+) -> StreamingQuery:
+    """Store arriving turns. Only new rows are written; a replayed batch is skipped."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if store.applied("turns", batch_id):
+            return
+        turns = durable(batch)
+        current = store.read(store.touched(turns))
+        result = ingest_turns(current.users, current.messages, turns, default_prompt)
+        new_users = result.users.join(current.users.select("id"), "id", "left_anti")
+        store.append(Snapshot(new_users, result.added), "turns", batch_id)
+
+    return foreach_batch_sink(turns, apply, checkpoint)
+
+
+def stream_commands(
+    events: DataFrame,
+    commands: DataFrame,
+    admins: DataFrame,
+    store: ConversationStore,
+    replies: str,
+    checkpoint: str,
+    prefix: str = PREFIX,
+    default_prompt: str = DEFAULT_PROMPT,
+) -> StreamingQuery:
+    """Apply arriving commands. Only the buckets of their senders are rewritten.
+
+    Replies go to one folder per batch below ``replies``.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        routed = route_commands(batch, commands, prefix)
+        allowed = check_permissions(routed, commands, admins)
+        wanted = allowed.filter("route = 'command'")
+        wanted = durable(wanted.filter(wanted.command_key.isin(*KEYED_COMMANDS)))
+        if store.applied("commands", batch_id):
+            return
+        buckets = store.touched(wanted)
+        current = store.read(buckets)
+        result = apply_commands(current.users, current.messages, wanted, default_prompt)
+        result.replies.write.mode("overwrite").parquet(f"{replies}/batch_id={batch_id}")
+        store.replace(Snapshot(result.users, result.messages), buckets, "commands", batch_id)
+
+    return foreach_batch_sink(events, apply, checkpoint)
