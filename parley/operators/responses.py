@@ -78,10 +78,10 @@ def throttle_updates(
     block first reports which last edit it would leave behind, the reports are
     chained, and then all blocks are scanned at once.
     """
-    updates = updates.withColumn("_edits", may_edit())
+    updates = updates.withColumn("may_edit", may_edit())
     if largest_group(updates, ["reply_id"]) <= max_group:
         group = ["reply_id"]
-        placed = updates.withColumn("_entry", micros("started_ts"))
+        placed = updates.withColumn("entry_us", micros("started_ts"))
         placed = placed.repartition(*group)
     else:
         group = ["reply_id", BLOCK]
@@ -90,9 +90,9 @@ def throttle_updates(
         placed = placed.join(entries, group, "left").repartition(*group)
     shown = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
     scanned = placed.sortWithinPartitions(*group, "ts", "seq").select(
-        *shown, *group[1:], "end_of_message", "_edits", "_entry", micros("ts").alias("_us")
+        *shown, *group[1:], "end_of_message", "may_edit", "entry_us", micros("ts").alias("ts_us")
     )
-    schema = scanned.select(*shown, F.lit(True).alias("_edit")).schema
+    schema = scanned.select(*shown, F.lit(True).alias("edit")).schema
     return display_actions(
         scanned.mapInPandas(_edit_marker(group, cooldown_ms * 1000, shown), schema)
     )
@@ -103,7 +103,7 @@ def display_actions(marked: DataFrame) -> DataFrame:
     actions = F.array_compact(
         F.array(
             F.when(F.col("new_message"), "reply"),
-            F.when(F.col("_edit"), "edit"),
+            F.when(F.col("edit"), "edit"),
             F.when(F.col("end_of_response"), "final"),
         )
     )
@@ -143,8 +143,8 @@ def _edit_marker(group: list[str], cooldown: int, shown: list[str]):
         for batch in batches:
             keys = batch[group].to_numpy()
             starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-            may, ends, times = [batch[n].tolist() for n in ("_edits", "end_of_message", "_us")]
-            entries, edits = batch["_entry"].tolist(), []
+            may, ends, times = [batch[n].tolist() for n in ("may_edit", "end_of_message", "ts_us")]
+            entries, edits = batch["entry_us"].tolist(), []
             for start, stop in zip(starts, [*starts[1:], len(batch)] if len(batch) else []):
                 if current is None or (keys[start] != current).any():
                     current, entry = keys[start], entries[start]
@@ -152,7 +152,7 @@ def _edit_marker(group: list[str], cooldown: int, shown: list[str]):
                 part = slice(start, stop)
                 found, last = mark_edits(may[part], ends[part], times[part], last, cooldown)
                 edits += found
-            yield batch[shown].assign(_edit=edits)
+            yield batch[shown].assign(edit=edits)
 
     return mark
 
@@ -165,7 +165,7 @@ def _block_entries(ranged: DataFrame, cooldown_ms: int) -> DataFrame:
         BLOCK,
         micros("ts").alias("us"),
         "seq",
-        "_edits",
+        "may_edit",
         "end_of_message",
         micros("started_ts").alias("started"),
     )
@@ -175,7 +175,7 @@ def _block_entries(ranged: DataFrame, cooldown_ms: int) -> DataFrame:
     )
     chained = exits.repartition("reply_id").sortWithinPartitions("reply_id", BLOCK, "upto")
     return chained.mapInPandas(
-        lambda batches: _chain(batches, cooldown), f"reply_id bigint, {BLOCK} int, _entry bigint"
+        lambda batches: _chain(batches, cooldown), f"reply_id bigint, {BLOCK} int, entry_us bigint"
     )
 
 
@@ -188,7 +188,7 @@ def _exits(rows: pd.DataFrame, cooldown: int) -> pd.DataFrame:
     Rows are in rising order of ``upto``; later due times pass the block unchanged.
     """
     first = rows.iloc[0]
-    rows = rows[rows["_edits"]].sort_values(["us", "seq"])
+    rows = rows[rows["may_edit"]].sort_values(["us", "seq"])
     times, forced = rows["us"].to_numpy(), rows["end_of_message"].to_numpy(dtype=bool)
     count = len(times)
     leaves = times.copy()
@@ -241,5 +241,5 @@ def _chain(batches: Iterator[pd.DataFrame], cooldown: int) -> Iterator[pd.DataFr
                 due = None if last is None else last + cooldown
             if not found and upto != NEVER and (due is None or upto >= due):
                 found, last = True, leaves
-        frame = pd.DataFrame(out, columns=["reply_id", BLOCK, "_entry"])
-        yield frame.astype({"_entry": "Int64"})
+        frame = pd.DataFrame(out, columns=["reply_id", BLOCK, "entry_us"])
+        yield frame.astype({"entry_us": "Int64"})

@@ -99,31 +99,31 @@ def new_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).filter("event_type = 'error' AND value > 60").selectExpr(
+    return events(spark, folder).filter("event_type = 'error' AND value > 150").selectExpr(
         "user_id AS id", "event_id AS arrival"
     )
 
 
 def message_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).filter("event_type = 'click' AND value > 30").selectExpr(
+    return events(spark, folder).filter("event_type = 'click' AND value > 80").selectExpr(
         "user_id * 4294967296 + k div 20 AS id", "event_id AS arrival"
     )
 
 
 def position_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).filter("event_type = 'error' AND value > 20").selectExpr(
+    return events(spark, folder).filter("event_type = 'error' AND value > 80").selectExpr(
         "user_id", "k div 10 AS position", "event_id AS arrival"
     )
 
 
 def prompt_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).filter("event_type = 'view' AND value > 40").selectExpr(
+    return events(spark, folder).filter("event_type = 'view' AND value > 150").selectExpr(
         "user_id", "concat('Be number ', k) AS system_prompt", "ts", "event_id AS seq"
     )
 
 
 def reset_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark, folder).filter("event_type = 'purchase' AND value > 40").selectExpr(
+    return events(spark, folder).filter("event_type = 'purchase' AND value > 120").selectExpr(
         "user_id",
         "CASE WHEN k < 70 THEN 'system-prompt' WHEN k < 90 THEN 'mood' END AS parameter",
         "ts",

@@ -41,15 +41,15 @@ new_messages AS (SELECT event_id + {NEW_IDS} AS id, user_id,
           WHEN 'purchase' THEN 'user' WHEN 'signup' THEN 'system' ELSE 'robot' END AS role,
         event_type || ' ' || k AS message, ts AS "timestamp", event_id AS arrival FROM ev),
 user_requests AS (SELECT user_id AS id, event_id AS arrival FROM ev
-      WHERE event_type = 'error' AND value > 60),
+      WHERE event_type = 'error' AND value > 150),
 message_requests AS (SELECT user_id * 4294967296 + k // 20 AS id, event_id AS arrival FROM ev
-      WHERE event_type = 'click' AND value > 30),
+      WHERE event_type = 'click' AND value > 80),
 position_requests AS (SELECT user_id, k // 10 AS position, event_id AS arrival FROM ev
-      WHERE event_type = 'error' AND value > 20),
+      WHERE event_type = 'error' AND value > 80),
 prompt_changes AS (SELECT user_id, 'Be number ' || k AS system_prompt, ts, event_id AS seq FROM ev
-      WHERE event_type = 'view' AND value > 40),
+      WHERE event_type = 'view' AND value > 150),
 reset_requests AS (SELECT user_id, CASE WHEN k < 70 THEN 'system-prompt' WHEN k < 90 THEN 'mood' END
-        AS parameter, ts, event_id AS seq FROM ev WHERE event_type = 'purchase' AND value > 40),
+        AS parameter, ts, event_id AS seq FROM ev WHERE event_type = 'purchase' AND value > 120),
 param_changes AS (SELECT user_id, coalesce([{_LISTED}][k // 5 + 1], 'volume') AS parameter,
         CASE event_type WHEN 'view' THEN CAST(k AS VARCHAR)
           WHEN 'click' THEN ' ' || value || ' ' WHEN 'signup' THEN '1_' || k

@@ -19,7 +19,7 @@ def throttle_stream(updates: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataF
     """The streaming form of ``throttle_updates``; state is the time of a reply's last edit.
 
     Updates of one reply must arrive in order from batch to batch; inside a batch
-    they are sorted.
+    they are sorted, so the size of a micro-batch bounds what is held of a reply.
     """
     use_rocksdb_state(updates.sparkSession)
     prepared = updates.select(
@@ -30,12 +30,12 @@ def throttle_stream(updates: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataF
         "new_message",
         "end_of_message",
         "end_of_response",
-        may_edit().alias("_edits"),
-        micros("started_ts").alias("_entry"),
-        micros("ts").alias("_us"),
+        may_edit().alias("may_edit"),
+        micros("started_ts").alias("entry_us"),
+        micros("ts").alias("ts_us"),
     )
     shown = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
-    schema = T.StructType([prepared.schema[name] for name in shown]).add("_edit", T.BooleanType())
+    schema = T.StructType([prepared.schema[name] for name in shown]).add("edit", T.BooleanType())
     marked = prepared.groupBy("reply_id").transformWithStateInPandas(
         ThrottleProcessor(cooldown_ms * 1000, shown), schema, outputMode="Append", timeMode="None"
     )
@@ -52,16 +52,16 @@ class ThrottleProcessor(StatefulProcessor):
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
     ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values(["_us", "seq"])
+        rows = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
         known = self.last.exists()
         last = self.last.get()[0] if known else None
-        if not known and pd.notna(rows["_entry"].iloc[0]):
-            last = int(rows["_entry"].iloc[0])
-        columns = [rows[name].tolist() for name in ("_edits", "end_of_message", "_us")]
+        if not known and pd.notna(rows["entry_us"].iloc[0]):
+            last = int(rows["entry_us"].iloc[0])
+        columns = [rows[name].tolist() for name in ("may_edit", "end_of_message", "ts_us")]
         edit, last = mark_edits(*columns, last, self.cooldown)
         if last is not None:
             self.last.update((last,))
-        yield rows[self.shown].assign(_edit=edit)
+        yield rows[self.shown].assign(edit=edit)
 
     def close(self) -> None:
         pass
