@@ -11,7 +11,7 @@ FENCE = "```"
 # Where to cut, best first, and how much of the separator stays visible.
 SEPARATORS = ("\n", ". ", " ")
 KEPT = {"\n": 0, ". ": 1, " ": 0}
-SMALLEST_LIMIT = 16
+SMALLEST_LIMIT = 8
 
 
 def check_limit(limit: int) -> int:

@@ -57,10 +57,10 @@ def ordered_positions(
     )
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     return (
-        ranged.withColumn("_rank", F.row_number().over(inside) - 1)
+        ranged.withColumn("_within", F.row_number().over(inside) - 1)
         .join(starts, [*keys, BLOCK])
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop(BLOCK, "_rank", "_start")
+        .withColumn(name, (F.col("_start") + F.col("_within")).cast("bigint"))
+        .drop(BLOCK, "_within", "_start")
     )
 
 
@@ -104,10 +104,10 @@ def global_sequence(df: DataFrame, order: Sequence[str], name: str) -> DataFrame
     )
     inside = Window.partitionBy(BLOCK).orderBy(*order)
     return (
-        ranged.withColumn("_rank", F.row_number().over(inside) - 1)
+        ranged.withColumn("_within", F.row_number().over(inside) - 1)
         .join(starts, BLOCK)
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop(BLOCK, "_rank", "_start")
+        .withColumn(name, (F.col("_start") + F.col("_within")).cast("bigint"))
+        .drop(BLOCK, "_within", "_start")
     )
 
 
