@@ -13,6 +13,11 @@ from parley.operators.lookups import is_known_role
 from parley.schemas import MESSAGES, USERS
 
 
+# Messages hold line breaks, so a CSV file is one task; large inputs come as many
+# files. An unquoted empty field is missing, a quoted one is the empty text.
+CSV = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "emptyValue": ""}
+
+
 class ReadMessages(NamedTuple):
     valid: DataFrame
     rejected: DataFrame
@@ -20,10 +25,9 @@ class ReadMessages(NamedTuple):
 
 def read_users(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Users with declared types; an unset newline penalty reads as false."""
-    options = {"header": "true", "escape": '"', "multiLine": "true"} if format == "csv" else {}
-    # CSV has no lists and no way to tell an empty text from a missing one but quotes.
+    # CSV has no lists.
     flat = T.StructType([f for f in USERS if f.name != "samplers"]) if format == "csv" else USERS
-    users = spark.read.schema(flat).options(**options, emptyValue="").format(format).load(path)
+    users = _read(spark, path, format, flat)
     if format == "csv":
         users = users.withColumn("samplers", F.lit(None).cast("array<string>"))
     return users.withColumn("penalize_nl", F.coalesce("penalize_nl", F.lit(False)))
@@ -37,14 +41,18 @@ def read_messages(spark: SparkSession, path: str, format: str = "parquet") -> Re
             for f in MESSAGES
         ]
     )
-    options = {"header": "true", "escape": '"', "multiLine": "true"} if format == "csv" else {}
-    rows = spark.read.schema(raw).options(**options, emptyValue="").format(format).load(path)
+    rows = _read(spark, path, format, raw)
     time = from_iso(F.col("timestamp"))
     good = F.coalesce(is_known_role(F.col("role")) & time.isNotNull(), F.lit(False))
     valid = rows.filter(good).withColumn("timestamp", time)
     return ReadMessages(valid, rows.filter(~good))
 
 
+def _read(spark: SparkSession, path: str, format: str, schema: T.StructType) -> DataFrame:
+    options = CSV if format == "csv" else {}
+    return spark.read.schema(schema).options(**options).format(format).load(path)
+
+
 def empty_users(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], USERS)
 
