@@ -30,12 +30,11 @@ def parse_integer(raw: Column) -> Column:
     return F.when(raw.rlike(INTEGER), _digits(raw).try_cast("bigint"))
 
 
-def valid_double(raw: Column) -> Column:
-    """NaN is a valid spelling although it is stored as NULL, so validity is its own test."""
-    return raw.rlike(DOUBLE)
+def parse_double(raw: Column) -> Column:
+    """Double, NaN included, or NULL; '1d' is refused."""
+    return F.when(raw.rlike(DOUBLE), _digits(raw).try_cast("double"))
 
 
-def parse_double(raw: Column) -> Column:
-    """Double, or NULL; '1d' is refused, NaN becomes NULL."""
-    number = F.when(valid_double(raw), _digits(raw).try_cast("double"))
-    return F.when(~F.isnan(number), number)
+def stored_double(value: Column) -> Column:
+    """What the store keeps of a valid double: NaN becomes NULL."""
+    return F.when(~F.isnan(value), value)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.operators.lookups import is_known_role, next_positions
-from parley.operators.skew import MAX_GROUP_ROWS, global_sequence, ordered_positions
+from parley.operators.skew import MAX_GROUP_ROWS, global_sequence, largest_group, ordered_positions
 from parley.operators.users import create_missing
 from parley.session import durable
 
@@ -80,8 +80,11 @@ def delete_messages(messages: DataFrame, requests: DataFrame) -> Deleted:
 
     ``deleted`` is true for the first request of an existing message only.
     """
-    doomed = messages.select("id", "user_id", "position").join(
-        requests.select("id"), "id", "left_semi"
+    # Narrow, at most one row per request, and read for the status, the blocks and the users.
+    doomed = durable(
+        messages.select("id", "user_id", "position").join(
+            requests.select("id"), "id", "left_semi"
+        )
     )
     first = (
         requests.groupBy("id")
@@ -126,7 +129,7 @@ def close_gaps(messages: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def _block() -> Column:
-    return F.floor(F.col("position") / BLOCK_POSITIONS)
+    return F.expr(f"position div {BLOCK_POSITIONS}")
 
 
 def _gone_before() -> Column:
@@ -168,16 +171,16 @@ def delete_by_position(
     The fold needs a user's requests, never the messages. Users with more than
     ``per_round`` requests are served in rounds, each on the outcome of the last.
     """
-    ranked = ordered_positions(requests, ["user_id"], ["arrival"], "_rank", max_group)
-    ranked = ranked.withColumn("_round", F.floor(F.col("_rank") / per_round))
-    rounds = ranked.agg(F.max("_round")).first()[0]
-    if not rounds:
-        return _delete_round(messages, ranked)
+    largest = largest_group(requests, ["user_id"])
+    if largest <= per_round:
+        return _delete_round(messages, requests)
+    ranked = ordered_positions(requests, ["user_id"], ["arrival"], "_rank", max_group, largest)
+    ranked = ranked.withColumn("_round", F.expr(f"_rank div {per_round}"))
     ranked, statuses = durable(ranked), []
-    for number in range(rounds + 1):
+    for number in range(-(-largest // per_round)):
         step = _delete_round(messages, ranked.filter(F.col("_round") == number))
-        messages, status = durable(step.messages), durable(step.status)
-        statuses.append(status)
+        messages = durable(step.messages)
+        statuses.append(step.status)
     combined = statuses[0]
     for status in statuses[1:]:
         combined = combined.unionByName(status)
@@ -189,12 +192,10 @@ def _delete_round(messages: DataFrame, requests: DataFrame) -> Deleted:
         F.array_sort(F.collect_list(F.struct("arrival", "position"))).alias("asked")
     )
     lengths = next_positions(messages, asked.select("user_id"))
-    resolved = asked.join(lengths, "user_id").select("user_id", F.inline(_resolve()))
-    doomed = messages.select("id", "user_id", "position").join(
-        resolved.filter("deleted").select("user_id", F.col("original").alias("position")),
-        ["user_id", "position"],
-        "left_semi",
-    )
+    resolved = durable(asked.join(lengths, "user_id").select("user_id", F.inline(_resolve())))
+    hits = resolved.filter("deleted").select("user_id", F.col("original").alias("position"))
+    narrow = messages.select("id", "user_id", "position")
+    doomed = durable(narrow.join(hits, ["user_id", "position"], "left_semi"))
     status = resolved.select("user_id", "arrival", "position", "deleted")
     return Deleted(close_gaps(messages, doomed), status)
 

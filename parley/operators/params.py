@@ -7,9 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.functions.parsing import parse_bool, parse_double, parse_integer, valid_double
+from parley.functions.parsing import parse_bool, parse_double, parse_integer, stored_double
 from parley.operators.skew import MAX_GROUP_ROWS, last_known
-from parley.operators.users import create_missing
 from parley.schemas import PARAMETERS
 
 
@@ -19,7 +18,7 @@ class ParamChange(NamedTuple):
     rejected: DataFrame
 
 
-VALUE_COLUMN = {"double": "as_double", "bigint": "as_integer", "boolean": "as_boolean"}
+VALUES = {"double": "as_double", "bigint": "as_integer", "boolean": "as_boolean"}
 
 
 def check_params(changes: DataFrame) -> DataFrame:
@@ -36,19 +35,15 @@ def check_params(changes: DataFrame) -> DataFrame:
             "as_boolean": F.when(of_kind("boolean"), parse_bool(raw)),
         }
     )
+    valid = F.greatest(*[F.col(column).isNotNull() for column in VALUES.values()])
     invalid = F.concat(F.lit("Invalid "), name, F.lit(": "), raw)
-    valid = (
-        (of_kind("double") & valid_double(raw))
-        | F.col("as_integer").isNotNull()
-        | F.col("as_boolean").isNotNull()
-    )
     return typed.withColumn(
         "status",
-        F.when(name == "samplers", F.lit("Samplers order configuration is currently WIP"))
+        F.when(valid, F.lit("ok"))
+        .when(name == "samplers", F.lit("Samplers order configuration is currently WIP"))
         .when(~name.isin(*PARAMETERS), F.concat(F.lit("Unknown parameter: "), name))
-        .when(F.coalesce(valid, F.lit(False)), F.lit("ok"))
         .otherwise(invalid),
-    )
+    ).withColumn("as_double", stored_double(F.col("as_double")))
 
 
 def apply_param_changes(
@@ -64,28 +59,30 @@ def apply_param_changes(
     creates one. The audit has every change with its status, old and new value.
     """
     ids = users.select(F.col("id").alias("user_id"))
-    if create_users:
-        rejected = changes.filter(F.lit(False))
-        users = create_missing(users, changes.select(F.col("user_id").alias("id")), default_prompt)
-    else:
+    rejected = changes.filter(F.lit(False))
+    if not create_users:
         rejected = changes.join(ids, "user_id", "left_anti")
         changes = changes.join(ids, "user_id", "left_semi")
     checked = check_params(changes)
-    # All parameters are found by one aggregation of one row set, combined before the shuffle.
-    last = checked.filter("status = 'ok'").groupBy("user_id").agg(
-        *[
-            F.max_by(
-                F.struct(F.col(VALUE_COLUMN[kind]).alias("v")),
-                F.when(F.col("parameter") == name, F.struct("ts", "seq")),
-            ).alias(f"_{name}")
-            for name, kind in PARAMETERS.items()
-        ]
+    # Reduced to one row per user and parameter before the shuffle, then to one
+    # map of at most as many entries as there are parameters.
+    order = F.when(F.col("status") == "ok", F.struct("ts", "seq"))
+    last = checked.groupBy("user_id", "parameter").agg(
+        F.max_by(F.struct(*VALUES.values()), order).alias("value")
+    )
+    entries = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("parameter", "value")))
+    last = last.groupBy(F.col("user_id").alias("id")).agg(
+        F.map_from_entries(entries).alias("written")
+    )
+    # Users only known from their changes come in here, so changes are scanned once.
+    joined = users.join(last, "id", "full").withColumn(
+        "system_prompt", F.coalesce("system_prompt", F.lit(default_prompt))
     )
-    joined = users.join(last.withColumnRenamed("user_id", "id"), "id", "left")
+    cells = {name: F.try_element_at("written", F.lit(name)) for name in PARAMETERS}
     written = joined.withColumns(
         {
-            name: F.when(F.col(f"_{name}").isNotNull(), F.col(f"_{name}.v")).otherwise(F.col(name))
-            for name in PARAMETERS
+            name: F.when(cell.isNotNull(), cell[VALUES[PARAMETERS[name]]]).otherwise(F.col(name))
+            for name, cell in cells.items()
         }
     ).select(*users.columns)
     return ParamChange(written, param_audit(users, checked, max_group), rejected)
@@ -93,7 +90,7 @@ def apply_param_changes(
 
 def param_audit(users: DataFrame, checked: DataFrame, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
     """Old and new value of every write, as text; invalid writes leave the old value."""
-    value = F.coalesce(*[F.col(column).cast("string") for column in VALUE_COLUMN.values()])
+    value = F.coalesce(*[F.col(column).cast("string") for column in VALUES.values()])
     written = checked.withColumn("_new", F.when(F.col("status") == "ok", F.struct(value.alias("v"))))
     placed = last_known(written, ["user_id", "parameter"], ["ts", "seq"], "_new", "_old", max_group)
     stored = users.select(

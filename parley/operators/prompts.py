@@ -29,7 +29,7 @@ def format_chats(
         # The ending joins the last part as one more piece, which saves
         # shuffling the finished prompts again.
         last = messages.groupBy("user_id").agg(_spoke_last().alias("last")).filter("last % 2 = 1")
-        last = last.withColumn("position", F.floor(F.col("last") / 2))
+        last = last.withColumn("position", F.expr("last div 2"))
         pieces = pieces.union(
             last.select(
                 "user_id",
@@ -46,7 +46,7 @@ def format_chats(
 
 
 def _part(position: str, size: int) -> Column:
-    return F.floor(F.col(position) / size).cast("bigint").alias("part")
+    return F.expr(f"{position} div {size}").alias("part")
 
 
 def _spoke_last() -> Column:

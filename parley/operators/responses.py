@@ -16,7 +16,7 @@ CHUNKS_PER_PART = 65_536
 
 
 def with_part(chunks: DataFrame, chunks_per_part: int) -> DataFrame:
-    return chunks.withColumn("part", F.floor(F.col("seq") / chunks_per_part).cast("bigint"))
+    return chunks.withColumn("part", F.expr(f"seq div {chunks_per_part}"))
 
 
 def assemble_responses(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:

@@ -43,9 +43,10 @@ def ordered_positions(
     order: Sequence[str],
     name: str,
     max_group: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based rank of each row in its group."""
-    if largest_group(df, keys) <= max_group:
+    """Add the 0-based rank of each row in its group; ``largest`` saves measuring again."""
+    if (largest_group(df, keys) if largest is None else largest) <= max_group:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
     ranged = range_blocks(df, keys, order)

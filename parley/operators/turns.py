@@ -11,6 +11,7 @@ from parley.operators.messages import Appended, clear_messages, place_messages
 from parley.operators.skew import MAX_GROUP_ROWS, last_known
 from parley.operators.users import change_user_prompts, create_missing
 from parley.schemas import ASSISTANT, DEFAULT_PROMPT, SYSTEM, USER
+from parley.session import durable
 
 
 class Applied(NamedTuple):
@@ -87,6 +88,8 @@ def apply_commands(
     writes = key.isin("set-param", "reset-param") & (F.col("parameter") == "system-prompt")
     stepped = stepped.withColumn("_set", F.when(writes, F.col("prompt")))
     creates = (key == "get-param") | ((key == "set-param") & (space > 0)) | writes
+    # Few and narrow rows that six of the steps below read.
+    stepped = durable(stepped)
     everyone = create_missing(
         users, stepped.filter(creates).select(F.col("user_id").alias("id")), default_prompt
     )

@@ -99,18 +99,16 @@ def change_user_prompts(
     final = changes.groupBy("user_id").agg(
         F.max_by("system_prompt", F.struct("ts", "seq")).alias("new_prompt")
     )
-    known = users.select(F.col("id").alias("user_id"))
-    replaced = users.join(final.withColumnRenamed("user_id", "id"), "id", "left").withColumn(
-        "system_prompt", F.coalesce("new_prompt", "system_prompt")
+    unknown = changes.join(users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
+    replaced = (
+        users.join(
+            final.withColumnRenamed("user_id", "id"), "id", "full" if create_users else "left"
+        )
+        .withColumn("system_prompt", F.coalesce("new_prompt", "system_prompt"))
+        .select(*users.columns)
     )
-    replaced = replaced.drop("new_prompt").select(*users.columns)
-    unknown = changes.join(known, "user_id", "left_anti")
     if create_users:
-        added = final.join(known, "user_id", "left_anti").select(
-            F.col("user_id").alias("id"), F.col("new_prompt").alias("system_prompt")
-        )
-        replaced = replaced.unionByName(added, allowMissingColumns=True)
-        unknown = unknown.filter(F.lit(False))
+        unknown = changes.filter(F.lit(False))
     follows = F.col("role") == SYSTEM
     rewritten = (
         messages.join(final, "user_id", "left")

@@ -68,31 +68,37 @@ class SegmentProcessor(StatefulProcessor):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "text string, number bigint, expected bigint")
+        self.open = handle.getValueState(
+            "open", "text string, number bigint, expected bigint, held bigint"
+        )
         self.early = handle.getMapState("early", "seq bigint", "content string, stop boolean")
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
     ) -> Iterator[pd.DataFrame]:
-        text, number, expected = self.open.get() if self.open.exists() else ("", 0, 0)
+        text, number, expected, held = self.open.get() if self.open.exists() else ("", 0, 0, 0)
         message = OpenMessage(self.limit, text, number)
         for batch in rows:
             arrived = batch.sort_values("seq")
+            columns = [arrived[name].tolist() for name in ("seq", "content", "stop")]
             produced = []
-            for seq, content, stop in zip(arrived["seq"], arrived["content"], arrived["stop"]):
+            for seq, content, stop in zip(*columns):
                 if seq > expected:
-                    self.early.updateValue((int(seq),), (content, bool(stop)))
+                    self.early.updateValue((seq,), (content, stop))
+                    held += 1
                 while seq == expected:
-                    produced += message.add(int(seq), content, bool(stop))
+                    produced += message.add(seq, content, stop)
                     expected += 1
-                    if not self.early.containsKey((expected,)):
+                    # State is asked only while something is held back.
+                    if not held or not self.early.containsKey((expected,)):
                         break
                     seq, (content, stop) = expected, self.early.getValue((expected,))
                     self.early.removeKey((expected,))
+                    held -= 1
             if produced:
                 frame = pd.DataFrame(produced, columns=OUTPUT.names[1:])
                 yield frame.assign(response_id=key[0])[OUTPUT.names]
-        self.open.update((message.text, message.number, expected))
+        self.open.update((message.text, message.number, expected, held))
 
     def close(self) -> None:
         pass

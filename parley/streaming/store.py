@@ -53,8 +53,8 @@ def stream_commands(
     def apply(batch: DataFrame, batch_id: int) -> None:
         routed = route_commands(batch, commands, prefix)
         allowed = check_permissions(routed, commands, admins)
-        wanted = allowed.filter("route = 'command'")
-        wanted = durable(wanted.filter(wanted.command_key.isin(*KEYED_COMMANDS)))
+        wanted = allowed.filter("route = 'command' AND allowed")
+        wanted = wanted.filter(wanted.command_key.isin(*KEYED_COMMANDS))
         if store.applied("commands", batch_id):
             return
         buckets = store.touched(wanted)
