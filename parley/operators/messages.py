@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +19,8 @@ from parley.session import durable
 # Deleted positions are kept per run of this many positions, so no array or
 # group grows beyond it however long a history is.
 BLOCK_POSITIONS = 1024
-# Position requests of one user that are resolved in one fold.
-REQUESTS_PER_ROUND = 1000
+# Position requests of one user that are resolved in one scan.
+REQUESTS_PER_ROUND = 5_000_000
 
 
 class Appended(NamedTuple):
@@ -168,74 +172,106 @@ def delete_by_position(
 ) -> Deleted:
     """Delete by ``requests(user_id, position, arrival)``, each seeing the effect of earlier ones.
 
-    The fold needs a user's requests, never the messages. Users with more than
-    ``per_round`` requests are served in rounds, each on the outcome of the last.
+    The requests, three numbers each, are scanned in order; the messages are
+    only read for their count and rewritten once. A user with more than
+    ``per_round`` requests is served in rounds, each on the outcome of the last.
     """
     largest = largest_group(requests, ["user_id"])
     if largest <= per_round:
         return _delete_round(messages, requests)
     ranked = ordered_positions(requests, ["user_id"], ["arrival"], "_rank", max_group, largest)
-    ranked = ranked.withColumn("_round", F.expr(f"_rank div {per_round}"))
-    ranked, statuses = durable(ranked), []
+    ranked = durable(ranked.withColumn("_round", F.expr(f"_rank div {per_round}")))
+    statuses = []
     for number in range(-(-largest // per_round)):
         step = _delete_round(messages, ranked.filter(F.col("_round") == number))
         messages = durable(step.messages)
         statuses.append(step.status)
-    combined = statuses[0]
-    for status in statuses[1:]:
-        combined = combined.unionByName(status)
-    return Deleted(messages, combined)
+    return Deleted(messages, reduce(DataFrame.unionByName, statuses))
 
 
 def _delete_round(messages: DataFrame, requests: DataFrame) -> Deleted:
-    asked = requests.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("arrival", "position"))).alias("asked")
+    lengths = next_positions(messages, requests.select("user_id").distinct())
+    scanned = (
+        requests.join(lengths, "user_id")
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", "arrival")
+        .select("user_id", "arrival", "position", "next_position")
     )
-    lengths = next_positions(messages, asked.select("user_id"))
-    resolved = durable(asked.join(lengths, "user_id").select("user_id", F.inline(_resolve())))
-    hits = resolved.filter("deleted").select("user_id", F.col("original").alias("position"))
+    resolved = durable(
+        scanned.mapInPandas(
+            _resolve, "user_id bigint, arrival bigint, position bigint, original bigint"
+        )
+    )
+    hits = resolved.filter("original IS NOT NULL")
+    hits = hits.select("user_id", F.col("original").alias("position"))
     narrow = messages.select("id", "user_id", "position")
     doomed = durable(narrow.join(hits, ["user_id", "position"], "left_semi"))
-    status = resolved.select("user_id", "arrival", "position", "deleted")
+    deleted = F.col("original").isNotNull().alias("deleted")
+    status = resolved.select("user_id", "arrival", "position", deleted)
     return Deleted(close_gaps(messages, doomed), status)
 
 
-def _resolve() -> Column:
-    """Fold a user's requests into the original positions they hit.
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Find the original position each request hits, for rows sorted by user and arrival."""
+    user, removals = None, None
+    for batch in batches:
+        users = batch["user_id"].to_numpy()
+        starts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist()]
+        found = []
+        for start, stop in zip(starts, [*starts[1:], len(batch)] if len(batch) else []):
+            if users[start] != user:
+                user, removals = users[start], Removals(int(batch["next_position"].iloc[start]))
+            found += removals.resolve(batch["position"].iloc[start:stop].tolist())
+        batch = batch[["user_id", "arrival", "position"]]
+        yield batch.assign(original=pd.array(found, "Int64"))
 
-    ``gone`` holds the original positions deleted so far, sorted. A request
-    moves one place further for every deleted position at or before it.
-    """
-    outcome = "array<struct<arrival:bigint,position:bigint,original:bigint,deleted:boolean>>"
 
-    def original(state, request):
-        return F.aggregate(
-            state["gone"],
-            request["position"],
-            lambda place, deleted: F.when(deleted <= place, place + 1).otherwise(place),
-        )
+class Removals:
+    """Original places of the items removed from a list, one after the other.
 
-    def step(state, request):
-        hit = (request["position"] >= 0) & (
-            request["position"] < F.col("next_position") - F.size(state["gone"])
-        )
-        place = original(state, request)
-        row = F.struct(
-            request["arrival"].alias("arrival"),
-            request["position"].alias("position"),
-            place.alias("original"),
-            hit.alias("deleted"),
-        )
-        gone = F.when(hit, F.array_sort(F.array_append(state["gone"], place)))
-        return F.struct(
-            F.coalesce(gone, state["gone"]).alias("gone"),
-            F.concat(state["out"], F.array(row)).alias("out"),
-        )
+    Recent removals are kept in a short sorted list, in the coordinates the list
+    had when that began; older ones in a sorted array it is merged into.
+    """
 
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("gone"), F.array().cast(outcome).alias("out")
-    )
-    return F.aggregate("asked", start, step, lambda state: state["out"])
+    RECENT = 4096
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.older = np.empty(0, dtype=np.int64)
+        self.recent: list[int] = []
+
+    def resolve(self, positions: list[int]) -> list[int | None]:
+        """The original place of each position removed in turn; None where there is none."""
+        found: list[int | None] = []
+        for start in range(0, len(positions), self.RECENT):
+            places = [self._remove(p) for p in positions[start : start + self.RECENT]]
+            found += self._original(places)
+            if len(self.recent) >= self.RECENT:
+                merged = [*self.older.tolist(), *self._original(self.recent)]
+                self.older, self.recent = np.sort(np.array(merged, dtype=np.int64)), []
+        return found
+
+    def _remove(self, position: int) -> int | None:
+        if not 0 <= position < self.length:
+            return None
+        low, high = 0, len(self.recent)
+        while low < high:
+            middle = (low + high) // 2
+            if self.recent[middle] - middle <= position:
+                low = middle + 1
+            else:
+                high = middle
+        self.recent.insert(low, position + low)
+        self.length -= 1
+        return position + low
+
+    def _original(self, places: list[int | None]) -> list[int | None]:
+        if not len(self.older):
+            return places
+        hits = np.array([place for place in places if place is not None], dtype=np.int64)
+        gaps = self.older - np.arange(len(self.older))
+        moved = iter((hits + np.searchsorted(gaps, hits, side="right")).tolist())
+        return [None if place is None else next(moved) for place in places]
 
 
 def clear_messages(messages: DataFrame, users: DataFrame) -> DataFrame:

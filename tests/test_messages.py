@@ -13,6 +13,7 @@ from parley.operators.lookups import (
     user_histories,
 )
 from parley.operators.messages import (
+    Removals,
     append_messages,
     clear_messages,
     delete_by_position,
@@ -145,3 +146,15 @@ def test_any_mix_keeps_positions_dense(spark, steps):
         messages = messages.checkpoint()
     assert history(messages, 1) == list(enumerate(model[1]))
     assert history(messages, 2) == list(enumerate(model[2]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(length=st.integers(0, 60), positions=st.lists(st.integers(-1, 70), max_size=120), recent=st.integers(1, 9))
+def test_removals_follow_a_plain_list(length, positions, recent):
+    items, expected = list(range(length)), []
+    for position in positions:
+        expected.append(items.pop(position) if 0 <= position < len(items) else None)
+    removals = Removals(length)
+    removals.RECENT = recent
+    half = len(positions) // 2
+    assert removals.resolve(positions[:half]) + removals.resolve(positions[half:]) == expected
