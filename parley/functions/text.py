@@ -38,7 +38,8 @@ def last_separator(text: Column, separators: Sequence[str] = SEPARATORS) -> Colu
 
 def fence_open(text: Column) -> Column:
     """Whether a code fence is opened in the text and not closed again."""
-    return F.regexp_count(text, F.lit(FENCE)) % 2 != 0
+    without = F.replace(text, F.lit(FENCE), F.lit(""))
+    return (F.length(text) - F.length(without)) % (2 * len(FENCE)) != 0
 
 
 def plain_cut_pattern(limit: int) -> str:
