@@ -66,10 +66,11 @@ def apply_param_changes(
     checked = check_params(changes)
     # Reduced to one row per user and parameter before the shuffle, then to one
     # map of at most as many entries as there are parameters.
-    order = F.when(F.col("status") == "ok", F.struct("ts", "seq"))
+    written = F.struct("ts", "seq", F.struct(*VALUES.values()).alias("value"))
     last = checked.groupBy("user_id", "parameter").agg(
-        F.max_by(F.struct(*VALUES.values()), order).alias("value")
+        F.max(F.when(F.col("status") == "ok", written)).alias("last")
     )
+    last = last.withColumn("value", F.col("last.value"))
     entries = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("parameter", "value")))
     last = last.groupBy(F.col("user_id").alias("id")).agg(
         F.map_from_entries(entries).alias("written")

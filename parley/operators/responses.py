@@ -85,9 +85,13 @@ def throttle_updates(
         placed = placed.repartition(*group)
     else:
         group = ["reply_id", BLOCK]
-        placed = range_blocks(updates, ["reply_id"], ["ts", "seq"])
-        entries = _block_entries(placed, cooldown_ms)
-        placed = placed.join(entries, group, "left").repartition(*group)
+        ranged = range_blocks(updates, ["reply_id"], ["ts", "seq"])
+        # Only the first and last reply of a block can reach into another one, so
+        # there are at most two entries per block.
+        entries = F.broadcast(_block_entries(ranged, cooldown_ms))
+        start = F.when(F.col("chained"), F.col("entry")).otherwise(micros("started_ts"))
+        placed = ranged.join(entries, group, "left").withColumn("entry_us", start)
+        placed = placed.repartition(*group)
     shown = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
     scanned = placed.sortWithinPartitions(*group, "ts", "seq").select(
         *shown, *group[1:], "end_of_message", "may_edit", "entry_us", micros("ts").alias("ts_us")
@@ -158,9 +162,16 @@ def _edit_marker(group: list[str], cooldown: int, shown: list[str]):
 
 
 def _block_entries(ranged: DataFrame, cooldown_ms: int) -> DataFrame:
-    """For every block of a reply, the time of the last edit before it (NULL if none)."""
+    """For replies in several blocks: per block the time of the last edit before it, or NULL."""
     cooldown = cooldown_ms * 1000
-    narrow = ranged.select(
+    spanning = (
+        ranged.select("reply_id", BLOCK)
+        .distinct()
+        .groupBy("reply_id")
+        .agg(F.count(F.lit(1)).alias("blocks"))
+        .filter("blocks > 1")
+    )
+    narrow = ranged.join(F.broadcast(spanning), "reply_id", "left_semi").select(
         "reply_id",
         BLOCK,
         micros("ts").alias("us"),
@@ -175,7 +186,8 @@ def _block_entries(ranged: DataFrame, cooldown_ms: int) -> DataFrame:
     )
     chained = exits.repartition("reply_id").sortWithinPartitions("reply_id", BLOCK, "upto")
     return chained.mapInPandas(
-        lambda batches: _chain(batches, cooldown), f"reply_id bigint, {BLOCK} int, entry_us bigint"
+        lambda batches: _chain(batches, cooldown),
+        f"reply_id bigint, {BLOCK} int, entry bigint, chained boolean",
     )
 
 
@@ -241,5 +253,5 @@ def _chain(batches: Iterator[pd.DataFrame], cooldown: int) -> Iterator[pd.DataFr
                 due = None if last is None else last + cooldown
             if not found and upto != NEVER and (due is None or upto >= due):
                 found, last = True, leaves
-        frame = pd.DataFrame(out, columns=["reply_id", BLOCK, "entry_us"])
-        yield frame.astype({"entry_us": "Int64"})
+        frame = pd.DataFrame(out, columns=["reply_id", BLOCK, "entry"])
+        yield frame.astype({"entry": "Int64"}).assign(chained=True)
