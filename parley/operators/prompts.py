@@ -88,3 +88,22 @@ def user_stats(
         F.lit(context_length).cast("bigint").alias("context_length"),
         (tokens / F.lit(context_length) * 100).alias("context_percent"),
     )
+
+
+def stats_replies(stats: DataFrame) -> DataFrame:
+    """The text a user is shown for its row of ``user_stats``."""
+    share = F.expr("format_number(context_percent, '0.00')")
+    # The wording of the reply.
+    text = F.concat(
+        F.lit("Messages in chat history (including system prompt): "),
+        F.col("messages"),
+        F.lit("\nCurrent prompt length (tokens): "),
+        F.col("prompt_tokens"),
+        F.lit("/"),
+        F.col("context_length"),
+        F.lit(" ("),
+        share,
+        F.lit("% of available context used)\nCurrent prompt length (characters): "),
+        F.col("prompt_chars"),
+    )
+    return stats.select("user_id", text.alias("reply"))

@@ -29,14 +29,18 @@ def split_texts(df: DataFrame, text: str, limit: int = LENGTH_LIMIT) -> DataFram
     """
     check_limit(limit)
     fenced = F.contains(F.col(text), F.lit(FENCE))
-    pieces = df.withColumn("_raw", F.regexp_extract_all(F.when(~fenced, F.col(text)), F.lit(plain_cut_pattern(limit)), F.lit(0)))
-    pieces = pieces.withColumn("_fenced", _fenced_segments(limit)(F.when(fenced, F.col(text))))
-    plain = F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(_visible("_raw", limit))
-    both = F.coalesce("_fenced", plain)
+    pieces = df.withColumn("_fenced", _fenced_segments(limit)(F.when(fenced, F.col(text))))
+    unfenced = F.when(F.col("_fenced").isNull(), F.col(text))
+    matches = F.regexp_extract_all(unfenced, F.lit(plain_cut_pattern(limit)), F.lit(0))
+    raw = F.when(F.col(text) == "", F.array(F.lit(""))).otherwise(matches)
+    both = F.coalesce("_fenced", _visible("_raw", limit))
+    pieces = pieces.withColumn("_raw", raw)
     kept = [name for name in df.columns if name != text]
-    return pieces.select(*kept, F.posexplode(both).alias("segment_no", "segment")).withColumn(
-        "segment_no", F.col("segment_no").cast("bigint")
-    )
+    # The outer form, because Spark guards the inner one by a filter that would
+    # cut every text a second time.
+    found = pieces.select(*kept, F.posexplode_outer(both).alias("number", "segment"))
+    number = F.col("number").cast("bigint").alias("segment_no")
+    return found.filter("segment IS NOT NULL").select(*kept, number, "segment")
 
 
 def _visible(raw: str, limit: int) -> Column:

@@ -331,6 +331,16 @@ _oracle(
           FROM prompts)""",
     _PROMPTS,
 )
+_oracle(
+    "stats_replies",
+    """SELECT user_id, 'Messages in chat history (including system prompt): ' || messages || chr(10)
+      || 'Current prompt length (tokens): ' || tokens || '/8192 ('
+      || printf('%.2f', CAST(tokens AS DOUBLE) / 8192 * 100) || '% of available context used)' || chr(10)
+      || 'Current prompt length (characters): ' || length(prompt) AS reply
+    FROM (SELECT *, len(regexp_extract_all(prompt, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r]')) AS tokens
+          FROM prompts)""",
+    _PROMPTS,
+)
 
 
 def _rindex(text: str, separator: str) -> str:

@@ -306,6 +306,11 @@ def user_stats(spark: SparkSession, folder: str) -> DataFrame:
     return prompts.user_stats(inputs.messages(spark, folder))
 
 
+@query
+def stats_replies(spark: SparkSession, folder: str) -> DataFrame:
+    return prompts.stats_replies(user_stats(spark, folder))
+
+
 @query
 def last_separators(spark: SparkSession, folder: str) -> DataFrame:
     found = last_separator(F.col("text")).alias("found")
