@@ -14,6 +14,8 @@ SETTINGS = {
     # A user or response with a huge share of the rows is normal here, so a
     # skewed join is split even where that costs a later shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

@@ -27,20 +27,27 @@ OUTPUT = T.StructType(
 )
 
 
-def segment_stream(chunks: DataFrame, limit: int = LENGTH_LIMIT) -> DataFrame:
+def segment_stream(
+    chunks: DataFrame, limit: int = LENGTH_LIMIT, ttl_ms: int | None = None
+) -> DataFrame:
     """One row per chunk, and one per message it closes, for a stream of chunks.
 
     A chunk that does not fill the message yields the message so far. One that
     does closes it (``end_of_message``, no chunk) and starts the next
     (``new_message``). When ``stop`` arrives, what is left is cut to the end.
     State per response is the open message and any chunks that came early, never
-    the whole response.
+    the whole response, and goes with the last chunk. A response that never stops
+    is forgotten ``ttl_ms`` after its last chunk, if given. Chunks must not be
+    repeated after the stop.
     """
     check_limit(limit)
     use_rocksdb_state(chunks.sparkSession)
     narrow = chunks.select("response_id", "seq", "content", "stop")
     return narrow.groupBy("response_id").transformWithStateInPandas(
-        SegmentProcessor(limit), OUTPUT, outputMode="Append", timeMode="None"
+        SegmentProcessor(limit, ttl_ms),
+        OUTPUT,
+        outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
     )
 
 
@@ -64,20 +71,22 @@ class OpenMessage:
 
 
 class SegmentProcessor(StatefulProcessor):
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
+    def __init__(self, limit: int, ttl_ms: int | None) -> None:
+        self.limit, self.ttl_ms = limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState(
-            "open", "text string, number bigint, expected bigint, held bigint"
+            "open", "text string, number bigint, expected bigint, held bigint", self.ttl_ms
+        )
+        self.early = handle.getMapState(
+            "early", "seq bigint", "content string, stop boolean", self.ttl_ms
         )
-        self.early = handle.getMapState("early", "seq bigint", "content string, stop boolean")
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
     ) -> Iterator[pd.DataFrame]:
         text, number, expected, held = self.open.get() if self.open.exists() else ("", 0, 0, 0)
-        message = OpenMessage(self.limit, text, number)
+        message, done = OpenMessage(self.limit, text, number), False
         for batch in rows:
             arrived = batch.sort_values("seq")
             columns = [arrived[name].tolist() for name in ("seq", "content", "stop")]
@@ -88,7 +97,7 @@ class SegmentProcessor(StatefulProcessor):
                     held += 1
                 while seq == expected:
                     produced += message.add(seq, content, stop)
-                    expected += 1
+                    expected, done = expected + 1, done or stop
                     # State is asked only while something is held back.
                     if not held or not self.early.containsKey((expected,)):
                         break
@@ -98,7 +107,11 @@ class SegmentProcessor(StatefulProcessor):
             if produced:
                 frame = pd.DataFrame(produced, columns=OUTPUT.names[1:])
                 yield frame.assign(response_id=key[0])[OUTPUT.names]
-        self.open.update((message.text, message.number, expected, held))
+        if done:
+            self.open.clear()
+            self.early.clear()
+        else:
+            self.open.update((message.text, message.number, expected, held))
 
     def close(self) -> None:
         pass

@@ -9,13 +9,19 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 
 def foreach_batch_sink(
-    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    apply: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Hand every micro-batch to ``apply(batch, batch_id)`` until the input is used up."""
+    """Hand every micro-batch to ``apply(batch, batch_id)``.
+
+    Runs until the input is used up, or for good in intervals of ``every`` ('10 seconds').
+    """
     return (
         stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
 

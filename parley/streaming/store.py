@@ -20,6 +20,7 @@ def stream_turns(
     store: ConversationStore,
     checkpoint: str,
     default_prompt: str = DEFAULT_PROMPT,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Store arriving turns. Only new rows are written; a replayed batch is skipped."""
 
@@ -32,7 +33,7 @@ def stream_turns(
         new_users = result.users.join(current.users.select("id"), "id", "left_anti")
         store.append(Snapshot(new_users, result.added), "turns", batch_id)
 
-    return foreach_batch_sink(turns, apply, checkpoint)
+    return foreach_batch_sink(turns, apply, checkpoint, every)
 
 
 def stream_commands(
@@ -44,6 +45,7 @@ def stream_commands(
     checkpoint: str,
     prefix: str = PREFIX,
     default_prompt: str = DEFAULT_PROMPT,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Apply arriving commands. Only the buckets of their senders are rewritten.
 
@@ -63,4 +65,4 @@ def stream_commands(
         result.replies.write.mode("overwrite").parquet(f"{replies}/batch_id={batch_id}")
         store.replace(Snapshot(result.users, result.messages), buckets, "commands", batch_id)
 
-    return foreach_batch_sink(events, apply, checkpoint)
+    return foreach_batch_sink(events, apply, checkpoint, every)

@@ -15,11 +15,14 @@ from parley.schemas import COOLDOWN_MS
 from parley.session import use_rocksdb_state
 
 
-def throttle_stream(updates: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+def throttle_stream(
+    updates: DataFrame, cooldown_ms: int = COOLDOWN_MS, ttl_ms: int | None = None
+) -> DataFrame:
     """The streaming form of ``throttle_updates``; state is the time of a reply's last edit.
 
     Updates of one reply must arrive in order from batch to batch; inside a batch
     they are sorted, so the size of a micro-batch bounds what is held of a reply.
+    With ``ttl_ms`` a reply without updates for that long is forgotten.
     """
     use_rocksdb_state(updates.sparkSession)
     prepared = updates.select(
@@ -37,17 +40,20 @@ def throttle_stream(updates: DataFrame, cooldown_ms: int = COOLDOWN_MS) -> DataF
     shown = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
     schema = T.StructType([prepared.schema[name] for name in shown]).add("edit", T.BooleanType())
     marked = prepared.groupBy("reply_id").transformWithStateInPandas(
-        ThrottleProcessor(cooldown_ms * 1000, shown), schema, outputMode="Append", timeMode="None"
+        ThrottleProcessor(cooldown_ms * 1000, shown, ttl_ms),
+        schema,
+        outputMode="Append",
+        timeMode="ProcessingTime" if ttl_ms else "None",
     )
     return display_actions(marked)
 
 
 class ThrottleProcessor(StatefulProcessor):
-    def __init__(self, cooldown: int, shown: list[str]) -> None:
-        self.cooldown, self.shown = cooldown, shown
+    def __init__(self, cooldown: int, shown: list[str], ttl_ms: int | None) -> None:
+        self.cooldown, self.shown, self.ttl_ms = cooldown, shown, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint")
+        self.last = handle.getValueState("last", "us bigint", self.ttl_ms)
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object

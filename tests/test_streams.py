@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import time
+
 from parley.functions.text import segments
 from parley.operators.responses import throttle_updates
 from parley.schemas import CHAT_EVENTS, CHUNKS
@@ -55,6 +57,24 @@ def test_segments_of_shuffled_chunks(spark):
     assert found.filter("response_id = 3").count() == 3
 
 
+def test_state_with_a_lifetime(spark):
+    """State that expires needs a query that keeps running, so this one is stopped by hand."""
+    path = new_folder(spark, "output")
+    text = "one two three four. five six " * 6
+    chunks = files(spark, [chunk_rows(1, text)], CHUNKS)
+    stream = segment_stream(chunks, 30, ttl_ms=3_600_000)
+    running = foreach_batch_sink(
+        stream, to_batch_folders(path), new_folder(spark, "checkpoint"), "1 second"
+    )
+    deadline = time.time() + 60
+    while time.time() < deadline and not (running.lastProgress and running.lastProgress.batchId > 0):
+        time.sleep(1)
+    running.stop()
+    closing = spark.read.parquet(path).filter("end_of_message OR end_of_response")
+    messages = [row.message for row in closing.orderBy("message_no").collect()]
+    assert [m for m in messages if m] == [s for s in segments(text, 30) if s]
+
+
 def test_throttle_across_batches(spark):
     rows = [
         (1 + n % 2, START + timedelta(milliseconds=7 * n), n, "text" if n % 5 else " ", n % 11 == 3, n % 13 == 5, n == 59, START)
