@@ -62,14 +62,17 @@ def append_messages(
 
 
 def place_messages(
-    messages: DataFrame, new: DataFrame, max_group: int = MAX_GROUP_ROWS
+    messages: DataFrame,
+    new: DataFrame,
+    max_group: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Give ``new`` rows their positions behind the stored ones, and ids if they have none."""
     if "id" not in new.columns:
         highest = messages.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
         numbered = global_sequence(new, ["arrival"], "_number")
         new = numbered.withColumn("id", highest + F.col("_number") + 1)
-    ranked = ordered_positions(new, ["user_id"], ["arrival"], "_rank", max_group)
+    ranked = ordered_positions(new, ["user_id"], ["arrival"], "_rank", max_group, largest)
     starts = next_positions(messages, new.select("user_id").distinct())
     return (
         ranked.join(starts, "user_id")

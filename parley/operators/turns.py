@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.messages import Appended, clear_messages, place_messages
-from parley.operators.skew import MAX_GROUP_ROWS, last_known
+from parley.operators.skew import MAX_GROUP_ROWS, largest_group, last_known
 from parley.operators.users import change_user_prompts, create_missing
 from parley.schemas import ASSISTANT, DEFAULT_PROMPT, SYSTEM, USER
 from parley.session import durable
@@ -47,7 +47,9 @@ def ingest_turns(
     asked = turns.select("user_id", *_line(USER, "prompt", 1))
     answered = turns.filter("answer IS NOT NULL").select("user_id", *_line(ASSISTANT, "answer", 2))
     new = opening.unionByName(asked).unionByName(answered)
-    added = place_messages(messages, new, max_group)
+    # A turn is at most a question and an answer, after one opening line per user.
+    most = 2 * largest_group(turns, ["user_id"]) + 1
+    added = place_messages(messages, new, max_group, most)
     return Appended(everyone, messages.unionByName(added), added, new.filter(F.lit(False)))
 
 

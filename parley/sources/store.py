@@ -39,7 +39,11 @@ class ConversationStore:
 
     def read(self, buckets: list[int] | None = None) -> Snapshot:
         """The published rows, or those of some buckets only."""
-        return Snapshot(*[self._table(name, buckets) for name in TABLES])
+        live = self._live()
+        if buckets is not None:
+            live = {c: [b for b in known if b in set(buckets)] for c, known in live.items()}
+        live = {commit: known for commit, known in live.items() if known}
+        return Snapshot(*[self._table(name, live) for name in TABLES])
 
     def replace(
         self,
@@ -87,12 +91,8 @@ class ConversationStore:
         by_commit = live.filter("commit >= base").groupBy("commit").agg(F.collect_set("bucket"))
         return {commit: sorted(buckets) for commit, buckets in by_commit.collect()}
 
-    def _table(self, name: str, buckets: list[int] | None) -> DataFrame:
+    def _table(self, name: str, live: dict[int, list[int]]) -> DataFrame:
         schema, _ = TABLES[name]
-        live = self._live()
-        if buckets is not None:
-            live = {c: [b for b in known if b in set(buckets)] for c, known in live.items()}
-        live = {commit: known for commit, known in live.items() if known}
         if not live:
             return self.spark.createDataFrame([], schema)
         root = f"{self.path}/{name}"
