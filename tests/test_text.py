@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import cut, fence_open, last_separator, segments
 from parley.operators.texts import split_once, split_texts
 
+# Fixed value: a text with known cuts at limits 100, 30 and 15.
 LONG = "This is a dummy, but also pretty long response"
 LINES = [
     "The first line is here, somewhat long already.",
