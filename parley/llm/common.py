@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from parley.session import new_folder
 
-#: Words whose hashes a task remembers; only memory depends on it.
+#: Words that a task remembers something about, in each of two generations; only time and
+#: memory depend on it.
 REMEMBERED_WORDS = 400_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -49,17 +51,80 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered while a task runs."""
+class Remembered(dict):
+    """Values of keys, made when first asked for.
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    When a generation is full the one before goes, so frequent keys stay and memory is bounded.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED_WORDS:
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= REMEMBERED_WORDS:
+            self.before = dict(self)
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        self[key] = value
+        return value
+
+    def made(self, key):
+        raise NotImplementedError
+
+
+#: One number for each byte value, and 0 for the blanks.
+BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class Powers:
+    """Powers of the multiplier and of its inverse, as far as the longest text needs them."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < size:
+            size = max(size, 2 * len(self.up), 1 << 14)
+            self.up, self.down = (
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+                for base in (MULTIPLIER, INVERSE)
+            )
+        return self.up, self.down
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Running sums of ``values`` times powers, from 0 on."""
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.of(len(values) + 1)[0][: len(values)], out=out[1:])
+        return out
+
+    def between(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the values from ``first`` to before ``end``, whatever stands before them."""
+        content = (sums[end] - sums[first]) * self.of(len(sums))[1][first]
+        return mixed(content + mixed((end - first).astype(np.uint64)))
+
+
+#: Words longer than this are hashed by a library, as no text can be built to defeat that.
+LONG_WORD = 64
+
+
+def word_hashes(text: bytes | None, powers: Powers) -> np.ndarray:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a text, without making the words."""
+    if not text:
+        return np.empty(0, np.uint64)
+    letters = np.frombuffer(text, np.uint8)
+    blank = np.empty(len(letters) + 2, bool)
+    blank[0] = blank[-1] = True
+    np.take(BLANK, letters, out=blank[1:-1])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    first, end = edges[::2], edges[1::2]
+    out = powers.between(powers.sums(BYTES[letters]), first, end)
+    for i in np.flatnonzero(end - first > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[first[i] : end[i]])
+    return out
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
