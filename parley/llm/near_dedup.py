@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import WordHashes, as_bytes, gram_hashes, map_batches, mixed, only, spaced_words, written
+from parley.llm.common import Powers, as_bytes, gram_hashes, map_batches, mixed, only, word_hashes, written
 from parley.llm.components import components
 
 SHINGLE = 5
@@ -73,14 +73,13 @@ def deduplicated(documents: DataFrame, percent: int = 85) -> DataFrame:
     return documents.join(going, documents["doc_id"] == going["doc_id"], "left_anti")
 
 
-def _shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+def _shingles(text: bytes | None, powers: Powers) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = spaced_words(text.lower() if text else None)
-    if not words:
-        return np.empty(0, np.uint64)
+    words = word_hashes(text.lower() if text else None, powers)  # bytes.lower() touches A-Z alone
+    if not len(words):
+        return words
     size = min(SHINGLE, len(words))
-    found = gram_hashes(hashes.of(words), size) + np.uint64(size)
-    return np.unique(found)
+    return np.unique(gram_hashes(words, size) + np.uint64(size))
 
 
 @lru_cache(maxsize=2)
@@ -111,11 +110,11 @@ def _signed(documents: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, node, keys): the class and the band keys of every document."""
 
     def sign(batches):
-        hashes = WordHashes()
+        powers = Powers()
         for batch in batches:
             sizes, nodes, signatures = [], [], []
             for text in batch["text"]:
-                shingles = _shingles(text, hashes)
+                shingles = _shingles(text, powers)
                 sizes.append(len(shingles))
                 nodes.append(_node(shingles) if len(shingles) else None)
                 signatures.append(signature(shingles, bands * rows))
@@ -137,7 +136,7 @@ def _signed(documents: DataFrame, bands: int, rows: int) -> DataFrame:
 def _links(documents: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes; every component is connected by them."""
     keys = signed.filter("n_shingles > 0").groupBy("node").agg(F.first("keys").alias("keys"))
-    placed = keys.select("node", F.explode("keys").alias("key"))
+    placed = keys.select("node", F.posexplode("keys").alias("band", "key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(placed.join(shared, "key"), "buckets")
     # The hub of a bucket is the member that most others collide with: near the middle of a group.
@@ -149,7 +148,7 @@ def _links(documents: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         .groupBy("node").agg(F.max("hub").alias("hub"))
         .select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     )
-    sets = written(_sets(documents, signed, weight), "sets")
+    sets = written(_sets(documents, signed, weight).join(keys, "node"), "sets")
     first = written(_confirmed(to_hub, sets, percent), "confirmed")
     rest = _confirmed(_possible(buckets, components(first), sets, percent), sets, percent)
     return first.union(rest)
@@ -166,9 +165,9 @@ def _sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFram
     chosen = by_id.unionByName(without) if without is not None else by_id
 
     def sets(batches):
-        hashes = WordHashes()
+        powers = Powers()
         for batch in batches:
-            found = [s for s in (_shingles(text, hashes) for text in batch["text"]) if len(s)]
+            found = [s for s in (_shingles(text, powers) for text in batch["text"]) if len(s)]
             yield {
                 "node": pa.array([_node(s) for s in found], pa.int64()),
                 "shingles": pa.array([s.tobytes() for s in found], pa.binary()),
@@ -206,8 +205,8 @@ def _possible(buckets: DataFrame, member: DataFrame, sets: DataFrame, percent: i
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     pieces = met.select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root"
-    ).join(sets.select("node", "sketch"), "node")
+        "band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root"
+    ).join(sets.select("node", "sketch", "keys"), "node")
     needed = _needed(percent / 100)
 
     def compare(batches):
@@ -215,8 +214,7 @@ def _possible(buckets: DataFrame, member: DataFrame, sets: DataFrame, percent: i
             yield _block_pairs(group, needed)
 
     sorted_ = pieces.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    found = map_batches(sorted_, compare, "a bigint, b bigint")
-    return found.distinct()
+    return map_batches(sorted_, compare, "a bigint, b bigint")
 
 
 def _needed(threshold: float) -> dict[int, int]:
@@ -245,7 +243,8 @@ def _block_pairs(group: dict, needed: dict[int, int]) -> dict:
     node, root, own = (np.array(group[n], np.int64) for n in ("node", "root", "own"))
     sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, LONG)
     short = np.ascontiguousarray(sketch[:, :SHORT])
-    low, high = group["low"][0], group["high"][0]
+    low, high, band = group["low"][0], group["high"][0], group["band"][0]
+    keys = np.array(group["keys"], np.int64)
     left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
     first, second = [], []
     for i in left:
@@ -253,6 +252,8 @@ def _block_pairs(group: dict, needed: dict[int, int]) -> dict:
         others = others[root[others] != root[i]]
         others = others[(short[others] == short[i]).sum(axis=1) >= needed[SHORT]]
         others = others[(sketch[others] == sketch[i]).sum(axis=1) >= needed[LONG]]
+        # A pair belongs to the first band that it shares.
+        others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
         first += [node[i]] * len(others)
         second += node[others].tolist()
     pairs = np.array([first, second], np.int64)
