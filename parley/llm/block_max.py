@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 32
+BLOCK = 512
 
 
 class BlockMaxIndex:
@@ -24,54 +24,59 @@ class BlockMaxIndex:
         self.names = [names[i] for i in order]
         self.points = [points[i] for i in order]
         self.blocks = -(-len(order) // BLOCK)
-        postings: dict[int, dict[int, list]] = {}
-        for place, (ids, weights) in enumerate(self.points):
-            for feature, weight in zip(ids.tolist(), weights.tolist()):
-                postings.setdefault(feature, {}).setdefault(place // BLOCK, []).append((place % BLOCK, weight))
-        self.postings, self.maxima = {}, {}
-        for feature, blocks in postings.items():
-            self.postings[feature] = {
-                b: (np.array([p for p, _ in rows]), np.array([w for _, w in rows])) for b, rows in blocks.items()
-            }
-            self.maxima[feature] = (
-                np.array(list(blocks)), np.array([max(w for _, w in rows) for rows in blocks.values()])
-            )
+        sizes = np.array([len(ids) for ids, _ in self.points])
+        place = np.repeat(np.arange(len(order)), sizes)
+        feature = np.concatenate([ids for ids, _ in self.points])
+        weight = np.concatenate([weights for _, weights in self.points])
+        by_feature = np.lexsort((place, feature))
+        place, feature, weight = place[by_feature], feature[by_feature], weight[by_feature]
+        #: feature -> (places, weights, where each block begins in them, largest weight in each block)
+        self.postings: dict[int, tuple] = {}
+        borders = np.flatnonzero(np.diff(feature)) + 1
+        names = feature[np.concatenate([[0], borders])].tolist()
+        for name, some, weights in zip(names, np.split(place, borders), np.split(weight, borders)):
+            begins = np.searchsorted(some, BLOCK * np.arange(self.blocks + 1))
+            most = np.zeros(self.blocks)
+            np.maximum.at(most, some // BLOCK, weights)
+            self.postings[name] = some, weights, begins.tolist(), most
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, count: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the nearest points that stand for ``count`` examples, nearest first.
 
         Equal cosines are ordered by place. One example of the point ``skip`` is left out.
         """
+        known = [(self.postings[f], w) for f, w in zip(ids.tolist(), weights.tolist()) if f in self.postings]
         bound = np.zeros(self.blocks)
-        known = [(f, w) for f, w in zip(ids.tolist(), weights.tolist()) if f in self.maxima]
-        for feature, weight in known:
-            blocks, most = self.maxima[feature]
-            bound[blocks] += weight * most
-        found: list[tuple[float, int]] = []
-        worst = -1.0
+        for (_, _, _, most), weight in known:
+            bound += weight * most
+        found = np.empty(0), np.empty(0, np.int64)
+        worst = 0.0
         for block in np.argsort(-bound, kind="stable").tolist():
             if bound[block] + 1e-9 < worst or bound[block] <= 0:
                 break
-            size = min(BLOCK, len(self.points) - block * BLOCK)
-            cosine = np.zeros(size)
-            for feature, weight in known:
-                posting = self.postings[feature].get(block)
-                if posting is not None:
-                    cosine[posting[0]] += weight * posting[1]
+            first = block * BLOCK
+            cosine = np.zeros(min(BLOCK, len(self.points) - first))
+            for (places, own, begins, _), weight in known:
+                low, high = begins[block], begins[block + 1]
+                if low < high:
+                    cosine[places[low:high] - first] += weight * own[low:high]
             near = np.flatnonzero((cosine > 0) & (cosine >= worst))
-            found += [(float(cosine[i]), block * BLOCK + int(i)) for i in near]
-            found, worst = self._trimmed(found, count, skip)
-        return found
+            found = np.concatenate([found[0], cosine[near]]), np.concatenate([found[1], near + first])
+            found, worst = self._trimmed(*found, count, skip)
+        return list(zip(found[0].tolist(), found[1].tolist()))
 
-    def _trimmed(self, found, count, skip):
+    def _trimmed(self, cosine: np.ndarray, place: np.ndarray, count: int, skip: int):
         """The shortest head that holds ``count`` examples, and its last cosine if it is full."""
-        found.sort(key=lambda item: (-item[0], item[1]))
-        held = 0.0
-        for end, (cosine, place) in enumerate(found, 1):
-            held += self.total[place] - (place == skip)
-            if held >= count:
-                return found[:end], cosine
-        return found, -1.0
+        if len(cosine) > count + 1:  # each point but ``skip`` holds an example at least
+            enough = np.partition(cosine, -(count + 1))[-(count + 1)]
+            cosine, place = cosine[cosine >= enough], place[cosine >= enough]
+        order = np.lexsort((place, -cosine))
+        cosine, place = cosine[order], place[order]
+        held = np.cumsum(self.total[place] - (place == skip))
+        end = int(np.searchsorted(held, count)) + 1
+        if end > len(cosine):
+            return (cosine, place), 0.0
+        return (cosine[:end], place[:end]), float(cosine[end - 1])
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, count: int, prior: float, skip: int = -1, label: int = 0):
         """(share of positive examples among the nearest, weighted by nearness; the neighbours).

@@ -54,23 +54,28 @@ def spaced_words(text: bytes | None) -> list[bytes]:
 class Remembered(dict):
     """Values of keys, made when first asked for.
 
-    When a generation is full the one before goes, so frequent keys stay and memory is bounded.
+    When a generation is full the one before goes, so frequent keys stay and memory is bounded
+    by two generations and the keys of one text or a few.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = REMEMBERED_WORDS) -> None:
         super().__init__()
         self.before: dict = {}
+        self.most = most
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.made(key)
-        if len(self) >= REMEMBERED_WORDS:
-            self.before = dict(self)
-            self.clear()
         self[key] = value
         return value
 
+    def rest(self) -> None:
+        """Called between texts: begins a new generation if this one is full."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
     def made(self, key):
         raise NotImplementedError
 

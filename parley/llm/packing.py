@@ -11,22 +11,28 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import Remembered, as_bytes, map_batches, written
+from parley.llm.common import REMEMBERED_WORDS, Remembered, as_bytes, map_batches, written
 from parley.llm.cutting_stock import plan
 
 LENGTH = 4096
 END = 2
-#: Upper ends of the size classes: fine for short pieces, 16 apart beyond.
-CLASSES = np.concatenate([np.arange(4, 65, 4), np.arange(80, LENGTH + 1, 16)])
+#: Upper ends of the size classes.
+CLASSES = np.arange(16, LENGTH + 1, 16)
 TOKENIZER = "word_bpe_49k.json"
+#: ASCII and Latin-1 letters, whose lower case is one letter, and ASCII signs behind them.
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+#: Texts that are tokenized together.
+TOGETHER = 400
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -63,23 +69,57 @@ class WordIds(Remembered):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(2 * REMEMBERED_WORDS)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a run of letters.
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[number for piece, number in pieces.items() if piece.endswith("</w>")]] = True
+
+    def of(self, texts: list[bytes | None]) -> list[memoryview]:
+        """The ids of each text. Each word is looked up once, however often the texts have it."""
+        self.rest()
+        split = pc.ascii_split_whitespace(pa.array([text or b"" for text in texts], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        self._learn(set(distinct).difference(self))
+        ids = pa.array(map(self.__getitem__, distinct), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        borders = ends[split.offsets.to_numpy()].tolist()
+        whole = memoryview(ids.buffers()[2] or b"")
+        return [whole[a:b] for a, b in zip(borders, borders[1:])]
 
     def made(self, key: bytes) -> bytes:
-        letters = key.rstrip(b".,")
-        if letters.isalpha() and not letters.islower():
-            letters = letters.lower()
-        # Stops are tokens apart from letters, and case is dropped, so more words share one entry.
-        if letters != key and letters and letters.decode().isalpha():
-            core = len(key.rstrip(b".,"))
-            return self[letters] + (self[key[core:]] if core < len(key) else b"")
-        encoding = self.tokenizer.encode(key.decode(), add_special_tokens=False)
-        return np.array(encoding.ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(key.decode(), add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Signs are tokens apart from letters and case is dropped, so new words share letters."""
+        parts, cores = [], {}
+        for word in new:
+            ids = self.before.get(word)
+            if ids is not None:
+                self[word] = ids
+            elif found := LETTERS.fullmatch(word.decode()):
+                core = found[1].lower().encode()
+                cores[core] = None
+                parts.append((word, core, found[2].encode()))
+        cores = self._of_letters(list(cores))
+        for word, core, signs in parts:
+            self[word] = cores[core] + self[signs] if signs else cores[core]
+
+    def _of_letters(self, cores: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are one run of letters each, tokenized as one text."""
+        if not cores:
+            return {}
+        text = b"\n".join(cores).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(cores):
+            raise ValueError("a word of letters is not one run for the tokenizer")
+        packed = ids.tobytes()
+        return {core: packed[a:b] for core, a, b in zip(cores, [0, *ends[:-1].tolist()], ends.tolist())}
 
 
 def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
@@ -92,8 +132,10 @@ def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
         seen = np.zeros(len(CLASSES), np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = words.of(text) + end
+            texts = batch["text"]
+            found = (ids for at in range(0, len(texts), TOGETHER) for ids in words.of(texts[at : at + TOGETHER]))
+            for doc_id, ids in zip(batch["doc_id"], found):
+                ids = b"".join((ids, end))
                 total = len(ids) // 4
                 for start in range(0, total, LENGTH):
                     piece = ids[4 * start : 4 * (start + LENGTH)]

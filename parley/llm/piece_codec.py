@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import MULTIPLIER, Remembered, as_bytes, map_batches, mixed
+from parley.llm.common import MULTIPLIER, REMEMBERED_WORDS, Remembered, as_bytes, map_batches, mixed
 
 MODEL = "piece_bpe_32k.model"
 SEED, DROPOUT = 6, 0.1
@@ -78,7 +78,7 @@ class Segmenter(Remembered):
     """Ids of a word in one variant, as little-endian 32-bit bytes."""
 
     def __init__(self, pieces: Pieces, seed: int, dropout: float, variant: int) -> None:
-        super().__init__()
+        super().__init__(REMEMBERED_WORDS // 2)
         self.pieces = pieces
         key = xxhash.xxh3_64_intdigest(b"%d %d" % (seed, variant))
         drawn = mixed(np.arange(DRAWS, dtype=np.uint64) * MULTIPLIER + np.uint64(key))
@@ -87,6 +87,7 @@ class Segmenter(Remembered):
 
     def encoded(self, text: str) -> bytes:
         """Ids of a text. A literal mark is spelled in bytes, so it is not taken for a blank."""
+        self.rest()
         return b"".join(map(self.__getitem__, WORD.findall(" " + text))) if text else b""
 
     def made(self, key: str) -> bytes:

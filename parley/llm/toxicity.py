@@ -100,6 +100,7 @@ class _Features(Remembered):
 
     def counts(self, text: bytes | None) -> tuple[Counter, int]:
         """How often each feature occurs, and how many words have none."""
+        self.rest()
         words = text.translate(FOLD).split() if text else []
         marked = [f for f in map(self.__getitem__, words) if f]
         return Counter(i for f in marked for i in f), len(words) - len(marked)
@@ -131,6 +132,7 @@ class _Scorer(Remembered):
     def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
         if self.index is None:
             return 0.0, []
+        self.rest()
         counts, plain = self.features.counts(text)
         return self[tuple(sorted(counts.items())), plain if counts else 1]
 
