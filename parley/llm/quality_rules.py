@@ -122,12 +122,13 @@ class Estimate(NamedTuple):
     rejects: float
 
 
-def estimates(measures: DataFrame, candidates: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
+def estimates(documents: DataFrame, candidates: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Time and share of rejected rows of each rule on a sample, best rejection per second first.
 
+    Only the sample is measured, and each rule is timed on its measures.
     Rules that reject nothing there come last, cheapest first; ties keep the given order.
     """
-    sample = measures.sample(SAMPLE_SHARE, SEED).limit(rows).persist()
+    sample = measured(documents.sample(SAMPLE_SHARE, SEED).limit(rows)).persist()
     total = max(sample.count(), 1)
     found = []
     for rule in candidates:
@@ -153,7 +154,7 @@ def judged(documents: DataFrame) -> DataFrame:
     Empty and null texts fail the base.
     """
     measures = measured(documents)
-    order = [e.rule for e in estimates(measures, [Rule("base", base_failed()), *rules()])]
+    order = [e.rule for e in estimates(documents, [Rule("base", base_failed()), *rules()])]
     # The base verdict is a column of the result, so it need not be tried again.
     rest = cascade([rule for rule in order if rule.name != "base"])
     return measures.select(
