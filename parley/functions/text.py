@@ -68,7 +68,7 @@ def cut(text: str, limit: int, start: int = 0, opening: str = "") -> tuple[str,
         if at > 0:
             head, used = window[: at + KEPT[separator]], at + len(separator)
             break
-    reopening = _reopening(head, limit)
+    reopening = _reopening(head)
     # A cut that gives back as much as it took would never end.
     if reopening is not None and len(reopening) >= used:
         head, used = window, len(window)
@@ -77,13 +77,13 @@ def cut(text: str, limit: int, start: int = 0, opening: str = "") -> tuple[str,
     return closed, start + used - len(opening), reopening or ""
 
 
-def _reopening(head: str, limit: int) -> str | None:
+def _reopening(head: str) -> str | None:
     if head.count(FENCE) % 2 == 0:
         return None
     after = head.rfind(FENCE) + len(FENCE)
     end = head.find("\n", after)
     tag = head[after:end] if end >= 0 else ""
-    return f"{FENCE}{tag if len(tag) <= limit // 4 else ''}\n"
+    return f"{FENCE}{tag}\n"
 
 
 def segments(text: str, limit: int) -> list[str]:

@@ -71,10 +71,9 @@ def user_histories(messages: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def last_messages(messages: DataFrame) -> DataFrame:
-    """The last message of each user; at most one per user and input partition is shuffled."""
-    rest = [name for name in messages.columns if name != "user_id"]
-    last = F.max_by(F.struct(*rest), "position").alias("last")
-    return messages.groupBy("user_id").agg(last).select("user_id", "last.*").select(messages.columns)
+    """The last message of each user: positions alone are aggregated, then their rows are kept."""
+    last = messages.groupBy("user_id").agg(F.max("position").alias("position"))
+    return messages.join(last, ["user_id", "position"], "left_semi").select(messages.columns)
 
 
 def is_known_role(role: Column) -> Column:

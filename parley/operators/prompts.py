@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.templates import CHATML, ChatTemplate, token_estimate
+from parley.operators.responses import joined
 from parley.schemas import USER
 
 MESSAGES_PER_PART = 65_536
@@ -18,10 +19,8 @@ def format_chats(
     template: ChatTemplate = CHATML,
     messages_per_part: int = MESSAGES_PER_PART,
 ) -> DataFrame:
-    """One prompt per user, in parts of a fixed number of positions.
-
-    Any usual history is a single part 0. A longer one continues in part 1, 2,
-    ...: joined in order they are the prompt, while no task gathers more than one part.
+    """One prompt per user. Messages are joined within parts first, so that a long history is
+    sorted by many tasks; only its finished prompt meets in one row.
     """
     text = template.render(F.col("role"), F.col("message")).alias("text")
     pieces = messages.select("user_id", _part("position", messages_per_part), "position", text)
@@ -38,11 +37,9 @@ def format_chats(
                 F.lit(template.generation),
             )
         )
-    ordered = F.array_sort(F.collect_list(F.struct("position", "text")))
-    body = F.array_join(F.transform("pieces", lambda piece: piece["text"]), "")
-    start = F.when(F.col("part") == 0, F.lit(template.start)).otherwise("")
-    grouped = pieces.groupBy("user_id", "part").agg(ordered.alias("pieces"))
-    return grouped.select("user_id", "part", F.concat(start, body).alias("prompt"))
+    parts = pieces.groupBy("user_id", "part").agg(joined("position", "text").alias("text"))
+    prompt = F.concat(F.lit(template.start), joined("part", "text")).alias("prompt")
+    return parts.groupBy("user_id").agg(prompt)
 
 
 def _part(position: str, size: int) -> Column:

@@ -22,38 +22,51 @@ def with_part(chunks: DataFrame, chunks_per_part: int) -> DataFrame:
 def assemble_responses(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
     """The text of each response, with chunk count and whether its last chunk has arrived.
 
-    A response of more than ``chunks_per_part`` chunks takes several rows, in
-    order of ``part``, so that no task gathers an unbounded one.
+    Chunks are joined within parts first and the parts then, so a response of very many
+    chunks is sorted by many tasks; only its finished text meets in one row.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "content")))
-    return (
+    parts = (
         with_part(chunks, chunks_per_part)
         .groupBy("response_id", "part")
         .agg(
-            ordered.alias("pieces"),
+            joined("seq", "content").alias("text"),
             F.count(F.lit(1)).alias("chunks"),
             F.bool_or("stop").alias("complete"),
         )
-        .select(
-            "response_id",
-            "part",
-            F.array_join(F.transform("pieces", lambda piece: piece["content"]), "").alias("response"),
-            "chunks",
-            "complete",
-        )
     )
+    return parts.groupBy("response_id").agg(
+        joined("part", "text").alias("response"),
+        F.sum("chunks").alias("chunks"),
+        F.bool_or("complete").alias("complete"),
+    )
+
+
+def joined(order: str, text: str) -> Column:
+    """Aggregate: the texts of a group joined in order."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(pieces, lambda piece: piece["text"]), "")
+
+
+def text_ends(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
+    """Each chunk with ``end``: how long its response's text is up to and including it.
+
+    Linear in the chunks. Lengths are summed within parts, and each part is lifted by the
+    parts before it, so no task walks a whole response.
+    """
+    parted = with_part(chunks, chunks_per_part).withColumn("size", F.length("content").cast("bigint"))
+    parts = parted.groupBy("response_id", "part").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy("response_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = parts.select("response_id", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("lift"))
+    within = Window.partitionBy("response_id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ends = parted.withColumn("within", F.sum("size").over(within)).join(lifts, ["response_id", "part"])
+    return ends.select("response_id", "seq", "content", (F.col("lift") + F.col("within")).alias("end"))
 
 
 def running_responses(chunks: DataFrame, chunks_per_part: int = CHUNKS_PER_PART) -> DataFrame:
-    """Each chunk with the response text up to and including it, since its part began."""
-    window = (
-        Window.partitionBy("response_id", "part")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = F.array_join(F.collect_list("content").over(window), "")
-    parted = with_part(chunks, chunks_per_part)
-    return parted.select("response_id", "part", "seq", "content", running.alias("response"))
+    """Each chunk with the response text up to and including it, from the first chunk on."""
+    whole = assemble_responses(chunks, chunks_per_part).select("response_id", F.col("response").alias("whole"))
+    found = text_ends(chunks, chunks_per_part).join(whole, "response_id")
+    return found.select("response_id", "seq", "content", F.left("whole", F.col("end").cast("int")).alias("response"))
 
 
 def chunk_texts(chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.schemas import PREFIX, REMOVAL_EMOJI
+from parley.schemas import DEFAULT_COMMANDS, PREFIX, REMOVAL_EMOJI
 
 # Kinds of channel whose messages can be removed.
 REMOVABLE_CHANNELS = ("text", "direct", "group", "thread")
@@ -28,8 +28,7 @@ def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX)
             "rest": F.when(space > 0, F.substring(bare, space + 1, F.length(bare))),
         }
     )
-    # The command table has one row per configured command.
-    matched = named.join(F.broadcast(commands.select("command_key", "cmd")), "cmd", "left")
+    matched = named.join(_words(commands), "cmd", "left")
     key = F.col("command_key")
     route = (
         F.when(~heard, "ignored")
@@ -55,15 +54,22 @@ def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX)
     )
 
 
+def _words(commands: DataFrame) -> DataFrame:
+    """One command per word: of commands that share one, the first in the fixed order."""
+    order = F.array_position(F.array(*[F.lit(key) for key in DEFAULT_COMMANDS]), F.col("command_key"))
+    # Keys outside of the fixed order come after it, by name.
+    rank = F.struct(order == 0, order, "command_key")
+    return commands.groupBy("cmd").agg(F.min_by("command_key", rank).alias("command_key"))
+
+
 def check_permissions(routed: DataFrame, commands: DataFrame, admins: DataFrame) -> DataFrame:
     """Add ``allowed``: everyone may use open commands, admins also the protected ones."""
-    protected = commands.filter("requires_admin").select(
-        "command_key", F.lit(True).alias("protected")
-    )
-    listed = admins.select(F.col("admin_id").alias("user_id"), F.lit(True).alias("is_admin"))
+    protected = commands.filter("requires_admin").select("command_key").distinct()
+    protected = protected.withColumn("protected", F.lit(True))
+    listed = admins.select(F.col("admin_id").alias("user_id")).distinct().withColumn("is_admin", F.lit(True))
     is_command = F.col("route") == "command"
     return (
-        routed.join(F.broadcast(protected), "command_key", "left")
+        routed.join(protected, "command_key", "left")
         .join(listed, "user_id", "left")
         .withColumn(
             "allowed", ~is_command | F.col("protected").isNull() | F.col("is_admin").isNotNull()

@@ -84,7 +84,6 @@ def split_once(df: DataFrame, text: str, limit: int = LENGTH_LIMIT) -> DataFrame
     line = F.substring(head, after + 1, F.length(head))
     end = F.instr(line, "\n")
     tag = F.when(end > 0, F.left(line, end - 1)).otherwise("")
-    tag = F.when(F.length(tag) <= limit // 4, tag).otherwise("")
     found = found.withColumn(
         "_open", F.when(fence_open(head), F.concat(F.lit(FENCE), tag, F.lit("\n")))
     )

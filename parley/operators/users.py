@@ -109,17 +109,15 @@ def change_user_prompts(
     )
     if create_users:
         unknown = changes.filter(F.lit(False))
-    follows = F.col("role") == SYSTEM
+    # Only system messages can change, so only they are joined.
+    follows = F.col("role").eqNullSafe(SYSTEM)
     rewritten = (
-        messages.join(final, "user_id", "left")
-        .withColumn("message", _first_if(follows, "new_prompt", "message"))
+        messages.filter(follows)
+        .join(final, "user_id", "left")
+        .withColumn("message", F.coalesce("new_prompt", "message"))
         .select(*messages.columns)
     )
-    return StoreChange(replaced, rewritten, unknown)
-
-
-def _first_if(condition: Column, first: str, other: str) -> Column:
-    return F.coalesce(F.when(condition, F.col(first)), F.col(other))
+    return StoreChange(replaced, rewritten.union(messages.filter(~follows)), unknown)
 
 
 def reset_params(

@@ -322,7 +322,7 @@ _PROMPTS = """prompts AS (SELECT user_id, count(*) AS messages,
     string_agg('<|im_start|>' || role || chr(10) || message || '<|im_end|>' || chr(10), '' ORDER BY position)
     || CASE WHEN arg_max(role, position) = 'user' THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS prompt
   FROM m GROUP BY user_id)"""
-_oracle("format_chats", "SELECT user_id, 0::BIGINT AS part, prompt FROM prompts", _PROMPTS)
+_oracle("format_chats", "SELECT user_id, prompt FROM prompts", _PROMPTS)
 _oracle(
     "user_stats",
     """SELECT user_id, messages, length(prompt) AS prompt_chars, prompt_tokens,
@@ -366,9 +366,7 @@ def _fences(text: str) -> str:
 
 _oracle(
     "open_fences",
-    f"""SELECT doc_id, {_fences("text")} % 2 = 1 AS whole,
-      {_fences("beginning_")} % 2 = 1 AS beginning
-    FROM (SELECT doc_id, text, left(text, {SHORT_LIMIT}) AS beginning_ FROM fenced)""",
+    f"""SELECT doc_id, {_fences("text")} % 2 = 1 AS whole FROM fenced""",
 )
 
 
@@ -384,7 +382,7 @@ def _cut(source: str, columns: str, text: str, limit: int) -> str:
         WHEN stuck THEN substr({text}, {limit} + 1)
         ELSE coalesce(opened, '') || substr({text}, used + 1) END AS rest
     FROM (SELECT *, coalesce(length(opened) >= used, false) AS stuck
-    FROM (SELECT *, CASE WHEN {_fences("head")} % 2 = 1 THEN '```' || CASE WHEN {tag_end} BETWEEN 2 AND {limit // 4 + 1}
+    FROM (SELECT *, CASE WHEN {_fences("head")} % 2 = 1 THEN '```' || CASE WHEN {tag_end} >= 2
             THEN left(fence_line, {tag_end} - 1) ELSE '' END || chr(10) END AS opened
     FROM (SELECT *, string_split(head, '```')[-1] AS fence_line
     FROM (SELECT *, CASE WHEN l > 0 THEN left(w, l) WHEN s > 0 THEN left(w, s + 1)
@@ -443,12 +441,12 @@ _oracle(
 
 _oracle(
     "assemble_responses",
-    "SELECT id AS response_id, 0::BIGINT AS part, message AS response, chunks, true AS complete FROM m "
-    "JOIN (SELECT response_id, count(*) AS chunks FROM chunks GROUP BY 1) c ON c.response_id = m.id",
+    "SELECT id AS response_id, message AS response, chunks, true AS complete FROM m "
+    "JOIN (SELECT response_id, count(*)::BIGINT AS chunks FROM chunks GROUP BY 1) c ON c.response_id = m.id",
 )
 _oracle(
     "running_responses",
-    """SELECT response_id, 0::BIGINT AS part, seq, content, string_agg(content, '') OVER (
+    """SELECT response_id, seq, content, string_agg(content, '') OVER (
       PARTITION BY response_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS response FROM chunks""",
 )
 _oracle("chunk_texts", "SELECT response_id, seq, content FROM chunks")

@@ -319,11 +319,8 @@ def last_separators(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def open_fences(spark: SparkSession, folder: str) -> DataFrame:
-    start = F.left("text", F.lit(SHORT_LIMIT))
     documents = inputs.fenced_documents(spark, folder)
-    return documents.select(
-        "doc_id", fence_open(F.col("text")).alias("whole"), fence_open(start).alias("beginning")
-    )
+    return documents.select("doc_id", fence_open(F.col("text")).alias("whole"))
 
 
 @query

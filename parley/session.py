@@ -47,8 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/parley-{purpose}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing has written to yet; it goes with the application."""
+    folder = f"{shared_folder(spark)}/parley-{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:

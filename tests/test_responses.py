@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from parley.operators.responses import assemble_responses, running_responses, throttle_updates
+from parley.operators.responses import assemble_responses, running_responses, text_ends, throttle_updates
 from parley.schemas import CHUNKS
 
 START = datetime(2024, 1, 1)
@@ -16,17 +16,23 @@ UPDATES = (
 
 @pytest.mark.parametrize("per_part", [2, 100])
 def test_assembled_and_running_text(spark, per_part):
-    words = ["This ", "is ", "a ", "dummy ", "response"]
+    words = ["One ", "answer ", "in ", "five ", "chunks"]
     rows = [(1, n, START, word, n == 4) for n, word in enumerate(words)] + [(2, 0, START, "open", False)]
     chunks = spark.createDataFrame(rows, CHUNKS)
-    whole = assemble_responses(chunks, per_part).orderBy("response_id", "part").collect()
-    assert "".join(r.response for r in whole if r.response_id == 1) == "".join(words)
-    assert [r.complete for r in whole][-2:] == [True, False]
+    whole = assemble_responses(chunks, per_part).orderBy("response_id").collect()
+    assert [(r.response, r.chunks, r.complete) for r in whole] == [("".join(words), 5, True), ("open", 1, False)]
     running = running_responses(chunks, per_part).filter("response_id = 1").orderBy("seq").collect()
-    if per_part == 100:
-        assert [r.response for r in running] == ["".join(words[: n + 1]) for n in range(5)]
-    else:
-        assert [r.response for r in running] == ["This ", "This is ", "a ", "a dummy ", "response"]
+    assert [r.response for r in running] == ["".join(words[: n + 1]) for n in range(5)]
+
+
+def test_very_many_chunks_keep_their_beginning(spark):
+    count = 70_000
+    rows = spark.range(count).selectExpr(
+        "1L AS response_id", "id AS seq", "timestamp_ntz '2024-01-01' AS ts", "'w ' AS content", f"id = {count - 1} AS stop"
+    )
+    assert [len(r.response) for r in assemble_responses(rows).collect()] == [2 * count]
+    last = text_ends(rows).orderBy("seq", ascending=False).first()
+    assert (last.seq, last.end) == (count - 1, 2 * count)
 
 
 def expected_actions(rows, cooldown):

@@ -7,7 +7,7 @@ from parley.operators.routing import (
     route_commands,
 )
 from parley.operators.turns import apply_commands
-from parley.schemas import CHAT_EVENTS, REACTIONS
+from parley.schemas import ADMINS, CHAT_EVENTS, COMMANDS, REACTIONS
 from parley.sources.settings import admins_table, commands_table
 from tests.support import dialogue_store, history, prompts_of
 
@@ -114,3 +114,12 @@ def test_commands_change_the_store(spark):
             "Updated system prompt!\nOld: ```\nBe kind\n```\nNew: ```\ndefault```",
             "Unknown parameter: mood",
         ]
+
+
+def test_a_shared_word_and_a_repeated_admin_give_one_row(spark):
+    events = spark.createDataFrame([(1, NOW, 7, False, False, "$go now")], CHAT_EVENTS)
+    commands = spark.createDataFrame([("refresh", "go", True), ("help", "go", False), ("stats", "go", False)], COMMANDS)
+    routed = route_commands(events, commands)
+    assert [row.command_key for row in routed.collect()] == ["help"]
+    admins = spark.createDataFrame([(7,), (7,)], ADMINS)
+    assert check_permissions(routed, commands, admins).count() == 1

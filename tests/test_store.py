@@ -86,3 +86,11 @@ def test_iso_times(spark):
     texts = ["2024-02-29T23:59:59", "2024-02-29T23:59:59.000001"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.t for r in rows.select(to_iso(from_iso(F.col("t"))).alias("t")).collect()] == texts
+
+
+def test_only_naive_iso_times_are_read(spark):
+    good = ["2024-02-29", "20240229", "2024-02-29T10", "2024-02-29 10:20", "20240229T102030", "2024-02-29T10:20:30.5"]
+    bad = ["2024", "2024-01", "2024-1-1", " 2024-01-01", "2024-01-01 ", "2024-01-01T10:00:00+02:00", "2024-02-30", "2024-01-01T10:", "x", ""]
+    rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", from_iso(F.col("t")).alias("ts"))
+    read = {row.t: row.ts is not None for row in rows.collect()}
+    assert read == {t: t in good for t in good + bad}

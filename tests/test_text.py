@@ -56,6 +56,13 @@ CASES = [
 ]
 
 
+def test_a_long_tag_is_carried_whole(spark):
+    tag = "t" * 32
+    found = spark_segments(spark, f"```{tag}\n" + "some words\n" * 30 + "```", 100)
+    assert len(found) > 2 and all(segment.startswith(f"```{tag}\n") for segment in found)
+    assert segments(f"```{tag}\n" + "some words\n" * 30 + "```", 100) == found
+
+
 @pytest.mark.parametrize(("text", "limit", "expected"), CASES)
 def test_known_cuts(spark, text, limit, expected):
     assert segments(text, limit) == expected
