@@ -20,16 +20,10 @@ INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later steps read it again after a loss.
-
-    The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    folder = new_folder(spark, purpose)
+    """``df`` as a table in the shared folder: later steps read it again after a loss."""
+    folder = new_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
