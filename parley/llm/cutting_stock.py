@@ -37,6 +37,9 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.
             left = left - held * count
             times -= count
     patterns += _first_fit(small, left, room)
+    # A program that ran out of turns can be worse than no program.
+    plain = _first_fit(small, demand[used].astype(np.int64), room)
+    patterns = min(patterns, plain, key=lambda some: sum(count for _, count in some))
     out = []
     for held, count in patterns:
         whole = np.zeros(len(sizes), np.int64)
@@ -53,11 +56,19 @@ def _relaxed(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.
     # Slightly uneven demand keeps equal ratios, and so cycles of the basis, away.
     demand = demand + 1e-3 * (0.5 + np.arange(count) * 0.6180339887 % 1)
     amounts = inverse @ demand
-    for turn in range(12 * count):  # every basis is feasible, so stopping early costs only room
+    # Prices in proportion to size bound the total from below; pulling prices towards the best
+    # ones known keeps them from swinging, which would take several times the turns.
+    calm, bound = sizes / room, 0.0
+    for turn in range(8 * count):  # every basis is feasible, so stopping early costs only room
         prices = inverse.sum(axis=0)
-        column = _knapsack(sizes, prices, room)
-        # The optimum is at least the present total divided by the best column's value.
-        if prices @ column <= 1 + GAP:
+        for tried in (0.8 * calm + 0.2 * prices, prices):
+            column = _knapsack(sizes, tried, room)
+            fair = tried / max(tried @ column, 1.0)  # no pattern is worth more than 1
+            if fair @ demand > bound:
+                calm, bound = fair, float(fair @ demand)
+            if prices @ column > 1 + 1e-7:
+                break
+        if prices @ column <= 1 + 1e-7 or amounts.sum() <= bound * (1 + GAP):
             break
         step = inverse @ column
         ratio = np.full(count, np.inf)

@@ -29,6 +29,8 @@ SEED, DROPOUT = 6, 0.1
 #: Segmentations that a word can get. A document draws one of these by its id.
 VARIANTS = 4
 MARK = "▁"
+#: Stands for a literal mark while merging; no text holds it.
+HIDDEN = "\ud800"
 #: No piece of the model holds a line break or a mark after another character, so words with
 #: the blanks before them are merged on their own.
 WORD = re.compile(r"\n| *[^ \n]+| +")
@@ -91,7 +93,7 @@ class Segmenter(Remembered):
         return b"".join(map(self.__getitem__, WORD.findall(" " + text))) if text else b""
 
     def made(self, key: str) -> bytes:
-        symbols = list(key.replace(MARK, "\0").replace(" ", MARK))
+        symbols = list(key.replace(MARK, HIDDEN).replace(" ", MARK))
         merge = self._merged if len(symbols) <= SHORT_WORD else self._merged_long
         ids = array("I")
         for symbol in merge(symbols):
@@ -99,8 +101,7 @@ class Segmenter(Remembered):
             if number is not None:
                 ids.append(number)
                 continue
-            symbol = symbol.replace("\0", MARK) if MARK in key else symbol
-            ids.extend([self.pieces.byte_ids[byte] for byte in symbol.encode()])
+            ids.extend([self.pieces.byte_ids[byte] for byte in symbol.replace(HIDDEN, MARK).encode()])
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def _skips(self, place: int, piece: str) -> bool:
