@@ -2,7 +2,7 @@
 
 The vocabulary of a piece model is used as it is; the merging is done here. An agenda holds
 the neighbouring pairs of a word that make a piece, best score first, leftmost among equals.
-When a merge's turn comes it is skipped if a hash keyed by (seed, variant, place, piece) falls
+When a merge's turn comes it is skipped if a hash keyed by (seed, variant, word, place, piece) falls
 below the dropout rate; it has another turn only if its parts change. So the same word is
 segmented in different ways in different documents, always from the same seed in the same
 way. At a rate of 0 the segmentation is the model's own.
@@ -96,7 +96,7 @@ class Segmenter(Remembered):
         symbols = list(key.replace(MARK, HIDDEN).replace(" ", MARK))
         merge = self._merged if len(symbols) <= SHORT_WORD else self._merged_long
         ids = array("I")
-        for symbol in merge(symbols):
+        for symbol in merge(symbols, zlib.crc32(key.encode())):
             number = self.pieces.ids.get(symbol)
             if number is not None:
                 ids.append(number)
@@ -104,18 +104,18 @@ class Segmenter(Remembered):
             ids.extend([self.pieces.byte_ids[byte] for byte in symbol.replace(HIDDEN, MARK).encode()])
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
-    def _skips(self, place: int, piece: str) -> bool:
-        """The draw of a merge, by the characters before it and its piece."""
-        return bool(self.skipped) and bool(self.skipped[(self.pieces.ids[piece] * 40503 + place * 10007) & (DRAWS - 1)])
+    def _skips(self, word: int, place: int, piece: str) -> bool:
+        """The draw of a merge, by its word, the characters before it there and its piece."""
+        return bool(self.skipped) and bool(self.skipped[(word + self.pieces.ids[piece] * 40503 + place * 10007) & (DRAWS - 1)])
 
-    def _merged(self, symbols: list[str]) -> list[str]:
+    def _merged(self, symbols: list[str], word: int) -> list[str]:
         """The symbols after all merges. The agenda is a list of ranks: few words are long."""
         ranks, places = self.pieces.ranks, list(range(len(symbols)))
         agenda = [ranks.get(one + other, NO_PIECE) for one, other in zip(symbols, symbols[1:])]
         while agenda and (best := min(agenda)) < NO_PIECE:
             at = agenda.index(best)
             piece = symbols[at] + symbols[at + 1]
-            if self._skips(places[at], piece):
+            if self._skips(word, places[at], piece):
                 agenda[at] = NO_PIECE
                 continue
             symbols[at] = piece
@@ -126,7 +126,7 @@ class Segmenter(Remembered):
                 agenda[at - 1] = ranks.get(symbols[at - 1] + piece, NO_PIECE)
         return symbols
 
-    def _merged_long(self, symbols: list[str]) -> list[str]:
+    def _merged_long(self, symbols: list[str], word: int) -> list[str]:
         """The same with the agenda as a heap, for words without blanks of any length."""
         ranks, count = self.pieces.ranks, len(symbols)
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
@@ -136,7 +136,7 @@ class Segmenter(Remembered):
             _, at, piece = heapq.heappop(agenda)
             right = after[at]
             # Gone if one of its parts has been merged since.
-            if not symbols[at] or right >= count or symbols[at] + symbols[right] != piece or self._skips(at, piece):
+            if not symbols[at] or right >= count or symbols[at] + symbols[right] != piece or self._skips(word, at, piece):
                 continue
             symbols[at], symbols[right] = piece, ""
             follower = after[at] = after[right]

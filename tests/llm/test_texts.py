@@ -94,7 +94,7 @@ def test_without_dropout_the_model_segments():
         assert np.frombuffer(plain.encoded(text), "<u4").tolist() == model.encode(text)
     for _ in range(200):
         word = ["▁"] + [draw.choice("abetionsr") for _ in range(draw.randrange(1, 40))]
-        assert varied._merged(word[:]) == varied._merged_long(word[:])
+        assert varied._merged(word[:], 5) == varied._merged_long(word[:], 5)
 
 
 def test_measures_equal_brute_force(docs):
