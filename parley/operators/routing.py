@@ -9,6 +9,8 @@ from parley.schemas import DEFAULT_COMMANDS, PREFIX, REMOVAL_EMOJI
 
 # Kinds of channel whose messages can be removed.
 REMOVABLE_CHANNELS = ("text", "direct", "group", "thread")
+#: Commands up to which their table becomes an expression.
+MOST_COMMANDS = 256
 
 
 def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX) -> DataFrame:
@@ -28,7 +30,7 @@ def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX)
             "rest": F.when(space > 0, F.substring(bare, space + 1, F.length(bare))),
         }
     )
-    matched = named.join(_words(commands), "cmd", "left")
+    matched = _with_keys(named, commands)
     key = F.col("command_key")
     route = (
         F.when(~heard, "ignored")
@@ -54,12 +56,25 @@ def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX)
     )
 
 
-def _words(commands: DataFrame) -> DataFrame:
-    """One command per word: of commands that share one, the first in the fixed order."""
+def _with_keys(named: DataFrame, commands: DataFrame) -> DataFrame:
+    """Add ``command_key``: of commands that share a word, the first in the fixed order.
+
+    A table of at most MOST_COMMANDS rows becomes an expression, so that events are not
+    shuffled; a larger one is joined.
+    """
+    rows = commands.select("cmd", "command_key").take(MOST_COMMANDS + 1)
+    if len(rows) <= MOST_COMMANDS:
+        fixed = list(DEFAULT_COMMANDS)
+        rank = {key: n for n, key in enumerate(fixed)}
+        rows.sort(key=lambda row: (rank.get(row["command_key"], len(fixed)), row["command_key"]), reverse=True)
+        words = {row["cmd"]: row["command_key"] for row in rows}
+        pairs = [F.lit(part) for pair in words.items() for part in pair]
+        key = F.try_element_at(F.create_map(*pairs), F.col("cmd")) if pairs else F.lit(None).cast("string")
+        return named.withColumn("command_key", key)
     order = F.array_position(F.array(*[F.lit(key) for key in DEFAULT_COMMANDS]), F.col("command_key"))
     # Keys outside of the fixed order come after it, by name.
-    rank = F.struct(order == 0, order, "command_key")
-    return commands.groupBy("cmd").agg(F.min_by("command_key", rank).alias("command_key"))
+    first = F.min_by("command_key", F.struct(order == 0, order, "command_key")).alias("command_key")
+    return named.join(commands.groupBy("cmd").agg(first), "cmd", "left")
 
 
 def check_permissions(routed: DataFrame, commands: DataFrame, admins: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 from datetime import datetime
 
+import pytest
+
+from parley.operators import routing as routing_module
 from parley.operators.routing import (
     check_permissions,
     parse_param_commands,
@@ -116,7 +119,9 @@ def test_commands_change_the_store(spark):
         ]
 
 
-def test_a_shared_word_and_a_repeated_admin_give_one_row(spark):
+@pytest.mark.parametrize("most", [256, 0])
+def test_a_shared_word_and_a_repeated_admin_give_one_row(spark, monkeypatch, most):
+    monkeypatch.setattr(routing_module, "MOST_COMMANDS", most)
     events = spark.createDataFrame([(1, NOW, 7, False, False, "$go now")], CHAT_EVENTS)
     commands = spark.createDataFrame([("refresh", "go", True), ("help", "go", False), ("stats", "go", False)], COMMANDS)
     routed = route_commands(events, commands)
