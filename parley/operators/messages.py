@@ -69,7 +69,8 @@ def place_messages(
 ) -> DataFrame:
     """Give ``new`` rows their positions behind the stored ones, and ids if they have none."""
     if "id" not in new.columns:
-        highest = messages.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+        # Ids below zero are those of turns.
+        highest = messages.agg(F.greatest(F.max("id"), F.lit(0))).scalar()
         numbered = global_sequence(new, ["arrival"], "_number")
         new = numbered.withColumn("id", highest + F.col("_number") + 1)
     ranked = ordered_positions(new, ["user_id"], ["arrival"], "_rank", max_group, largest)

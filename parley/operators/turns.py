@@ -31,8 +31,9 @@ def ingest_turns(
 
     A user without messages first gets its system prompt as a message. An
     unanswered turn (NULL answer) leaves the user's message visible. Message ids
-    are 3 * turn_id + 0..2: a replayed turn gets the same ones, and no numbering
-    over all users is needed.
+    are below zero, -1 - (3 * turn_id + 0..2) with turn_id from 0 on: a replayed
+    turn gets the same ones, no numbering over all users is needed, and appended
+    messages, whose own numbers are above zero, never share one.
     """
     ids = turns.select(F.col("user_id").alias("id"))
     everyone = create_missing(users, ids, default_prompt)
@@ -59,7 +60,7 @@ def _line(role: str, text: str, step: int) -> list[Column]:
         F.col(text).alias("message"),
         F.col("ts").alias("timestamp"),
         (F.col("turn_id") * 3 + step).alias("arrival"),
-        (F.col("turn_id") * 3 + step).alias("id"),
+        (-1 - (F.col("turn_id") * 3 + step)).alias("id"),
     ]
 
 

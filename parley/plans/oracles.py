@@ -478,9 +478,10 @@ _SEGMENTED = f"""filled(response_id, seq, no, closed, buffer) AS (
 _oracle(
     "segment_streamed_chunks",
     """SELECT f.response_id, f.seq, no AS message_no, buffer AS message, content AS chunk,
-      false AS end_of_message, stop AS end_of_response, closed IS NOT NULL AS new_message
+      false AS end_of_message, stop AS end_of_response, closed IS NOT NULL AS new_message,
+      false AS incomplete
     FROM filled f JOIN chunks c USING (response_id, seq)
-    UNION ALL SELECT response_id, seq, no - 1, closed, NULL, true, false, false
+    UNION ALL SELECT response_id, seq, no - 1, closed, NULL, true, false, false, false
     FROM filled WHERE closed IS NOT NULL""",
     _SEGMENTED,
     recursive=True,
@@ -488,16 +489,25 @@ _oracle(
 
 _STORED_TURNS = f"""known AS (SELECT * FROM u UNION ALL SELECT DISTINCT user_id, '{DEFAULT_PROMPT}' FROM turns
     WHERE user_id NOT IN (SELECT id FROM u)),
-lines AS (SELECT turn_id * 3 + 1 AS id, user_id, ts AS "timestamp", 'user' AS role, prompt AS message FROM turns
+lines AS (SELECT turn_id * 3 + 1 AS step, user_id, ts AS "timestamp", 'user' AS role, prompt AS message FROM turns
   UNION ALL SELECT turn_id * 3 + 2, user_id, ts, 'assistant', answer FROM turns WHERE answer IS NOT NULL
   UNION ALL SELECT min(turn_id) * 3, user_id, arg_min(ts, turn_id), 'system', any_value(system_prompt)
     FROM turns JOIN known ON known.id = user_id
     WHERE user_id NOT IN (SELECT user_id FROM m) GROUP BY user_id),
 counts AS (SELECT user_id, count(*) AS n FROM m GROUP BY 1)"""
-_LINES = f"""SELECT {_MESSAGE} FROM m UNION ALL SELECT id, l.user_id, "timestamp",
-  coalesce(n, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY id) - 1, role, message
+_LINES = f"""SELECT {_MESSAGE} FROM m UNION ALL SELECT -1 - step, l.user_id, "timestamp",
+  coalesce(n, 0) + row_number() OVER (PARTITION BY l.user_id ORDER BY step) - 1, role, message
   FROM lines l LEFT JOIN counts ON counts.user_id = l.user_id"""
 _oracle("ingest_turns", _LINES, _STORED_TURNS)
+_oracle(
+    "append_after_turns",
+    f"""SELECT {_MESSAGE} FROM told UNION ALL SELECT
+    (SELECT max(id) FROM m) + row_number() OVER (ORDER BY arrival), g.user_id, "timestamp",
+    coalesce(n, 0) + row_number() OVER (PARTITION BY g.user_id ORDER BY arrival) - 1, role, message
+    FROM new_messages g LEFT JOIN (SELECT user_id, count(*) AS n FROM told GROUP BY 1) c
+      ON g.user_id = c.user_id WHERE role <> 'robot'""",
+    f"{_STORED_TURNS},\ntold AS ({_LINES})",
+)
 _oracle("store_streamed_turns", _LINES, _STORED_TURNS)
 _oracle("ingest_turns_users", "SELECT * FROM known", _STORED_TURNS)
 

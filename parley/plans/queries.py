@@ -426,6 +426,13 @@ def ingest_turns_users(spark: SparkSession, folder: str) -> DataFrame:
     return _turns(spark, folder).users.select(*USER_COLUMNS)
 
 
+@query
+def append_after_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages without ids behind stored turns; no id is given twice."""
+    told, new = _turns(spark, folder), inputs.new_messages(spark, folder).drop("id")
+    return message_jobs.append_messages(told.users, told.messages, new, default_prompt=DEFAULT_PROMPT).messages
+
+
 def _commands(spark: SparkSession, folder: str) -> turns.Applied:
     known, stored = inputs.users(spark, folder), inputs.messages(spark, folder)
     return turns.apply_commands(known, stored, _allowed(spark, folder))

@@ -23,6 +23,7 @@ OUTPUT = T.StructType(
         T.StructField("end_of_message", T.BooleanType()),
         T.StructField("end_of_response", T.BooleanType()),
         T.StructField("new_message", T.BooleanType()),
+        T.StructField("incomplete", T.BooleanType()),
     ]
 )
 
@@ -36,9 +37,13 @@ def segment_stream(
     does closes it (``end_of_message``, no chunk) and starts the next
     (``new_message``). When ``stop`` arrives, what is left is cut to the end.
     State per response is the open message and any chunks that came early, never
-    the whole response, and goes with the last chunk. A response that never stops
-    is forgotten ``ttl_ms`` after its last chunk, if given. Chunks must not be
-    repeated after the stop.
+    the whole response, and goes with the last chunk. Chunks must not be repeated
+    after the stop.
+
+    With ``ttl_ms``, a response that has not stopped is ended that long after its
+    last chunk: chunks held for a missing one are put out in order, then a last
+    row with an empty chunk, all of them ``incomplete``. Chunks that come later
+    still are put out the same way, as a response that begins anew.
     """
     check_limit(limit)
     use_rocksdb_state(chunks.sparkSession)
@@ -76,16 +81,16 @@ class SegmentProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState(
-            "open", "text string, number bigint, expected bigint, held bigint", self.ttl_ms
-        )
-        self.early = handle.getMapState(
-            "early", "seq bigint", "content string, stop boolean", self.ttl_ms
+            "open", "text string, number bigint, expected bigint, held bigint, timer bigint"
         )
+        self.early = handle.getMapState("early", "seq bigint", "content string, stop boolean")
+        self.handle = handle
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
     ) -> Iterator[pd.DataFrame]:
-        text, number, expected, held = self.open.get() if self.open.exists() else ("", 0, 0, 0)
+        stored = self.open.get() if self.open.exists() else ("", 0, 0, 0, None)
+        text, number, expected, held, timer = stored
         message, done = OpenMessage(self.limit, text, number), False
         for batch in rows:
             arrived = batch.sort_values("seq")
@@ -105,13 +110,35 @@ class SegmentProcessor(StatefulProcessor):
                     self.early.removeKey((expected,))
                     held -= 1
             if produced:
-                frame = pd.DataFrame(produced, columns=OUTPUT.names[1:])
-                yield frame.assign(response_id=key[0])[OUTPUT.names]
+                yield _frame(key, produced, False)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
         if done:
             self.open.clear()
             self.early.clear()
-        else:
-            self.open.update((message.text, message.number, expected, held))
+            return
+        if self.ttl_ms:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
+            self.handle.registerTimer(timer)
+        self.open.update((message.text, message.number, expected, held, timer))
+
+    def handleExpiredTimer(
+        self, key: tuple, timerValues: object, expiredTimerInfo: object
+    ) -> Iterator[pd.DataFrame]:
+        text, number, expected, held, _ = self.open.get()
+        message, produced, last = OpenMessage(self.limit, text, number), [], expected - 1
+        if held:
+            for (last,), (content, _) in sorted(self.early.iterator()):
+                produced += message.add(last, content, False)
+        produced += message.add(last, "", True)
+        self.open.clear()
+        self.early.clear()
+        yield _frame(key, produced, True)
 
     def close(self) -> None:
         pass
+
+
+def _frame(key: tuple, produced: list[tuple], incomplete: bool) -> pd.DataFrame:
+    frame = pd.DataFrame(produced, columns=OUTPUT.names[1:-1])
+    return frame.assign(response_id=key[0], incomplete=incomplete)[OUTPUT.names]

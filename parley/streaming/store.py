@@ -15,6 +15,11 @@ from parley.streaming.sinks import foreach_batch_sink
 KEYED_COMMANDS = ("reset-conversation", "set-param", "reset-param", "get-param")
 
 
+def batches_of(kind: str, checkpoint: str) -> str:
+    """The name under which the store remembers the batches of one stream."""
+    return f"{kind}:{checkpoint.rstrip('/')}"
+
+
 def stream_turns(
     turns: DataFrame,
     store: ConversationStore,
@@ -22,16 +27,21 @@ def stream_turns(
     default_prompt: str = DEFAULT_PROMPT,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Store arriving turns. Only new rows are written; a replayed batch is skipped."""
+    """Store arriving turns. Only new rows are written.
+
+    A batch that the same checkpoint replays is skipped; another checkpoint is
+    another stream, and all its rows are stored.
+    """
+    source = batches_of("turns", checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if store.applied("turns", batch_id):
+        if store.applied(source, batch_id):
             return
         turns = durable(batch)
         current = store.read(store.touched(turns))
         result = ingest_turns(current.users, current.messages, turns, default_prompt)
         new_users = result.users.join(current.users.select("id"), "id", "left_anti")
-        store.append(Snapshot(new_users, result.added), "turns", batch_id)
+        store.append(Snapshot(new_users, result.added), source, batch_id)
 
     return foreach_batch_sink(turns, apply, checkpoint, every)
 
@@ -49,20 +59,22 @@ def stream_commands(
 ) -> StreamingQuery:
     """Apply arriving commands. Only the buckets of their senders are rewritten.
 
-    Replies go to one folder per batch below ``replies``.
+    Replies go to one folder per batch below ``replies``, which belongs to this
+    stream alone. Batches are told apart as in ``stream_turns``.
     """
+    source = batches_of("commands", checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         routed = route_commands(batch, commands, prefix)
         allowed = check_permissions(routed, commands, admins)
         wanted = allowed.filter("route = 'command' AND allowed")
         wanted = wanted.filter(wanted.command_key.isin(*KEYED_COMMANDS))
-        if store.applied("commands", batch_id):
+        if store.applied(source, batch_id):
             return
         buckets = store.touched(wanted)
         current = store.read(buckets)
         result = apply_commands(current.users, current.messages, wanted, default_prompt)
         result.replies.write.mode("overwrite").parquet(f"{replies}/batch_id={batch_id}")
-        store.replace(Snapshot(result.users, result.messages), buckets, "commands", batch_id)
+        store.replace(Snapshot(result.users, result.messages), buckets, source, batch_id)
 
     return foreach_batch_sink(events, apply, checkpoint, every)

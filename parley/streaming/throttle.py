@@ -22,7 +22,8 @@ def throttle_stream(
 
     Updates of one reply must arrive in order from batch to batch; inside a batch
     they are sorted, so the size of a micro-batch bounds what is held of a reply.
-    With ``ttl_ms`` a reply without updates for that long is forgotten.
+    State goes with the batch that has the end of the response, as nothing follows
+    it. With ``ttl_ms`` a reply without updates for that long is forgotten too.
     """
     use_rocksdb_state(updates.sparkSession)
     prepared = updates.select(
@@ -65,7 +66,9 @@ class ThrottleProcessor(StatefulProcessor):
             last = int(rows["entry_us"].iloc[0])
         columns = [rows[name].tolist() for name in ("may_edit", "end_of_message", "ts_us")]
         edit, last = mark_edits(*columns, last, self.cooldown)
-        if last is not None:
+        if rows["end_of_response"].any():
+            self.last.clear()
+        elif last is not None:
             self.last.update((last,))
         yield rows[self.shown].assign(edit=edit)
 

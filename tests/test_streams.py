@@ -12,7 +12,7 @@ from parley.sources.store import write_snapshot
 from parley.sources.tables import empty_messages, empty_users
 from parley.streaming.segments import segment_stream
 from parley.streaming.sinks import foreach_batch_sink, to_batch_folders
-from parley.streaming.store import stream_commands, stream_turns
+from parley.streaming.store import batches_of, stream_commands, stream_turns
 from parley.streaming.throttle import throttle_stream
 from tests.support import dialogue_store, history, prompts_of
 from tests.test_responses import START, UPDATES, expected_actions
@@ -63,16 +63,38 @@ def test_state_with_a_lifetime(spark):
     text = "one two three four. five six " * 6
     chunks = files(spark, [chunk_rows(1, text)], CHUNKS)
     stream = segment_stream(chunks, 30, ttl_ms=3_600_000)
+    run_until(spark, stream, path, lambda running: running.lastProgress and running.lastProgress.batchId > 0)
+    closing = spark.read.parquet(path).filter("end_of_message OR end_of_response")
+    messages = [row.message for row in closing.orderBy("message_no").collect()]
+    assert [m for m in messages if m] == [s for s in segments(text, 30) if s]
+
+
+def run_until(spark, stream, path, enough):
     running = foreach_batch_sink(
         stream, to_batch_folders(path), new_folder(spark, "checkpoint"), "1 second"
     )
     deadline = time.time() + 60
-    while time.time() < deadline and not (running.lastProgress and running.lastProgress.batchId > 0):
+    while time.time() < deadline and not enough(running):
         time.sleep(1)
     running.stop()
-    closing = spark.read.parquet(path).filter("end_of_message OR end_of_response")
-    messages = [row.message for row in closing.orderBy("message_no").collect()]
-    assert [m for m in messages if m] == [s for s in segments(text, 30) if s]
+
+
+def test_a_response_that_never_stops_is_put_out(spark):
+    """One chunk is missing and none says stop: what is held comes out, flagged."""
+    path = new_folder(spark, "output")
+    rows = [(1, n, START, f"w{n} ", False) for n in (0, 1, 3, 4)]
+    stream = segment_stream(files(spark, [rows], CHUNKS), 30, ttl_ms=2000)
+
+    def enough(running):
+        ended = running.lastProgress and running.lastProgress.batchId > 0
+        return ended and not spark.read.parquet(path).filter("incomplete").isEmpty()
+
+    run_until(spark, stream, path, enough)
+    found = spark.read.parquet(path)
+    chunks = found.filter("chunk <> ''").orderBy("seq").collect()
+    assert [(r.chunk, r.incomplete) for r in chunks] == [("w0 ", False), ("w1 ", False), ("w3 ", True), ("w4 ", True)]
+    ended = found.filter("end_of_response").collect()
+    assert [(r.message, r.incomplete) for r in ended] == [("w0 w1 w3 w4 ", True)]
 
 
 def test_throttle_across_batches(spark):
@@ -101,13 +123,17 @@ def test_turns_reach_the_store(spark):
     assert history(read.messages, 8) == [(0, "Be kind"), (1, "a"), (2, "b")]
 
 
-def test_a_replayed_batch_changes_nothing(spark):
-    """A new checkpoint replays batch 0 into a store that already has it."""
+def test_each_stream_has_batches_of_its_own(spark):
+    """Batch 0 of a second checkpoint is new; batch 0 of the first one is known."""
     store = write_snapshot(empty_users(spark), empty_messages(spark), new_folder(spark, "store"), 4)
-    for _ in range(2):
-        stream = files(spark, [[(1, 7, "hi", "hello", START)]], TURNS)
-        stream_turns(stream, store, new_folder(spark, "checkpoint")).awaitTermination()
-    assert len(history(store.read().messages, 7)) == 3
+    checkpoints = [new_folder(spark, "checkpoint") for _ in range(2)]
+    for turn, checkpoint in enumerate(checkpoints):
+        stream = files(spark, [[(turn, 7, "hi", f"hello {turn}", START)]], TURNS)
+        stream_turns(stream, store, checkpoint).awaitTermination()
+    told = [text for _, text in history(store.read().messages, 7)]
+    assert told[1:] == ["hi", "hello 0", "hi", "hello 1"]
+    assert all(store.applied(batches_of("turns", checkpoint), 0) for checkpoint in checkpoints)
+    assert not store.applied(batches_of("turns", checkpoints[0]), 1)
 
 
 def test_commands_reach_the_store(spark):
