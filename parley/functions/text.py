@@ -26,16 +26,27 @@ def last_index(text: Column, wanted: str) -> Column:
     return F.when(back > 0, F.length(text) - back - len(wanted) + 1)
 
 
-def last_separator(text: Column, separators: Sequence[str] = SEPARATORS) -> Column:
-    """Struct (position, separator) of the first separator, by priority, that occurs after index 0."""
+def last_separator(
+    text: Column, separators: Sequence[str] = SEPARATORS, first: Column | None = None
+) -> Column:
+    """Struct (position, separator) of the first separator, by priority, that occurs after index 0.
+
+    With ``first``, those that begin before that index do not count.
+    """
     found = None
     for separator in separators:
         at = last_index(text, separator)
         here = F.struct(at.cast("bigint").alias("position"), F.lit(separator).alias("separator"))
-        found = F.when(at > 0, here) if found is None else found.when(at > 0, here)
+        counts = at > 0 if first is None else (at > 0) & (at >= first)
+        found = F.when(counts, here) if found is None else found.when(counts, here)
     return found
 
 
+def fence_line_end(text: Column) -> Column:
+    """Index behind the fence line a text begins with; 0 if there is none or no end of it."""
+    return F.when(F.startswith(text, F.lit(FENCE)), F.instr(text, "\n")).otherwise(0)
+
+
 def fence_open(text: Column) -> Column:
     """Whether a code fence is opened in the text and not closed again."""
     without = F.replace(text, F.lit(FENCE), F.lit(""))
@@ -62,9 +73,11 @@ def cut(text: str, limit: int, start: int = 0, opening: str = "") -> tuple[str,
     if len(opening) + len(text) - start < limit:
         return None
     window = opening + text[start : start + limit - len(opening)]
+    # A fence line in front stays whole, as a cut in it would leave an empty block.
+    first = window.find("\n") + 1 if window.startswith(FENCE) else 0
     head, used = window, len(window)
     for separator in SEPARATORS:
-        at = window.rfind(separator)
+        at = window.rfind(separator, first)
         if at > 0:
             head, used = window[: at + KEPT[separator]], at + len(separator)
             break

@@ -11,6 +11,7 @@ from parley.functions.text import (
     KEPT,
     SEPARATORS,
     check_limit,
+    fence_line_end,
     fence_open,
     last_index,
     last_separator,
@@ -68,7 +69,7 @@ def split_once(df: DataFrame, text: str, limit: int = LENGTH_LIMIT) -> DataFrame
     head, body = F.col("_head"), F.col(text)
     long = F.length(body) >= limit
     found = df.withColumn("_window", F.left(body, F.lit(limit))).withColumn(
-        "_at", last_separator(F.col("_window"), SEPARATORS)
+        "_at", last_separator(F.col("_window"), SEPARATORS, fence_line_end(F.col("_window")))
     )
     position, separator = F.col("_at.position").cast("int"), F.col("_at.separator")
     shown = F.lit(0)

@@ -388,8 +388,11 @@ def _cut(source: str, columns: str, text: str, limit: int) -> str:
     FROM (SELECT *, CASE WHEN l > 0 THEN left(w, l) WHEN s > 0 THEN left(w, s + 1)
             WHEN b > 0 THEN left(w, b) ELSE w END AS head,
           CASE WHEN l > 0 THEN l + 1 WHEN s > 0 THEN s + 2 WHEN b > 0 THEN b + 1 ELSE {limit} END AS used
-    FROM (SELECT *, {_rindex("w", _LINE)} AS l, {_rindex("w", _STOP)} AS s, {_rindex("w", _SPACE)} AS b
-    FROM (SELECT *, left({text}, {limit}) AS w FROM {source}))))))"""
+    FROM (SELECT * REPLACE (CASE WHEN l >= fence_end THEN l END AS l, CASE WHEN s >= fence_end THEN s END AS s,
+            CASE WHEN b >= fence_end THEN b END AS b)
+    FROM (SELECT *, {_rindex("w", _LINE)} AS l, {_rindex("w", _STOP)} AS s, {_rindex("w", _SPACE)} AS b,
+            CASE WHEN starts_with(w, '```') THEN strpos(w, chr(10)) ELSE 0 END AS fence_end
+    FROM (SELECT *, left({text}, {limit}) AS w FROM {source})))))))"""
 
 
 _oracle(

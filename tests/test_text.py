@@ -63,6 +63,14 @@ def test_a_long_tag_is_carried_whole(spark):
     assert segments(f"```{tag}\n" + "some words\n" * 30 + "```", 100) == found
 
 
+def test_words_of_a_long_line_in_a_fence_stay_whole(spark):
+    text = "```py\n" + "word " * 60 + "```"
+    found = spark_segments(spark, text, 50)
+    assert found == segments(text, 50) and len(found) > 5
+    assert all(segment.startswith("```py\n") for segment in found)
+    assert set(" ".join(found).replace("```py", " ").replace("```", " ").split()) == {"word"}
+
+
 @pytest.mark.parametrize(("text", "limit", "expected"), CASES)
 def test_known_cuts(spark, text, limit, expected):
     assert segments(text, limit) == expected
