@@ -23,8 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.deduplicated(docs)
+    """One document of each group of near duplicates, from a similarity of 0.80 on."""
+    return near_dedup.deduplicated(docs, near_dedup.STAGE_PERCENT, near_dedup.STAGE_BANDS, near_dedup.STAGE_ROWS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ Li and Li, 2022). A shingle's values for all coordinates are therefore one slice
 
 1. Texts with equal shingle sets become one class. A class has a signature of 252 coordinates
    in 36 bands of 7; at a similarity of 0.85 two classes miss each other in all bands once in
-   a million.
+   a million. The pipeline's stage links from 0.80 on, with 46 bands of 6 for the same odds.
 2. In each band bucket, every class is compared with one hub, the member that the most others
    collide with. Confirmed links form components, which empties the large buckets.
 3. Pairs of a bucket that are still in different components are all compared, in square blocks
@@ -30,6 +30,8 @@ from parley.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
+#: What the pipeline's stage links at, and bands with one miss in a million there.
+STAGE_PERCENT, STAGE_BANDS, STAGE_ROWS = 80, 46, 6
 RING = 1 << 22
 #: Coordinates of the longer signature, one byte each, and how many of them are read first.
 LONG, SHORT = 1024, 128
@@ -62,13 +64,13 @@ def linked(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: in
     )
 
 
-def deduplicated(documents: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``documents`` without all but one document of each group, all columns kept.
 
     Rows that repeat a doc_id stay or go together: they stay if one of them is kept. Rows
     without a doc_id stay.
     """
-    stays = linked(documents, percent).groupBy("doc_id").agg(F.max("kept").alias("stays"))
+    stays = linked(documents, percent, bands, rows).groupBy("doc_id").agg(F.max("kept").alias("stays"))
     going = stays.filter("not stays")
     return documents.join(going, documents["doc_id"] == going["doc_id"], "left_anti")
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from parley.llm import near_dedup, substring_dedup
 from parley.llm.common import Powers, word_hashes
 from tests.llm.conftest import prose
@@ -80,6 +81,19 @@ def test_one_document_of_a_group_stays(docs):
     assert {r.doc_id for r in kept.collect()} == expected
 
 
+def test_the_stage_links_pairs_from_80_percent_on(spark, docs):
+    # Of 196 shingles four changed words replace 20, so 176 of 216 are common; five leave 171 of 221.
+    rows = [(10 * n + k, changed(prose(60 + n, 200), set(range(20, 20 + 30 * k, 30)))) for n in range(12) for k in (0, 4)]
+    similar = [len(a & b) / len(a | b) for a, b in ((shingles(rows[i][1]), shingles(rows[i + 1][1])) for i in range(0, 24, 2))]
+    assert all(0.80 <= s < 0.85 for s in similar)
+    rows += [(500, changed(prose(90, 200), set())), (501, changed(prose(90, 200), set(range(20, 170, 30))))]  # 0.77
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect()) == [
+        *range(0, 120, 10), 500, 501
+    ]
+    assert near_dedup.deduplicated(docs(rows)).count() == len(rows)
+    assert (1 - 0.8**near_dedup.STAGE_ROWS) ** near_dedup.STAGE_BANDS < 1e-6
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a")]])
 def test_tiny_tables(docs, rows):
     assert near_dedup.linked(docs(rows)).count() == len(rows)
