@@ -25,7 +25,7 @@ from parley.llm.block_max import BlockMaxIndex
 from parley.llm.common import Remembered, as_bytes, map_batches, only, written
 
 #: Labelled documents that the classifier is fitted on, at most.
-EXAMPLES = 6_000
+EXAMPLES = 16_000
 #: Features of the vocabulary, at most; the strongest are taken.
 FEATURES = 2048
 #: Standard errors by which a feature's log odds must differ, and its least toxic examples.

@@ -37,6 +37,14 @@ def test_toxic_words_are_learned(spark, docs):
     assert kept.columns == frame.columns and kept.count() == sum(not r.predicted for r in found)
 
 
+def test_thousands_of_examples_are_all_indexed(spark, docs):
+    rows = [(n, f"w{n % 50} " + "scoundrel " * (n % 7 == 0)) for n in range(9000)]
+    frame, marks = docs(rows), spark.createDataFrame([(n, 1, int(n % 7 == 0)) for n, _ in rows], LABELS)
+    index, _, _ = toxicity._fitted(frame, marks, toxicity.EXAMPLES)
+    learnable = marks.filter(~toxicity.held_out()).count()
+    assert learnable > 7000 and index.total.sum() == learnable
+
+
 def test_bad_shapes_are_learned(spark, docs):
     rows, labels = corpus()
     frame = docs([*rows, (1000, None), (1001, ""), (None, "a")])
