@@ -37,6 +37,8 @@ RING = 1 << 22
 LONG, SHORT = 1024, 128
 #: Standard deviations below the threshold at which a signature still counts as possible.
 MARGIN = 5.0
+#: The column that numbers rows.
+ROW = "__row"
 #: Classes along one side of a block of comparisons.
 BLOCK = 2048
 SEED = 5
@@ -65,14 +67,21 @@ def linked(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: in
 
 
 def deduplicated(documents: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The rows of ``documents`` without all but one document of each group, all columns kept.
+    """The rows of ``documents`` without all but one of each group, all columns kept.
 
-    Rows that repeat a doc_id stay or go together: they stay if one of them is kept. Rows
-    without a doc_id stay.
+    Each row is a document of its own, also where rows repeat a doc_id or have none. Of a group
+    the row with the smallest doc_id stays, of several such rows one; a row without a doc_id
+    stays only if no row of its group has one. Wordless texts are in no group and stay.
     """
-    stays = linked(documents, percent, bands, rows).groupBy("doc_id").agg(F.max("kept").alias("stays"))
-    going = stays.filter("not stays")
-    return documents.join(going, documents["doc_id"] == going["doc_id"], "left_anti")
+    numbered = written(documents.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = linked(numbered.select(F.col(ROW).alias("doc_id"), "text"), percent, bands, rows)
+    grouped = numbered.select(ROW, "doc_id").join(found.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
+    # Groups of one row, nearly all, drop out before the join back.
+    first = grouped.groupBy("component_id").agg(
+        F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("first")
+    ).filter("size > 1")
+    going = grouped.join(first, "component_id").filter(F.col(ROW) != F.col("first")).select(ROW)
+    return numbered.join(going, ROW, "left_anti").select(*[f"`{n}`" for n in documents.columns])
 
 
 def _shingles(text: bytes | None, powers: Powers) -> np.ndarray:

@@ -94,6 +94,18 @@ def test_the_stage_links_pairs_from_80_percent_on(spark, docs):
     assert (1 - 0.8**near_dedup.STAGE_ROWS) ** near_dedup.STAGE_BANDS < 1e-6
 
 
+def test_repeated_rows_are_kept_once_through_the_next_stage(docs):
+    one, other, third, near = (" ".join(prose(seed, 60)) for seed in (70, 71, 72, 73))
+    rows = [(1, one), (1, one), (1, one), (None, other), (None, other), (None, third), (9, third), (8, third), (8, third)]
+    rows += [(20, near), (20, near + " more"), (None, near), (30, None), (30, None), (None, ""), (None, "")]
+    kept = near_dedup.deduplicated(docs(rows))
+    expected = [(1, one), (None, other), (8, third), (30, None), (30, None), (None, ""), (None, "")]
+    left = [(r.doc_id, r.text) for r in substring_dedup.without_repeats(kept).collect()]
+    rest = [row for row in left if row[0] != 20]
+    assert sorted(rest, key=lambda r: key((r[0], r[1]))) == sorted(expected, key=lambda r: key((r[0], r[1])))
+    assert [text in (near, near + " more") for doc_id, text in left if doc_id == 20] == [True]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a")]])
 def test_tiny_tables(docs, rows):
     assert near_dedup.linked(docs(rows)).count() == len(rows)
