@@ -2,10 +2,14 @@
 
 The vocabulary of a piece model is used as it is; the merging is done here. An agenda holds
 the neighbouring pairs of a word that make a piece, best score first, leftmost among equals.
-When a merge's turn comes it is skipped if a hash keyed by (seed, variant, word, place, piece) falls
-below the dropout rate; it has another turn only if its parts change. So the same word is
-segmented in different ways in different documents, always from the same seed in the same
+When a merge's turn comes it is skipped if a hash keyed by (seed, doc_id, position of the word in
+the text, place, piece) falls below the dropout rate; it has another turn only if its parts
+change. So every occurrence of a word is drawn on its own, always from the same seed in the same
 way. At a rate of 0 the segmentation is the model's own.
+
+The turns of a word form a tree: a turn's outcome decides the next turn. Branches are remembered
+once they were taken, and the words of a text walk through their trees together; a word that
+leaves its tree is merged by itself and adds its branch.
 """
 
 from __future__ import annotations
@@ -22,12 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import MULTIPLIER, REMEMBERED_WORDS, Remembered, as_bytes, map_batches, mixed
+from parley.llm.common import MULTIPLIER, REMEMBERED_WORDS, as_bytes, map_batches, mixed
 
 MODEL = "piece_bpe_32k.model"
 SEED, DROPOUT = 6, 0.1
-#: Segmentations that a word can get. A document draws one of these by its id.
-VARIANTS = 4
 MARK = "▁"
 #: Stands for a literal mark while merging; no text holds it.
 HIDDEN = "\ud800"
@@ -37,8 +39,11 @@ WORD = re.compile(r"\n| *[^ \n]+| +")
 NO_PIECE = float("inf")
 #: Symbols of a word up to which its agenda is a plain list.
 SHORT_WORD = 48
-#: Draws of a variant; a merge takes the one that its place and piece hash to.
-DRAWS = 1 << 18
+#: Turns that the trees of a task remember, at most, but for those of one text.
+TURNS = 2_000_000
+WRAP = (1 << 64) - 1
+#: Odd factors that spread the bits of a draw.
+FACTORS = 0xD6E8FEB86659FD93, 0x9FB21C651E98DF25
 
 
 def model_path(name: str = MODEL) -> str:
@@ -57,6 +62,8 @@ class Pieces:
         self.ids: dict[str, int] = {}
         #: Merges with a smaller rank come first.
         self.ranks: dict[str, float] = {}
+        #: A random number of each piece that merges.
+        self.turns: dict[str, int] = {}
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
         for number in range(model.get_piece_size()):
@@ -69,6 +76,7 @@ class Pieces:
                 self.bytes.append(b"")
             else:
                 self.ids[piece], self.ranks[piece] = number, -model.get_score(number)
+                self.turns[piece] = xxhash.xxh3_64_intdigest(piece.encode())
                 self.bytes.append(piece.replace(MARK, " ").encode())
 
     def decoded(self, ids: list[int]) -> bytes:
@@ -76,27 +84,87 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
-class Segmenter(Remembered):
-    """Ids of a word in one variant, as little-endian 32-bit bytes."""
+class Segmenter:
+    """Ids of texts as little-endian 32-bit bytes; ``document`` is the key of the present one."""
+
+    def __init__(self, pieces: Pieces, seed: int, dropout: float, document: int = 0) -> None:
+        self.pieces, self.seed, self.document = pieces, seed, document
+        #: Draws below this are skipped merges.
+        self.limit = min(int(dropout * (1 << 64)), WRAP)
+        self._forget()
 
-    def __init__(self, pieces: Pieces, seed: int, dropout: float, variant: int) -> None:
-        super().__init__(REMEMBERED_WORDS // 2)
-        self.pieces = pieces
-        key = xxhash.xxh3_64_intdigest(b"%d %d" % (seed, variant))
-        drawn = mixed(np.arange(DRAWS, dtype=np.uint64) * MULTIPLIER + np.uint64(key))
-        #: Whether the merge that a (place, piece) hashes to is skipped.
-        self.skipped = (drawn < np.uint64(min(int(dropout * (1 << 64)), (1 << 64) - 1))).tobytes() if dropout else b""
+    def _forget(self) -> None:
+        #: word -> its first turn, or None if it has no tree: it was met once so far, or is too long.
+        self.first: dict[str, int | None] = {}
+        #: Of each turn: the number of its place and piece, and what follows if it is merged or skipped. An end
+        #: follows itself. -1 is not known yet.
+        self.turn, self.merged, self.skipped = (np.zeros(1 << 12, kind) for kind in (np.uint64, np.int32, np.int32))
+        self.count = 0
+        #: The ids of each end.
+        self.ends: dict[int, bytes] = {}
 
     def encoded(self, text: str) -> bytes:
         """Ids of a text. A literal mark is spelled in bytes, so it is not taken for a blank."""
-        self.rest()
-        return b"".join(map(self.__getitem__, WORD.findall(" " + text))) if text else b""
-
-    def made(self, key: str) -> bytes:
-        symbols = list(key.replace(MARK, HIDDEN).replace(" ", MARK))
-        merge = self._merged if len(symbols) <= SHORT_WORD else self._merged_long
+        if not text:
+            return b""
+        if self.count > TURNS or len(self.first) > REMEMBERED_WORDS:
+            self._forget()
+        words = WORD.findall(" " + text)
+        first = self.first
+        starts = [start if (start := first.get(word)) is not None else self._met(word) for word in words]
+        drawn = self._occurrences(len(words))
+        at = np.array([-1 if start is None else start for start in starts], np.int64)
+        before = at.copy()
+        active = np.flatnonzero(at >= 0)
+        while len(active):
+            now = at[active]
+            draws = _draws(drawn[active], self.turn[now])
+            then = np.where(draws < np.uint64(self.limit), self.skipped[now], self.merged[now])
+            at[active] = then
+            active = active[(then >= 0) & (then != now)]
+        ends, out = self.ends, []
+        for place, end in enumerate(at.tolist()):
+            out.append(ends[end] if end >= 0 else self._alone(words[place], int(drawn[place]), int(before[place])))
+        return b"".join(out)
+
+    def _occurrences(self, count: int) -> np.ndarray:
+        """A number for each word of the text, by the seed, the document and the word's position."""
+        key = xxhash.xxh3_64_intdigest(b"%d %d" % (self.seed, self.document))
+        return mixed(np.arange(count, dtype=np.uint64) * MULTIPLIER + np.uint64(key))
+
+    def _met(self, word: str) -> int | None:
+        """A tree is begun when a word comes again; many come once."""
+        self.first[word] = self._node(0, -1) if word in self.first and len(word) <= SHORT_WORD else None
+        return self.first[word]
+
+    def _node(self, turn: int, follows: int) -> int:
+        if self.count == len(self.turn):
+            self.turn, self.merged, self.skipped = (np.concatenate([a, np.zeros_like(a)]) for a in (self.turn, self.merged, self.skipped))
+        self.turn[self.count], self.merged[self.count], self.skipped[self.count] = turn, follows, follows
+        self.count += 1
+        return self.count - 1
+
+    def _alone(self, word: str, drawn: int, at: int) -> bytes:
+        """The ids of one occurrence, whose turns join the tree that begins at ``at``."""
+        symbols = list(word.replace(MARK, HIDDEN).replace(" ", MARK))
+        if at < 0:
+            return self._ids((self._merged if len(symbols) <= SHORT_WORD else self._merged_long)(symbols, drawn))
+        turns: list[tuple[int, bool]] = []
+        ids = self._ids(self._merged(symbols, drawn, turns))
+        for turn, skip in turns:
+            self.turn[at] = turn
+            follows = self.skipped if skip else self.merged
+            if follows[at] < 0:
+                node = self._node(0, -1)
+                (self.skipped if skip else self.merged)[at] = node
+            at = int((self.skipped if skip else self.merged)[at])
+        self.merged[at] = self.skipped[at] = at
+        self.ends[at] = ids
+        return ids
+
+    def _ids(self, symbols: list[str]) -> bytes:
         ids = array("I")
-        for symbol in merge(symbols, zlib.crc32(key.encode())):
+        for symbol in symbols:
             number = self.pieces.ids.get(symbol)
             if number is not None:
                 ids.append(number)
@@ -104,18 +172,33 @@ class Segmenter(Remembered):
             ids.extend([self.pieces.byte_ids[byte] for byte in symbol.replace(HIDDEN, MARK).encode()])
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
-    def _skips(self, word: int, place: int, piece: str) -> bool:
-        """The draw of a merge, by its word, the characters before it there and its piece."""
-        return bool(self.skipped) and bool(self.skipped[(word + self.pieces.ids[piece] * 40503 + place * 10007) & (DRAWS - 1)])
+    def _skips(self, word: int, turn: int) -> bool:
+        """The draw of a merge, by the occurrence of its word and its turn; the same as ``_draws``."""
+        if not self.limit:
+            return False
+        draw = (word ^ turn) * FACTORS[0] & WRAP
+        draw = (draw ^ draw >> 32) * FACTORS[1] & WRAP
+        return (draw ^ draw >> 32) < self.limit
+
+    def _turn(self, place: int, piece: str) -> int:
+        """A number for the characters before a merge and its piece."""
+        return self.pieces.turns[piece] + place * FACTORS[0] & WRAP
 
-    def _merged(self, symbols: list[str], word: int) -> list[str]:
-        """The symbols after all merges. The agenda is a list of ranks: few words are long."""
+    def _merged(self, symbols: list[str], word: int, turns: list[tuple[int, bool]] | None = None) -> list[str]:
+        """The symbols after all merges. The agenda is a list of ranks: few words are long.
+
+        ``turns`` takes the turns and whether they were skipped.
+        """
         ranks, places = self.pieces.ranks, list(range(len(symbols)))
         agenda = [ranks.get(one + other, NO_PIECE) for one, other in zip(symbols, symbols[1:])]
         while agenda and (best := min(agenda)) < NO_PIECE:
             at = agenda.index(best)
             piece = symbols[at] + symbols[at + 1]
-            if self._skips(word, places[at], piece):
+            turn = self._turn(places[at], piece)
+            skip = self._skips(word, turn)
+            if turns is not None:
+                turns.append((turn, skip))
+            if skip:
                 agenda[at] = NO_PIECE
                 continue
             symbols[at] = piece
@@ -136,7 +219,7 @@ class Segmenter(Remembered):
             _, at, piece = heapq.heappop(agenda)
             right = after[at]
             # Gone if one of its parts has been merged since.
-            if not symbols[at] or right >= count or symbols[at] + symbols[right] != piece or self._skips(word, at, piece):
+            if not symbols[at] or right >= count or symbols[at] + symbols[right] != piece or self._skips(word, self._turn(at, piece)):
                 continue
             symbols[at], symbols[right] = piece, ""
             follower = after[at] = after[right]
@@ -148,26 +231,33 @@ class Segmenter(Remembered):
         return [symbol for symbol in symbols if symbol]
 
 
+def _draws(words: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """A draw from all 64-bit numbers for each occurrence of a word and turn."""
+    draws = (words ^ turns) * np.uint64(FACTORS[0])
+    draws = (draws ^ draws >> np.uint64(32)) * np.uint64(FACTORS[1])
+    return draws ^ draws >> np.uint64(32)
+
+
 def segmented(
     documents: DataFrame, model: str | None = None, seed: int = SEED, dropout: float = DROPOUT, with_ids: bool = False
 ) -> DataFrame:
     """(doc_id, variant, n_pieces, ids_crc32, lossless), one row per row of ``documents`` (doc_id, text).
 
     ``lossless`` tells that the ids decode to exactly the text; a null text has no ids, like an
-    empty one. A document's variant follows from the seed and its doc_id (null: variant 0).
+    empty one. ``variant`` is the document's key of all draws, by the seed and its doc_id (null: 0).
     ``with_ids`` adds the ids as little-endian 32-bit numbers.
     """
     path = model or model_path()
 
     def encode(batches):
         pieces = Pieces(path)
-        segmenters = [Segmenter(pieces, seed, dropout, variant) for variant in range(VARIANTS)]
+        segmenter = Segmenter(pieces, seed, dropout)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 text = text or b""
-                variant = _variant(seed, doc_id)
-                ids = segmenters[variant].encoded(text.decode())
+                variant = segmenter.document = _variant(seed, doc_id)
+                ids = segmenter.encoded(text.decode())
                 back = pieces.decoded(np.frombuffer(ids, "<u4").tolist())
                 rows.append((doc_id, variant, len(ids) // 4, zlib.crc32(ids), back == text, ids))
             columns = list(zip(*rows)) or [()] * 6
@@ -181,7 +271,7 @@ def segmented(
 
 
 def _variant(seed: int, doc_id: int | None) -> int:
-    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(b"%d %d" % (seed, doc_id)) % VARIANTS
+    return 0 if doc_id is None else xxhash.xxh3_64_intdigest(b"%d %d" % (seed, doc_id)) >> 1
 
 
 def decoded(encoded: DataFrame, model: str | None = None) -> DataFrame:

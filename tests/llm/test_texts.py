@@ -97,6 +97,28 @@ def test_without_dropout_the_model_segments():
         assert varied._merged(word[:], 5) == varied._merged_long(word[:], 5)
 
 
+def test_every_occurrence_of_a_word_is_drawn_on_its_own(docs):
+    pieces = piece_codec.Pieces(piece_codec.model_path())
+    words = ["unbelievable"] * 300
+    segmenter = piece_codec.Segmenter(pieces, 6, 0.1, 3)
+    seen = set()
+    for document in range(40):
+        segmenter.document = document
+        ids = segmenter.encoded(" ".join(words))
+        drawn = segmenter._occurrences(len(words)).tolist()
+        alone = [segmenter._ids(segmenter._merged_long(list("▁unbelievable"), word)) for word in drawn]
+        assert ids == b"".join(alone)  # the remembered turns are those of merging
+        seen.update(alone)
+        if not document:
+            assert len(seen) > 8  # inside one text
+    assert len(seen) > 30
+    plain = piece_codec.Segmenter(pieces, 6, 0.0).encoded("unbelievable")
+    share = sum(a != plain for a in alone) / len(alone)
+    assert 0.1 < share < 0.9
+    found = piece_codec.segmented(docs([(n, " ".join(words)) for n in range(40)])).collect()
+    assert len({r.ids_crc32 for r in found}) == 40 and all(r.lossless for r in found)
+
+
 def test_measures_equal_brute_force(docs):
     blanks = re.compile(r"[^\x20\x09-\x0D]+")
 
