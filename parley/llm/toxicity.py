@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under TF-IDF cosine over selected features.
 
 1. A bounded sample of labelled documents gives the examples. Features are words and word
    beginnings; those that toxic examples have clearly more often are the vocabulary, and all
