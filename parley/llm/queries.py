@@ -16,6 +16,7 @@ from parley.llm import (
     quality,
     quality_rules,
     substring_dedup,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder), table(spark, folder, "labels"))
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op13_token_counts": op13_token_counts,
 }
