@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.llm.license_scan import BASE, NOTICES
 from parley.llm.queries import BLOCKED_NAMES
+from parley.llm.spelling_variants import HOLED, RAREST, SHORTEST, TIMES
 from parley.llm.url_filter import RULES
 
 #: Texts with A-Z lower-cased; a null text is empty.
@@ -157,10 +158,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+
+
+def _crc32_table() -> str:
+    """What each byte changes the unsigned CRC-32 by, from its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return f"{table}::BIGINT[]"
+
+
+OP12 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), lettered AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))::BIGINT[] AS bytes,
+    {_crc32_table()} AS crcs
+  FROM counted
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS h
+  FROM lettered
+), holed AS (
+  SELECT CASE WHEN h % {HOLED} = 0
+    THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, n
+  FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM holed WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(n) >= {RAREST}
+), shorter AS (
+  SELECT word, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), lacking AS (
+  SELECT DISTINCT s.word AS a, w.word AS b FROM shorter s JOIN words w ON s.rest = w.word
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a, b FROM lacking UNION SELECT b, a FROM lacking
+), best AS (
+  SELECT a AS word, count(*)::BIGINT AS n_near, arg_min(b, (-n, encode(b))) AS form, max(n) AS form_n
+  FROM near JOIN words ON words.word = b GROUP BY a
+), formed AS (
+  SELECT word, CASE WHEN form_n >= {TIMES} * n THEN form END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN form_n >= {TIMES} * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walked AS (
+  SELECT word, word AS root, form AS further FROM formed
+  UNION ALL
+  SELECT walked.word, formed.word, formed.form FROM walked JOIN formed ON formed.word = walked.further
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM walked WHERE further IS NULL) USING (word)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1,
     "op4_substring_dedup": OP4,
     "op5_minhash": OP5,
     "op7_url_filter": OP7,
     "op9_quality_rules": OP9,
+    "op12_spelling_variants": OP12,
 }

@@ -15,6 +15,7 @@ from parley.llm import (
     piece_codec,
     quality,
     quality_rules,
+    spelling_variants,
     substring_dedup,
     token_counts,
     toxicity,
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder), table(spark, folder, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.grouped(documents(spark, folder))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted(documents(spark, folder))
 
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_counts": op13_token_counts,
 }
