@@ -11,11 +11,13 @@ there. Insertions are deletions seen from the other word, and of two words that
 one with the smaller letter looks for the other, so every near pair is found once. Deleting any
 letter of a run of equal ones gives the same word, so only the run's last one is deleted.
 
-1. Letters are replaced or deleted at every node on a word's path: states on one edge out of it.
+Words are spelled forwards and backwards, in a trie each. An edit in a word's second half is searched
+forwards and one in its first half backwards, so states begin below nodes of half a word or more:
+there are few other letters there, and no state passes the few nodes at the top that all words share.
+
+1. At every such node on a word's path the letter there is replaced or deleted: states on one edge.
 2. Level by level, states are joined with the edge that begins with their target's next letter, and
-   those stay whose target has the edge's label. Nodes of at most ``SHALLOW`` letters have at most
-   90 + 90^2 + 90^3 edges of 40 bytes, as words have 90 letters, whatever the input; these are
-   broadcast. All states there would otherwise meet on a few keys. Deeper ones are shuffled.
+   those stay whose target has the edge's label. Of a node's edges there are at most 90, the letters.
 3. A state that reaches a word's end where its target ends is terminal; it counts if the target is
    in the table of words, so hashes only guide the search.
 
@@ -39,8 +41,8 @@ from parley.llm.common import Powers, as_bytes, map_batches, written
 #: Letters as lower-cased UTF-8, the range U+00C0 to U+00FF being C3 80 to C3 BF.
 RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 SHORTEST, RAREST, TIMES, HOLED = 7, 2, 10, 31
-#: Nodes of so many letters have their edges broadcast.
-SHALLOW = 2
+#: No edit is searched above nodes of so many letters.
+LEAST_DEPTH = SHORTEST // 2
 #: Runs that a task counts before it hands on what it has.
 HELD = 500_000
 
@@ -110,27 +112,28 @@ def _holed(run: bytes, number: int) -> bytes:
     return (letters[:at] + letters[at + 1 :]).encode()
 
 
-def _prefixes(words: DataFrame) -> DataFrame:
-    """(id, depth, node, letter): every prefix of every word by a hash, with the letter behind it.
+def _prefixes(spelled: DataFrame) -> DataFrame:
+    """(id, depth, node, letter): every prefix of ``LEAST_DEPTH`` letters or more by a hash, with the letter behind it.
 
-    Hashes are running sums, so the work is linear in a word's length.
+    Hashes are running sums, so the work is linear in a word's length. Both directions have their own.
     """
 
     def explode(batches):
         powers = Powers()
         for batch in batches:
-            for ids, some in _portions(batch["id"], batch["word"]):
-                points = [np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) for word in some]
-                depths = [np.arange(len(p) + 1) for p in points]
-                hashes = [powers.between(powers.sums(p + np.uint64(1)), 0 * d, d) for p, d in zip(points, depths)]
+            for ids, some in _portions(batch["id"], batch["spelling"]):
+                shifts = [np.uint64(1 if number >= 0 else 1 << 32) for number in ids]
+                points = [np.frombuffer(word.encode("utf-32-le"), "<u4") + shift for word, shift in zip(some, shifts)]
+                depths = [np.arange(LEAST_DEPTH, len(p) + 1) for p in points]
+                hashes = [powers.between(powers.sums(p), 0 * d, d) for p, d in zip(points, depths)]
                 yield {
                     "id": np.repeat(np.array(ids, np.int64), [len(d) for d in depths]),
                     "depth": np.concatenate(depths).astype(np.int32),
                     "node": np.concatenate(hashes).view(np.int64),
-                    "letter": pa.array([letter for word in some for letter in (*word, None)], pa.string()),
+                    "letter": pa.array([letter for word in some for letter in (*word[LEAST_DEPTH:], None)], pa.string()),
                 }
 
-    return map_batches(words.select("id", "word"), explode, "id bigint, depth int, node bigint, letter string")
+    return map_batches(spelled.select("id", "spelling"), explode, "id bigint, depth int, node bigint, letter string")
 
 
 def _portions(ids: list[int], words: list[str], most: int = 1 << 17):
@@ -144,24 +147,28 @@ def _portions(ids: list[int], words: list[str], most: int = 1 << 17):
 
 
 def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paths (word, length, depth, node, letter, after): each word at each node it passes, with its next
-    two letters; edges (node, depth, letter, child, child_depth, label, child_ends)."""
-    prefixes = written(_prefixes(words), "prefixes")
+    """Paths (word, back, length, depth, node, ends, letter, after): each spelling at each node it passes,
+    with its next two letters; edges (node, letter, child, child_depth, label, child_ends)."""
+    backwards = words.select((-1 - F.col("id")).alias("id"), F.reverse("word").alias("spelling"))
+    spelled = words.select("id", F.col("word").alias("spelling")).union(backwards)
+    prefixes = written(_prefixes(spelled), "prefixes")
     ends = F.max(F.col("letter").isNull().cast("int")).alias("ends")
     nodes = prefixes.groupBy("node").agg(F.min("letter").alias("a"), F.max("letter").alias("b"), ends)
     nodes = nodes.filter("ends = 1 OR a <> b").select("node", (F.col("ends") == 1).alias("ends"))
-    passed = prefixes.join(nodes, "node").join(words.select("id", "word"), "id")
+    passed = prefixes.join(nodes, "node").join(spelled, "id")
     # A word passes no more nodes than it has letters.
     own = Window.partitionBy("id").orderBy("depth")
     steps = [F.lead(c).over(own).alias(f"child_{c}") for c in ("node", "depth", "ends")]
-    second = _part("word", F.col("depth") + 1, 1)
+    word = F.col("spelling").alias("word")
+    back, length = (F.col("id") < 0).alias("back"), F.length("spelling").alias("length")
+    paths = passed.select(word, back, length, "depth", "node", "ends", "letter", *steps)
     label = F.xxhash64(_part("word", F.col("depth"), F.col("child_depth") - F.col("depth"))).alias("label")
-    paths = passed.select("word", F.length("word").alias("length"), "depth", "node", "ends", "letter", second.alias("after"), *steps)
-    paths = written(paths.select("*", label), "paths")
+    paths = written(paths.select("*", _part("word", F.col("depth") + 1, 1).alias("after"), label), "paths")
     edges = paths.filter("child_node IS NOT NULL").select(
-        "node", "depth", "letter", F.col("child_node").alias("child"), "child_depth", "label", "child_ends"
+        "node", "letter", F.col("child_node").alias("child"), "child_depth", "label", "child_ends"
     )
-    return paths, written(edges.distinct(), "edges")
+    half = F.expr("CASE WHEN back THEN length - length DIV 2 ELSE length DIV 2 END")
+    return paths.filter(F.col("depth") >= half), written(edges.distinct(), "edges")
 
 
 def _part(text: str, start: Column | str, size: Column | int) -> Column:
@@ -171,47 +178,40 @@ def _part(text: str, start: Column | str, size: Column | int) -> Column:
 
 
 def _near(words: DataFrame) -> DataFrame:
-    """(word, other): every pair of near words once."""
+    """(word, other): every pair of near words once, from (id, word)."""
     paths, edges = _trie(words)
     level, terminal = _begun(paths, edges), []
     while True:
         level = written(level, "frontier")
-        terminal.append(level.filter("done").select("word", F.col("target").alias("other")))
+        terminal.append(level.filter("done"))
         states = level.filter("NOT done")
         if states.isEmpty():
             break
         level = _advanced(states, edges)
-    pairs = reduce(DataFrame.union, terminal).distinct()
+    forwards = [F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)) for c in ("word", "target")]
+    pairs = reduce(DataFrame.union, terminal).select(*forwards).toDF("word", "other").distinct()
     return pairs.join(words.select(F.col("word").alias("other")), "other").select("word", "other")
 
 
-def _by_depth(states: DataFrame, edges: DataFrame, depth: str, on: list[str]) -> DataFrame:
-    """States with the edges out of their nodes; those of shallow nodes are few, see the top."""
-    shallow, deep = F.col(depth) <= SHALLOW, F.col("depth") > SHALLOW
-    out = edges.filter(~deep).drop("depth"), edges.filter(deep).drop("depth")
-    return states.filter(shallow).join(F.broadcast(out[0]), on).unionByName(states.filter(~shallow).join(out[1], on))
-
-
 def _begun(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge behind the edit, and those whose target ends at the edit itself."""
-    shortened = paths.filter("depth = length - 1 AND ends").select(
-        "word", _part("word", F.lit(0), F.col("depth")).alias("target"), "node", F.col("depth").alias("position"), F.lit(True).alias("done")
+    shortened = paths.filter(f"depth = length - 1 AND ends AND depth >= {SHORTEST}").select(
+        "word", "back", _part("word", F.lit(0), F.col("depth")).alias("target"), "node", F.col("depth").alias("position"), F.lit(True).alias("done")
     )
     here = paths.filter("letter IS NOT NULL").select(
-        "word", "length", F.col("depth").alias("position"), "node", F.col("letter").alias("old"), "after"
+        "word", "back", "length", F.col("depth").alias("position"), "node", F.col("letter").alias("old"), "after"
     )
-    met = _by_depth(here, edges, "position", ["node"]).filter("letter > old OR (letter = after AND letter <> old)")
+    deleted = F.expr(f"letter = after AND letter <> old AND length > {SHORTEST}")
+    met = here.join(edges, "node").filter(F.expr("letter > old") | deleted)
     head, rest = _part("word", F.lit(0), F.col("position")), _part("word", F.col("position") + 1, F.col("length"))
-    replaced = F.when(F.expr("letter > old"), F.concat(head, "letter", rest))
-    deleted = F.when(F.expr("letter = after AND letter <> old"), F.concat(head, rest))
-    targets = met.withColumn("target", F.explode(F.array_compact(F.array(replaced, deleted))))
-    return _followed(targets).unionByName(shortened)
+    targets = F.array(F.when(F.expr("letter > old"), F.concat(head, "letter", rest)), F.when(deleted, F.concat(head, rest)))
+    return _followed(met.withColumn("target", F.explode(F.array_compact(targets)))).unionByName(shortened)
 
 
 def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one edge further, where their target has that edge."""
-    ahead = states.select("word", "target", "node", "position", _part("target", "position", 1).alias("letter"))
-    return _followed(_by_depth(ahead, edges, "position", ["node", "letter"]))
+    ahead = states.drop("done").withColumn("letter", _part("target", "position", 1))
+    return _followed(ahead.join(edges, ["node", "letter"]))
 
 
 def _followed(states: DataFrame) -> DataFrame:
@@ -219,10 +219,11 @@ def _followed(states: DataFrame) -> DataFrame:
     where no word does."""
     length = F.length("target")
     label = F.xxhash64(_part("target", "position", F.col("child_depth") - F.col("position")))
-    same = states.filter((F.col("child_depth") <= length) & (label == F.col("label")))
     done = F.col("child_depth") == length
-    same = same.filter(~done | F.col("child_ends"))
-    return same.select("word", "target", F.col("child").alias("node"), F.col("child_depth").alias("position"), done.alias("done"))
+    same = states.filter((F.col("child_depth") <= length) & (label == F.col("label")) & (~done | F.col("child_ends")))
+    return same.select(
+        "word", "back", "target", F.col("child").alias("node"), F.col("child_depth").alias("position"), done.alias("done")
+    )
 
 
 def _roots(forms: DataFrame) -> DataFrame:
