@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import Powers, as_bytes, map_batches, written
 
-#: Letters as lower-cased UTF-8, the range U+00C0 to U+00FF being C3 80 to C3 BF.
-RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 SHORTEST, RAREST, TIMES, HOLED = 7, 2, 10, 31
+#: Runs of lower-cased UTF-8 that may become words, U+00C0 to U+00FF being C3 80 to C3 BF.
+RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf]){%d,}" % SHORTEST)
+#: The letters by code point.
+LETTERS = pa.array(map(chr, range(256)), pa.string())
 #: No edit is searched above nodes of so many letters.
 LEAST_DEPTH = SHORTEST // 2
 #: Runs that a task counts before it hands on what it has.
@@ -122,15 +124,21 @@ def _prefixes(spelled: DataFrame) -> DataFrame:
         powers = Powers()
         for batch in batches:
             for ids, some in _portions(batch["id"], batch["spelling"]):
-                shifts = [np.uint64(1 if number >= 0 else 1 << 32) for number in ids]
-                points = [np.frombuffer(word.encode("utf-32-le"), "<u4") + shift for word, shift in zip(some, shifts)]
-                depths = [np.arange(LEAST_DEPTH, len(p) + 1) for p in points]
-                hashes = [powers.between(powers.sums(p), 0 * d, d) for p, d in zip(points, depths)]
+                # The next spelling begins behind each spelling's end.
+                points = np.frombuffer("\0".join([*some, ""]).encode("utf-32-le"), "<u4")
+                ends = np.flatnonzero(points == 0)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                sizes = ends + 1 - starts - LEAST_DEPTH
+                number = np.repeat(np.arange(len(some)), sizes)
+                at = np.arange(len(number)) + (starts + LEAST_DEPTH - np.concatenate([[0], np.cumsum(sizes)[:-1]]))[number]
+                ids = np.array(ids, np.int64)
+                backwards = np.repeat(ids < 0, ends + 1 - starts)
+                hashes = powers.between(powers.sums(points + np.where(backwards, np.uint64(1 << 32), np.uint64(0))), starts[number], at)
                 yield {
-                    "id": np.repeat(np.array(ids, np.int64), [len(d) for d in depths]),
-                    "depth": np.concatenate(depths).astype(np.int32),
-                    "node": np.concatenate(hashes).view(np.int64),
-                    "letter": pa.array([letter for word in some for letter in (*word[LEAST_DEPTH:], None)], pa.string()),
+                    "id": ids[number],
+                    "depth": (at - starts[number]).astype(np.int32),
+                    "node": hashes.view(np.int64),
+                    "letter": LETTERS.take(pa.array(points[at], mask=points[at] == 0)),
                 }
 
     return map_batches(spelled.select("id", "spelling"), explode, "id bigint, depth int, node bigint, letter string")
