@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
+    alignment,
     collision_search,
     license_scan,
     near_dedup,
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder), table(spark, folder, "labels"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(documents(spark, folder))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.grouped(documents(spark, folder))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_token_counts": op13_token_counts,
 }
