@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.operators.skew import broadcast_if_small
 from parley.schemas import DEFAULT_COMMANDS, PREFIX, REMOVAL_EMOJI
 
 # Kinds of channel whose messages can be removed.
 REMOVABLE_CHANNELS = ("text", "direct", "group", "thread")
-#: Commands up to which their table becomes an expression.
-MOST_COMMANDS = 256
 
 
 def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX) -> DataFrame:
@@ -59,38 +58,23 @@ def route_commands(events: DataFrame, commands: DataFrame, prefix: str = PREFIX)
 def _with_keys(named: DataFrame, commands: DataFrame) -> DataFrame:
     """Add ``command_key``: of commands that share a word, the first in the fixed order.
 
-    A table of at most MOST_COMMANDS rows becomes an expression, so that events are not
-    shuffled; a larger one is joined.
+    A join, not an expression: a filter on what follows from the key would repeat an expression.
     """
-    rows = commands.select("cmd", "command_key").take(MOST_COMMANDS + 1)
-    if len(rows) <= MOST_COMMANDS:
-        fixed = list(DEFAULT_COMMANDS)
-        rank = {key: n for n, key in enumerate(fixed)}
-        rows.sort(key=lambda row: (rank.get(row["command_key"], len(fixed)), row["command_key"]), reverse=True)
-        words = {row["cmd"]: row["command_key"] for row in rows}
-        pairs = [F.lit(part) for pair in words.items() for part in pair]
-        key = F.try_element_at(F.create_map(*pairs), F.col("cmd")) if pairs else F.lit(None).cast("string")
-        return named.withColumn("command_key", key)
     order = F.array_position(F.array(*[F.lit(key) for key in DEFAULT_COMMANDS]), F.col("command_key"))
     # Keys outside of the fixed order come after it, by name.
     first = F.min_by("command_key", F.struct(order == 0, order, "command_key")).alias("command_key")
-    return named.join(commands.groupBy("cmd").agg(first), "cmd", "left")
+    return named.join(broadcast_if_small(commands.groupBy("cmd").agg(first)), "cmd", "left")
 
 
 def check_permissions(routed: DataFrame, commands: DataFrame, admins: DataFrame) -> DataFrame:
     """Add ``allowed``: everyone may use open commands, admins also the protected ones."""
     protected = commands.filter("requires_admin").select("command_key").distinct()
-    protected = protected.withColumn("protected", F.lit(True))
-    listed = admins.select(F.col("admin_id").alias("user_id")).distinct().withColumn("is_admin", F.lit(True))
-    is_command = F.col("route") == "command"
-    return (
-        routed.join(protected, "command_key", "left")
-        .join(listed, "user_id", "left")
-        .withColumn(
-            "allowed", ~is_command | F.col("protected").isNull() | F.col("is_admin").isNotNull()
-        )
-        .select(*routed.columns, "allowed")
-    )
+    protected = broadcast_if_small(protected.withColumn("protected", F.lit(True)))
+    listed = admins.select(F.col("admin_id").alias("user_id")).distinct()
+    listed = broadcast_if_small(listed.withColumn("is_admin", F.lit(True)))
+    allowed = (F.col("route") != "command") | F.col("protected").isNull() | F.col("is_admin").isNotNull()
+    checked = routed.join(protected, "command_key", "left").join(listed, "user_id", "left")
+    return checked.select(*routed.columns, allowed.alias("allowed"))
 
 
 def parse_param_commands(routed: DataFrame) -> DataFrame:

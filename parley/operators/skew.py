@@ -18,6 +18,13 @@ from parley.session import durable
 
 MAX_GROUP_ROWS = 1_000_000
 BLOCK = "_block"
+#: Rows of a few numbers or words that are sent to every task; measured before, never assumed.
+MOST_BROADCAST = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else joins choose their own way."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

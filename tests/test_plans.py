@@ -63,3 +63,18 @@ def test_no_cartesian_products(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
+
+
+def test_routing_moves_no_event_and_its_filter_repeats_nothing(spark):
+    from parley.operators.routing import check_permissions, route_commands
+    from parley.plans import inputs
+    from parley.sources.settings import admins_table, commands_table
+
+    events = inputs.chat_events(inputs.table(spark, "/root/testdata/sf0.001", "events"))
+    commands, admins = commands_table(spark), admins_table(spark, inputs.ADMINS)
+    allowed = check_permissions(route_commands(events, commands), commands, admins)
+    for found in (allowed, allowed.filter("route = 'command'")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CASE WHEN") < 40
+        physical = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in physical and physical.count("BroadcastHashJoin") == 3

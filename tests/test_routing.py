@@ -121,7 +121,8 @@ def test_commands_change_the_store(spark):
 
 @pytest.mark.parametrize("most", [256, 0])
 def test_a_shared_word_and_a_repeated_admin_give_one_row(spark, monkeypatch, most):
-    monkeypatch.setattr(routing_module, "MOST_COMMANDS", most)
+    small = routing_module.broadcast_if_small
+    monkeypatch.setattr(routing_module, "broadcast_if_small", lambda df: small(df, most))
     events = spark.createDataFrame([(1, NOW, 7, False, False, "$go now")], CHAT_EVENTS)
     commands = spark.createDataFrame([("refresh", "go", True), ("help", "go", False), ("stats", "go", False)], COMMANDS)
     routed = route_commands(events, commands)
