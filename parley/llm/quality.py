@@ -58,6 +58,8 @@ def shape(text: bytes | None) -> list[float]:
 
 
 FEATURES = len(shape(None))
+#: Groups of host and path whose rates are broadcast, about 100 bytes each; more are joined with narrow rows.
+MOST_GROUPS = 500_000
 
 
 def scored(
@@ -83,7 +85,6 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``documents`` that are kept, all columns kept."""
     model = _fitted(documents, labels, examples)
-    rates = _rates(written(_evidence(documents, model, host, path).drop("doc_id"), "evidence"))
 
     @F.pandas_udf("double")
     def judge(texts):
@@ -92,20 +93,32 @@ def accepted(
         return pd.Series([_log_odds(text, model) for text in texts], dtype=float)
 
     names = documents.columns
-    judged = documents.withColumn("__evidence", judge(as_bytes(documents["text"])))
-    rates = rates.select(*[F.col(n).alias(f"__{n}") for n in rates.columns])
-    same = documents[host].eqNullSafe(F.col("__group_host")) & documents[path].eqNullSafe(F.col("__group_path"))
-    joined = judged.join(rates, same, "left")
-    return joined.filter(_posterior("__") >= ACCEPT).select(*[documents[n] for n in names])
+    numbered = {"__evidence": judge(as_bytes(documents["text"])), "__row": F.monotonically_increasing_id()}
+    judged = written(documents.withColumns(numbered), "judged")
+    odds = F.greatest(F.least(F.col("__evidence"), F.lit(30.0)), F.lit(-30.0))
+    groups = [F.col(f"`{n}`").cast("string").alias(alias) for n, alias in ((host, "host"), (path, "path"))]
+    narrow = judged.select("__row", "__evidence", *groups, (1 / (1 + F.exp(-odds))).alias("good"))
+    rates = written(_rates(narrow).select(F.struct("*").alias("__rates")), "rates")
+    # Null-safe conditions on columns of unknown names: the narrow side is named apart.
+    narrow = narrow.select("__row", F.col("__evidence").alias("evidence"), F.col("host").alias("__host"), F.col("path").alias("__path"))
+    same = F.col("__host").eqNullSafe(F.col("__rates.group_host")) & F.col("__path").eqNullSafe(F.col("__rates.group_path"))
+    if rates.count() <= MOST_GROUPS:
+        # As many rows as groups, which has just been checked: texts stay where they are.
+        own = judged.withColumns({"__host": F.col(f"`{host}`").cast("string"), "__path": F.col(f"`{path}`").cast("string")})
+        kept = own.join(F.broadcast(rates), same, "left").filter(_posterior("__rates.", "__evidence") >= ACCEPT)
+    else:
+        kept = narrow.join(rates, same, "left").filter(_posterior("__rates.", "evidence") >= ACCEPT)
+        kept = judged.join(kept.select("__row"), "__row", "left_semi")
+    return kept.select(*[F.col(f"`{n}`") for n in names])
 
 
 def _same_group(df: DataFrame, host: str, path: str) -> Column:
     return df[host].eqNullSafe(F.col("group_host")) & df[path].eqNullSafe(F.col("group_path"))
 
 
-def _posterior(prefix: str = "") -> Column:
+def _posterior(prefix: str = "", evidence: str = "evidence") -> Column:
     """The document's odds with its path's rate in place of the overall rate."""
-    own, path, all_ = (F.col(f"{prefix}{n}") for n in ("evidence", "path_rate", "rate"))
+    own, path, all_ = F.col(evidence), F.col(f"{prefix}path_rate"), F.col(f"{prefix}rate")
     odds = own + F.log(path / (1 - path)) - F.log(all_ / (1 - all_))
     return 1 / (1 + F.exp(-odds))
 

@@ -15,7 +15,7 @@ def test_stages_keep_the_columns_and_pack_what_is_left(spark):
     ids = [{r.doc_id for r in step.select("doc_id").collect()} for step in steps]
     assert ids[1] == {r.doc_id for r in quality.scored(docs, labels).filter("kept").collect()}
     assert ids[2] == {r.doc_id for r in toxicity.scored(steps[1], labels).filter("predicted = 0").collect()}
-    assert ids[3] == {r.doc_id for r in near_dedup.linked(steps[2]).filter("kept").collect()}
+    assert ids[3] == {r.doc_id for r in near_dedup.linked(steps[2], near_dedup.STAGE_PERCENT, near_dedup.STAGE_BANDS, near_dedup.STAGE_ROWS).filter("kept").collect()}
     assert ids[4] == ids[3] == ids[5]
     cut = {r.doc_id: r.n_words - r.n_removed for r in substring_dedup.repeated_words_removed(steps[3]).collect()}
     assert {r.doc_id: len(r.text.split()) for r in steps[4].filter("text is not null").collect()} == cut
@@ -35,3 +35,15 @@ def test_an_empty_corpus_and_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         odd = corpus_pipeline.written(stage(spark, odd, str(tmp_path)), "odd")
     assert {"doc_id", "start", "length"} <= set(odd.columns)
+
+
+def test_quality_runs_its_function_once_and_moves_no_text(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    kept = quality.accepted(docs, labels)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    wanted = sorted(r.doc_id for r in kept.collect())
+    monkeypatch.setattr(quality, "MOST_GROUPS", 0)
+    assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == wanted
+    assert wanted == sorted(r.doc_id for r in quality.scored(docs, labels).filter("kept").collect())
