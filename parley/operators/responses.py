@@ -117,14 +117,18 @@ def throttle_updates(
 
 def display_actions(marked: DataFrame) -> DataFrame:
     """One row per action of an update: reply, edit and final, as far as they apply."""
-    actions = F.array_compact(
+    return marked.select("reply_id", "seq", "ts", "message", F.explode(action_list()).alias("action"))
+
+
+def action_list() -> Column:
+    """The actions of an update whose edits have been marked."""
+    return F.array_compact(
         F.array(
             F.when(F.col("new_message"), "reply"),
             F.when(F.col("edit"), "edit"),
             F.when(F.col("end_of_response"), "final"),
         )
     )
-    return marked.select("reply_id", "seq", "ts", "message", F.explode(actions).alias("action"))
 
 
 def may_edit() -> Column:

@@ -14,6 +14,9 @@ from parley.schemas import ASSISTANT, DEFAULT_PROMPT, SYSTEM, USER
 from parley.session import durable
 
 
+KEYED_COMMANDS = ("reset-conversation", "set-param", "reset-param", "get-param")
+
+
 class Applied(NamedTuple):
     users: DataFrame
     messages: DataFrame
@@ -77,6 +80,23 @@ def apply_commands(
     cleared at any point is gone, so both are set operations; only the replies
     look at the order, to name the prompt in force at their moment.
     """
+    # Few and narrow rows that six of the steps below read.
+    stepped = durable(stepped_commands(routed, default_prompt))
+    everyone = create_missing(
+        users, stepped.filter("creates").select(F.col("user_id").alias("id")), default_prompt
+    )
+    changes = stepped.filter("_set IS NOT NULL").select(
+        "user_id", F.col("_set").alias("system_prompt"), "ts", F.col("event_id").alias("seq")
+    )
+    cleared = stepped.filter("command_key = 'reset-conversation'").select("user_id")
+    changed = change_user_prompts(everyone, clear_messages(messages, cleared), changes)
+    replies = _replies(everyone, stepped, max_group)
+    return Applied(changed.users, changed.messages, replies)
+
+
+def stepped_commands(routed: DataFrame, default_prompt: str) -> DataFrame:
+    """The allowed commands with their ``parameter``, the prompt they set (``_set``), and whether
+    they create an unknown user. Works on streams too."""
     commands = routed.filter("route = 'command' AND allowed")
     key, arguments = F.col("command_key"), F.col("arguments")
     space = F.instr(arguments, " ")
@@ -89,28 +109,24 @@ def apply_commands(
         }
     )
     writes = key.isin("set-param", "reset-param") & (F.col("parameter") == "system-prompt")
-    stepped = stepped.withColumn("_set", F.when(writes, F.col("prompt")))
     creates = (key == "get-param") | ((key == "set-param") & (space > 0)) | writes
-    # Few and narrow rows that six of the steps below read.
-    stepped = durable(stepped)
-    everyone = create_missing(
-        users, stepped.filter(creates).select(F.col("user_id").alias("id")), default_prompt
-    )
-    changes = stepped.filter("_set IS NOT NULL").select(
-        "user_id", F.col("_set").alias("system_prompt"), "ts", F.col("event_id").alias("seq")
-    )
-    cleared = stepped.filter("command_key = 'reset-conversation'").select("user_id")
-    changed = change_user_prompts(everyone, clear_messages(messages, cleared), changes)
-    replies = _replies(everyone, stepped, max_group)
-    return Applied(changed.users, changed.messages, replies)
+    return stepped.withColumns({"_set": F.when(writes, F.col("prompt")), "creates": F.coalesce(creates, F.lit(False))})
 
 
 def _replies(users: DataFrame, stepped: DataFrame, max_group: int) -> DataFrame:
     """What the sender of each command is told."""
     placed = last_known(stepped, ["user_id"], ["ts", "event_id"], "_set", "_before", max_group)
     stored = users.select(F.col("id").alias("user_id"), "system_prompt")
+    answered = placed.filter(F.col("command_key").isin(*KEYED_COMMANDS))
+    return answered.join(stored, "user_id", "left").select(
+        "event_id", "user_id", "command_key", reply_to(F.coalesce("_before", "system_prompt")).alias("reply")
+    )
+
+
+def reply_to(before: Column) -> Column:
+    """The reply to a stepped command when the sender's prompt is ``before``."""
     key, parameter = F.col("command_key"), F.col("parameter")
-    before = F.coalesce("_before", "system_prompt")
+    # The texts of the replies.
     update = F.concat(
         F.lit("Updated system prompt!\nOld: ```\n"),
         before,
@@ -122,7 +138,7 @@ def _replies(users: DataFrame, stepped: DataFrame, max_group: int) -> DataFrame:
     missing = F.when(key == "set-param", "Missing parameter name and new value!").when(
         key == "reset-param", "Missing parameter name!"
     )
-    reply = (
+    return (
         F.when(key == "reset-conversation", "Message history cleared!")
         .when(F.col("arguments").isNull() & missing.isNotNull(), missing)
         .when((key == "set-param") & parameter.isNull(), "Missing value of the parameter!")
@@ -132,12 +148,6 @@ def _replies(users: DataFrame, stepped: DataFrame, max_group: int) -> DataFrame:
         .when(parameter == "system-prompt", _shown("Your system prompt is `", before))
         .when(key == "get-param", unknown)
     )
-    answered = placed.filter(
-        key.isin("reset-conversation", "set-param", "reset-param", "get-param")
-    )
-    return answered.join(stored, "user_id", "left").select(
-        "event_id", "user_id", "command_key", reply.alias("reply")
-    )
 
 
 def _shown(label: str, prompt: Column) -> Column:

@@ -16,6 +16,8 @@ from parley.sources.events import stream_events
 NEW_IDS = 2**60
 BOT = 0
 ADMINS = range(0, 150, 7)
+#: Files of a derived stream, and the time between a response's chunks.
+FILES, CHUNK_MS = 3, 40
 WORDS = r"[^ \n]*[ \n]|[^ \n]+$"
 
 
@@ -78,6 +80,25 @@ def chunks(texts: DataFrame) -> DataFrame:
     )
 
 
+def told_chunks(texts: DataFrame) -> DataFrame:
+    """The chunks of assistant messages, a chunk every ``CHUNK_MS``."""
+    later = F.expr(f"timestampadd(MILLISECOND, cast(seq AS int) * {CHUNK_MS}, ts)")
+    return chunks(texts.filter("role = 'assistant'")).withColumn("ts", later)
+
+
+def asked_turns(texts: DataFrame) -> DataFrame:
+    """The turn of each assistant message: the message before it, not answered yet."""
+    before = texts.selectExpr("id + 1 AS turn_id", "message AS prompt", "timestamp AS ts")
+    answers = texts.filter("role = 'assistant'").selectExpr("id AS turn_id", "user_id")
+    return answers.join(before, "turn_id").select("turn_id", "user_id", "prompt", F.lit(None).cast("string").alias("answer"), "ts")
+
+
+def in_files(rows: DataFrame, path: str, files: int = FILES) -> DataFrame:
+    """A stream of ``rows``, dealt to files by their content, one file a batch."""
+    rows.repartition(files, *rows.columns).write.parquet(path)
+    return stream_events(rows.sparkSession, path, rows.schema, files_per_batch=1)
+
+
 def new_users(spark: SparkSession, folder: str) -> DataFrame:
     return events(spark, folder).filter("event_type = 'signup'").selectExpr(
         "user_id AS id",

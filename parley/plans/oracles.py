@@ -5,8 +5,8 @@
 
 from __future__ import annotations
 
-from parley.plans.inputs import ADMINS, BOT, NEW_IDS
-from parley.plans.queries import COOLDOWN_MS, NEW_DEFAULT, SHORT_LIMIT, STREAM_LIMIT
+from parley.plans.inputs import ADMINS, BOT, CHUNK_MS, NEW_IDS
+from parley.plans.queries import COOLDOWN_MS, EDIT_MS, NEW_DEFAULT, SHORT_LIMIT, STREAM_LIMIT
 from parley.schemas import DEFAULT_COMMANDS, DEFAULT_PROMPT, LENGTH_LIMIT, PARAMETERS
 
 ORACLES: dict[str, str] = {}
@@ -100,9 +100,9 @@ turns AS (SELECT event_id + {NEW_IDS} AS turn_id, user_id, 'ask ' || k AS prompt
       FROM ev WHERE event_type IN ('view', 'purchase')),
 fenced AS (SELECT doc_id, CASE WHEN lang = 'en' THEN '```' || source || chr(10) || text || chr(10)
         || '```' || chr(10) || 'end' ELSE text END AS text FROM documents),
-chunks AS (SELECT id AS response_id, s - 1 AS seq, words[s] AS content, s = len(words) AS stop
-      FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS s
-            FROM (SELECT id, regexp_extract_all(message, '[^ \\n]*[ \\n]|[^ \\n]+$') AS words FROM m)))
+chunks AS (SELECT id AS response_id, s - 1 AS seq, words[s] AS content, s = len(words) AS stop, "timestamp" AS ts
+      FROM (SELECT id, words, "timestamp", unnest(range(1, len(words) + 1)) AS s
+            FROM (SELECT id, "timestamp", regexp_extract_all(message, '[^ \\n]*[ \\n]|[^ \\n]+$') AS words FROM m)))
 """
 
 
@@ -478,15 +478,38 @@ _SEGMENTED = f"""filled(response_id, seq, no, closed, buffer) AS (
   FROM ({_cut('''(SELECT f.response_id, c.seq, f.no, f.buffer || c.content AS body FROM filled f
       JOIN chunks c ON c.response_id = f.response_id AND c.seq = f.seq + 1)''',
       "response_id, seq, no", "body", STREAM_LIMIT)}))"""
+_SEGMENTS = """SELECT f.response_id, f.seq, f.seq + no AS step, ts, length, no AS message_no, buffer AS message,
+      content AS chunk, false AS end_of_message, stop AS end_of_response, closed IS NOT NULL AS new_message
+    FROM filled f JOIN measured c USING (response_id, seq)
+    UNION ALL SELECT f.response_id, f.seq, f.seq + no - 1, ts, length, no - 1, closed, NULL, true, false, false
+    FROM filled f JOIN measured c USING (response_id, seq) WHERE closed IS NOT NULL"""
+_MEASURED = """measured AS (SELECT *, (sum(length(content)) OVER (PARTITION BY response_id ORDER BY seq))::BIGINT AS length
+  FROM chunks)"""
 _oracle(
     "segment_streamed_chunks",
-    """SELECT f.response_id, f.seq, no AS message_no, buffer AS message, content AS chunk,
-      false AS end_of_message, stop AS end_of_response, closed IS NOT NULL AS new_message,
-      false AS incomplete
-    FROM filled f JOIN chunks c USING (response_id, seq)
-    UNION ALL SELECT response_id, seq, no - 1, closed, NULL, true, false, false, false
-    FROM filled WHERE closed IS NOT NULL""",
-    _SEGMENTED,
+    f"""SELECT *, false AS incomplete, min(ts) OVER (PARTITION BY response_id) AS started_ts FROM ({_SEGMENTS})""",
+    f"{_SEGMENTED},\n{_MEASURED}",
+    recursive=True,
+)
+# A response's rows are shown in their own order; the first edit waits from its first chunk on.
+_oracle(
+    "show_streamed_answers",
+    """SELECT response_id, step, ts, message, 'reply' AS action FROM decided WHERE new_message
+    UNION ALL SELECT response_id, step, ts, message, 'edit' FROM decided WHERE edit
+    UNION ALL SELECT response_id, step, ts, message, 'final' FROM decided WHERE end_of_response""",
+    f"""{_SEGMENTED},
+{_MEASURED},
+steps AS (SELECT response_id, step, ts + to_milliseconds(seq * {CHUNK_MS}) AS ts, ts AS started, message, new_message,
+    end_of_message, end_of_response, NOT new_message AND regexp_matches(message, '[^ \\t\\n]') AS may
+  FROM ({_SEGMENTS}) WHERE response_id IN (SELECT id FROM m WHERE role = 'assistant')),
+chained(response_id, step, edit, last) AS (
+  SELECT DISTINCT response_id, -1::BIGINT, false, started FROM steps
+  UNION ALL
+  SELECT response_id, step, edit, CASE WHEN edit THEN ts ELSE last END FROM (
+    SELECT s.response_id, s.step, s.ts, c.last, s.may AND (s.end_of_message
+      OR epoch_us(s.ts) - epoch_us(c.last) >= {EDIT_MS * 1000}) AS edit
+    FROM chained c JOIN steps s ON s.response_id = c.response_id AND s.step = c.step + 1)),
+decided AS (SELECT s.*, c.edit FROM steps s JOIN chained c USING (response_id, step))""",
     recursive=True,
 )
 
@@ -512,6 +535,17 @@ _oracle(
     f"{_STORED_TURNS},\ntold AS ({_LINES})",
 )
 _oracle("store_streamed_turns", _LINES, _STORED_TURNS)
+_oracle(
+    "store_streamed_answers",
+    """SELECT -1 - step AS id, user_id, "timestamp", row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS position,
+      role, message
+    FROM (SELECT 3 * id + 2 AS step, user_id, asked_at AS "timestamp", role, message FROM answers
+      UNION ALL SELECT 3 * id + 1, user_id, asked_at, 'user', asked FROM answers
+      UNION ALL SELECT 3 * min(answers.id), user_id, arg_min(asked_at, answers.id), 'system', any_value(system_prompt)
+        FROM answers JOIN u ON u.id = user_id GROUP BY user_id)""",
+    """answers AS (SELECT a.*, b.message AS asked, b."timestamp" AS asked_at
+      FROM m a JOIN m b ON b.id = a.id - 1 WHERE a.role = 'assistant')""",
+)
 _oracle("ingest_turns_users", "SELECT * FROM known", _STORED_TURNS)
 
 _APPLIED = f"""steps AS (SELECT *, CASE WHEN command_key = 'set-param' THEN string_split(arguments, ' ')[1]
@@ -531,6 +565,7 @@ _PROMPTED = """SELECT id, coalesce(given, system_prompt) AS system_prompt
 FROM everyone LEFT JOIN last_write ON user_id = id"""
 _oracle("apply_commands", _PROMPTED, _APPLIED)
 _oracle("apply_streamed_commands", _PROMPTED, _APPLIED)
+_oracle("streamed_user_states", _PROMPTED, _APPLIED)
 _oracle(
     "apply_commands_messages",
     """SELECT m.id, m.user_id, "timestamp", position, role, CASE WHEN role = 'system'
@@ -539,9 +574,7 @@ _oracle(
     WHERE m.user_id NOT IN (SELECT user_id FROM steps WHERE command_key = 'reset-conversation')""",
     _APPLIED,
 )
-_oracle(
-    "apply_commands_replies",
-    """SELECT s.event_id, s.user_id, s.command_key, CASE
+_REPLIES = """SELECT s.event_id, s.user_id, s.command_key, CASE
       WHEN s.command_key = 'reset-conversation' THEN 'Message history cleared!'
       WHEN s.command_key = 'set-param' AND s.arguments IS NULL THEN 'Missing parameter name and new value!'
       WHEN s.command_key = 'reset-param' AND s.arguments IS NULL THEN 'Missing parameter name!'
@@ -555,8 +588,30 @@ _oracle(
       ELSE 'Unknown parameter: ' || parameter END AS reply
     FROM (SELECT s.*, (SELECT arg_max(w.given, w.event_id) FROM writes w
             WHERE w.user_id = s.user_id AND w.event_id < s.event_id) AS before FROM steps s) s
-    LEFT JOIN everyone e ON e.id = s.user_id""",
-    _APPLIED,
+    LEFT JOIN everyone e ON e.id = s.user_id"""
+_oracle("apply_commands_replies", _REPLIES, _APPLIED)
+_oracle("streamed_command_replies", _REPLIES, _APPLIED)
+# A history that is cleared begins anew with the turns behind the clearing, under the last prompt.
+_oracle(
+    "store_turns_and_commands",
+    """SELECT id, user_id, "timestamp", row_number() OVER (PARTITION BY user_id ORDER BY stored DESC, place) - 1 AS position,
+      role, message
+    FROM (SELECT id, user_id, "timestamp", true AS stored, position AS place, role,
+        CASE WHEN role = 'system' THEN coalesce(given, message) ELSE message END AS message
+      FROM kept LEFT JOIN last_write USING (user_id)
+      UNION ALL SELECT -1 - step, user_id, "timestamp", false, step, role, message FROM later)""",
+    f"""{_APPLIED},
+clears AS (SELECT user_id, max((ts, event_id)) AS cleared FROM steps WHERE command_key = 'reset-conversation' GROUP BY 1),
+kept AS (SELECT * FROM m WHERE user_id NOT IN (SELECT user_id FROM clears)),
+since AS (SELECT t.* FROM turns t LEFT JOIN clears USING (user_id) WHERE cleared IS NULL OR (t.ts, t.turn_id) > cleared),
+prompts AS (SELECT id, coalesce(given, system_prompt) AS system_prompt FROM (SELECT * FROM u UNION ALL
+    SELECT DISTINCT user_id, '{DEFAULT_PROMPT}' FROM turns WHERE user_id NOT IN (SELECT id FROM u)) k
+  LEFT JOIN last_write ON user_id = id),
+later AS (SELECT turn_id * 3 + 1 AS step, user_id, ts AS "timestamp", 'user' AS role, prompt AS message FROM since
+  UNION ALL SELECT turn_id * 3 + 2, user_id, ts, 'assistant', answer FROM since WHERE answer IS NOT NULL
+  UNION ALL SELECT min(turn_id) * 3, user_id, arg_min(ts, turn_id), 'system', any_value(system_prompt)
+    FROM since JOIN prompts ON prompts.id = user_id
+    WHERE user_id NOT IN (SELECT user_id FROM kept) GROUP BY user_id)""",
 )
 
 _oracle("read_stored_users", "SELECT *, false AS penalize_nl FROM u")

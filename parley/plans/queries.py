@@ -15,12 +15,12 @@ from parley.operators import users as user_jobs
 from parley.plans import inputs
 from parley.schemas import DEFAULT_PROMPT, PARAMETERS
 from parley.session import new_folder
+from parley.sources.log import ConversationLog, new_log
 from parley.sources.settings import admins_table, commands_table
-from parley.sources.store import ConversationStore, Snapshot, write_snapshot
 from parley.sources.tables import read_messages, read_users
+from parley.streaming.conversations import answer_updates, stream_answers, stream_commands, stream_turns, user_states
 from parley.streaming.segments import segment_stream
 from parley.streaming.sinks import foreach_batch_sink, to_batch_folders
-from parley.streaming.store import stream_commands, stream_turns
 from parley.streaming.throttle import throttle_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,7 @@ NEW_DEFAULT = "You answer in one sentence."
 SHORT_LIMIT = 500
 STREAM_LIMIT = 400
 COOLDOWN_MS = 6 * 3600 * 1000
+EDIT_MS = 750
 USER_COLUMNS = ["id", "system_prompt"]
 SETTING_COLUMNS = ["id", "system_prompt", *PARAMETERS]
 
@@ -497,19 +498,19 @@ def read_stored_messages_rejected(spark: SparkSession, folder: str) -> DataFrame
     return read_messages(spark, _raw_messages(spark, folder), "json").rejected
 
 
-def _stored(spark: SparkSession, folder: str) -> ConversationStore:
+def _log(spark: SparkSession, folder: str) -> ConversationLog:
     known, stored = inputs.users(spark, folder), inputs.messages(spark, folder)
-    return write_snapshot(known, stored, new_folder(spark, "store"), buckets=8)
+    return new_log(known, stored, new_folder(spark, "log"))
 
 
 @query
 def snapshot_users(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, folder).read().users.select(*USER_COLUMNS)
+    return _log(spark, folder).read().users.select(*USER_COLUMNS)
 
 
 @query
 def snapshot_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored(spark, folder).read().messages
+    return _log(spark, folder).read().messages
 
 
 @query
@@ -552,27 +553,74 @@ def route_streamed_events(spark: SparkSession, folder: str) -> DataFrame:
     return _run(spark, routing.route_commands(events, commands_table(spark)))
 
 
-def _streamed_turns(spark: SparkSession, folder: str) -> Snapshot:
-    store = _stored(spark, folder)
+def _stream_turns(spark: SparkSession, folder: str, log: ConversationLog) -> None:
     arriving = inputs.turns(inputs.event_stream(spark, folder))
-    stream_turns(arriving, store, new_folder(spark, "checkpoint")).awaitTermination()
-    return store.read()
+    stream_turns(arriving, log, new_folder(spark, "checkpoint")).awaitTermination()
+
+
+def _stream_commands(spark: SparkSession, folder: str, log: ConversationLog) -> str:
+    checkpoint = new_folder(spark, "checkpoint")
+    arriving = inputs.chat_events(inputs.event_stream(spark, folder))
+    stream_commands(
+        arriving, commands_table(spark), admins_table(spark, inputs.ADMINS), log, checkpoint
+    ).awaitTermination()
+    return checkpoint
 
 
 @query
 def store_streamed_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return _streamed_turns(spark, folder).messages
+    log = _log(spark, folder)
+    _stream_turns(spark, folder, log)
+    return log.read().messages
 
 
 @query
 def apply_streamed_commands(spark: SparkSession, folder: str) -> DataFrame:
-    store, replies = _stored(spark, folder), new_folder(spark, "replies")
-    stream_commands(
-        inputs.chat_events(inputs.event_stream(spark, folder)),
-        commands_table(spark),
-        admins_table(spark, inputs.ADMINS),
-        store,
-        replies,
-        new_folder(spark, "checkpoint"),
-    ).awaitTermination()
-    return store.read().users.select(*USER_COLUMNS)
+    log = _log(spark, folder)
+    _stream_commands(spark, folder, log)
+    return log.read().users.select(*USER_COLUMNS)
+
+
+@query
+def streamed_command_replies(spark: SparkSession, folder: str) -> DataFrame:
+    log = _log(spark, folder)
+    _stream_commands(spark, folder, log)
+    return log.added("commands").select("event_id", "user_id", "command_key", "reply")
+
+
+@query
+def streamed_user_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The prompts that the command stream holds as state."""
+    state = user_states(spark, _stream_commands(spark, folder, _log(spark, folder)))
+    return state.select(F.col("user_id").alias("id"), "system_prompt")
+
+
+@query
+def store_turns_and_commands(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages after both streams, from one log, in a version of its own."""
+    log = _log(spark, folder)
+    _stream_turns(spark, folder, log)
+    _stream_commands(spark, folder, log)
+    log.compact()
+    return log.read().messages
+
+
+@query
+def show_streamed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks over several files to bounded messages to throttled replies, in one streaming query."""
+    chunks = inputs.told_chunks(inputs.messages(spark, folder))
+    arriving = inputs.in_files(chunks, new_folder(spark, "chunks"))
+    shown = _run(spark, answer_updates(arriving, STREAM_LIMIT, EDIT_MS))
+    return shown.select("response_id", "step", "ts", "message", F.explode("actions").alias("action"))
+
+
+@query
+def store_streamed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Asked turns and streamed chunks to the stored messages of users who had none."""
+    texts = inputs.messages(spark, folder)
+    log = new_log(inputs.users(spark, folder), texts.limit(0), new_folder(spark, "log"))
+    asked = inputs.in_files(inputs.asked_turns(texts), new_folder(spark, "asked"))
+    stream_turns(asked, log, new_folder(spark, "checkpoint")).awaitTermination()
+    chunks = inputs.in_files(inputs.told_chunks(texts), new_folder(spark, "chunks"))
+    stream_answers(chunks, log, new_folder(spark, "checkpoint"), STREAM_LIMIT, EDIT_MS).awaitTermination()
+    return log.read().messages

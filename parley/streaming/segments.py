@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.functions.text import check_limit, cut
+from parley.operators.responses import micros
 from parley.schemas import LENGTH_LIMIT
 from parley.session import use_rocksdb_state
 
+TIME = "_time"
 OUTPUT = T.StructType(
     [
         T.StructField("response_id", T.LongType()),
         T.StructField("seq", T.LongType()),
+        T.StructField("step", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("started_ts", T.TimestampNTZType()),
+        T.StructField("length", T.LongType()),
         T.StructField("message_no", T.LongType()),
         T.StructField("message", T.StringType()),
         T.StructField("chunk", T.StringType()),
@@ -29,50 +37,71 @@ OUTPUT = T.StructType(
 
 
 def segment_stream(
-    chunks: DataFrame, limit: int = LENGTH_LIMIT, ttl_ms: int | None = None
+    chunks: DataFrame, limit: int = LENGTH_LIMIT, ttl_ms: int | None = None, late_ms: int | None = None
 ) -> DataFrame:
     """One row per chunk, and one per message it closes, for a stream of chunks.
 
     A chunk that does not fill the message yields the message so far. One that
     does closes it (``end_of_message``, no chunk) and starts the next
     (``new_message``). When ``stop`` arrives, what is left is cut to the end.
+    ``step`` numbers a response's rows, ``length`` is that of the whole response
+    so far, ``ts`` the latest time so far and ``started_ts`` the first chunk's.
     State per response is the open message and any chunks that came early, never
     the whole response, and goes with the last chunk. Chunks must not be repeated
     after the stop.
 
-    With ``ttl_ms``, a response that has not stopped is ended that long after its
-    last chunk: chunks held for a missing one are put out in order, then a last
-    row with an empty chunk, all of them ``incomplete``. Chunks that come later
-    still are put out the same way, as a response that begins anew.
+    With ``ttl_ms``, a response that has not stopped is ended once the stream's time
+    is that long past its last chunk: chunks held for a missing one are put out in
+    order, then a last row with an empty chunk, all of them ``incomplete``. Time is
+    that of the chunks, so a replay ends the same responses. Chunks may be late by
+    ``late_ms`` (``ttl_ms`` by default), as the stream's time follows that far behind.
     """
     check_limit(limit)
     use_rocksdb_state(chunks.sparkSession)
-    narrow = chunks.select("response_id", "seq", "content", "stop")
-    return narrow.groupBy("response_id").transformWithStateInPandas(
+    narrow = chunks.select("response_id", "seq", "ts", "content", "stop")
+    if not ttl_ms:
+        return narrow.groupBy("response_id").transformWithStateInPandas(
+            SegmentProcessor(limit, None), OUTPUT, outputMode="Append", timeMode="None"
+        )
+    # Watermarks need an instant; naive times are taken as UTC.
+    timed = narrow.withColumn(TIME, F.timestamp_micros(micros("ts")))
+    timed = timed.withWatermark(TIME, f"{ttl_ms if late_ms is None else late_ms} milliseconds")
+    found = timed.groupBy("response_id").transformWithStateInPandas(
         SegmentProcessor(limit, ttl_ms),
-        OUTPUT,
+        T.StructType([*OUTPUT.fields, T.StructField(TIME, T.TimestampType())]),
         outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode="EventTime",
+        eventTimeColumnName=TIME,
     )
+    return found.drop(TIME)
 
 
 class OpenMessage:
-    """The message being filled, and the rows each chunk gives rise to."""
+    """The message being filled, how far the response is, and the rows each chunk gives rise to."""
 
-    def __init__(self, limit: int, text: str = "", number: int = 0) -> None:
-        self.limit, self.text, self.number = limit, text, number
+    def __init__(self, limit: int, text: str, number: int, step: int, length: int, times: tuple) -> None:
+        self.limit, self.text, self.number, self.step, self.length = limit, text, number, step, length
+        self.ts, self.started = times
 
-    def add(self, seq: int, content: str, stop: bool) -> Iterator[tuple]:
+    def add(self, seq: int, ts: datetime | None, content: str, stop: bool) -> Iterator[tuple]:
         self.text += content
+        self.length += len(content)
+        if ts is not None:
+            self.ts = ts if self.ts is None else max(self.ts, ts)
+            self.started = self.started or ts
         fresh = False
-        step = cut(self.text, self.limit)
-        while step is not None:
-            yield seq, self.number, step[0], None, True, False, fresh
-            self.text, fresh = step[2] + self.text[step[1] :], True
+        cutting = cut(self.text, self.limit)
+        while cutting is not None:
+            yield self._row(seq, cutting[0], None, True, False, fresh)
+            self.text, fresh = cutting[2] + self.text[cutting[1] :], True
             self.number += 1
             # One cut per chunk, but the last chunk leaves nothing over the limit.
-            step = cut(self.text, self.limit) if stop else None
-        yield seq, self.number, self.text, content, False, stop, fresh
+            cutting = cut(self.text, self.limit) if stop else None
+        yield self._row(seq, self.text, content, False, stop, fresh)
+
+    def _row(self, seq: int, message: str, chunk: str | None, ends: bool, stop: bool, fresh: bool) -> tuple:
+        self.step += 1
+        return seq, self.step - 1, self.ts, self.started, self.length, self.number, message, chunk, ends, stop, fresh
 
 
 class SegmentProcessor(StatefulProcessor):
@@ -81,64 +110,96 @@ class SegmentProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState(
-            "open", "text string, number bigint, expected bigint, held bigint, timer bigint"
+            "open",
+            "text string, number bigint, step bigint, length bigint, ts timestamp_ntz, started timestamp_ntz, "
+            "expected bigint, held bigint, timer bigint",
         )
-        self.early = handle.getMapState("early", "seq bigint", "content string, stop boolean")
+        self.early = handle.getMapState("early", "seq bigint", "ts timestamp_ntz, content string, stop boolean")
         self.handle = handle
 
+    def _stored(self) -> tuple[OpenMessage, int, int, int | None]:
+        if not self.open.exists():
+            return OpenMessage(self.limit, "", 0, 0, 0, (None, None)), 0, 0, None
+        text, number, step, length, ts, started, expected, held, timer = self.open.get()
+        return OpenMessage(self.limit, text, number, step, length, (ts, started)), expected, held, timer
+
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
     ) -> Iterator[pd.DataFrame]:
-        stored = self.open.get() if self.open.exists() else ("", 0, 0, 0, None)
-        text, number, expected, held, timer = stored
-        message, done = OpenMessage(self.limit, text, number), False
+        message, expected, held, timer = self._stored()
+        done, latest = False, None
         for batch in rows:
             arrived = batch.sort_values("seq")
-            columns = [arrived[name].tolist() for name in ("seq", "content", "stop")]
+            columns = [arrived[name].tolist() for name in ("seq", "ts", "content", "stop")]
             produced = []
-            for seq, content, stop in zip(*columns):
+            for seq, ts, content, stop in zip(*columns):
+                ts = None if pd.isna(ts) else ts.to_pydatetime()
+                if ts is not None:
+                    latest = ts if latest is None else max(latest, ts)
                 if seq > expected:
-                    self.early.updateValue((seq,), (content, stop))
+                    self.early.updateValue((seq,), (ts, content, stop))
                     held += 1
                 while seq == expected:
-                    produced += message.add(seq, content, stop)
+                    produced += message.add(seq, ts, content, stop)
                     expected, done = expected + 1, done or stop
                     # State is asked only while something is held back.
                     if not held or not self.early.containsKey((expected,)):
                         break
-                    seq, (content, stop) = expected, self.early.getValue((expected,))
+                    seq, (ts, content, stop) = expected, self.early.getValue((expected,))
                     self.early.removeKey((expected,))
                     held -= 1
             if produced:
-                yield _frame(key, produced, False)
-        if timer is not None:
-            self.handle.deleteTimer(timer)
+                yield self._timed(_frame(key, produced, False), timerValues)
         if done:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.open.clear()
             self.early.clear()
             return
-        if self.ttl_ms:
-            timer = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
-            self.handle.registerTimer(timer)
-        self.open.update((message.text, message.number, expected, held, timer))
+        if self.ttl_ms and latest is not None:
+            due = int(latest.replace(tzinfo=timezone.utc).timestamp() * 1000) + self.ttl_ms
+            # Never before what is expected next, as late chunks do not bring the end nearer.
+            due = max(due, timerValues.getCurrentWatermarkInMs() + 1, timer or 0)
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+            timer = due
+        m = message
+        self.open.update((m.text, m.number, m.step, m.length, m.ts, m.started, expected, held, timer))
 
     def handleExpiredTimer(
         self, key: tuple, timerValues: object, expiredTimerInfo: object
     ) -> Iterator[pd.DataFrame]:
-        text, number, expected, held, _ = self.open.get()
-        message, produced, last = OpenMessage(self.limit, text, number), [], expected - 1
+        message, expected, held, _ = self._stored()
+        produced, last = [], expected - 1
         if held:
-            for (last,), (content, _) in sorted(self.early.iterator()):
-                produced += message.add(last, content, False)
-        produced += message.add(last, "", True)
+            for (last,), (ts, content, _) in sorted(self.early.iterator()):
+                produced += message.add(last, ts, content, False)
+        produced += message.add(last, None, "", True)
         self.open.clear()
         self.early.clear()
-        yield _frame(key, produced, True)
+        frame = _frame(key, produced, True)
+        # What is put out has the time of the end.
+        due = _naive(expiredTimerInfo.getExpiryTimeInMs())
+        yield self._timed(frame.assign(ts=frame["ts"].fillna(due).clip(lower=due)), timerValues)
+
+    def _timed(self, frame: pd.DataFrame, timerValues: object) -> pd.DataFrame:
+        """The rows with the time that the stream goes by, which is never behind its watermark."""
+        if not self.ttl_ms:
+            return frame
+        now = _naive(timerValues.getCurrentWatermarkInMs())
+        return frame.assign(**{TIME: frame["ts"].fillna(now).clip(lower=now).dt.tz_localize("UTC")})
 
     def close(self) -> None:
         pass
 
 
+def _naive(ms: int) -> pd.Timestamp:
+    return pd.Timestamp(ms, unit="ms")
+
+
 def _frame(key: tuple, produced: list[tuple], incomplete: bool) -> pd.DataFrame:
     frame = pd.DataFrame(produced, columns=OUTPUT.names[1:-1])
-    return frame.assign(response_id=key[0], incomplete=incomplete)[OUTPUT.names]
+    times = {name: pd.to_datetime(frame[name]) for name in ("ts", "started_ts")}
+    return frame.assign(response_id=key[0], incomplete=incomplete, **times)[OUTPUT.names]

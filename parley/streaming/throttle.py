@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +14,9 @@ from parley.schemas import COOLDOWN_MS
 from parley.session import use_rocksdb_state
 
 
+SHOWN = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
+
+
 def throttle_stream(
     updates: DataFrame, cooldown_ms: int = COOLDOWN_MS, ttl_ms: int | None = None
 ) -> DataFrame:
@@ -25,28 +27,29 @@ def throttle_stream(
     State goes with the batch that has the end of the response, as nothing follows
     it. With ``ttl_ms`` a reply without updates for that long is forgotten too.
     """
+    return display_actions(mark_stream(updates, cooldown_ms, ttl_ms))
+
+
+def mark_stream(
+    updates: DataFrame, cooldown_ms: int = COOLDOWN_MS, ttl_ms: int | None = None, more: Sequence[str] = ()
+) -> DataFrame:
+    """The updates with ``edit``, and the columns ``more`` as they came."""
     use_rocksdb_state(updates.sparkSession)
+    shown = [*SHOWN, *more]
     prepared = updates.select(
-        "reply_id",
-        "seq",
-        "ts",
-        "message",
-        "new_message",
+        *shown,
         "end_of_message",
-        "end_of_response",
         may_edit().alias("may_edit"),
         micros("started_ts").alias("entry_us"),
         micros("ts").alias("ts_us"),
     )
-    shown = ["reply_id", "seq", "ts", "message", "new_message", "end_of_response"]
     schema = T.StructType([prepared.schema[name] for name in shown]).add("edit", T.BooleanType())
-    marked = prepared.groupBy("reply_id").transformWithStateInPandas(
+    return prepared.groupBy("reply_id").transformWithStateInPandas(
         ThrottleProcessor(cooldown_ms * 1000, shown, ttl_ms),
         schema,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
-    return display_actions(marked)
 
 
 class ThrottleProcessor(StatefulProcessor):

@@ -1,52 +1,70 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from parley.functions.times import from_iso, to_iso
 from parley.session import new_folder
-from parley.sources.store import ConversationStore, Snapshot, write_snapshot
+from parley.sources.log import ADDED, new_log
 from parley.sources.tables import empty_messages, empty_users, read_messages, read_users
 from tests.support import dialogue_store, history, prompts_of
 
+NOW = datetime(2024, 1, 1)
+TURNS = ADDED["turns"]
 
-def test_round_trip_and_replacement(spark):
+
+def test_a_snapshot_is_read_back(spark):
     users, messages = dialogue_store(spark)
-    store = write_snapshot(users, messages, new_folder(spark, "store"), buckets=4)
-    read = store.read()
+    log = new_log(users, messages, new_folder(spark, "log"))
+    read = log.read()
     assert prompts_of(read.users) == {1: "", 2: ""}
     assert history(read.messages, 2) == history(messages, 2)
     assert read.messages.schema.names == messages.schema.names
 
-    only_one = store.touched(users.filter("id = 1"), "id")
-    part = store.read(only_one)
-    kept = part.messages.filter("user_id <> 1")
-    store.replace(Snapshot(part.users, kept), only_one)
-    assert history(store.read().messages, 1) == []
-    assert len(history(store.read().messages, 2)) == 4
 
+def turn_rows(spark, *rows):
+    return spark.createDataFrame([(*row, NOW) for row in rows], TURNS)
 
-def test_append_and_replay(spark):
-    users, messages = dialogue_store(spark)
-    store = ConversationStore(spark, new_folder(spark, "store"), 4)
-    assert store.read().users.isEmpty()
-    store.append(Snapshot(users.filter("id = 1"), messages.filter("user_id = 1")), "turns", 0)
-    store.append(Snapshot(users.filter("id = 2"), messages.filter("user_id = 2")), "turns", 1)
-    assert store.read().messages.count() == 8
-    assert store.applied("turns", 1) and not store.applied("turns", 2)
 
+def test_batches_count_once_and_streams_never_meet(spark):
+    log = new_log(empty_users(spark), empty_messages(spark), new_folder(spark, "log"))
+    log.append("turns", turn_rows(spark, (1, 7, "hi", "first try")), "/checkpoints/a", 0)
+    log.append("turns", turn_rows(spark, (1, 7, "hi", "hello")), "/checkpoints/a/", 0)  # the same batch again
+    log.append("turns", turn_rows(spark, (2, 7, "why", None)), "/checkpoints/b", 0)
+    log.append("turns", turn_rows(spark, (3, 7, "so", "yes")), "/checkpoints/a", 1)
+    assert history(log.read("Be kind").messages, 7) == list(enumerate(["Be kind", "hi", "hello", "why", "so", "yes"]))
 
-def test_unpublished_rows_stay_invisible(spark):
+
+def test_a_new_version_holds_what_the_last_one_said(spark):
+    users, messages = dialogue_store(spark)
+    log = new_log(users, messages, new_folder(spark, "log"))
+    log.append("turns", turn_rows(spark, (1, 2, "more", "words"), (2, 9, "a", "b")), "/checkpoints/a", 0)
+    commands = [(5, 1, NOW, "reset-conversation", None, True, False, ""), (6, 9, NOW, "set-param", "Be odd", False, True, "")]
+    log.append("commands", spark.createDataFrame(commands, ADDED["commands"]), "/checkpoints/b", 0)
+    read = log.read("default")
+    before = [sorted(map(tuple, table.collect()), key=repr) for table in read]
+    assert history(read.messages, 1) == [] and history(read.messages, 9) == [(0, "Be odd"), (1, "a"), (2, "b")]
+    assert log.compact("default") == 2 and log.added("turns").isEmpty()
+    assert [sorted(map(tuple, table.collect()), key=repr) for table in log.read()] == before
+    # A version without all of its snapshot is none.
+    users.write.parquet(f"{log.path}/version=3/users")
+    assert log.versions() == [1, 2] and log.read().messages.count() == read.messages.count()
+
+
+def test_a_clearing_ends_what_was_told_before_it(spark):
     users, messages = dialogue_store(spark)
-    store = write_snapshot(users, messages, new_folder(spark, "store"), buckets=4)
-    store._write("messages", messages, 2)  # a commit that stopped before its manifest
-    assert store.read().messages.count() == 8
-    store.append(Snapshot(empty_users(spark), messages.filter("user_id = 1")))
-    assert store.read().messages.count() == 12
+    log = new_log(users, messages, new_folder(spark, "log"))
+    at = [NOW + timedelta(seconds=n) for n in range(3)]
+    turns = [(1, 1, "before", "x", at[0]), (2, 1, "behind", "y", at[2])]
+    log.append("turns", spark.createDataFrame(turns, TURNS), "/checkpoints/a", 0)
+    clear = [(3, 1, at[1], "reset-conversation", None, True, False, "")]
+    log.append("commands", spark.createDataFrame(clear, ADDED["commands"]), "/checkpoints/b", 0)
+    assert history(log.read().messages, 1) == [(0, ""), (1, "behind"), (2, "y")]
+    assert len(history(log.read().messages, 2)) == 4
 
 
 def test_empty_tables(spark):
-    store = write_snapshot(empty_users(spark), empty_messages(spark), new_folder(spark, "store"))
-    assert store.read().users.isEmpty() and store.read().messages.isEmpty()
+    log = new_log(empty_users(spark), empty_messages(spark), new_folder(spark, "log"))
+    assert log.read().users.isEmpty() and log.read().messages.isEmpty() and log.actions().isEmpty()
 
 
 def test_readers_check_roles_and_times(spark):
