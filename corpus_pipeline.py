@@ -6,32 +6,54 @@ read again as the next stage's docs. A stage's statistics cover all that its pre
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import near_dedup, packing, quality, substring_dedup, toxicity
 from parley.llm.common import table, written
 
 
+#: Rows of an Arrow batch. Texts are whole, so a batch of the usual 10,000 takes much memory beside the heap.
+BATCH_ROWS = 1000
+
+
+def light(stage):
+    """A stage whose tasks hand few texts at a time to Python."""
+
+    @wraps(stage)
+    def run_light(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, folder)
+
+    return run_light
+
+
+@light
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose quality is accepted."""
     return quality.accepted(docs, table(spark, folder, "labels"))
 
 
+@light
 def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not scored as toxic."""
     return toxicity.accepted(docs, table(spark, folder, "labels"))
 
 
+@light
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near duplicates, from a similarity of 0.80 on."""
     return near_dedup.deduplicated(docs, near_dedup.STAGE_PERCENT, near_dedup.STAGE_BANDS, near_dedup.STAGE_ROWS)
 
 
+@light
 def substring_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the words of passages that also stand elsewhere."""
     return substring_dedup.without_repeats(docs)
 
 
+@light
 def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of all documents with their places in sequences, and their ids."""
     return packing.packed(docs, with_ids=True)
