@@ -4,65 +4,93 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 512
+BLOCK = 256
+#: Postings of a feature that are added together with those of other rare features.
+RARE = 32
+#: What a neighbour at no distance has for its distance in votes.
+NEAREST = 0.002
 
 
 class BlockMaxIndex:
     """Points, each with counts of two classes, in blocks of BLOCK.
 
-    A feature has a list of (block, largest weight in it) and, per block, its postings. A
-    query bounds every block from the maxima alone and opens blocks from the best bound on,
+    Features that at most an eighth of the points have are lists of postings. The others have
+    a row of weights in every block, and the largest of each block. A query adds up the lists,
+    bounds every block by its best sum and the maxima, and opens blocks from the best bound on
     until no bound reaches the worst neighbour it holds. The result equals a full scan's.
     """
 
     def __init__(self, points: list[tuple[np.ndarray, np.ndarray]], positive, negative, names) -> None:
-        # Points of one leading feature stand together, which keeps the bounds tight.
-        lead = [int(ids[weights.argmax()]) if len(ids) else -1 for ids, weights in points]
-        order = sorted(range(len(points)), key=lambda i: (lead[i], tuple(points[i][0]), i))
+        sizes = np.array([len(ids) for ids, _ in points])
+        often = np.bincount(np.concatenate([ids for ids, _ in points]).astype(np.int64), minlength=1)
+        order = sorted(range(len(points)), key=lambda i: (_kind(*points[i], often), int(sizes[i]), i))
         self.positive = np.array([positive[i] for i in order], float)
         self.total = self.positive + np.array([negative[i] for i in order], float)
         self.names = [names[i] for i in order]
-        self.points = [points[i] for i in order]
-        self.blocks = -(-len(order) // BLOCK)
-        sizes = np.array([len(ids) for ids, _ in self.points])
-        place = np.repeat(np.arange(len(order)), sizes)
-        feature = np.concatenate([ids for ids, _ in self.points])
-        weight = np.concatenate([weights for _, weights in self.points])
-        by_feature = np.lexsort((place, feature))
-        place, feature, weight = place[by_feature], feature[by_feature], weight[by_feature]
-        #: feature -> (places, weights, where each block begins in them, largest weight in each block)
-        self.postings: dict[int, tuple] = {}
-        borders = np.flatnonzero(np.diff(feature)) + 1
-        names = feature[np.concatenate([[0], borders])].tolist()
-        for name, some, weights in zip(names, np.split(place, borders), np.split(weight, borders)):
-            begins = np.searchsorted(some, BLOCK * np.arange(self.blocks + 1))
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, some // BLOCK, weights)
-            self.postings[name] = some, weights, begins.tolist(), most
+        self.begins = np.concatenate([[0], np.cumsum(sizes[order])])
+        self.ids = np.concatenate([points[i][0] for i in order]).astype(np.int32)
+        self.weights = np.concatenate([points[i][1] for i in order]).astype(np.float32)
+        self.size, self.blocks = len(order), -(-len(order) // BLOCK)
+        place = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
+        common = np.flatnonzero(often > max(len(order) // 8, RARE))
+        #: Row of each common feature, -1 for the others.
+        self.row = np.full(len(often), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        row = self.row[self.ids]
+        self.common = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.common[place[row >= 0] // BLOCK, row[row >= 0], place[row >= 0] % BLOCK] = self.weights[row >= 0]
+        self.most = self.common.max(axis=2).T.astype(float)  # of each common feature and block
+        listed = np.flatnonzero(row < 0)
+        listed = listed[np.lexsort((place[listed], self.ids[listed]))]
+        self.places, self.listed = place[listed], self.weights[listed]
+        self.ends = np.cumsum(np.bincount(self.ids[listed], minlength=len(often)))
+
+    def point(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and weights of a point."""
+        own = slice(self.begins[place], self.begins[place + 1])
+        return self.ids[own], self.weights[own].astype(float)
+
+    def _sums(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the listed features add to each point, up to the end of the last block."""
+        end = self.ends[ids]
+        first = np.where(ids > 0, self.ends[ids - 1], 0)
+        size = end - first
+        rare = np.flatnonzero((size > 0) & (size <= RARE))
+        count = size[rare]
+        at = np.repeat(first[rare] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        values = np.repeat(weights[rare], count) * self.listed[at]
+        sums = np.bincount(self.places[at], values, minlength=self.blocks * BLOCK).astype(float)
+        for i in np.flatnonzero(size > RARE).tolist():
+            own = slice(first[i], end[i])
+            sums[self.places[own]] += weights[i] * self.listed[own]
+        return sums
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, count: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the nearest points that stand for ``count`` examples, nearest first.
 
         Equal cosines are ordered by place. One example of the point ``skip`` is left out.
+        Features that no point has are passed over.
         """
-        known = [(self.postings[f], w) for f, w in zip(ids.tolist(), weights.tolist()) if f in self.postings]
-        bound = np.zeros(self.blocks)
-        for (_, _, _, most), weight in known:
-            bound += weight * most
-        found = np.empty(0), np.empty(0, np.int64)
-        worst = 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] + 1e-9 < worst or bound[block] <= 0:
+        known = ids < len(self.row)
+        ids, weights = ids[known], weights[known]
+        sums = self._sums(ids, weights).reshape(self.blocks, BLOCK)
+        rows = self.row[ids]
+        shared, by = rows[rows >= 0], weights[rows >= 0]
+        bound = sums.max(axis=1) + by @ self.most[shared]
+        order = np.argsort(-bound, kind="stable")
+        found, worst, at, step = (np.empty(0), np.empty(0, np.int64)), 0.0, 0, 1
+        while at < len(order):
+            some = [b for b in order[at : at + step].tolist() if bound[b] > 0 and bound[b] + 1e-9 >= worst]
+            if not some:
                 break
-            first = block * BLOCK
-            cosine = np.zeros(min(BLOCK, len(self.points) - first))
-            for (places, own, begins, _), weight in known:
-                low, high = begins[block], begins[block + 1]
-                if low < high:
-                    cosine[places[low:high] - first] += weight * own[low:high]
-            near = np.flatnonzero((cosine > 0) & (cosine >= worst))
-            found = np.concatenate([found[0], cosine[near]]), np.concatenate([found[1], near + first])
-            found, worst = self._trimmed(*found, count, skip)
+            cosines, places = [found[0]], [found[1]]
+            for block in some:
+                cosine = sums[block] + by @ self.common[block][shared]
+                near = np.flatnonzero((cosine > 0) & (cosine >= worst))
+                cosines.append(cosine[near])
+                places.append(near + block * BLOCK)
+            found, worst = self._trimmed(np.concatenate(cosines), np.concatenate(places), count, skip)
+            at, step = at + step, 2 * step
         return list(zip(found[0].tolist(), found[1].tolist()))
 
     def _trimmed(self, cosine: np.ndarray, place: np.ndarray, count: int, skip: int):
@@ -93,8 +121,18 @@ class BlockMaxIndex:
             if total <= 0:
                 continue
             used = min(left, total)
-            weight = 1.0 / (0.02 + max(0.0, 1.0 - cosine))
+            weight = 1.0 / (NEAREST + max(0.0, 1.0 - cosine))
             yes += weight * used * positive / total
             all_ += weight * used
             left -= used
+        # An only neighbour of cosine 1 must not make the prior as heavy as itself.
+        weight = min(weight, 1.0) if left > 0 else weight
         return (yes + weight * prior) / (all_ + weight), near
+
+
+def _kind(ids: np.ndarray, weights: np.ndarray, often: np.ndarray) -> tuple[int, int]:
+    """Points of one most common and one heaviest feature stand together, which keeps bounds tight."""
+    if not len(ids):
+        return -1, -1
+    heaviest = int(ids[weights.argmax()])
+    return int(ids[often[ids].argmax()]), heaviest if often[heaviest] >= 8 else -1

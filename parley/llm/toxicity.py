@@ -1,20 +1,22 @@
-"""Toxicity by nearest labelled examples under TF-IDF cosine over selected features.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-1. A bounded sample of labelled documents gives the examples. Features are words and word
-   beginnings; those that toxic examples have clearly more often are the vocabulary, and all
-   other words together are one more feature, so that a vector knows how diluted its marked
-   words are.
-2. Document frequencies of the vocabulary are counted over all documents.
+1. A bounded sample of labelled documents gives the examples. Their words are the terms, all of
+   them. Word beginnings that toxic examples have clearly more often are terms as well.
+2. Document frequencies of the terms are counted over all documents. A term's weight is
+   TF-IDF times an emphasis, 1 for most words, which grows with the standard errors by which
+   toxic examples have it more often; beginnings have the part above 1 alone.
 3. The examples' vectors form a block-max inverted index, bounded by the sample. Every
    document is scored against it: distance-weighted votes of the nearest examples, calibrated
-   on the examples by leaving each one out.
+   on the examples by leaving each one out, in tasks.
 
-Labels are read by doc_id to choose examples. Scores depend on texts alone.
+Terms are 64-bit hashes. Words that no example has stand in a document's length with the
+frequency of a word seen once. Labels are read by doc_id to choose examples. Scores depend on
+texts alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.block_max import BlockMaxIndex
-from parley.llm.common import Remembered, as_bytes, map_batches, only, written
+from parley.llm.common import BYTES, Powers, as_bytes, map_batches, only, written
 
 #: Labelled documents that the classifier is fitted on, at most.
 EXAMPLES = 16_000
-#: Features of the vocabulary, at most; the strongest are taken.
-FEATURES = 2048
-#: Standard errors by which a feature's log odds must differ, and its least toxic examples.
-CLEARLY, LEAST = 4.0, 5
-NEIGHBOURS = 25
+#: Standard errors from which on a term is emphasised, and the emphasis of each further one.
+CLEARLY, EMPHASIS = 3.0, 10.0
+NEIGHBOURS = 10
+#: Bytes of the beginnings of longer words.
 BEGINNINGS = range(3, 8)
 #: ASCII letters and digits lower-cased, other ASCII to blanks, other bytes as they are.
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
@@ -44,17 +45,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row per row of ``documents`` (doc_id, text).
 
-    ``evidence`` lists the nearest examples (doc_id, cosine). Empty and null texts are scored
-    like texts without marked words. Of contradicting labels of one doc_id the toxic one
+    ``evidence`` lists the nearest examples (doc_id, cosine). Texts are scored whole, however
+    long. Empty and null texts, and those that share no word with an example, get the score of
+    the examples' share of toxic ones. Of contradicting labels of one doc_id the toxic one
     counts, labels other than 0 and 1 and null ids are passed over; of rows that repeat a
-    doc_id, the least text is the example. Without examples all scores are 0.
+    doc_id, the least text is the example; equal cosines are ordered by place in the index.
+    Without examples all scores are 0. Other columns are not read, whatever their names.
     """
-    index, calibration, features = _fitted(documents, labels, examples)
-    shared = documents.sparkSession.sparkContext.broadcast((index, calibration, features))  # bounded by the sample
+    documents = only(documents, "doc_id", "text")
+    shared = _shared(documents, labels, examples)
 
     def score(batches):
-        index, calibration, features = shared.value
-        scorer = _Scorer(index, calibration, features)
+        scorer = _Scorer(*shared.value)
         for batch in batches:
             found = [scorer.of(text) for text in batch["text"]]
             yield {
@@ -74,8 +76,7 @@ def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
 
 def accepted(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """The rows of ``documents`` that are not scored as toxic, all columns kept."""
-    index, calibration, features = _fitted(only(documents, "doc_id", "text"), labels, examples)
-    shared = documents.sparkSession.sparkContext.broadcast((index, calibration, features))
+    shared = _shared(only(documents, "doc_id", "text"), labels, examples)
 
     @F.pandas_udf("double")
     def score(texts):
@@ -87,58 +88,75 @@ def accepted(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     return documents.filter(score(as_bytes(documents["text"])) < 0.5)
 
 
-class _Features(Remembered):
-    """The vocabulary's features of a word."""
-
-    def __init__(self, vocabulary: dict[bytes, int]) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def made(self, key: bytes) -> tuple[int, ...]:
-        vocabulary = self.vocabulary
-        return tuple(vocabulary[name] for name in _named(key) if name in vocabulary)
-
-    def counts(self, text: bytes | None) -> tuple[Counter, int]:
-        """How often each feature occurs, and how many words have none."""
-        self.rest()
-        words = text.translate(FOLD).split() if text else []
-        marked = [f for f in map(self.__getitem__, words) if f]
-        return Counter(i for f in marked for i in f), len(words) - len(marked)
-
-
-def _named(word: bytes) -> list[bytes]:
-    """A word and its beginnings, which carry a star."""
-    letters = word.decode(errors="replace")
-    return [word] + [letters[:n].encode() + b"*" for n in BEGINNINGS if len(letters) > n]
-
+class _Counts(NamedTuple):
+    """The distinct words of a text and their distinct beginnings, with how often they occur.
 
-def _vector(counts: Counter, plain: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and unit weights; feature 0 is all words without a mark."""
-    ids = np.array([0, *sorted(counts)], np.int64)
-    often = np.array([max(plain, 1), *[counts[i] for i in ids[1:].tolist()]], float)
-    weights = (1 + np.log(often)) * idf[ids]
-    return ids, weights / np.sqrt(weights @ weights)
-
-
-class _Scorer(Remembered):
-    """The score of a text and its nearest examples, by the counts of its features."""
+    Both are hashes, even for words and odd for beginnings.
+    """
 
-    def __init__(self, index: BlockMaxIndex | None, calibration, features) -> None:
-        super().__init__()
-        self.index, self.calibration = index, calibration
-        vocabulary, self.idf, self.prior = features
-        self.features = _Features(vocabulary)
+    words: np.ndarray
+    often: np.ndarray
+    beginnings: np.ndarray
+    begun: np.ndarray
+
+
+def _counts(text: bytes | None, powers: Powers) -> _Counts:
+    none = np.empty(0, np.int64)
+    letters = np.frombuffer((text or b"").translate(FOLD), np.uint8)
+    blank = np.concatenate([[True], letters == 32, [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    if not len(edges):
+        return _Counts(none, none, none, none)
+    first, end = edges[::2], edges[1::2]
+    sums = powers.sums(BYTES[letters])
+    hashes = powers.between(sums, first, end).view(np.int64) & ~1
+    words, at, often = np.unique(hashes, return_index=True, return_counts=True)
+    first, size = first[at], (end - first)[at]
+    begun = [(powers.between(sums, first[size > n], first[size > n] + n), often[size > n]) for n in BEGINNINGS]
+    keys, which = np.unique(np.concatenate([k for k, _ in begun]).view(np.int64) | 1, return_inverse=True)
+    total = np.bincount(which, np.concatenate([n for _, n in begun]), len(keys)).astype(np.int64)
+    return _Counts(words, often, keys, total)
+
+
+class _Terms(NamedTuple):
+    """The terms in order of their hashes, and by what emphasis they count; later their frequencies."""
+
+    keys: np.ndarray
+    emphasis: np.ndarray
+    idf: np.ndarray
+    unseen: float
+
+    def among(self, counts: _Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the terms of a text, how often they occur, how often its other words do)."""
+        keys = np.concatenate([counts.words, counts.beginnings])
+        often = np.concatenate([counts.often, counts.begun])
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64), counts.often
+        number = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[number] == keys
+        order = np.argsort(number[known], kind="stable")
+        return number[known][order], often[known][order], counts.often[~known[: len(counts.words)]]
+
+    def vector(self, number: np.ndarray, often: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Weights of terms, as parts of a unit vector to which a text's other words belong too."""
+        weights = (1 + np.log(often)) * self.idf[number] * self.emphasis[number]
+        rest = (1 + np.log(others)) * self.unseen
+        return weights / np.sqrt(max(weights @ weights + rest @ rest, 1e-300))
+
+
+class _Scorer:
+    """The score of a text and its nearest examples."""
+
+    def __init__(self, index: BlockMaxIndex | None, calibration, terms: _Terms, prior: float) -> None:
+        self.index, self.calibration, self.terms, self.prior = index, calibration, terms, prior
+        self.powers = Powers()
 
     def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
         if self.index is None:
             return 0.0, []
-        self.rest()
-        counts, plain = self.features.counts(text)
-        return self[tuple(sorted(counts.items())), plain if counts else 1]
-
-    def made(self, key) -> tuple[float, list[tuple[int, float]]]:
-        counts, plain = key
-        share, near = self.index.vote(*_vector(Counter(dict(counts)), plain, self.idf), NEIGHBOURS, self.prior)
+        number, often, others = self.terms.among(_counts(text, self.powers))
+        weights = self.terms.vector(number, often, others)
+        share, near = self.index.vote(number, weights, NEIGHBOURS, self.prior)
         return _calibrated(share, self.calibration), [(self.index.names[p], cosine) for cosine, p in near[:3]]
 
 
@@ -153,113 +171,142 @@ def _logit(share):
 
 
 def _fitted(documents: DataFrame, labels: DataFrame, examples: int):
-    """(index, calibration, (vocabulary, idf, prior)), each bounded by ``examples`` or FEATURES."""
+    """(index, terms, prior), bounded by the examples' texts; the index is None without examples."""
     chosen = (
         only(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     )
     texts = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
-        F.min("text").alias("text"), F.max("toxic").alias("toxic")
+        F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")
     )
-    texts = written(texts, "examples")
-    names = _vocabulary(texts)
-    vocabulary = {name: number for number, name in enumerate(names, 1)}
-    idf = _idf(documents, vocabulary)
-    points: dict[bytes, list] = {}
-    for row in _example_vectors(texts, vocabulary, idf).collect():  # one row per example at most
-        point = points.setdefault(row["vector"], [row["doc_id"], 0, 0])
+    texts = written(texts, "examples").select("doc_id", as_bytes("text").alias("text"), "toxic")
+    marked, emphasis = _marked(texts)
+    points: dict[tuple[bytes, bytes], list] = {}
+    for row in _example_counts(texts, marked).toArrow().to_pylist():  # one row per example at most
+        point = points.setdefault((row["terms"], row["often"]), [row["doc_id"], 0, 0])
         point[0] = min(point[0], row["doc_id"])
         point[2 - row["toxic"]] += 1
+    vectors = [(np.frombuffer(terms, np.int64), np.frombuffer(often, np.int64)) for terms, often in points]
+    keys = np.unique(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in vectors)]))
+    terms = _frequencies(documents, keys, marked, emphasis)
     if not points:
-        return None, (1.0, 0.0), (vocabulary, idf, 0.0)
-    vectors = [_unpacked(key) for key in points]
+        return None, terms, 0.0
     doc_ids, positive, negative = (list(c) for c in zip(*points.values()))
     prior = sum(positive) / (sum(positive) + sum(negative))
-    index = BlockMaxIndex(vectors, positive, negative, doc_ids)
-    return index, _calibration(index, prior), (vocabulary, idf, prior)
+    numbered = ((np.searchsorted(keys, own), often) for own, often in vectors)
+    weighted = [(number, terms.vector(number, often, number[:0])) for number, often in numbered]
+    return BlockMaxIndex(weighted, positive, negative, doc_ids), terms, prior
 
 
-def _vocabulary(texts: DataFrame) -> list[bytes]:
-    """Features that toxic examples have clearly more often than the others."""
+def _shared(documents: DataFrame, labels: DataFrame, examples: int):
+    """What a scorer needs, sent to the tasks; bounded by the examples' texts."""
+    index, terms, prior = _fitted(documents, labels, examples)
+    context = documents.sparkSession.sparkContext
+    if index is None:
+        return context.broadcast((None, (1.0, 0.0), terms, prior))
+    fitted = context.broadcast(index)
+    calibration = _calibration(documents.sparkSession, fitted, prior)
+    return context.broadcast((index, calibration, terms, prior))
+
+
+def _marked(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words and beginnings that toxic examples have clearly more often, and their emphasis beyond 1."""
 
     def count(batches):
-        seen = {0: Counter(), 1: Counter()}
+        powers = Powers()
         for batch in batches:
+            keys, labels = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                words = set(text.translate(FOLD).split()) if text else set()
-                seen[toxic].update({name for word in words for name in _named(word)})
-        names = list(seen[0].keys() | seen[1].keys())
-        yield {
-            "feature": pa.array(names, pa.binary()),
-            "clean": pa.array([seen[0][n] for n in names], pa.int64()),
-            "toxic": pa.array([seen[1][n] for n in names], pa.int64()),
-        }
+                counts = _counts(text, powers)
+                own = np.concatenate([counts.words, counts.beginnings])
+                keys.append(own)
+                labels.append(np.full(len(own), toxic))
+            names, which = np.unique(np.concatenate(keys), return_inverse=True)
+            toxic = np.bincount(which, np.concatenate(labels), len(names)).astype(np.int64)
+            yield {"term": names, "toxic": toxic, "clean": np.bincount(which, minlength=len(names)) - toxic}
 
     sizes = {row["toxic"]: row["count"] for row in texts.groupBy("toxic").count().collect()}
     yes, no = sizes.get(1, 0), sizes.get(0, 0)
-    source = texts.select(as_bytes("text").alias("text"), "toxic")
-    found = map_batches(source, count, "feature binary, clean bigint, toxic bigint")
-    found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = map_batches(texts.select("text", "toxic"), count, "term bigint, toxic bigint, clean bigint")
+    found = found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (yes + 1.0 - a + 0.5)) - F.log(b / (no + 1.0 - b + 0.5))
-    strength = odds / F.sqrt(1 / a + 1 / b)
-    strong = found.filter(F.col("toxic") >= LEAST).withColumn("strength", strength).filter(F.col("strength") >= CLEARLY)
-    return [bytes(row["feature"]) for row in strong.orderBy(F.desc("strength"), "feature").limit(FEATURES).collect()]
-
+    beyond = (odds / F.sqrt(1 / a + 1 / b) - CLEARLY) * EMPHASIS
+    strong = found.select("term", beyond.alias("beyond")).filter("beyond > 0").toArrow().sort_by("term")
+    return strong["term"].to_numpy(), strong["beyond"].to_numpy()
 
-def _idf(documents: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Inverse document frequencies over all documents; feature 0 stands in all of them."""
 
-    def count(batches):
-        features, seen, total = _Features(vocabulary), Counter(), 0
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(features.counts(text)[0].keys())
-            total += len(batch["text"])
-        rows = [(0, total), *sorted(seen.items())]
-        yield {"feature": [f for f, _ in rows], "n": [n for _, n in rows]}
+def _example_counts(texts: DataFrame, marked: np.ndarray) -> DataFrame:
+    """(doc_id, toxic, terms, often): each example's words and marked beginnings as 64-bit numbers."""
 
-    found = map_batches(documents.select(as_bytes("text").alias("text")), count, "feature bigint, n bigint")
-    sums = {row["feature"]: row["n"] for row in found.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    total = sums.get(0, 0)
-    often = np.array([total, *[sums.get(i, 0) for i in vocabulary.values()]], float)
-    return np.log((1 + total) / (1 + often)) + 1
-
-
-def _example_vectors(texts: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray) -> DataFrame:
-    def vectors(batches):
-        features = _Features(vocabulary)
+    def rows(batches):
+        powers = Powers()
         for batch in batches:
-            packed = []
+            terms, often = [], []
             for text in batch["text"]:
-                ids, weights = _vector(*features.counts(text), idf)
-                packed.append(ids.tobytes() + np.round(weights, 6).tobytes())
+                counts = _counts(text, powers)
+                strong = np.isin(counts.beginnings, marked)
+                own = np.concatenate([counts.words, counts.beginnings[strong]])
+                order = np.argsort(own)
+                terms.append(own[order].tobytes())
+                often.append(np.concatenate([counts.often, counts.begun[strong]])[order].tobytes())
             yield {
                 "doc_id": pa.array(batch["doc_id"], pa.int64()),
                 "toxic": pa.array(batch["toxic"], pa.int32()),
-                "vector": pa.array(packed, pa.binary()),
+                "terms": pa.array(terms, pa.binary()),
+                "often": pa.array(often, pa.binary()),
             }
 
-    source = texts.select("doc_id", as_bytes("text").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    return map_batches(source, vectors, "doc_id bigint, toxic int, vector binary")
+    return map_batches(texts, rows, "doc_id bigint, toxic int, terms binary, often binary")
+
 
+def _frequencies(documents: DataFrame, keys: np.ndarray, marked: np.ndarray, beyond: np.ndarray) -> _Terms:
+    """The terms with their emphasis and inverse document frequencies over all documents."""
+    emphasis = 1.0 - (keys & 1)  # beginnings have the part above 1 alone
+    at = np.searchsorted(keys, marked)  # a marked term stands in an example, so it is a key
+    emphasis[at] += beyond
+    plain = _Terms(keys, emphasis, np.ones(len(keys)), 0.0)
+    shared = documents.sparkSession.sparkContext.broadcast(plain)
 
-def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(vector) // 2
-    return np.frombuffer(vector[:half], np.int64), np.frombuffer(vector[half:], np.float64)
+    def count(batches):
+        powers, terms = Powers(), shared.value
+        seen, total = np.zeros(len(terms.keys), np.int64), 0
+        for batch in batches:
+            for text in batch["text"]:
+                seen[terms.among(_counts(text, powers))[0]] += 1
+            total += len(batch["text"])
+        some = np.flatnonzero(seen)
+        yield {"term": np.append(some, -1), "n": np.append(seen[some], total)}
 
+    found = map_batches(documents.select(as_bytes("text").alias("text")), count, "term bigint, n bigint")
+    found = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per term at most
+    number, n = found["term"].to_numpy(), found["n"].to_numpy()
+    total, often = int(n[number < 0].sum()), np.zeros(len(keys))
+    often[number[number >= 0]] = n[number >= 0]
+    return plain._replace(idf=np.log((1 + total) / (1 + often)) + 1, unseen=float(np.log((1 + total) / 2) + 1))
 
-def _calibration(index: BlockMaxIndex, prior: float) -> tuple[float, float]:
+
+def _calibration(spark, fitted, prior: float) -> tuple[float, float]:
     """Slope and shift of a logistic map from votes to probabilities, each example left out once."""
-    shares, targets, counts = [], [], []
-    for place, (ids, weights) in enumerate(index.points):
-        for label, count in ((1, index.positive[place]), (0, index.total[place] - index.positive[place])):
-            if count:
-                shares.append(index.vote(ids, weights, NEIGHBOURS, prior, place, label)[0])
-                targets.append(float(label))
-                counts.append(count)
-    x, y, n = _logit(np.array(shares)), np.array(targets), np.array(counts)
+
+    def votes(batches):
+        index = fitted.value
+        for batch in batches:
+            rows = []
+            for place in batch["id"]:
+                for label, count in ((1, index.positive[place]), (0, index.total[place] - index.positive[place])):
+                    if count:
+                        share = index.vote(*index.point(place), NEIGHBOURS, prior, place, label)[0]
+                        rows.append((place, share, label, int(count)))
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            types = (pa.int64(), pa.float64(), pa.int32(), pa.int64())
+            yield {n: pa.array(c, t) for n, c, t in zip(("place", "share", "label", "n"), columns, types)}
+
+    places = spark.range(fitted.value.size)
+    left_out = map_batches(places, votes, "place bigint, share double, label int, n bigint").toArrow()
+    left_out = left_out.sort_by([("place", "ascending"), ("label", "ascending")])  # two rows per example at most
+    x, y, n = _logit(left_out["share"].to_numpy()), left_out["label"].to_numpy().astype(float), left_out["n"].to_numpy()
     design, fit = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-design @ fit))

@@ -37,6 +37,65 @@ def test_toxic_words_are_learned(spark, docs):
     assert kept.columns == frame.columns and kept.count() == sum(not r.predicted for r in found)
 
 
+def test_every_toxic_text_finds_its_copies(spark, docs):
+    """Words that one example alone has are terms too, and names of columns do not matter."""
+    rows = [(n, " ".join(prose(n, 60))) for n in range(300)]
+    rows += [(n, " ".join(f"own{n}x{i}" for i in range(20))) for n in range(300, 306)]
+    rows += [(n + 1000, text) for n, text in rows[300:]] + [(5000, "of no example at all, it ever")]
+    frame = docs(rows).selectExpr("*", "0 AS toxic", "0.5D AS score", "'x' AS label", "1 AS evidence", "'y' AS term")
+    marks = spark.createDataFrame([(n, 1, int(n >= 300)) for n, _ in rows[:306]], LABELS)
+    found = {r.doc_id: r for r in toxicity.scored(frame, marks).collect()}
+    learned = [n for n in range(300, 306) if not found[n].held_out]
+    assert len(learned) >= 4
+    for n in learned:
+        for copy in (n, n + 1000):
+            assert found[copy].predicted == 1 and found[copy].evidence[0].doc_id == n
+            assert abs(found[copy].evidence[0].cosine - 1) < 1e-5
+    assert not any(found[n].predicted for n in [*range(300), 5000])
+    kept = toxicity.accepted(frame, marks)
+    assert kept.columns == frame.columns and kept.count() == sum(not r.predicted for r in found.values())
+
+
+def test_scores_equal_brute_force(spark, docs):
+    """Neighbours and votes of every text by dense vectors over all words, without the index."""
+    rows, labels = corpus()
+    rows = rows + [(900, None), (901, "x " * 30_000 + "scoundrel"), (902, rows[1][1])]
+    frame, marks = docs(rows), spark.createDataFrame(labels, LABELS)
+    index, terms, prior = toxicity._fitted(frame, marks, toxicity.EXAMPLES)
+    dense = np.zeros((index.size, len(terms.keys)))
+    for place in range(index.size):
+        ids, weights = index.point(place)
+        dense[place, ids] = weights
+    shares = {}
+    for doc_id, text in rows:
+        own = np.zeros(len(terms.keys))
+        number, often, others = terms.among(toxicity._counts(text and text.encode(), toxicity.Powers()))
+        own[number] = terms.vector(number, often, others)
+        cosine, left, yes, all_, weight = dense @ own, toxicity.NEIGHBOURS, 0.0, 0.0, 1.0
+        near = [p for p in np.lexsort((np.arange(index.size), -cosine)) if cosine[p] > 0]
+        for p in near:
+            if left > 0:
+                used, weight = min(left, index.total[p]), 1 / (0.002 + max(0.0, 1 - cosine[p]))
+                yes, all_, left = yes + weight * used * index.positive[p] / index.total[p], all_ + weight * used, left - used
+        weight = min(weight, 1.0) if left > 0 else weight
+        shares[doc_id] = (yes + weight * prior) / (all_ + weight), [cosine[p] for p in near[:3]]
+    found = {r.doc_id: r for r in toxicity.scored(frame, marks).collect()}
+    order = sorted(shares, key=lambda n: shares[n][0])
+    scores = [found[n].score for n in order]
+    assert np.all(np.diff(scores) > -1e-3)  # calibration keeps the order of the votes
+    for doc_id, (_, cosines) in shares.items():
+        assert np.allclose([e.cosine for e in found[doc_id].evidence], cosines, atol=1e-5)
+    once = {w for w in " ".join(t or "" for _, t in rows).lower().split()}
+    numbers = {}
+    for word in sorted(w for w in once if w.isalnum()):
+        number = terms.among(toxicity._counts(word.encode(), toxicity.Powers()))[0]
+        numbers |= {word: n for n in number.tolist() if terms.keys[n] % 2 == 0}
+    assert len(numbers) > 50
+    texts = [set((t or "").lower().replace("###", "").split()) for _, t in rows]
+    for word, number in list(numbers.items())[:50]:
+        assert np.isclose(terms.idf[number], np.log((1 + len(rows)) / (1 + sum(word in t for t in texts))) + 1)
+
+
 def test_thousands_of_examples_are_all_indexed(spark, docs):
     rows = [(n, f"w{n % 50} " + "scoundrel " * (n % 7 == 0)) for n in range(9000)]
     frame, marks = docs(rows), spark.createDataFrame([(n, 1, int(n % 7 == 0)) for n, _ in rows], LABELS)
@@ -81,9 +140,10 @@ def test_block_maxima_give_exact_neighbours():
         points.append((ids, weights / np.sqrt(weights @ weights)))
     index = BlockMaxIndex(points, [1] * 1500, [0] * 1500, list(range(1500)))
     dense = np.zeros((1500, 60))
-    for row, (ids, weights) in zip(dense, index.points):
+    for place, row in enumerate(dense):
+        ids, weights = index.point(place)
         row[ids] = weights
-    for ids, weights in index.points[::150]:
+    for ids, weights in map(index.point, range(0, 1500, 150)):
         cosine = dense[:, ids] @ weights
         order = np.lexsort((np.arange(1500), -np.round(cosine, 12)))[:25]
         assert np.allclose(sorted(cosine[order]), sorted(c for c, _ in index.nearest(ids, weights, 25)))
