@@ -27,28 +27,29 @@ class BlockMaxIndex:
         self.positive = np.array([positive[i] for i in order], float)
         self.total = self.positive + np.array([negative[i] for i in order], float)
         self.names = [names[i] for i in order]
-        self.begins = np.concatenate([[0], np.cumsum(sizes[order])])
-        self.ids = np.concatenate([points[i][0] for i in order]).astype(np.int32)
-        self.weights = np.concatenate([points[i][1] for i in order]).astype(np.float32)
+        ids = np.concatenate([points[i][0] for i in order]).astype(np.int32)
+        weights = np.concatenate([points[i][1] for i in order]).astype(np.float32)
         self.size, self.blocks = len(order), -(-len(order) // BLOCK)
         place = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
         common = np.flatnonzero(often > max(len(order) // 8, RARE))
         #: Row of each common feature, -1 for the others.
         self.row = np.full(len(often), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        row = self.row[self.ids]
+        row = self.row[ids]
         self.common = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.common[place[row >= 0] // BLOCK, row[row >= 0], place[row >= 0] % BLOCK] = self.weights[row >= 0]
+        self.common[place[row >= 0] // BLOCK, row[row >= 0], place[row >= 0] % BLOCK] = weights[row >= 0]
         self.most = self.common.max(axis=2).T.astype(float)  # of each common feature and block
         listed = np.flatnonzero(row < 0)
-        listed = listed[np.lexsort((place[listed], self.ids[listed]))]
-        self.places, self.listed = place[listed], self.weights[listed]
-        self.ends = np.cumsum(np.bincount(self.ids[listed], minlength=len(often)))
+        listed = listed[np.argsort(ids[listed], kind="stable")]  # places ascend already
+        self.places, self.listed = place[listed].astype(np.min_scalar_type(self.size)), weights[listed]
+        self.ends = np.cumsum(np.bincount(ids[listed], minlength=len(often)))
 
     def point(self, place: int) -> tuple[np.ndarray, np.ndarray]:
-        """Features and weights of a point."""
-        own = slice(self.begins[place], self.begins[place + 1])
-        return self.ids[own], self.weights[own].astype(float)
+        """Features and weights of a point, gathered from all lists."""
+        at = np.flatnonzero(self.places == place)
+        row = self.common[place // BLOCK, :, place % BLOCK]
+        ids = np.concatenate([np.searchsorted(self.ends, at, side="right"), np.flatnonzero(self.row >= 0)[row > 0]])
+        return ids, np.concatenate([self.listed[at], row[row > 0]]).astype(float)
 
     def _sums(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the listed features add to each point, up to the end of the last block."""

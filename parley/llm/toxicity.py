@@ -20,17 +20,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.block_max import BlockMaxIndex
-from parley.llm.common import BYTES, Powers, as_bytes, map_batches, only, written
+from parley.llm.common import BYTES, Powers, Remembered, as_bytes, map_batches, only, written
 
 #: Labelled documents that the classifier is fitted on, at most.
 EXAMPLES = 16_000
 #: Standard errors from which on a term is emphasised, and the emphasis of each further one.
 CLEARLY, EMPHASIS = 3.0, 10.0
 NEIGHBOURS = 10
+#: Texts whose scores a task remembers, in each of two generations; results do not depend on it.
+REMEMBERED_TEXTS = 20_000
 #: Bytes of the beginnings of longer words.
 BEGINNINGS = range(3, 8)
 #: ASCII letters and digits lower-cased, other ASCII to blanks, other bytes as they are.
@@ -53,10 +56,10 @@ def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     Without examples all scores are 0. Other columns are not read, whatever their names.
     """
     documents = only(documents, "doc_id", "text")
-    shared = _shared(documents, labels, examples)
+    shared, calibration = _shared(documents, labels, examples)
 
     def score(batches):
-        scorer = _Scorer(*shared.value)
+        scorer = _Scorer(*shared.value, calibration)
         for batch in batches:
             found = [scorer.of(text) for text in batch["text"]]
             yield {
@@ -76,52 +79,66 @@ def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
 
 def accepted(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """The rows of ``documents`` that are not scored as toxic, all columns kept."""
-    shared = _shared(only(documents, "doc_id", "text"), labels, examples)
+    shared, calibration = _shared(only(documents, "doc_id", "text"), labels, examples)
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        scorer = _Scorer(*shared.value)
+        scorer = _Scorer(*shared.value, calibration)
         return pd.Series([scorer.of(text)[0] for text in texts])
 
     return documents.filter(score(as_bytes(documents["text"])) < 0.5)
 
 
 class _Counts(NamedTuple):
-    """The distinct words of a text and their distinct beginnings, with how often they occur.
+    """The distinct words of a text and distinct beginnings, with how often they occur.
 
-    Both are hashes, even for words and odd for beginnings.
+    Both are hashes, even for words and odd for beginnings. ``heads`` are the shortest
+    beginnings of the beginnings.
     """
 
     words: np.ndarray
     often: np.ndarray
     beginnings: np.ndarray
     begun: np.ndarray
+    heads: np.ndarray
 
 
-def _counts(text: bytes | None, powers: Powers) -> _Counts:
+def _counts(text: bytes | None, powers: Powers, heads: np.ndarray | None = None) -> _Counts:
+    """With sorted ``heads``, beginnings of words that begin with one of them alone."""
     none = np.empty(0, np.int64)
     letters = np.frombuffer((text or b"").translate(FOLD), np.uint8)
     blank = np.concatenate([[True], letters == 32, [True]])
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     if not len(edges):
-        return _Counts(none, none, none, none)
+        return _Counts(none, none, none, none, none)
     first, end = edges[::2], edges[1::2]
     sums = powers.sums(BYTES[letters])
     hashes = powers.between(sums, first, end).view(np.int64) & ~1
-    words, at, often = np.unique(hashes, return_index=True, return_counts=True)
-    first, size = first[at], (end - first)[at]
-    begun = [(powers.between(sums, first[size > n], first[size > n] + n), often[size > n]) for n in BEGINNINGS]
-    keys, which = np.unique(np.concatenate([k for k, _ in begun]).view(np.int64) | 1, return_inverse=True)
-    total = np.bincount(which, np.concatenate([n for _, n in begun]), len(keys)).astype(np.int64)
-    return _Counts(words, often, keys, total)
+    words, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+    longer = end[at] - first[at] > BEGINNINGS[0]
+    first, size, often = first[at][longer], (end - first)[at][longer], counts[longer]
+    head = powers.between(sums, first, first + BEGINNINGS[0]).view(np.int64) | 1
+    if heads is not None:
+        own = heads[np.minimum(np.searchsorted(heads, head), len(heads) - 1)] == head if len(heads) else head != head
+        first, size, often, head = first[own], size[own], often[own], head[own]
+    if not len(first):
+        return _Counts(words, counts, none, none, none)
+    begun = [(head, often, head)]
+    for n in BEGINNINGS[1:]:
+        own = size > n
+        begun.append((powers.between(sums, first[own], first[own] + n).view(np.int64) | 1, often[own], head[own]))
+    keys, often, head = (np.concatenate(column) for column in zip(*begun))
+    keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    return _Counts(words, counts, keys, np.bincount(which, often).astype(np.int64), head[at])
 
 
 class _Terms(NamedTuple):
-    """The terms in order of their hashes, and by what emphasis they count; later their frequencies."""
+    """The terms in order of their hashes, the heads of their beginnings, their emphasis and frequencies."""
 
     keys: np.ndarray
+    heads: np.ndarray
     emphasis: np.ndarray
     idf: np.ndarray
     unseen: float
@@ -144,20 +161,29 @@ class _Terms(NamedTuple):
         return weights / np.sqrt(max(weights @ weights + rest @ rest, 1e-300))
 
 
-class _Scorer:
-    """The score of a text and its nearest examples."""
+class _Scorer(Remembered):
+    """The score of a text and its nearest examples; copies of a text are scored once."""
 
-    def __init__(self, index: BlockMaxIndex | None, calibration, terms: _Terms, prior: float) -> None:
+    def __init__(self, index: BlockMaxIndex | None, terms: _Terms, prior: float, calibration: tuple[float, float]) -> None:
+        super().__init__(REMEMBERED_TEXTS)
         self.index, self.calibration, self.terms, self.prior = index, calibration, terms, prior
         self.powers = Powers()
 
     def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
         if self.index is None:
             return 0.0, []
-        number, often, others = self.terms.among(_counts(text, self.powers))
-        weights = self.terms.vector(number, often, others)
-        share, near = self.index.vote(number, weights, NEIGHBOURS, self.prior)
-        return _calibrated(share, self.calibration), [(self.index.names[p], cosine) for cosine, p in near[:3]]
+        self.rest()
+        key = xxhash.xxh3_128_digest(text or b"")
+        found = self.get(key) or self.before.get(key)
+        if found is None:
+            share, near = self.index.vote(*self.vector(text), NEIGHBOURS, self.prior)
+            found = _calibrated(share, self.calibration), [(self.index.names[p], cosine) for cosine, p in near[:3]]
+        self[key] = found
+        return found
+
+    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        number, often, others = self.terms.among(_counts(text, self.powers, self.terms.heads))
+        return number, self.terms.vector(number, often, others)
 
 
 def _calibrated(share: float, calibration: tuple[float, float]) -> float:
@@ -170,8 +196,8 @@ def _logit(share):
     return np.log(share / (1 - share))
 
 
-def _fitted(documents: DataFrame, labels: DataFrame, examples: int):
-    """(index, terms, prior), bounded by the examples' texts; the index is None without examples."""
+def _examples(documents: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
+    """(doc_id, text as bytes, toxic) of at most ``examples`` labelled documents, as a written table."""
     chosen = (
         only(labels, "doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -180,77 +206,89 @@ def _fitted(documents: DataFrame, labels: DataFrame, examples: int):
     texts = documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")
     )
-    texts = written(texts, "examples").select("doc_id", as_bytes("text").alias("text"), "toxic")
-    marked, emphasis = _marked(texts)
+    return written(texts, "examples").select("doc_id", as_bytes("text").alias("text"), "toxic")
+
+
+def _fitted(documents: DataFrame, texts: DataFrame):
+    """(index, terms, prior, place of each example by doc_id), bounded by the examples' texts."""
+    marked = _marked(texts)
     points: dict[tuple[bytes, bytes], list] = {}
-    for row in _example_counts(texts, marked).toArrow().to_pylist():  # one row per example at most
-        point = points.setdefault((row["terms"], row["often"]), [row["doc_id"], 0, 0])
-        point[0] = min(point[0], row["doc_id"])
-        point[2 - row["toxic"]] += 1
-    vectors = [(np.frombuffer(terms, np.int64), np.frombuffer(often, np.int64)) for terms, often in points]
-    keys = np.unique(np.concatenate([np.empty(0, np.int64), *(terms for terms, _ in vectors)]))
-    terms = _frequencies(documents, keys, marked, emphasis)
+    for batch in _example_counts(texts, marked).toArrow().to_batches():  # one row per example at most
+        for row in batch.to_pylist():
+            point = points.setdefault((row["terms"], row["often"]), [0, 0, []])
+            point[1 - row["toxic"]] += 1
+            point[2].append(row["doc_id"])
+    vectors = [np.frombuffer(terms, np.int64) for terms, _ in points]
+    keys = np.unique(np.concatenate([np.empty(0, np.int64), *vectors]))
+    terms = _frequencies(documents, keys, *marked)
     if not points:
-        return None, terms, 0.0
-    doc_ids, positive, negative = (list(c) for c in zip(*points.values()))
+        return None, terms, 0.0, {}
+    positive, negative, doc_ids = (list(c) for c in zip(*points.values()))
     prior = sum(positive) / (sum(positive) + sum(negative))
-    numbered = ((np.searchsorted(keys, own), often) for own, often in vectors)
-    weighted = [(number, terms.vector(number, often, number[:0])) for number, often in numbered]
-    return BlockMaxIndex(weighted, positive, negative, doc_ids), terms, prior
+    weighted = []
+    for own, (_, often) in zip(vectors, points):
+        number = np.searchsorted(keys, own).astype(np.int32)
+        weights = terms.vector(number, np.frombuffer(often, np.int32), number[:0])
+        weighted.append((number, weights.astype(np.float32)))
+    index = BlockMaxIndex(weighted, positive, negative, [min(ids) for ids in doc_ids])
+    place = {name: at for at, name in enumerate(index.names)}
+    return index, terms, prior, {doc_id: place[min(ids)] for ids in doc_ids for doc_id in ids}
 
 
 def _shared(documents: DataFrame, labels: DataFrame, examples: int):
-    """What a scorer needs, sent to the tasks; bounded by the examples' texts."""
-    index, terms, prior = _fitted(documents, labels, examples)
-    context = documents.sparkSession.sparkContext
-    if index is None:
-        return context.broadcast((None, (1.0, 0.0), terms, prior))
-    fitted = context.broadcast(index)
-    calibration = _calibration(documents.sparkSession, fitted, prior)
-    return context.broadcast((index, calibration, terms, prior))
+    """What a scorer needs, sent to the tasks, and the calibration; bounded by the examples' texts."""
+    texts = _examples(documents, labels, examples)
+    index, terms, prior, places = _fitted(documents, texts)
+    shared = documents.sparkSession.sparkContext.broadcast((index, terms, prior))
+    return shared, _calibration(texts, shared, places) if index else (1.0, 0.0)
 
 
-def _marked(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words and beginnings that toxic examples have clearly more often, and their emphasis beyond 1."""
+def _marked(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and beginnings that toxic examples have clearly more often, emphasis beyond 1, their heads."""
 
     def count(batches):
         powers = Powers()
         for batch in batches:
-            keys, labels = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            keys, heads, labels = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 counts = _counts(text, powers)
-                own = np.concatenate([counts.words, counts.beginnings])
-                keys.append(own)
-                labels.append(np.full(len(own), toxic))
-            names, which = np.unique(np.concatenate(keys), return_inverse=True)
+                keys += [counts.words, counts.beginnings]
+                heads += [np.zeros(len(counts.words), np.int64), counts.heads]
+                labels.append(np.full(len(counts.words) + len(counts.beginnings), toxic))
+            names, at, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             toxic = np.bincount(which, np.concatenate(labels), len(names)).astype(np.int64)
-            yield {"term": names, "toxic": toxic, "clean": np.bincount(which, minlength=len(names)) - toxic}
+            clean = np.bincount(which, minlength=len(names)) - toxic
+            yield {"term": names, "head": np.concatenate(heads)[at], "toxic": toxic, "clean": clean}
 
     sizes = {row["toxic"]: row["count"] for row in texts.groupBy("toxic").count().collect()}
     yes, no = sizes.get(1, 0), sizes.get(0, 0)
-    found = map_batches(texts.select("text", "toxic"), count, "term bigint, toxic bigint, clean bigint")
-    found = found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = map_batches(texts.select("text", "toxic"), count, "term bigint, head bigint, toxic bigint, clean bigint")
+    found = found.groupBy("term").agg(
+        F.min("head").alias("head"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (yes + 1.0 - a + 0.5)) - F.log(b / (no + 1.0 - b + 0.5))
     beyond = (odds / F.sqrt(1 / a + 1 / b) - CLEARLY) * EMPHASIS
-    strong = found.select("term", beyond.alias("beyond")).filter("beyond > 0").toArrow().sort_by("term")
-    return strong["term"].to_numpy(), strong["beyond"].to_numpy()
+    strong = found.select("term", "head", beyond.alias("beyond")).filter("beyond > 0").toArrow().sort_by("term")
+    heads = np.unique(strong["head"].to_numpy())
+    return strong["term"].to_numpy(), strong["beyond"].to_numpy(), heads[heads != 0]
 
 
-def _example_counts(texts: DataFrame, marked: np.ndarray) -> DataFrame:
-    """(doc_id, toxic, terms, often): each example's words and marked beginnings as 64-bit numbers."""
+def _example_counts(texts: DataFrame, marked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, toxic, terms, often): each example's words and marked beginnings, as arrays of numbers."""
+    strong, _, heads = marked
 
     def rows(batches):
         powers = Powers()
         for batch in batches:
             terms, often = [], []
             for text in batch["text"]:
-                counts = _counts(text, powers)
-                strong = np.isin(counts.beginnings, marked)
-                own = np.concatenate([counts.words, counts.beginnings[strong]])
+                counts = _counts(text, powers, heads)
+                known = np.isin(counts.beginnings, strong)
+                own = np.concatenate([counts.words, counts.beginnings[known]])
                 order = np.argsort(own)
                 terms.append(own[order].tobytes())
-                often.append(np.concatenate([counts.often, counts.begun[strong]])[order].tobytes())
+                often.append(np.concatenate([counts.often, counts.begun[known]])[order].astype(np.int32).tobytes())
             yield {
                 "doc_id": pa.array(batch["doc_id"], pa.int64()),
                 "toxic": pa.array(batch["toxic"], pa.int32()),
@@ -261,12 +299,12 @@ def _example_counts(texts: DataFrame, marked: np.ndarray) -> DataFrame:
     return map_batches(texts, rows, "doc_id bigint, toxic int, terms binary, often binary")
 
 
-def _frequencies(documents: DataFrame, keys: np.ndarray, marked: np.ndarray, beyond: np.ndarray) -> _Terms:
+def _frequencies(documents: DataFrame, keys: np.ndarray, marked: np.ndarray, beyond: np.ndarray, heads: np.ndarray) -> _Terms:
     """The terms with their emphasis and inverse document frequencies over all documents."""
     emphasis = 1.0 - (keys & 1)  # beginnings have the part above 1 alone
     at = np.searchsorted(keys, marked)  # a marked term stands in an example, so it is a key
     emphasis[at] += beyond
-    plain = _Terms(keys, emphasis, np.ones(len(keys)), 0.0)
+    plain = _Terms(keys, heads, emphasis, np.ones(0), 0.0)
     shared = documents.sparkSession.sparkContext.broadcast(plain)
 
     def count(batches):
@@ -274,45 +312,46 @@ def _frequencies(documents: DataFrame, keys: np.ndarray, marked: np.ndarray, bey
         seen, total = np.zeros(len(terms.keys), np.int64), 0
         for batch in batches:
             for text in batch["text"]:
-                seen[terms.among(_counts(text, powers))[0]] += 1
+                seen[terms.among(_counts(text, powers, terms.heads))[0]] += 1
             total += len(batch["text"])
         some = np.flatnonzero(seen)
         yield {"term": np.append(some, -1), "n": np.append(seen[some], total)}
 
     found = map_batches(documents.select(as_bytes("text").alias("text")), count, "term bigint, n bigint")
     found = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per term at most
+    shared.unpersist()
     number, n = found["term"].to_numpy(), found["n"].to_numpy()
     total, often = int(n[number < 0].sum()), np.zeros(len(keys))
     often[number[number >= 0]] = n[number >= 0]
     return plain._replace(idf=np.log((1 + total) / (1 + often)) + 1, unseen=float(np.log((1 + total) / 2) + 1))
 
 
-def _calibration(spark, fitted, prior: float) -> tuple[float, float]:
+def _calibration(texts: DataFrame, shared, places: dict[int, int]) -> tuple[float, float]:
     """Slope and shift of a logistic map from votes to probabilities, each example left out once."""
 
     def votes(batches):
-        index = fitted.value
+        index, terms, prior = shared.value
+        scorer = _Scorer(index, terms, prior, (1.0, 0.0))
         for batch in batches:
-            rows = []
-            for place in batch["id"]:
-                for label, count in ((1, index.positive[place]), (0, index.total[place] - index.positive[place])):
-                    if count:
-                        share = index.vote(*index.point(place), NEIGHBOURS, prior, place, label)[0]
-                        rows.append((place, share, label, int(count)))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            types = (pa.int64(), pa.float64(), pa.int32(), pa.int64())
-            yield {n: pa.array(c, t) for n, c, t in zip(("place", "share", "label", "n"), columns, types)}
-
-    places = spark.range(fitted.value.size)
-    left_out = map_batches(places, votes, "place bigint, share double, label int, n bigint").toArrow()
-    left_out = left_out.sort_by([("place", "ascending"), ("label", "ascending")])  # two rows per example at most
-    x, y, n = _logit(left_out["share"].to_numpy()), left_out["label"].to_numpy().astype(float), left_out["n"].to_numpy()
+            shares = [
+                index.vote(*scorer.vector(text), NEIGHBOURS, prior, places[doc_id], toxic)[0]
+                for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"])
+            ]
+            yield {
+                "doc_id": pa.array(batch["doc_id"], pa.int64()),
+                "share": pa.array(shares, pa.float64()),
+                "label": pa.array(batch["toxic"], pa.int32()),
+            }
+
+    left_out = map_batches(texts, votes, "doc_id bigint, share double, label int").toArrow()
+    left_out = left_out.sort_by("doc_id")  # one row per example at most
+    x, y = _logit(left_out["share"].to_numpy()), left_out["label"].to_numpy().astype(float)
     design, fit = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-design @ fit))
         # A weak pull towards the identity keeps separable examples finite.
-        gradient = design.T @ (n * (y - p)) - 0.5 * (fit - [1.0, 0.0])
-        curve = (design * (n * p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2)
+        gradient = design.T @ (y - p) - 0.5 * (fit - [1.0, 0.0])
+        curve = (design * (p * (1 - p))[:, None]).T @ design + 0.5 * np.eye(2)
         step = np.linalg.solve(curve, gradient)
         fit = fit + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:

@@ -61,7 +61,7 @@ def test_scores_equal_brute_force(spark, docs):
     rows, labels = corpus()
     rows = rows + [(900, None), (901, "x " * 30_000 + "scoundrel"), (902, rows[1][1])]
     frame, marks = docs(rows), spark.createDataFrame(labels, LABELS)
-    index, terms, prior = toxicity._fitted(frame, marks, toxicity.EXAMPLES)
+    index, terms, prior, _ = toxicity._fitted(frame, toxicity._examples(frame, marks, toxicity.EXAMPLES))
     dense = np.zeros((index.size, len(terms.keys)))
     for place in range(index.size):
         ids, weights = index.point(place)
@@ -99,9 +99,9 @@ def test_scores_equal_brute_force(spark, docs):
 def test_thousands_of_examples_are_all_indexed(spark, docs):
     rows = [(n, f"w{n % 50} " + "scoundrel " * (n % 7 == 0)) for n in range(9000)]
     frame, marks = docs(rows), spark.createDataFrame([(n, 1, int(n % 7 == 0)) for n, _ in rows], LABELS)
-    index, _, _ = toxicity._fitted(frame, marks, toxicity.EXAMPLES)
+    index, _, _, places = toxicity._fitted(frame, toxicity._examples(frame, marks, toxicity.EXAMPLES))
     learnable = marks.filter(~toxicity.held_out()).count()
-    assert learnable > 7000 and index.total.sum() == learnable
+    assert learnable > 7000 and index.total.sum() == learnable == len(places)
 
 
 def test_bad_shapes_are_learned(spark, docs):
