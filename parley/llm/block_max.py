@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 256
-#: Postings of a feature that are added together with those of other rare features.
-RARE = 32
+#: Postings of a feature up to which they are added together with other features'.
+RARE = 1024
 #: What a neighbour at no distance has for its distance in votes.
 NEAREST = 0.002
 
@@ -31,7 +31,7 @@ class BlockMaxIndex:
         weights = np.concatenate([points[i][1] for i in order]).astype(np.float32)
         self.size, self.blocks = len(order), -(-len(order) // BLOCK)
         place = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
-        common = np.flatnonzero(often > max(len(order) // 8, RARE))
+        common = np.flatnonzero(often > max(len(order) // 8, 32))
         #: Row of each common feature, -1 for the others.
         self.row = np.full(len(often), -1, np.int32)
         self.row[common] = np.arange(len(common))
