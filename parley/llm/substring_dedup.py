@@ -184,7 +184,8 @@ def _paths(keyed: DataFrame) -> DataFrame:
 def _marks(keyed: DataFrame) -> DataFrame:
     """(key, digest, starts, masks): bit i of a mask marks the window at its start + i.
 
-    A document's marks are one row; there is at most one per window start of its text.
+    A document's marks are one row; there is at most one per window start of its text, also
+    where rows repeat a text and its key.
     """
     paths = written(_paths(keyed), "paths")
     met = paths.groupBy("least").agg(
@@ -196,7 +197,7 @@ def _marks(keyed: DataFrame) -> DataFrame:
     whole = F.expr("shiftleft(1L, edges) - 1")
     plain = seen.filter("not branching").select(*KEY, "start", whole.alias("mask"))
     branched = seen.filter("branching").join(masks, ["least", "spelled"]).select(*KEY, "start", "mask")
-    marked = F.collect_list(F.struct("start", "mask")).alias("marks")
+    marked = F.collect_set(F.struct("start", "mask")).alias("marks")
     return plain.union(branched).groupBy(*KEY).agg(marked).select(
         *KEY, F.col("marks.start").alias("starts"), F.col("marks.mask").alias("masks")
     )

@@ -141,6 +141,15 @@ def test_removed_words_equal_brute_force(docs):
     assert sorted(rows, key=key) == sorted(brute_removed(REPEATS), key=key)
 
 
+def test_marks_of_repeated_rows_do_not_multiply(docs):
+    text = " ".join(prose(1, 80))
+    repeated = [(None, text)] * 200 + [(7, text)] * 20
+    for row in substring_dedup._marks(substring_dedup._keyed(docs(repeated))).collect():
+        assert len(row.starts) == len(set(row.starts)) <= 46
+    found = substring_dedup.repeated_words_removed(docs(repeated)).collect()
+    assert len(found) == 220 and all(r.n_words == r.n_removed == 80 for r in found)
+
+
 def test_the_stage_cuts_texts_and_keeps_columns(docs):
     frame = docs(REPEATS)
     cut = substring_dedup.without_repeats(frame)
