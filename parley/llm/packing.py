@@ -1,18 +1,20 @@
 """Packing of tokenized documents into sequences by cutting-stock column generation.
 
 1. Each document becomes ids and an end id, cut at every 4096; only its last piece is shorter.
-2. Pieces are counted by size class. The histogram, bounded by the number of classes, goes
-   to the driver, where column generation finds patterns of classes that fill sequences.
-3. A piece's rank in its class decides its pattern, sequence and slot by arithmetic. Ranks
+2. Pieces are counted by size, exactly up to 256 tokens and in steps of 16 above. The histogram,
+   bounded by the number of sizes, goes to the driver. Short pieces of one size are bundled so that
+   a bundle is nearly a multiple of 16 long. Column generation finds patterns of bundles and longer
+   pieces that fill sequences.
+3. A piece's rank in its size decides its bundle, pattern, sequence and slot by arithmetic. Ranks
    are counted within a partition and lifted by the counts of the partitions before it, so no
-   task ever sees a whole class.
+   task ever sees all pieces of a size.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,18 @@ from parley.llm.cutting_stock import plan
 
 LENGTH = 4096
 END = 2
-#: Upper ends of the size classes.
-CLASSES = np.arange(16, LENGTH + 1, 16)
+#: Pieces up to this size are counted exactly; a bundle of them has at most BUNDLE tokens.
+EXACT, BUNDLE = 256, 512
+#: What the classes of the plan are multiples of.
+STEP = 16
+#: Upper ends of the sizes of pieces, and of the size classes of the plan.
+SIZES = np.concatenate([np.arange(1, EXACT + 1), np.arange(EXACT + STEP, LENGTH + 1, STEP)])
+CLASSES = np.arange(STEP, LENGTH + 1, STEP)
 TOKENIZER = "word_bpe_49k.json"
 #: ASCII and Latin-1 letters, whose lower case is one letter, and ASCII signs behind them.
-LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+LETTERS = "^(?P<core>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<signs>[!-/:-@\\[-`{-~]*)$"
 #: Texts that are tokenized together.
-TOGETHER = 400
+TOGETHER = 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,11 +59,12 @@ def packed(documents: DataFrame, tokenizer: str | None = None, with_ids: bool =
     counts = pieces.groupBy("part", "class").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     lifts = counts.select("part", "class", F.coalesce(before, F.lit(0)).alias("lift"))
-    demand = np.zeros(len(CLASSES), np.int64)
+    number = np.zeros(len(SIZES), np.int64)
     for row in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most one row per class
-        demand[row["class"]] = row["n"]
+        number[row["class"]] = row["n"]
+    bundles, demand = _bundles(number)
     ranked = pieces.join(lifts, ["part", "class"]).withColumn("rank", F.col("lift") + F.col("local"))
-    return _placed(ranked, plan(CLASSES, demand, LENGTH), ["ids"] if with_ids else [])
+    return _placed(ranked, bundles, plan(CLASSES, demand, LENGTH), ["ids"] if with_ids else [])
 
 
 class WordIds(Remembered):
@@ -82,8 +90,16 @@ class WordIds(Remembered):
         self.rest()
         split = pc.ascii_split_whitespace(pa.array([text or b"" for text in texts], pa.large_string()))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
-        self._learn(set(distinct).difference(self))
+        distinct = _listed(words.dictionary)
+        before = self.before
+        new = []
+        for word in distinct:
+            if word not in self:
+                if (known := before.get(word)) is not None:
+                    self[word] = known
+                else:
+                    new.append(word)
+        self._learn(new)
         ids = pa.array(map(self.__getitem__, distinct), pa.large_binary()).take(words.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
         borders = ends[split.offsets.to_numpy()].tolist()
@@ -94,32 +110,38 @@ class WordIds(Remembered):
         ids = self.tokenizer.encode(key.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Signs are tokens apart from letters and case is dropped, so new words share letters."""
-        parts, cores = [], {}
-        for word in new:
-            ids = self.before.get(word)
-            if ids is not None:
-                self[word] = ids
-            elif found := LETTERS.fullmatch(word.decode()):
-                core = found[1].lower().encode()
-                cores[core] = None
-                parts.append((word, core, found[2].encode()))
-        cores = self._of_letters(list(cores))
-        for word, core, signs in parts:
-            self[word] = cores[core] + self[signs] if signs else cores[core]
-
-    def _of_letters(self, cores: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, new: list[bytes]) -> None:
+        """Signs are tokens apart from letters and case is dropped, so new words share letters.
+
+        Words of other kinds are left to ``made``.
+        """
+        words = pa.array(new, pa.large_string())
+        found = pc.extract_regex(words, LETTERS)
+        words, found = words.filter(found.is_valid()), found.drop_null()
+        cores = pc.utf8_lower(found.field("core")).dictionary_encode()
+        signs = found.field("signs").dictionary_encode()
+        behind = [self[sign] if sign else b"" for sign in _listed(signs.dictionary)]
+        ids = pc.binary_join_element_wise(
+            self._of_letters(cores.dictionary).take(cores.indices),
+            pa.array(behind, pa.large_binary()).take(signs.indices),
+            pa.scalar(b"", pa.large_binary()),
+        )
+        self.update(zip(_listed(words), _listed(ids)))
+
+    def _of_letters(self, cores: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """Ids of words that are one run of letters each, tokenized as one text."""
-        if not cores:
-            return {}
-        text = b"\n".join(cores).decode()
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(ends) != len(cores):
+        text = "\n".join(cores.to_numpy(zero_copy_only=False).tolist())
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
+        ids = np.array(found, "<u4")
+        ends = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).astype(np.int64)
+        if len(ends) != len(cores) + 1:
             raise ValueError("a word of letters is not one run for the tokenizer")
-        packed = ids.tobytes()
-        return {core: packed[a:b] for core, a, b in zip(cores, [0, *ends[:-1].tolist()], ends.tolist())}
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cores), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+
+def _listed(values: pa.Array) -> list[bytes]:
+    """The bytes of an array without nulls; ``to_pylist`` takes several times as long."""
+    return values.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
@@ -129,7 +151,7 @@ def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
         words = WordIds(tokenizer)
         end = np.uint32(END).astype("<u4").tobytes()
         part = TaskContext.get().partitionId()
-        seen = np.zeros(len(CLASSES), np.int64)
+        seen = np.zeros(len(SIZES), np.int64)
         for batch in batches:
             rows = []
             texts = batch["text"]
@@ -140,7 +162,7 @@ def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
                 for start in range(0, total, LENGTH):
                     piece = ids[4 * start : 4 * (start + LENGTH)]
                     size = len(piece) // 4
-                    group = int(np.searchsorted(CLASSES, size))
+                    group = int(np.searchsorted(SIZES, size))
                     rows.append((doc_id, start, size, zlib.crc32(piece), total, group, seen[group], piece))
                     seen[group] += 1
             if not rows:
@@ -160,8 +182,38 @@ def _pieces(documents: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
     return map_batches(documents.select("doc_id", as_bytes("text").alias("text")), cut, schema)
 
 
+class _Bundles(NamedTuple):
+    """Of each class: pieces in a bundle, full bundles, planned size and first rank there of the
+    full ones and of the one that holds the rest."""
+
+    held: np.ndarray
+    full: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    rest_size: np.ndarray
+    rest_first: np.ndarray
+
+
+def _bundles(number: np.ndarray) -> tuple[_Bundles, np.ndarray]:
+    """Bundles of so many pieces of each class, and how many there are of each planned size."""
+    demand = np.zeros(len(CLASSES), np.int64)
+    out = _Bundles(*np.zeros((6, len(SIZES)), np.int64))
+    for group, (size, n) in enumerate(zip(SIZES.tolist(), number.tolist())):
+        # The fewest pieces whose bundle has the least room to spare for each of them.
+        counts = range(1, BUNDLE // size + 1) if size <= EXACT else [1]
+        held = min(counts, key=lambda count: -(-count * size // STEP) / count)
+        full, rest = divmod(n, held)
+        out.held[group], out.full[group] = held, full
+        for pieces, bundles, sizes, firsts in ((held, full, out.size, out.first), (rest, min(rest, 1), out.rest_size, out.rest_first)):
+            if bundles:
+                planned = -(-pieces * size // STEP) - 1
+                sizes[group], firsts[group] = planned, demand[planned]
+                demand[planned] += bundles
+    return out, demand
+
+
 def _intervals(patterns: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Columns (class, first rank, pieces in a sequence, first sequence, first slot), by class and rank."""
+    """Columns (planned size, first rank, bundles in a sequence, first sequence, first slot), by size and rank."""
     rows, served, sequence = [], np.zeros(len(CLASSES), np.int64), 0
     for held, count in patterns:
         slot = 0
@@ -173,23 +225,27 @@ def _intervals(patterns: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5).T
 
 
-def _placed(ranked: DataFrame, patterns: list[tuple[np.ndarray, int]], more: list[str]) -> DataFrame:
-    """Every ranked piece at its place; the intervals are bounded by classes, not by pieces."""
+def _placed(ranked: DataFrame, bundles: _Bundles, patterns: list[tuple[np.ndarray, int]], more: list[str]) -> DataFrame:
+    """Every ranked piece at its place; bundles and intervals are bounded by classes, not by pieces."""
     group, first, held, sequence, slot = _intervals(patterns)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def place(batches):
         for batch in batches:
-            piece, rank = np.array(batch["class"], np.int64), np.array(batch["rank"], np.int64)
-            chosen = np.empty(len(piece), np.int64)
-            for one in np.unique(piece):
+            kind, rank = np.array(batch["class"], np.int64), np.array(batch["rank"], np.int64)
+            bundle, inside = np.divmod(rank, bundles.held[kind])
+            rest = bundle >= bundles.full[kind]
+            planned = np.where(rest, bundles.rest_size[kind], bundles.size[kind])
+            rank = np.where(rest, bundles.rest_first[kind], bundles.first[kind] + bundle)
+            chosen = np.empty(len(kind), np.int64)
+            for one in np.unique(planned):
                 low, high = np.searchsorted(group, [one, one + 1])
-                own = piece == one
+                own = planned == one
                 chosen[own] = low + np.searchsorted(first[low:high], rank[own], side="right") - 1
             since = rank - first[chosen]
             out = {n: pa.array(batch[n], pa.int64()) for n in names}
             out["sequence_id"] = sequence[chosen] + since // held[chosen]
-            out["slot"] = slot[chosen] + since % held[chosen]
+            out["slot"] = (slot[chosen] + since % held[chosen]) * BUNDLE + inside
             yield out | {n: pa.array(batch[n], pa.binary()) for n in more}
 
     schema = ", ".join(f"{n} bigint" for n in [*names, "sequence_id", "slot"]) + "".join(f", {n} binary" for n in more)

@@ -71,6 +71,35 @@ def test_plans_place_every_piece_in_little_room(seed):
     assert sum(count for _, count in patterns) <= 1.01 * least + 3
 
 
+@pytest.mark.parametrize("longest, seed", [(3, 1), (30, 2), (200, 3), (1, 4)])
+def test_short_texts_fill_their_sequences(docs, longest, seed):
+    draw = random.Random(seed)
+    texts = [" ".join(prose(n, draw.randint(1, longest))) for n in range(1500)]
+    rows = packing.packed(docs(list(enumerate(texts)))).toPandas()
+    used = rows.groupby("sequence_id").length.sum()
+    assert used.max() <= packing.LENGTH and len(rows) == len(texts)
+    assert len(used) <= 1.05 * used.sum() / packing.LENGTH + 1
+    for _, some in rows.groupby("sequence_id"):
+        some = some.sort_values("offset")
+        assert (some.offset == some.length.cumsum() - some.length).all()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_bundles_hold_each_piece_once_in_little_room(seed):
+    number = np.random.default_rng(seed).integers(0, [2, 40, 1000, 3, 7][seed], len(packing.SIZES))
+    bundles, demand = packing._bundles(number)
+    rests = number - bundles.held * bundles.full
+    assert (rests >= 0).all() and (rests < np.maximum(bundles.held, 1)).all()
+    room = packing.SIZES * bundles.held <= np.maximum(packing.BUNDLE, packing.SIZES)
+    assert room.all() and demand.sum() == bundles.full.sum() + (rests > 0).sum()
+    assert (packing.CLASSES[bundles.size] >= packing.SIZES * bundles.held)[bundles.full > 0].all()
+    assert (packing.CLASSES[bundles.rest_size] >= packing.SIZES * rests)[rests > 0].all()
+    taken = list(zip(bundles.size[bundles.full > 0], bundles.first[bundles.full > 0], bundles.full[bundles.full > 0]))
+    taken += [(size, first, 1) for size, first in zip(bundles.rest_size[rests > 0], bundles.rest_first[rests > 0])]
+    ranks = sorted((size, rank) for size, first, count in taken for rank in range(first, first + count))
+    assert ranks == [(size, rank) for size in range(len(demand)) for rank in range(demand[size])]
+
+
 def test_segmentations_vary_and_decode(docs, spark):
     encoded = piece_codec.segmented(docs(ROWS), with_ids=True)
     assert all(r.lossless for r in encoded.collect())
