@@ -7,6 +7,8 @@ import numpy as np
 BLOCK = 256
 #: Postings of a feature up to which they are added together with other features'.
 RARE = 1024
+#: More than what sums of 32-bit weights lose.
+ROUNDING = 1e-5
 #: What a neighbour at no distance has for its distance in votes.
 NEAREST = 0.002
 
@@ -72,40 +74,82 @@ class BlockMaxIndex:
         Equal cosines are ordered by place. One example of the point ``skip`` is left out.
         Features that no point has are passed over.
         """
-        known = ids < len(self.row)
-        ids, weights = ids[known], weights[known]
-        sums = self._sums(ids, weights).reshape(self.blocks, BLOCK)
-        rows = self.row[ids]
-        shared, by = rows[rows >= 0], weights[rows >= 0]
-        bound = sums.max(axis=1) + by @ self.most[shared]
-        order = np.argsort(-bound, kind="stable")
-        found, worst, at, step = (np.empty(0), np.empty(0, np.int64)), 0.0, 0, 1
-        while at < len(order):
-            some = [b for b in order[at : at + step].tolist() if bound[b] > 0 and bound[b] + 1e-9 >= worst]
-            if not some:
+        return self.nearest_of_all([(ids, weights)], count, [skip])[0]
+
+    def nearest_of_all(self, queries: list[tuple[np.ndarray, np.ndarray]], count: int, skips: list[int]) -> list[list[tuple[float, int]]]:
+        """``nearest`` of some queries, which open a block together: one product for all of them.
+
+        Products are of 32-bit numbers, so a block is opened, and a point kept, with ROUNDING to
+        spare. The cosines of what is left are summed anew, the same in whatever company.
+        """
+        sums = np.zeros((len(queries), self.blocks * BLOCK))
+        by = np.zeros((len(queries), len(self.most)))
+        for i, (ids, weights) in enumerate(queries):
+            known = ids < len(self.row)
+            ids, weights = ids[known], weights[known]
+            sums[i] = self._sums(ids, weights)
+            rows = self.row[ids]
+            by[i, rows[rows >= 0]] = weights[rows >= 0]
+        blocks, light = sums.reshape(len(queries), self.blocks, BLOCK), by.astype(np.float32)
+        bound = blocks.max(axis=2) + by @ self.most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        found = [(np.empty(0), np.empty(0, np.int64))] * len(queries)
+        worst, at, step = np.zeros(len(queries)), 0, 1
+        while at < self.blocks:
+            some = order[:, at : at + step]
+            reach = np.take_along_axis(bound, some, axis=1)
+            query, column = np.nonzero((reach > 0) & (reach + ROUNDING >= worst[:, None]))
+            if not len(query):
                 break
-            cosines, places = [found[0]], [found[1]]
-            for block in some:
-                cosine = sums[block] + by @ self.common[block][shared]
-                near = np.flatnonzero((cosine > 0) & (cosine >= worst))
-                cosines.append(cosine[near])
-                places.append(near + block * BLOCK)
-            found, worst = self._trimmed(np.concatenate(cosines), np.concatenate(places), count, skip)
+            for owner, cosine, place in self._opened(blocks, light, query, some[query, column], worst):
+                cosine, place = np.concatenate([found[owner][0], cosine]), np.concatenate([found[owner][1], place])
+                found[owner], worst[owner] = self._trimmed(cosine, place, count, skips[owner])
             at, step = at + step, 2 * step
-        return list(zip(found[0].tolist(), found[1].tolist()))
+        out = []
+        for i, (_, place) in enumerate(found):
+            row = self.common[place // BLOCK, :, place % BLOCK]
+            cosine, place = self._ordered(sums[i, place] + (row * by[i]).sum(axis=1), place)
+            end = self._enough(place, count, skips[i])
+            out.append(list(zip(cosine[:end].tolist(), place[:end].tolist())))
+        return out
+
+    def _opened(self, sums: np.ndarray, by: np.ndarray, query: np.ndarray, block: np.ndarray, worst: np.ndarray):
+        """(query, cosines, places) of the points of opened blocks that reach the query's worst."""
+        owners, cosines, places = [], [], []
+        order = np.argsort(block, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            opened, who = block[own[0]], query[own]
+            cosine = sums[who, opened] + by[who] @ self.common[opened]
+            row, column = np.nonzero((cosine > 0) & (cosine >= worst[who, None]))
+            owners.append(who[row])
+            cosines.append(cosine[row, column])
+            places.append(column + opened * BLOCK)
+        owner, cosine, place = (np.concatenate(column) for column in (owners, cosines, places))
+        order = np.argsort(owner, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+            if len(own):
+                yield int(owner[own[0]]), cosine[own], place[own]
 
     def _trimmed(self, cosine: np.ndarray, place: np.ndarray, count: int, skip: int):
-        """The shortest head that holds ``count`` examples, and its last cosine if it is full."""
+        """The points that may be among those that hold ``count`` examples, and what others must reach."""
         if len(cosine) > count + 1:  # each point but ``skip`` holds an example at least
-            enough = np.partition(cosine, -(count + 1))[-(count + 1)]
+            enough = np.partition(cosine, -(count + 1))[-(count + 1)] - 2 * ROUNDING
             cosine, place = cosine[cosine >= enough], place[cosine >= enough]
-        order = np.lexsort((place, -cosine))
-        cosine, place = cosine[order], place[order]
-        held = np.cumsum(self.total[place] - (place == skip))
-        end = int(np.searchsorted(held, count)) + 1
+        cosine, place = self._ordered(cosine, place)
+        end = self._enough(place, count, skip)
         if end > len(cosine):
             return (cosine, place), 0.0
-        return (cosine[:end], place[:end]), float(cosine[end - 1])
+        worst = float(cosine[end - 1]) - 2 * ROUNDING
+        return (cosine[cosine >= worst], place[cosine >= worst]), worst
+
+    @staticmethod
+    def _ordered(cosine: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((place, -cosine))
+        return cosine[order], place[order]
+
+    def _enough(self, place: np.ndarray, count: int, skip: int) -> int:
+        """How many of the points, in their order, hold ``count`` examples; more than there are if all do not."""
+        return int(np.searchsorted(np.cumsum(self.total[place] - (place == skip)), count)) + 1
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, count: int, prior: float, skip: int = -1, label: int = 0):
         """(share of positive examples among the nearest, weighted by nearness; the neighbours).
@@ -114,6 +158,10 @@ class BlockMaxIndex:
         one example of that point, labelled ``label``, does not vote.
         """
         near = self.nearest(ids, weights, count, skip)
+        return self.share(near, count, prior, skip, label), near
+
+    def share(self, near: list[tuple[float, int]], count: int, prior: float, skip: int = -1, label: int = 0) -> float:
+        """The share of positive examples that ``vote`` gives for these neighbours."""
         left, yes, all_ = float(count), 0.0, 0.0
         weight = 1.0
         for cosine, place in near:
@@ -128,7 +176,7 @@ class BlockMaxIndex:
             left -= used
         # An only neighbour of cosine 1 must not make the prior as heavy as itself.
         weight = min(weight, 1.0) if left > 0 else weight
-        return (yes + weight * prior) / (all_ + weight), near
+        return (yes + weight * prior) / (all_ + weight)
 
 
 def _kind(ids: np.ndarray, weights: np.ndarray, often: np.ndarray) -> tuple[int, int]:

@@ -34,6 +34,8 @@ CLEARLY, EMPHASIS = 3.0, 10.0
 NEIGHBOURS = 10
 #: Texts whose scores a task remembers, in each of two generations; results do not depend on it.
 REMEMBERED_TEXTS = 20_000
+#: Texts that search the index together.
+TOGETHER = 64
 #: Bytes of the beginnings of longer words.
 BEGINNINGS = range(3, 8)
 #: ASCII letters and digits lower-cased, other ASCII to blanks, other bytes as they are.
@@ -61,7 +63,7 @@ def scored(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) ->
     def score(batches):
         scorer = _Scorer(*shared.value, calibration)
         for batch in batches:
-            found = [scorer.of(text) for text in batch["text"]]
+            found = scorer.of(batch["text"])
             yield {
                 "doc_id": pa.array(batch["doc_id"], pa.int64()),
                 "score": pa.array([s for s, _ in found], pa.float64()),
@@ -86,7 +88,7 @@ def accepted(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
         import pandas as pd
 
         scorer = _Scorer(*shared.value, calibration)
-        return pd.Series([scorer.of(text)[0] for text in texts])
+        return pd.Series([score for score, _ in scorer.of(list(texts))], dtype="float64")
 
     return documents.filter(score(as_bytes(documents["text"])) < 0.5)
 
@@ -169,17 +171,29 @@ class _Scorer(Remembered):
         self.index, self.calibration, self.terms, self.prior = index, calibration, terms, prior
         self.powers = Powers()
 
-    def of(self, text: bytes | None) -> tuple[float, list[tuple[int, float]]]:
+    def of(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         if self.index is None:
-            return 0.0, []
+            return [(0.0, [])] * len(texts)
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            out += self._of_some(texts[at : at + TOGETHER])
+        return out
+
+    def _of_some(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         self.rest()
-        key = xxhash.xxh3_128_digest(text or b"")
-        found = self.get(key) or self.before.get(key)
-        if found is None:
-            share, near = self.index.vote(*self.vector(text), NEIGHBOURS, self.prior)
-            found = _calibrated(share, self.calibration), [(self.index.names[p], cosine) for cosine, p in near[:3]]
-        self[key] = found
-        return found
+        keys = [xxhash.xxh3_128_digest(text or b"") for text in texts]
+        new = {}
+        for key, text in zip(keys, texts):
+            if key not in self:
+                if key in self.before:
+                    self[key] = self.before[key]
+                else:
+                    new[key] = text
+        near = self.index.nearest_of_all([self.vector(text) for text in new.values()], NEIGHBOURS, [-1] * len(new))
+        for key, some in zip(new, near):
+            score = _calibrated(self.index.share(some, NEIGHBOURS, self.prior), self.calibration)
+            self[key] = score, [(self.index.names[place], cosine) for cosine, place in some[:3]]
+        return [self[key] for key in keys]
 
     def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         number, often, others = self.terms.among(_counts(text, self.powers, self.terms.heads))
