@@ -615,12 +615,15 @@ later AS (SELECT turn_id * 3 + 1 AS step, user_id, ts AS "timestamp", 'user' AS
 )
 
 _oracle("read_stored_users", "SELECT *, false AS penalize_nl FROM u")
-_oracle("read_stored_messages", "SELECT * FROM m")
+_MISSES = "role IS NULL OR message IS NULL OR user_id IS NULL OR position IS NULL"
+_oracle("read_stored_messages", f"SELECT * FROM m WHERE NOT ({_MISSES})")
 _oracle(
     "read_stored_messages_rejected",
     f"""SELECT doc_id + {NEW_IDS} AS id, doc_id AS user_id, '2024-01-01T00:00:00' AS "timestamp",
-      0::BIGINT AS position, lang AS role, text AS message FROM documents
-    UNION ALL SELECT event_id + 2 * {NEW_IDS}, user_id, event_type, k, 'user', event_type FROM ev""",
+      0::BIGINT AS position, lang AS role, text AS message, NULL::VARCHAR AS raw_line FROM documents
+    UNION ALL SELECT event_id + 2 * {NEW_IDS}, user_id, event_type, k, 'user', event_type, NULL FROM ev
+    UNION ALL SELECT id, user_id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S'), position, role, message, NULL FROM m WHERE {_MISSES}
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, '{{"id":' || page_id || ',"message":"' || url FROM pages WHERE url IS NOT NULL""",
 )
 _oracle("snapshot_users", "SELECT * FROM u")
 _oracle("snapshot_messages", "SELECT * FROM m")

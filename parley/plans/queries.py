@@ -465,7 +465,10 @@ def read_stored_users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw_messages(spark: SparkSession, folder: str) -> str:
-    """Stored rows with ISO times; documents and events appear as rows with a bad role or time."""
+    """Stored rows with ISO times; documents and events appear as rows with a bad role or time.
+
+    Lines of pages break off within the record, as after a lost writer.
+    """
     path = new_folder(spark, "messages")
     good = inputs.messages(spark, folder).withColumn("timestamp", to_iso(F.col("timestamp")))
     bad_role = inputs.table(spark, folder, "documents").selectExpr(
@@ -485,6 +488,8 @@ def _raw_messages(spark: SparkSession, folder: str) -> str:
         "event_type AS message",
     )
     good.unionByName(bad_role).unionByName(bad_time).write.json(path)
+    broken = inputs.table(spark, folder, "pages").selectExpr("""concat('{"id":', page_id, ',"message":"', url) AS value""")
+    broken.filter("value IS NOT NULL").write.mode("append").text(path)
     return path
 
 

@@ -18,6 +18,10 @@ from parley.schemas import MESSAGES, USERS
 CSV = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "emptyValue": ""}
 
 
+#: The column of rejected rows that holds a record which cannot be read as its format or types say.
+RAW = "raw_line"
+
+
 class ReadMessages(NamedTuple):
     valid: DataFrame
     rejected: DataFrame
@@ -34,22 +38,33 @@ def read_users(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def read_messages(spark: SparkSession, path: str, format: str = "parquet") -> ReadMessages:
-    """Messages whose times are ISO text. Rows with a bad time or role are the rejected ones."""
+    """Messages whose times are ISO text.
+
+    Rejected are rows with a bad time or role, rows that miss any value, and records that cannot be
+    read, whose text stands in ``raw_line``; it is null where the columns hold what was read.
+    Parquet has no such records.
+    """
     raw = T.StructType(
         [
             T.StructField(f.name, T.StringType() if f.name == "timestamp" else f.dataType)
             for f in MESSAGES
         ]
     )
-    rows = _read(spark, path, format, raw)
+    if format == "parquet":
+        rows = _read(spark, path, format, raw).withColumn(RAW, F.lit(None).cast("string"))
+    else:
+        rows = _read(spark, path, format, raw.add(RAW, "string"))
     time = from_iso(F.col("timestamp"))
-    good = F.coalesce(is_known_role(F.col("role")) & time.isNotNull(), F.lit(False))
-    valid = rows.filter(good).withColumn("timestamp", time)
+    good = is_known_role(F.col("role")) & time.isNotNull() & F.col(RAW).isNull()
+    for field in MESSAGES:
+        good &= F.col(field.name).isNotNull()
+    good = F.coalesce(good, F.lit(False))
+    valid = rows.filter(good).withColumn("timestamp", time).drop(RAW)
     return ReadMessages(valid, rows.filter(~good))
 
 
 def _read(spark: SparkSession, path: str, format: str, schema: T.StructType) -> DataFrame:
-    options = CSV if format == "csv" else {}
+    options = {**(CSV if format == "csv" else {}), "columnNameOfCorruptRecord": RAW}
     return spark.read.schema(schema).options(**options).format(format).load(path)
 
 

@@ -89,6 +89,35 @@ def test_readers_check_roles_and_times(spark):
         assert sorted(r.id for r in read.rejected.collect()) == [3, 4, 5]
 
 
+def test_rows_without_a_value_are_rejected(spark):
+    whole = (1, 1, "2024-01-01T10:00:00", 0, "user", "a")
+    rows = [whole] + [tuple(None if at == n else value for n, value in enumerate(whole)) for at in range(6)]
+    schema = "id bigint, user_id bigint, timestamp string, position bigint, role string, message string"
+    for kind in ("json", "parquet"):
+        path = new_folder(spark, kind)
+        spark.createDataFrame(rows, schema).write.format(kind).save(path)
+        read = read_messages(spark, path, kind)
+        assert read.valid.count() == 1 and read.rejected.count() == 6
+        assert read.rejected.filter("raw_line IS NOT NULL").isEmpty()
+
+
+def test_records_that_cannot_be_read_are_rejected_with_their_text(spark):
+    good = {
+        "json": '{"id":1,"user_id":1,"timestamp":"2024-01-01T10:00:00","position":0,"role":"user","message":"a"}',
+        "csv": "id,user_id,timestamp,position,role,message\n1,1,2024-01-01T10:00:00,0,user,a",
+    }
+    bad = {
+        "json": ['{"id":2,"user_id', "no record", good["json"].replace('"id":1', '"id":"one"')],
+        "csv": ["one,1,2024-01-01T10:00:00,0,user,b", "2,1,2024-01-01T10:00:00", "3,1,2024-01-01T10:00:00,0,user,c,more"],
+    }
+    for kind in ("json", "csv"):
+        path = new_folder(spark, kind)
+        spark.createDataFrame([("\n".join([good[kind], *bad[kind]]),)], "value string").coalesce(1).write.text(path)
+        read = read_messages(spark, path, kind)
+        assert [(r.id, r.message) for r in read.valid.collect()] == [(1, "a")]
+        assert sorted(r.raw_line.strip() for r in read.rejected.collect()) == sorted(bad[kind])
+
+
 def test_users_read_unset_penalty_as_false(spark):
     users, _ = dialogue_store(spark)
     for kind in ("json", "parquet", "csv"):
