@@ -149,6 +149,35 @@ def test_block_maxima_give_exact_neighbours():
         assert np.allclose(sorted(cosine[order]), sorted(c for c, _ in index.nearest(ids, weights, 25)))
 
 
+def test_searching_together_finds_what_each_text_finds_alone():
+    draw = np.random.default_rng(3)
+
+    def vector(size):
+        ids = np.sort(draw.choice(90, size, replace=False))
+        weights = draw.random(size) + 0.1
+        return ids, weights / np.sqrt(weights @ weights)
+
+    points = [vector(draw.integers(1, 9)) for _ in range(900)]
+    positive, negative = draw.integers(0, 3, 900), draw.integers(1, 3, 900)
+    index = BlockMaxIndex(points, positive, negative, list(range(900)))
+    dense = np.zeros((900, 90))
+    for place in range(900):
+        ids, weights = index.point(place)
+        dense[place, ids] = weights
+    queries = [vector(draw.integers(1, 30)) for _ in range(60)] + [points[5]] * 2 + [(np.empty(0, np.int64), np.empty(0))]
+    skips = [-1] * 60 + [index.names.index(5), -1, -1]
+    together = index.nearest_of_all(queries, 12, skips)
+    assert together[-1] == []
+    for (ids, weights), skip, near in zip(queries, skips, together):
+        assert near == index.nearest(ids, weights, 12, skip)
+        cosine = dense[:, ids] @ weights
+        order = [i for i in np.lexsort((np.arange(900), -cosine)) if cosine[i] > 0]
+        held = np.cumsum(index.total[order] - (np.array(order) == skip)) if order else []
+        wanted = order[: int(np.searchsorted(held, 12)) + 1]
+        assert np.allclose([c for c, _ in near], cosine[wanted], atol=1e-9)
+        assert {place for _, place in near} == set(wanted)
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
 
