@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from itertools import islice
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +18,10 @@ from parley.schemas import LENGTH_LIMIT
 from parley.session import use_rocksdb_state
 
 TIME = "_time"
+#: Chunks that came early are held in blocks of so many numbers: one look at the state for a block, not for a chunk.
+BLOCK = 256
+#: Rows of one response that are taken up at a time.
+PIECE = 10_000
 OUTPUT = T.StructType(
     [
         T.StructField("response_id", T.LongType()),
@@ -46,9 +51,9 @@ def segment_stream(
     (``new_message``). When ``stop`` arrives, what is left is cut to the end.
     ``step`` numbers a response's rows, ``length`` is that of the whole response
     so far, ``ts`` the latest time so far and ``started_ts`` the first chunk's.
-    State per response is the open message and any chunks that came early, never
-    the whole response, and goes with the last chunk. Chunks must not be repeated
-    after the stop.
+    State per response is the open message and any chunks that came early, in blocks
+    of ``BLOCK`` numbers, never the whole response, and goes with the last chunk.
+    Chunks must not be repeated after the stop.
 
     With ``ttl_ms``, a response that has not stopped is ended once the stream's time
     is that long past its last chunk: chunks held for a missing one are put out in
@@ -60,13 +65,13 @@ def segment_stream(
     use_rocksdb_state(chunks.sparkSession)
     narrow = chunks.select("response_id", "seq", "ts", "content", "stop")
     if not ttl_ms:
-        return narrow.groupBy("response_id").transformWithStateInPandas(
+        return narrow.groupBy("response_id").transformWithState(
             SegmentProcessor(limit, None), OUTPUT, outputMode="Append", timeMode="None"
         )
     # Watermarks need an instant; naive times are taken as UTC.
     timed = narrow.withColumn(TIME, F.timestamp_micros(micros("ts")))
     timed = timed.withWatermark(TIME, f"{ttl_ms if late_ms is None else late_ms} milliseconds")
-    found = timed.groupBy("response_id").transformWithStateInPandas(
+    found = timed.groupBy("response_id").transformWithState(
         SegmentProcessor(limit, ttl_ms),
         T.StructType([*OUTPUT.fields, T.StructField(TIME, T.TimestampType())]),
         outputMode="Append",
@@ -114,47 +119,51 @@ class SegmentProcessor(StatefulProcessor):
             "text string, number bigint, step bigint, length bigint, ts timestamp_ntz, started timestamp_ntz, "
             "expected bigint, held bigint, timer bigint",
         )
-        self.early = handle.getMapState("early", "seq bigint", "ts timestamp_ntz, content string, stop boolean")
+        self.early = handle.getMapState(
+            "early", "block bigint", "chunks array<struct<seq:bigint,ts:timestamp_ntz,content:string,stop:boolean>>"
+        )
         self.handle = handle
+        self.row = Row(*OUTPUT.names, TIME) if self.ttl_ms else Row(*OUTPUT.names)
 
     def _stored(self) -> tuple[OpenMessage, int, int, int | None]:
-        if not self.open.exists():
+        stored = self.open.get()
+        if stored is None:
             return OpenMessage(self.limit, "", 0, 0, 0, (None, None)), 0, 0, None
-        text, number, step, length, ts, started, expected, held, timer = self.open.get()
+        text, number, step, length, ts, started, expected, held, timer = stored
         return OpenMessage(self.limit, text, number, step, length, (ts, started)), expected, held, timer
 
-    def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
-    ) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        # Chunks without a response's id are no group: each is taken as it comes.
+        for some in ([row] for row in rows) if key[0] is None else [rows]:
+            yield from self._arrived(key, iter(some), timerValues)
+
+    def _arrived(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         message, expected, held, timer = self._stored()
         done, latest = False, None
-        for batch in rows:
-            arrived = batch.sort_values("seq")
-            columns = [arrived[name].tolist() for name in ("seq", "ts", "content", "stop")]
+        early = EarlyChunks(self.early, held)
+        while piece := list(islice(rows, PIECE)):
+            arrived = sorted(((r.seq, r.ts, r.content, r.stop) for r in piece), key=itemgetter(0))
             produced = []
-            for seq, ts, content, stop in zip(*columns):
-                ts = None if pd.isna(ts) else ts.to_pydatetime()
+            for seq, ts, content, stop in arrived:
                 if ts is not None:
                     latest = ts if latest is None else max(latest, ts)
                 if seq > expected:
-                    self.early.updateValue((seq,), (ts, content, stop))
-                    held += 1
+                    early.hold(seq, ts, content, stop)
                 while seq == expected:
                     produced += message.add(seq, ts, content, stop)
                     expected, done = expected + 1, done or stop
-                    # State is asked only while something is held back.
-                    if not held or not self.early.containsKey((expected,)):
+                    following = early.take(expected)
+                    if following is None:
                         break
-                    seq, (ts, content, stop) = expected, self.early.getValue((expected,))
-                    self.early.removeKey((expected,))
-                    held -= 1
-            if produced:
-                yield self._timed(_frame(key, produced, False), timerValues)
+                    seq, ts, content, stop = following
+            early.store()
+            yield from self._rows(key, produced, False, timerValues)
         if done:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.open.clear()
-            self.early.clear()
+            if early.held:
+                self.early.clear()
             return
         if self.ttl_ms and latest is not None:
             due = int(latest.replace(tzinfo=timezone.utc).timestamp() * 1000) + self.ttl_ms
@@ -166,40 +175,78 @@ class SegmentProcessor(StatefulProcessor):
                 self.handle.registerTimer(due)
             timer = due
         m = message
-        self.open.update((m.text, m.number, m.step, m.length, m.ts, m.started, expected, held, timer))
+        self.open.update((m.text, m.number, m.step, m.length, m.ts, m.started, expected, early.held, timer))
 
-    def handleExpiredTimer(
-        self, key: tuple, timerValues: object, expiredTimerInfo: object
-    ) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         message, expected, held, _ = self._stored()
         produced, last = [], expected - 1
         if held:
-            for (last,), (ts, content, _) in sorted(self.early.iterator()):
-                produced += message.add(last, ts, content, False)
+            for _, (chunks,) in sorted(self.early.iterator(), key=itemgetter(0)):
+                for last, ts, content, _ in chunks:
+                    produced += message.add(last, ts, content, False)
+            self.early.clear()
         produced += message.add(last, None, "", True)
         self.open.clear()
-        self.early.clear()
-        frame = _frame(key, produced, True)
         # What is put out has the time of the end.
         due = _naive(expiredTimerInfo.getExpiryTimeInMs())
-        yield self._timed(frame.assign(ts=frame["ts"].fillna(due).clip(lower=due)), timerValues)
+        late = [(seq, step, max(ts or due, due), *rest) for seq, step, ts, *rest in produced]
+        yield from self._rows(key, late, True, timerValues)
 
-    def _timed(self, frame: pd.DataFrame, timerValues: object) -> pd.DataFrame:
-        """The rows with the time that the stream goes by, which is never behind its watermark."""
+    def _rows(self, key: tuple, produced: list[tuple], incomplete: bool, timerValues: object) -> Iterator[Row]:
+        """Rows with the time that the stream goes by, if it does, which is never behind its watermark."""
         if not self.ttl_ms:
-            return frame
+            for one in produced:
+                yield self.row(key[0], *one, incomplete)
+            return
         now = _naive(timerValues.getCurrentWatermarkInMs())
-        return frame.assign(**{TIME: frame["ts"].fillna(now).clip(lower=now).dt.tz_localize("UTC")})
+        for one in produced:
+            yield self.row(key[0], *one, incomplete, max(one[2] or now, now).replace(tzinfo=timezone.utc))
 
     def close(self) -> None:
         pass
 
 
-def _naive(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+class EarlyChunks:
+    """The chunks of one response that came before those they follow.
 
+    Blocks are read when a chunk of theirs is asked for or comes, and written once by ``store``, so a
+    response costs what its blocks in this batch cost, however its chunks are mixed.
+    """
 
-def _frame(key: tuple, produced: list[tuple], incomplete: bool) -> pd.DataFrame:
-    frame = pd.DataFrame(produced, columns=OUTPUT.names[1:-1])
-    times = {name: pd.to_datetime(frame[name]) for name in ("ts", "started_ts")}
-    return frame.assign(response_id=key[0], incomplete=incomplete, **times)[OUTPUT.names]
+    def __init__(self, state: object, held: int) -> None:
+        self.state, self.held = state, held
+        self.blocks, self.changed, self.stored = {}, set(), held
+
+    def _block(self, seq: int) -> dict[int, tuple]:
+        number = seq // BLOCK
+        if number not in self.blocks:
+            found = self.state.getValue((number,)) if self.stored else None
+            self.blocks[number] = {one[0]: tuple(one) for one in found[0]} if found else {}
+        return self.blocks[number]
+
+    def hold(self, seq: int, ts: datetime | None, content: str, stop: bool) -> None:
+        block = self._block(seq)
+        self.held += seq not in block
+        block[seq] = (seq, ts, content, stop)
+        self.changed.add(seq // BLOCK)
+
+    def take(self, seq: int) -> tuple | None:
+        """The chunk of this number, which is held no longer."""
+        found = self._block(seq).pop(seq, None) if self.held else None
+        if found is not None:
+            self.held -= 1
+            self.changed.add(seq // BLOCK)
+        return found
+
+    def store(self) -> None:
+        for number in self.changed:
+            block = self.blocks[number]
+            if block:
+                self.state.updateValue((number,), ([block[seq] for seq in sorted(block)],))
+            elif self.stored:
+                self.state.removeKey((number,))
+        self.blocks, self.changed, self.stored = {}, set(), self.held
+
+
+def _naive(ms: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(milliseconds=ms)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,7 +44,7 @@ def mark_stream(
         micros("ts").alias("ts_us"),
     )
     schema = T.StructType([prepared.schema[name] for name in shown]).add("edit", T.BooleanType())
-    return prepared.groupBy("reply_id").transformWithStateInPandas(
+    return prepared.groupBy("reply_id").transformWithState(
         ThrottleProcessor(cooldown_ms * 1000, shown, ttl_ms),
         schema,
         outputMode="Append",
@@ -58,22 +58,29 @@ class ThrottleProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "us bigint", self.ttl_ms)
-
-    def handleInputRows(
-        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
-        known = self.last.exists()
-        last = self.last.get()[0] if known else None
-        if not known and pd.notna(rows["entry_us"].iloc[0]):
-            last = int(rows["entry_us"].iloc[0])
-        columns = [rows[name].tolist() for name in ("may_edit", "end_of_message", "ts_us")]
-        edit, last = mark_edits(*columns, last, self.cooldown)
-        if rows["end_of_response"].any():
-            self.last.clear()
-        elif last is not None:
-            self.last.update((last,))
-        yield rows[self.shown].assign(edit=edit)
+        self.row = Row(*self.shown, "edit")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        # Updates without a reply's id are no group: each is judged as it comes.
+        for some in ([row] for row in rows) if key[0] is None else [rows]:
+            yield from self._judged(some)
+
+    def _judged(self, rows: Iterable[Row]) -> Iterator[Row]:
+        # A row without a time comes last, and no cooldown is over for it.
+        arrived = sorted(rows, key=lambda r: (r.ts_us is None, r.ts_us or 0, r.seq))
+        known = self.last.get()
+        last = known[0] if known else arrived[0].entry_us
+        times = [math.nan if r.ts_us is None else r.ts_us for r in arrived]
+        edit, last = mark_edits([r.may_edit for r in arrived], [r.end_of_message for r in arrived], times, last, self.cooldown)
+        if any(r.end_of_response for r in arrived):
+            if known:
+                self.last.clear()
+        elif last is not None and last == last:
+            if not known or known[0] != last or self.ttl_ms:
+                self.last.update((int(last),))
+        places = [arrived[0].__fields__.index(name) for name in self.shown]
+        for row, edited in zip(arrived, edit):
+            yield self.row(*[row[place] for place in places], edited)
 
     def close(self) -> None:
         pass

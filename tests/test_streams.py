@@ -11,7 +11,7 @@ from parley.sources.log import ADDED, new_log
 from parley.sources.settings import admins_table, commands_table
 from parley.sources.tables import empty_messages, empty_users
 from parley.streaming.conversations import answer_updates, stream_answers, stream_commands, stream_turns, user_states
-from parley.streaming.segments import segment_stream
+from parley.streaming.segments import EarlyChunks, segment_stream
 from parley.streaming.sinks import foreach_batch_sink, to_batch_folders
 from parley.streaming.throttle import throttle_stream
 from tests.support import dialogue_store, history, prompts_of
@@ -178,3 +178,37 @@ def test_commands_and_turns_share_a_log(spark):
     assert len(told) == 6  # a row per command, none rewritten
     states = {row.user_id: (row.system_prompt, row.cleared) for row in user_states(spark, checkpoint).collect()}
     assert states == {1: ("Be new", -1), 2: ("", 2), 9: ("default", -1)}
+
+
+class CountedMap(dict):
+    """A map state that counts how often it is asked."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return (self[key],) if key in self else None
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        (self[key],) = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        self.pop(key, None)
+
+
+def test_early_chunks_cost_a_look_at_the_state_per_block():
+    state = CountedMap()
+    early = EarlyChunks(state, 0)
+    for seq in range(1, 600):
+        early.hold(seq, None, f"w{seq}", False)
+    early.hold(7, None, "again", False)
+    early.store()
+    assert early.held == 599 and sorted(state) == [(0,), (1,), (2,)] and state.asked == 3
+    later = EarlyChunks(state, 599)
+    taken = [later.take(seq) for seq in range(1, 601)]
+    later.store()
+    assert taken[6] == (7, None, "again", False) and taken[599] is None
+    assert [one[0] for one in taken[:599]] == list(range(1, 600))
+    assert later.held == 0 and not state and state.asked <= 9
