@@ -8,6 +8,9 @@ counts add up to its own and no call holds more than a piece beyond the batch's
 - piece models (``.model``) begin every text with a blank and join nothing across a blank behind
   another sign, so a single blank between two visible ASCII signs may be cut out.
 
+With the default tokenizer the ids of words are remembered, as in packing, so a word goes to the
+library again only after it was forgotten. Other tokenizers encode every piece.
+
 A text without such a place, as one word of any length, is one piece.
 """
 
@@ -23,11 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from parley.llm.common import as_bytes
+from parley.llm.packing import WordIds
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bytes that are encoded in one call, and bytes from which on a text is cut.
 BATCH, PIECE = 1 << 20, 1 << 16
+#: Bytes of an id as ``WordIds`` gives it.
+ID_BYTES = 4
 #: A cut ends at the first group, and what follows it begins there.
 WORD_CUT = re.compile(rb"(?=[\x09-\x0D ])|(?<=[0-9])(?=[0-9A-Za-z])")
 PIECE_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
@@ -75,6 +81,9 @@ def _library(path: str) -> tuple[Callable[[list[str]], list[int]], re.Pattern]:
         words.no_truncation()
         words.no_padding()
         _same(lambda text: words.encode(text, add_special_tokens=False).ids, "a 1b", ["a", " 1", "b"], path)
+        if os.path.basename(path) == TOKENIZER:
+            known = WordIds(path)
+            return lambda texts: [len(ids) // ID_BYTES for ids in known.of(texts)], WORD_CUT
         return lambda texts: list(map(len, words.encode_batch_fast(texts, add_special_tokens=False))), WORD_CUT
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor

@@ -54,3 +54,14 @@ def test_pieces_of_a_text_add_up_wherever_it_is_cut(name):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         token_counts._library("words.txt")
+
+
+def test_a_word_goes_to_the_library_once(monkeypatch):
+    seen = []
+    learn = token_counts.WordIds._learn
+    monkeypatch.setattr(token_counts.WordIds, "_learn", lambda self, new: (seen.extend(new), learn(self, new))[1])
+    lengths, _ = token_counts._library(token_counts.tokenizer_path())
+    count = library(token_counts.TOKENIZER)
+    for _ in range(3):
+        assert lengths(["Spark word 12", "word  Spark!"]) == [count("Spark word 12"), count("word  Spark!")]
+    assert sorted(seen) == [b"12", b"Spark", b"Spark!", b"word"]
