@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, folder of tables) and returns a DataFrame, which is written and
 read again as the next stage's docs. A stage's statistics cover all that its predecessor kept.
+
+The tables that a stage makes on its way go when the next stage begins, but for those that its
+docs read, so they never add up. So a stage's rows are to be written before the next is called.
 """
 
 from __future__ import annotations
@@ -12,23 +15,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm import near_dedup, packing, quality, substring_dedup, toxicity
 from parley.llm.common import table, written
-
+from parley.session import drop_folder, new_folders
 
 #: Rows of an Arrow batch. Texts are whole, so a batch of the usual 10,000 takes much memory beside the heap.
 BATCH_ROWS = 1000
+#: Folders that stages have left, by application.
+LEFT: dict[str, list[str]] = {}
 
 
 def light(stage):
-    """A stage whose tasks hand few texts at a time to Python."""
+    """A stage whose tasks hand few texts at a time to Python, and which leaves no tables beyond the next."""
 
     @wraps(stage)
     def run_light(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        release(spark, docs)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, folder)
+        with new_folders() as made:
+            try:
+                return stage(spark, docs, folder)
+            finally:
+                LEFT.setdefault(spark.sparkContext.applicationId, []).extend(made)
 
     return run_light
 
 
+def release(spark: SparkSession, docs: DataFrame) -> None:
+    """Drops what earlier stages have left, but for the folders that ``docs`` still reads."""
+    left = LEFT.pop(spark.sparkContext.applicationId, [])
+    read = {part for file in docs.inputFiles() for part in file.split("/")} if left else set()
+    for folder in left:
+        if folder.rsplit("/", 1)[1] in read:
+            LEFT.setdefault(spark.sparkContext.applicationId, []).append(folder)
+        else:
+            drop_folder(spark, folder)
+
+
 @light
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose quality is accepted."""
@@ -75,5 +96,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = stage(spark, docs, sf_dir)
+        with new_folders() as made:
+            docs = written(kept, name.replace(" ", "-"))
+        LEFT.setdefault(spark.sparkContext.applicationId, []).extend(made)
+        release(spark, docs)
+    LEFT.pop(spark.sparkContext.applicationId, None)  # the result is the caller's
     return docs

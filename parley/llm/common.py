@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.session import new_folder
+from parley.session import drop_folder, new_folder
 
 #: Words that a task remembers something about, in each of two generations; only time and
 #: memory depend on it.
@@ -26,6 +27,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+@contextmanager
+def passing(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """``written`` for the block: what reads the table must have been written when it ends."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, purpose)
+    try:
+        df.write.parquet(folder)
+        yield spark.read.parquet(folder)
+    finally:
+        drop_folder(spark, folder)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

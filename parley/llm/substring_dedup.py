@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Powers, as_bytes, gram_hashes, map_batches, only, spaced_words, word_hashes, written
+from parley.llm.common import Powers, as_bytes, gram_hashes, map_batches, only, passing, spaced_words, word_hashes, written
 
 WINDOW = 35
 KMER = 8
@@ -187,12 +187,12 @@ def _marks(keyed: DataFrame) -> DataFrame:
     A document's marks are one row; there is at most one per window start of its text, also
     where rows repeat a text and its key.
     """
-    paths = written(_paths(keyed), "paths")
-    met = paths.groupBy("least").agg(
-        F.count("*").alias("n"), F.min("spelled").alias("low"), F.max("spelled").alias("high")
-    )
-    shared = met.filter("n > 1").select("least", (F.col("low") != F.col("high")).alias("branching"))
-    seen = written(paths.join(shared, "least"), "shared-paths")
+    with passing(_paths(keyed), "paths") as paths:
+        met = paths.groupBy("least").agg(
+            F.count("*").alias("n"), F.min("spelled").alias("low"), F.max("spelled").alias("high")
+        )
+        shared = met.filter("n > 1").select("least", (F.col("low") != F.col("high")).alias("branching"))
+        seen = written(paths.join(shared, "least"), "shared-paths")
     masks = _spelled_masks(keyed, seen.filter("branching"))
     whole = F.expr("shiftleft(1L, edges) - 1")
     plain = seen.filter("not branching").select(*KEY, "start", whole.alias("mask"))

@@ -47,3 +47,32 @@ def test_quality_runs_its_function_once_and_moves_no_text(spark, monkeypatch):
     monkeypatch.setattr(quality, "MOST_GROUPS", 0)
     assert sorted(r.doc_id for r in quality.accepted(docs, labels).collect()) == wanted
     assert wanted == sorted(r.doc_id for r in quality.scored(docs, labels).filter("kept").collect())
+
+
+def test_tables_of_a_stage_go_when_the_next_begins(spark, monkeypatch):
+    import os
+
+    from parley.session import shared_folder
+
+    root = shared_folder(spark).removeprefix("file://")
+    folders = lambda: {name for name in os.listdir(root) if name.startswith("parley-")}
+    docs, before = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(200), folders()
+    outputs, earlier = set(), set()
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, FOLDER)
+        assert not earlier & folders()
+        made = folders() - before - outputs
+        docs = corpus_pipeline.written(found, "out")
+        outputs |= folders() - before - outputs - made
+        earlier = made
+    corpus_pipeline.release(spark, docs)
+    assert folders() - before == outputs
+    # Rows that were not written before the next stage are still read from what the first one left.
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(200)
+    first = corpus_pipeline.near_dedup_stage(spark, docs, FOLDER)
+    wanted = first.count()
+    assert corpus_pipeline.substring_stage(spark, first, FOLDER).count() == wanted
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:4])
+    before = folders()
+    result = corpus_pipeline.run(spark, FOLDER)
+    assert result.count() and len(folders() - before) == 1
