@@ -8,8 +8,9 @@ change. So every occurrence of a word is drawn on its own, always from the same
 way. At a rate of 0 the segmentation is the model's own.
 
 The turns of a word form a tree: a turn's outcome decides the next turn. Branches are remembered
-once they were taken, and the words of a text walk through their trees together; a word that
-leaves its tree is merged by itself and adds its branch.
+once they were taken, and the words of some texts walk through their trees together. Words that
+leave their trees, or have none, are merged together, one turn of each at a time, and add their
+branches. Their symbols are rows of a matrix; a pair of symbols is looked up in a sorted array.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 import sys
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,14 @@ HIDDEN = "\ud800"
 #: No piece of the model holds a line break or a mark after another character, so words with
 #: the blanks before them are merged on their own.
 WORD = re.compile(r"\n| *[^ \n]+| +")
-NO_PIECE = float("inf")
-#: Symbols of a word up to which its agenda is a plain list.
-SHORT_WORD = 48
+#: The rank of a pair that makes no piece.
+NO_PIECE = np.iinfo(np.int32).max
+#: Code points, and so symbols that are no pieces.
+CODES = 0x110000
+#: Symbols of a word up to which it is merged together with others, and how many words are.
+SHORT_WORD, MERGED = 48, 1 << 14
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 20
 #: Turns that the trees of a task remember, at most, but for those of one text.
 TURNS = 2_000_000
 WRAP = (1 << 64) - 1
@@ -66,7 +73,8 @@ class Pieces:
         self.turns: dict[str, int] = {}
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
-        for number in range(model.get_piece_size()):
+        self.size = model.get_piece_size()
+        for number in range(self.size):
             piece = model.id_to_piece(number)
             if model.is_byte(number):
                 value = int(piece[3:5], 16)
@@ -78,12 +86,77 @@ class Pieces:
                 self.ids[piece], self.ranks[piece] = number, -model.get_score(number)
                 self.turns[piece] = xxhash.xxh3_64_intdigest(piece.encode())
                 self.bytes.append(piece.replace(MARK, " ").encode())
+        self._paired()
+
+    def _paired(self) -> None:
+        """Numbers of symbols and pairs of them. A piece has its id, any other sign its code point behind the ids."""
+        #: The symbol of each code point in a text, where a blank is written as a mark.
+        self.symbols = np.arange(CODES, dtype=np.int64) + self.size
+        for piece, number in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = number
+        self.symbols[ord(" ")] = self.symbols[ord(MARK)]
+        self.symbols[ord(MARK)] = self.size + ord(HIDDEN)
+        #: What fills a row behind its word.
+        self.none, self.room = self.size + CODES, self.size + CODES + 1
+        parts, made = [], []
+        for piece, number in self.ids.items():
+            for cut in range(1, len(piece)):
+                pair = [self._symbol(part) for part in (piece[:cut], piece[cut:])]
+                if None not in pair:
+                    parts.append(pair[0] * self.room + pair[1])
+                    made.append(number)
+        order = np.argsort(np.array(parts, np.int64))
+        #: The pairs that make a piece, with it and its rank; the last stands for all others.
+        self.pairs = np.append(np.array(parts, np.int64)[order], np.iinfo(np.int64).max)
+        self.made = np.append(np.array(made, np.int64)[order], 0)
+        rank, self.turn_of = np.zeros(self.size, np.int32), np.zeros(self.size, np.uint64)
+        numbers = list(self.ids.values())
+        rank[numbers] = np.unique(list(self.ranks.values()), return_inverse=True)[1]
+        self.turn_of[numbers] = list(self.turns.values())
+        self.pair_ranks = rank[self.made]
+        self.pair_ranks[-1] = NO_PIECE
+        self.bytes_of = pa.array(self.bytes, pa.large_binary())
+        self.spelled = np.array(self.byte_ids, np.uint32)
+
+    def _symbol(self, part: str) -> int | None:
+        number = self.ids.get(part)
+        return self.size + ord(part) if number is None and len(part) == 1 else number
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of symbols."""
+        pair = left * self.room + right
+        at = np.searchsorted(self.pairs, pair)
+        at[self.pairs[at] != pair] = -1
+        return self.pair_ranks[at], self.made[at]
+
+    def named(self, symbol: int) -> str:
+        if symbol >= self.size:
+            return chr(symbol - self.size)
+        return self.bytes[symbol].decode().replace(" ", MARK)
+
+    def ids_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each symbol has): a sign that is no piece has those of its bytes."""
+        unknown = symbols >= self.size
+        counts = np.ones(len(symbols), np.int64)
+        codes = symbols[unknown] - self.size
+        codes[codes == ord(HIDDEN)] = ord(MARK)
+        counts[unknown] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        ids, spelled = np.empty(counts.sum(), np.uint32), np.repeat(unknown, counts)
+        ids[~spelled] = symbols[~unknown]
+        ids[spelled] = self.spelled[np.frombuffer("".join(map(chr, codes.tolist())).encode(), np.uint8)]
+        return ids, counts
 
     def decoded(self, ids: list[int]) -> bytes:
         """The text; the blank that encoding puts before it goes again."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 class Segmenter:
     """Ids of texts as little-endian 32-bit bytes; ``document`` is the key of the present one."""
 
@@ -94,73 +167,178 @@ class Segmenter:
         self._forget()
 
     def _forget(self) -> None:
-        #: word -> its first turn, or None if it has no tree: it was met once so far, or is too long.
-        self.first: dict[str, int | None] = {}
+        #: word -> its first turn, or -1 if it has no tree: it was met once so far, or is too long.
+        self.first: dict[str, int] = {}
         #: Of each turn: the number of its place and piece, and what follows if it is merged or skipped. An end
         #: follows itself. -1 is not known yet.
         self.turn, self.merged, self.skipped = (np.zeros(1 << 12, kind) for kind in (np.uint64, np.int32, np.int32))
         self.count = 0
-        #: The ids of each end.
-        self.ends: dict[int, bytes] = {}
+        #: Of each end: where its ids begin, and how many it has.
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids, self.filled = np.zeros(1 << 12, np.uint32), 0
 
     def encoded(self, text: str) -> bytes:
         """Ids of a text. A literal mark is spelled in bytes, so it is not taken for a blank."""
-        if not text:
-            return b""
+        return self.encoded_all([text], [self.document])[0].tobytes()
+
+    def encoded_all(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """The ids of some texts, by the keys of their documents."""
         if self.count > TURNS or len(self.first) > REMEMBERED_WORDS:
             self._forget()
-        words = WORD.findall(" " + text)
-        first = self.first
-        starts = [start if (start := first.get(word)) is not None else self._met(word) for word in words]
-        drawn = self._occurrences(len(words))
-        at = np.array([-1 if start is None else start for start in starts], np.int64)
-        before = at.copy()
-        active = np.flatnonzero(at >= 0)
+        split = [WORD.findall(" " + text) if text else [] for text in texts]
+        words = [word for own in split for word in own]
+        sizes = np.array(list(map(len, split)), np.int64)
+        drawn = self._drawn(documents, sizes)
+        at = self._begun(words)
+        before, active = at.copy(), np.flatnonzero(at >= 0)
         while len(active):
             now = at[active]
-            draws = _draws(drawn[active], self.turn[now])
-            then = np.where(draws < np.uint64(self.limit), self.skipped[now], self.merged[now])
+            then = np.where(self._skipped(drawn[active], self.turn[now]), self.skipped[now], self.merged[now])
             at[active] = then
             active = active[(then >= 0) & (then != now)]
-        ends, out = self.ends, []
-        for place, end in enumerate(at.tolist()):
-            out.append(ends[end] if end >= 0 else self._alone(words[place], int(drawn[place]), int(before[place])))
-        return b"".join(out)
+        # Ends' ids are read where they are remembered; those of words merged now are put behind them.
+        left, length = np.flatnonzero(at < 0), np.zeros(len(words), np.int64)
+        start = length.copy()
+        known = np.flatnonzero(at >= 0)
+        start[known], length[known] = self.begin[at[known]], self.size[at[known]]
+        pool, filled = [self.ids[: self.filled]], self.filled
+        size = np.fromiter((len(words[i]) for i in left.tolist()), np.int64, len(left))
+        long = size > SHORT_WORD
+        short = left[~long][np.argsort(size[~long], kind="stable")]
+        for some in (short[i : i + MERGED] for i in range(0, len(short), MERGED)):
+            node = before[some]
+            symbols, row = self._merged_together([words[i] for i in some.tolist()], drawn[some], node)
+            ids, counts = self.pieces.ids_of(symbols)
+            length[some] = own = np.bincount(row, counts, len(some)).astype(np.int64)
+            start[some] = filled + np.cumsum(own) - own
+            self._ended(node, ids, own)
+            pool.append(ids)
+            filled += len(ids)
+        for i in left[long].tolist():
+            symbols = list(words[i].replace(MARK, HIDDEN).replace(" ", MARK))
+            ids = np.frombuffer(self._ids(self._merged_long(symbols, int(drawn[i]))), "<u4")
+            start[i], length[i] = filled, len(ids)
+            pool.append(ids)
+            filled += len(ids)
+        end = np.cumsum(length)
+        whole = np.concatenate(pool)[np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)]
+        borders = np.append(0, end)[np.append(0, np.cumsum(sizes))].tolist()
+        whole = whole.astype("<u4", copy=False)
+        return [whole[a:b] for a, b in zip(borders, borders[1:])]
 
     def _occurrences(self, count: int) -> np.ndarray:
         """A number for each word of the text, by the seed, the document and the word's position."""
-        key = xxhash.xxh3_64_intdigest(b"%d %d" % (self.seed, self.document))
-        return mixed(np.arange(count, dtype=np.uint64) * MULTIPLIER + np.uint64(key))
-
-    def _met(self, word: str) -> int | None:
-        """A tree is begun when a word comes again; many come once."""
-        self.first[word] = self._node(0, -1) if word in self.first and len(word) <= SHORT_WORD else None
-        return self.first[word]
-
-    def _node(self, turn: int, follows: int) -> int:
-        if self.count == len(self.turn):
-            self.turn, self.merged, self.skipped = (np.concatenate([a, np.zeros_like(a)]) for a in (self.turn, self.merged, self.skipped))
-        self.turn[self.count], self.merged[self.count], self.skipped[self.count] = turn, follows, follows
-        self.count += 1
-        return self.count - 1
-
-    def _alone(self, word: str, drawn: int, at: int) -> bytes:
-        """The ids of one occurrence, whose turns join the tree that begins at ``at``."""
-        symbols = list(word.replace(MARK, HIDDEN).replace(" ", MARK))
-        if at < 0:
-            return self._ids((self._merged if len(symbols) <= SHORT_WORD else self._merged_long)(symbols, drawn))
-        turns: list[tuple[int, bool]] = []
-        ids = self._ids(self._merged(symbols, drawn, turns))
-        for turn, skip in turns:
-            self.turn[at] = turn
-            follows = self.skipped if skip else self.merged
-            if follows[at] < 0:
-                node = self._node(0, -1)
-                (self.skipped if skip else self.merged)[at] = node
-            at = int((self.skipped if skip else self.merged)[at])
-        self.merged[at] = self.skipped[at] = at
-        self.ends[at] = ids
-        return ids
+        return self._drawn([self.document], np.array([count]))
+
+    def _drawn(self, documents: list[int], counts: np.ndarray) -> np.ndarray:
+        keys = [xxhash.xxh3_64_intdigest(b"%d %d" % (self.seed, document)) for document in documents]
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return mixed(place.astype(np.uint64) * MULTIPLIER + np.repeat(np.array(keys, np.uint64), counts))
+
+    def _begun(self, words: list[str]) -> np.ndarray:
+        """The first turns of words. A tree is begun when a word comes again; many come once."""
+        first = self.first
+        at = np.array([first.get(word, -1) for word in words], np.int64)
+        without = np.flatnonzero(at < 0)
+        node = self._nodes(len(without))
+        for i in without.tolist():
+            word = words[i]
+            known = first.setdefault(word, -2)
+            if known == -2:
+                first[word] = -1
+            elif known == -1 and len(word) <= SHORT_WORD:
+                first[word] = at[i] = node
+                node += 1
+            else:
+                at[i] = known
+        self.count = node
+        return at
+
+    def _nodes(self, more: int) -> int:
+        """The first of some new turns of which nothing is known."""
+        start = self.count
+        self.count += more
+        while self.count > len(self.turn):
+            self.turn, self.merged, self.skipped, self.begin, self.size = (
+                np.concatenate([a, np.zeros_like(a)]) for a in (self.turn, self.merged, self.skipped, self.begin, self.size)
+            )
+        self.turn[start : self.count] = 0
+        self.merged[start : self.count] = self.skipped[start : self.count] = -1
+        return start
+
+    def _skipped(self, drawn: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        return _draws(drawn, turns) < np.uint64(self.limit)
+
+    def _ended(self, node: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remembers the ids of the ends that words have come to; ``node`` is -1 for words without a tree."""
+        node, at = np.unique(node, return_index=True)
+        node, at = node[node >= 0], at[node >= 0]
+        self.merged[node] = self.skipped[node] = node
+        size = counts[at]
+        end = np.cumsum(size)
+        total = int(size.sum())
+        self.begin[node], self.size[node] = self.filled + end - size, size
+        while self.filled + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        first = (np.cumsum(counts) - counts)[at]
+        self.ids[self.filled : self.filled + total] = ids[np.repeat(first - end + size, size) + np.arange(total)]
+        self.filled += total
+
+    def _grown(self, node: np.ndarray, rows: np.ndarray, turns: np.ndarray, skip: np.ndarray) -> None:
+        """Takes words to what follows their turns, which is remembered."""
+        own = node[rows] >= 0
+        rows, turns, skip = rows[own], turns[own], skip[own]
+        at = node[rows]
+        self.turn[at] = turns
+        then = np.where(skip, self.skipped[at], self.merged[at])
+        new = then < 0
+        distinct, which = np.unique(2 * at[new] + skip[new], return_inverse=True)
+        number = self._nodes(len(distinct)) + np.arange(len(distinct))
+        odd = distinct & 1 == 1
+        self.skipped[distinct[odd] >> 1], self.merged[distinct[~odd] >> 1] = number[odd], number[~odd]
+        then[new] = number[which]
+        node[rows] = then
+
+    def _merged_together(self, words: list[str], drawn: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols after all merges, their words), a turn of every word at a time.
+
+        ``node`` holds the first turns of the words' trees, or -1, and is brought to their ends.
+        """
+        pieces, size = self.pieces, np.fromiter(map(len, words), np.int64, len(words))
+        stride = int(size.max()) + 1  # a column behind every word
+        place = np.arange(size.sum()) + np.repeat(np.arange(len(words)) * stride - np.cumsum(size) + size, size)
+        symbol = np.full(len(words) * stride, pieces.none, np.int64)
+        symbol[place] = pieces.symbols[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        rank, piece = np.full(len(symbol), NO_PIECE, np.int32), np.zeros(len(symbol), np.int64)
+        rank[place], piece[place] = pieces.joined(symbol[place], symbol[place + 1])
+        ranks = rank.reshape(-1, stride)
+        column = np.tile(np.arange(stride), len(words))
+        #: The columns of the symbols beside each symbol.
+        after, before = column + 1, column - 1
+        active = np.arange(len(words))
+        while True:
+            at = ranks[active].argmin(axis=1)
+            here = active * stride + at
+            more = rank[here] < NO_PIECE
+            active, at, here = active[more], at[more], here[more]
+            if not len(active):
+                break
+            made = piece[here]
+            turns = pieces.turn_of[made] + at.astype(np.uint64) * np.uint64(FACTORS[0])
+            skip = self._skipped(drawn[active], turns)
+            self._grown(node, active, turns, skip)
+            rank[here[skip]] = NO_PIECE
+            begin, at, here, made = (some[~skip] for some in (active * stride, at, here, made))
+            right = begin + after[here]
+            symbol[here], symbol[right], rank[right] = made, -1, NO_PIECE
+            after[here] = after[right]
+            follower, leader = begin + after[here], begin + before[here]
+            before[follower] = at
+            own = before[here] >= 0
+            left = np.concatenate([here, leader[own]])
+            rank[left], piece[left] = pieces.joined(symbol[left], np.concatenate([symbol[follower], made[own]]))
+        place = np.flatnonzero((symbol >= 0) & (symbol != pieces.none))
+        return symbol[place], place // stride
 
     def _ids(self, symbols: list[str]) -> bytes:
         ids = array("I")
@@ -184,33 +362,14 @@ class Segmenter:
         """A number for the characters before a merge and its piece."""
         return self.pieces.turns[piece] + place * FACTORS[0] & WRAP
 
-    def _merged(self, symbols: list[str], word: int, turns: list[tuple[int, bool]] | None = None) -> list[str]:
-        """The symbols after all merges. The agenda is a list of ranks: few words are long.
-
-        ``turns`` takes the turns and whether they were skipped.
-        """
-        ranks, places = self.pieces.ranks, list(range(len(symbols)))
-        agenda = [ranks.get(one + other, NO_PIECE) for one, other in zip(symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) < NO_PIECE:
-            at = agenda.index(best)
-            piece = symbols[at] + symbols[at + 1]
-            turn = self._turn(places[at], piece)
-            skip = self._skips(word, turn)
-            if turns is not None:
-                turns.append((turn, skip))
-            if skip:
-                agenda[at] = NO_PIECE
-                continue
-            symbols[at] = piece
-            del symbols[at + 1], places[at + 1], agenda[at]
-            if at < len(agenda):
-                agenda[at] = ranks.get(piece + symbols[at + 1], NO_PIECE)
-            if at:
-                agenda[at - 1] = ranks.get(symbols[at - 1] + piece, NO_PIECE)
-        return symbols
+    def _merged(self, symbols: list[str], word: int) -> list[str]:
+        """The symbols of one short word after all merges."""
+        text = "".join(symbols).replace(MARK, " ").replace(HIDDEN, MARK)
+        found, _ = self._merged_together([text], np.array([word], np.uint64), np.array([-1]))
+        return [self.pieces.named(symbol) for symbol in found.tolist()]
 
     def _merged_long(self, symbols: list[str], word: int) -> list[str]:
-        """The same with the agenda as a heap, for words without blanks of any length."""
+        """The same for words of any length; the agenda is a heap."""
         ranks, count = self.pieces.ranks, len(symbols)
         after, before = list(range(1, count + 1)), list(range(-1, count - 1))
         agenda = [(ranks[p], at, p) for at in range(count - 1) if (p := symbols[at] + symbols[at + 1]) in ranks]
@@ -250,26 +409,51 @@ def segmented(
     path = model or model_path()
 
     def encode(batches):
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         segmenter = Segmenter(pieces, seed, dropout)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                text = text or b""
-                variant = segmenter.document = _variant(seed, doc_id)
-                ids = segmenter.encoded(text.decode())
-                back = pieces.decoded(np.frombuffer(ids, "<u4").tolist())
-                rows.append((doc_id, variant, len(ids) // 4, zlib.crc32(ids), back == text, ids))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-            names = ["doc_id", "variant", "n_pieces", "ids_crc32", "lossless", "ids"]
-            yield {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)}
+        for doc_ids, texts in _portions(batches):
+            variants = [_variant(seed, doc_id) for doc_id in doc_ids]
+            found = segmenter.encoded_all([text.decode() for text in texts], variants)
+            rows = [(len(ids), zlib.crc32(ids), back == text, ids) for ids, back, text in zip(found, _back(pieces, found), texts)]
+            n_pieces, checks, lossless, ids = (list(column) for column in zip(*rows))
+            yield {
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "variant": pa.array(variants, pa.int64()),
+                "n_pieces": pa.array(n_pieces, pa.int64()),
+                "ids_crc32": pa.array(checks, pa.int64()),
+                "lossless": pa.array(lossless, pa.bool_()),
+                "ids": pa.array([own.tobytes() if with_ids else None for own in ids], pa.binary()),
+            }
 
     schema = "doc_id bigint, variant bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean"
     schema += ", ids binary" if with_ids else ""
     return map_batches(documents.select("doc_id", as_bytes("text").alias("text")), encode, schema)
 
 
+def _portions(batches):
+    """(doc_ids, texts) of about ``TOGETHER`` bytes; null texts are empty ones."""
+    for batch in batches:
+        doc_ids, texts, size = [], [], 0
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            doc_ids.append(doc_id)
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if size >= TOGETHER:
+                yield doc_ids, texts
+                doc_ids, texts, size = [], [], 0
+        if doc_ids:
+            yield doc_ids, texts
+
+
+def _back(pieces: Pieces, found: list[np.ndarray]) -> list[bytes]:
+    """The texts of some texts' ids, without the blanks that encoding puts before them."""
+    whole = pieces.bytes_of.take(pa.array(np.concatenate(found).astype(np.int64)))
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1]
+    borders = ends[np.cumsum([0, *map(len, found)])].tolist()
+    data = memoryview(whole.buffers()[2] or b"")
+    return [bytes(data[min(a + 1, b) : b]) for a, b in zip(borders, borders[1:])]
+
+
 def _variant(seed: int, doc_id: int | None) -> int:
     return 0 if doc_id is None else xxhash.xxh3_64_intdigest(b"%d %d" % (seed, doc_id)) >> 1
 

@@ -148,6 +148,34 @@ def test_every_occurrence_of_a_word_is_drawn_on_its_own(docs):
     assert len({r.ids_crc32 for r in found}) == 40 and all(r.lossless for r in found)
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_words_of_many_texts_are_merged_together(rate, monkeypatch):
+    pieces = piece_codec.Pieces(piece_codec.model_path())
+    draw = random.Random(2)
+    made = [" ".join("".join(draw.choices("abetionsré▁漢\U0010ffff", k=draw.randrange(1, 60))) for _ in range(30)) for _ in range(20)]
+    texts = [text or "" for text in TEXTS] + made + [made[0] + "\n" + made[1], made[0]]
+    documents = [*range(len(texts) - 1), 13]
+    segmenter, steps = piece_codec.Segmenter(pieces, 6, rate), []
+    wanted = []
+    for text, segmenter.document in zip(texts, documents):
+        words = piece_codec.WORD.findall(" " + text) if text else []
+        symbols = [list(word.replace("▁", piece_codec.HIDDEN).replace(" ", "▁")) for word in words]
+        drawn = segmenter._occurrences(len(words)).tolist()
+        wanted.append(b"".join(segmenter._ids(segmenter._merged_long(own, word)) for own, word in zip(symbols, drawn)))
+    for most, turns in ((piece_codec.MERGED, piece_codec.TURNS), (7, 100)):
+        monkeypatch.setattr(piece_codec, "MERGED", most)
+        monkeypatch.setattr(piece_codec, "TURNS", turns)
+        segmenter = piece_codec.Segmenter(pieces, 6, rate)
+        merged = segmenter._merged_together
+        segmenter._merged_together = lambda *own, run=merged: (steps.append(len(own[0])), run(*own))[1]
+        for _ in range(3):
+            found = segmenter.encoded_all(texts, documents)
+            assert [ids.tobytes() for ids in found] == wanted
+            assert piece_codec._back(pieces, found) == [text.encode() for text in texts]
+    assert max(steps) > 1000  # not word by word
+    assert segmenter.encoded_all([], []) == [] and segmenter.encoded("") == b""
+
+
 def test_measures_equal_brute_force(docs):
     blanks = re.compile(r"[^\x20\x09-\x0D]+")
 
