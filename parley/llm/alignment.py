@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,14 +118,15 @@ class Tokenizers:
         self.bytes_a = [entries.get(i, b"") for i in range(max([*entries, *special]) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.model.vocab_size())]
         self.sizes = [np.array(list(map(len, some)), np.int64) for some in (self.bytes_a, self.bytes_b)]
+        self.spelled = [pa.array(some, pa.large_binary()) for some in (self.bytes_a, self.bytes_b)]
 
     def _piece(self, number: int) -> bytes:
         piece = self.model.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(number) else piece.replace("▁", " ").encode()
 
-    def first(self, text: str) -> list[int]:
+    def first(self, text: str) -> np.ndarray | list[int]:
         if not LONG_BLANK.search(text):
-            return self.fast.encode_ordinary(text)
+            return self.fast.encode_to_numpy(text)  # there are no special tokens
         if self.whole is None:
             from tokenizers import Tokenizer
 
@@ -134,7 +136,7 @@ class Tokenizers:
 
     def of(self, texts: list[bytes | None]) -> Batch:
         """Tokens of the texts that both tokenizers give back, one behind the other."""
-        rows, a, b = [], [], []
+        rows, found, wanted = [], ([], []), []
         for row, text in enumerate(texts):
             if not text:
                 continue
@@ -142,13 +144,31 @@ class Tokenizers:
                 shown = text.decode()
             except UnicodeDecodeError:
                 continue
-            found_a, found_b = self.first(" " + shown), self.model.encode(shown)
-            text = b" " + text
-            if b"".join(map(self.bytes_a.__getitem__, found_a)) == text == b"".join(map(self.bytes_b.__getitem__, found_b)):
-                rows.append(row)
-                a.append(found_a)
-                b.append(found_b)
-        return Batch(len(texts), rows, a, b, self.sizes)
+            rows.append(row)
+            found[0].append(self.first(" " + shown))
+            found[1].append(self.model.encode(shown))
+            wanted.append(b" " + text)
+        tokens = [np.array(list(map(len, some)), np.int64) for some in found]
+        ids = [
+            np.concatenate([np.empty(0, np.int64), *found[0]]).astype(np.int64),
+            np.fromiter(chain.from_iterable(found[1]), np.int64, tokens[1].sum()),
+        ]
+        whole = np.ones(len(rows), bool)
+        for own, some, spelled in zip(ids, tokens, self.spelled):
+            whole &= np.array([one == other for one, other in zip(_spelled(own, some, spelled), wanted)], bool)
+        if not whole.all():
+            ids = [own[np.repeat(whole, some)] for own, some in zip(ids, tokens)]
+            rows, tokens = np.array(rows, np.int64)[whole], [some[whole] for some in tokens]
+        return Batch(len(texts), rows, ids, tokens, self.sizes)
+
+
+def _spelled(ids: np.ndarray, tokens: np.ndarray, spelled: pa.Array):
+    """The bytes of each text's tokens."""
+    whole = spelled.take(pa.array(ids))
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[: len(whole) + 1]
+    borders = ends[np.cumsum(np.append(0, tokens))].tolist()
+    data = memoryview(whole.buffers()[2] or b"")
+    return (bytes(data[a:b]) for a, b in zip(borders, borders[1:]))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -161,20 +181,25 @@ def _byte_letters() -> dict[str, int]:
 class Batch:
     """Some texts' tokens in groups. Groups never reach across texts, as both tokenizers end there."""
 
-    def __init__(self, texts: int, rows: list[int], a: list, b: list, sizes: list[np.ndarray]) -> None:
-        self.rows = np.array(rows, np.int64)
-        self.ids = [np.fromiter((i for ids in some for i in ids), np.int64, sum(map(len, some))) for some in (a, b)]
+    def __init__(self, texts: int, rows, ids: list[np.ndarray], tokens: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """``ids`` of all texts, and how many ``tokens`` each of ``rows`` has of them."""
+        self.rows, self.ids = np.array(rows, np.int64), ids
         self.tokens = [np.zeros(texts, np.int64) for _ in "ab"]
-        for out, some in zip(self.tokens, (a, b)):
-            out[self.rows] = list(map(len, some))
-        ends = [np.cumsum(size[ids]) for size, ids in zip(sizes, self.ids)]
-        common = np.intersect1d(*ends, assume_unique=True)
+        for out, some in zip(self.tokens, tokens):
+            out[self.rows] = some
+        ends = [np.cumsum(size[own]) for size, own in zip(sizes, ids)]
+        # Both have the same bytes, so ends are marked by place.
+        marks = [np.zeros(end[-1] + 1 if len(end) else 1, bool) for end in ends]
+        for mark, end in zip(marks, ends):
+            mark[end] = True
+        last = [mark[end] for mark, end in zip(reversed(marks), ends)]
+        groups = int(last[0].sum())
         #: The group of each token, each group's tokens, and the text of each group.
-        self.group = [np.searchsorted(common, end) for end in ends]
-        self.held = [np.bincount(group, minlength=len(common)) for group in self.group]
+        self.group = [np.cumsum(some) - some for some in last]
+        self.held = [np.bincount(group, minlength=groups) for group in self.group]
         self.begin = [np.cumsum(held) - held for held in self.held]
-        self.text = np.repeat(np.arange(texts), self.tokens[0])[self.begin[0]] if len(common) else np.empty(0, np.int64)
-        self.texts = texts
+        self.text = np.repeat(np.arange(texts), self.tokens[0])[self.begin[0]] if groups else np.empty(0, np.int64)
+        self.texts, self.span = texts, len(sizes[0]) * len(sizes[1])
 
     def groups(self) -> np.ndarray:
         return np.bincount(self.text, minlength=self.texts)
@@ -183,22 +208,34 @@ class Batch:
         """(text, pair, times), each pair of a text once; a pair is A's id times B's ids, plus B's id."""
         products = self.held[0] * self.held[1]
         large = products > EXPANDED
-        found = [self._small(np.flatnonzero(~large), products, size_b)]
-        found += [part for group in np.flatnonzero(large) for part in self._large(group, size_b)]
-        text, pair, times = (np.concatenate(some) for some in zip(*found))
-        order = np.lexsort((pair, text))
-        text, pair = text[order], pair[order]
-        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])) if len(text) else order
-        return text[new], pair[new], np.add.reduceat(times[order], new) if len(new) else times
-
-    def _small(self, groups: np.ndarray, products: np.ndarray, size_b: int):
+        # Text and pair are one number, which is faster to sort.
+        single, small = (np.flatnonzero(some & ~large) for some in (products == 1, products > 1))
+        key = np.concatenate([self._single(single, size_b), self._small(small, products, size_b)])
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        key, times = key[new], np.diff(np.append(new, len(key)))
+        if large.any():
+            found = [(key, times), *(part for group in np.flatnonzero(large) for part in self._large(group, size_b))]
+            key, times = (np.concatenate(some) for some in zip(*found))
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, times = key[new], np.add.reduceat(times, new)
+        return *np.divmod(key, self.span), times
+
+    def _single(self, groups: np.ndarray, size_b: int) -> np.ndarray:
+        """The links of groups of one token each."""
+        a, b = (ids[begin[groups]] for ids, begin in zip(self.ids, self.begin))
+        return self.text[groups] * self.span + a * size_b + b
+
+    def _small(self, groups: np.ndarray, products: np.ndarray, size_b: int) -> np.ndarray:
         """All links of some groups; each has at most ``EXPANDED``."""
         total = products[groups]
         group = np.repeat(groups, total)
         within = np.arange(len(group)) - np.repeat(np.cumsum(total) - total, total)
         a = self.ids[0][self.begin[0][group] + within // self.held[1][group]]
         b = self.ids[1][self.begin[1][group] + within % self.held[1][group]]
-        return self.text[group], a * size_b + b, np.ones(len(a), np.int64)
+        return self.text[group] * self.span + a * size_b + b
 
     def _large(self, group: int, size_b: int):
         """The distinct links of one group, with their times, some of A's ids at a time."""
@@ -209,7 +246,7 @@ class Batch:
         step = max(EXPANDED // len(b), 1)
         for at in range(0, len(a), step):
             pair = (a[at : at + step, None] * size_b + b).ravel()
-            yield np.full(len(pair), self.text[group]), pair, (times_a[at : at + step, None] * times_b).ravel()
+            yield self.text[group] * self.span + pair, (times_a[at : at + step, None] * times_b).ravel()
 
     def written_groups(self, names: tuple[pa.Array, pa.Array]) -> list[str]:
         """SHA-256 of each text's groups as ids: `a1,a2|b1;a3|b2,b3`."""

@@ -89,3 +89,33 @@ def test_hashes_are_minimal_and_perfect():
         found = PerfectHash.loaded(PerfectHash.of(numbers).dumped())
         assert sorted(found.index(numbers).tolist()) == list(range(len(numbers))) and found.size == len(numbers)
         found.index(np.arange(100))  # unknown numbers do no harm
+
+
+def test_a_text_that_is_not_given_back_leaves_its_neighbours(monkeypatch):
+    paths = alignment.tokenizer_path(alignment.FIRST), alignment.tokenizer_path(alignment.SECOND)
+    tokenizers = alignment.Tokenizers(*paths)
+    some = ["one word", "unbelievably odd", "it's 12.5 é漢", "x y"]
+    alone = [tokenizers.of([text.encode()]) for text in some]
+    model, size_b = tokenizers.model, len(tokenizers.bytes_b)
+
+    class Wrong:
+        def encode(self, text):
+            return model.encode(text) if text != "bad" else model.encode("dab")
+
+    tokenizers.model = Wrong()
+    mixed = [b"bad", some[0].encode(), None, some[1].encode(), b"\xff", b"bad", some[2].encode(), b"", some[3].encode(), b"bad"]
+    found = tokenizers.of(mixed)
+    places = [1, 3, 6, 8]
+    assert found.rows.tolist() == places and found.groups()[[0, 2, 4, 5, 7, 9]].sum() == 0
+    assert found.groups()[places].tolist() == [own.groups()[0] for own in alone]
+    names = alignment._written_ids(tokenizers)
+    assert [found.written_groups(names)[place] for place in places] == [own.written_groups(names)[0] for own in alone]
+    for most in (alignment.EXPANDED, 0):
+        monkeypatch.setattr(alignment, "EXPANDED", most)
+        text, pair, times = found.links(size_b)
+        for place, own in zip(places, alone):
+            assert pair[text == place].tolist() == own.links(size_b)[1].tolist()
+            assert times[text == place].sum() == (own.held[0] * own.held[1]).sum()
+        assert (np.diff(text) >= 0).all()
+    nothing = tokenizers.of([b"bad", None])
+    assert [len(column) for column in nothing.links(size_b)] == [0, 0, 0] and nothing.written_groups(names) == ["", ""]
