@@ -3,13 +3,15 @@
 Byte offsets where tokens of both end cut a text's tokens into groups; in a group every token of one
 is linked with every token of the other.
 
-1. A first pass aligns all documents. Each task counts the documents that hold a pair, so what
-   leaves it is one run of (pair, count) per shard of pairs, however often the pairs occur.
-2. The shards' distinct pairs are united in a tree of ``FAN`` runs a step, and a minimal perfect hash
+1. One pass aligns all documents and writes each one's own numbers, its distinct pairs and how often it
+   has them; nothing is encoded twice.
+2. Each task counts the documents that hold a pair, so what leaves it is one run of (pair, count) per shard
+   of pairs, however often the pairs occur.
+3. The shards' distinct pairs are united in a tree of ``FAN`` runs a step, and a minimal perfect hash
    of each shard's pairs is built. A run's counts become a dense vector by that hash, and the
    vectors are summed in a tree too. No step holds more than ``FAN`` runs or vectors of one shard, and
    a shard has at most |A| * |B| / ``SHARDS`` pairs whatever the input.
-3. A second pass aligns all documents again and looks up their pairs: the hash gives a place, where the
+4. The documents' pairs are looked up: the hash gives a place, where the
    pair's own id is verified. Hashes, ids and counts are broadcast up to ``MOST_BROADCAST`` bytes. That
    many pairs and more are joined instead: then documents' pairs go to the counts. The highest count
    of an A id is always broadcast, as there are no more of them than A has ids.
@@ -36,6 +38,8 @@ SHARDS, FAN = 64, 16
 MOST_BROADCAST = 128 << 20
 #: Bytes of text that are aligned together, links that are expanded together, pairs that a task holds.
 BATCH, EXPANDED, HELD = 1 << 20, 1 << 21, 1 << 22
+#: Pairs of whole documents that are counted or looked up together.
+TOGETHER = 1 << 18
 #: The regular expressions of the fast encoder fail on much longer white space.
 LONG_BLANK = re.compile(r"\s{4096}")
 RUNS = "shard int, part bigint, pairs binary, counts binary"
@@ -56,20 +60,20 @@ def aligned(documents: DataFrame, first: str | None = None, second: str | None =
     ``n_best`` counts ties. Special strings in a text are plain text.
     """
     paths = first or tokenizer_path(FIRST), second or tokenizer_path(SECOND)
-    counts = pair_counts(documents, *paths)
-    best = counts.mapInArrow(_highest(paths), "a bigint, n bigint").groupBy("a").agg(F.max("n").alias("n")).toPandas()
-    size = counts.agg(F.sum(F.length("pairs") + F.length("counts") + F.aggregate("levels", F.lit(0), lambda n, b: n + F.length(b)))).first()[0]
     texts = documents.select("doc_id", as_bytes("text").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = written(texts.mapInArrow(_aligned(paths), f"doc_id {kind}, {LOCAL}, {SHA}, {HELD_PAIRS}"), "aligned")
+    counts = pair_counts(rows)
+    best = counts.mapInArrow(_highest(paths), "a bigint, n bigint").groupBy("a").agg(F.max("n").alias("n")).toPandas()
+    size = counts.agg(F.sum(F.length("pairs") + F.length("counts") + F.aggregate("levels", F.lit(0), lambda n, b: n + F.length(b)))).first()[0]
     if (size or 0) <= most:
-        return _looked_up(texts, kind, paths, counts, best)
-    return _joined(texts, kind, paths, counts, best)
+        return _looked_up(rows, kind, paths, counts, best)
+    return _joined(rows, paths, counts, best)
 
 
-def pair_counts(documents: DataFrame, first: str, second: str) -> DataFrame:
+def pair_counts(rows: DataFrame) -> DataFrame:
     """(shard, levels, pairs, counts): a shard's perfect hash, its pairs by that hash, their documents."""
-    texts = documents.select(as_bytes("text").alias("text"))
-    runs = written(texts.mapInArrow(_runs((first, second)), RUNS), "pair-runs")
+    runs = written(rows.select("n_pairs", "pairs").mapInArrow(_runs, RUNS), "pair-runs")
     parts = runs.agg(F.max("part")).first()[0]
     parts = 0 if parts is None else parts + 1
 
@@ -293,7 +297,7 @@ def _shard(pairs: np.ndarray) -> np.ndarray:
     return (mixed(pairs.astype(np.uint64)) >> np.uint64(40)) % np.uint64(SHARDS)
 
 
-def _runs(paths: tuple[str, str]):
+def _runs(batches):
     """The pairs that a task's documents hold, with the number of documents, by shard."""
 
     def emitted(held, part):
@@ -310,25 +314,47 @@ def _runs(paths: tuple[str, str]):
         ]
         return pa.RecordBatch.from_arrays(columns, ["shard", "part", "pairs", "counts"])
 
-    def run(batches):
-        tokenizers = Tokenizers(*paths)
-        part = TaskContext.get().partitionId()
-        held, size = [], 0
-        for batch in batches:
-            for _, texts in _portions(batch.column("text")):
-                _, pairs, _ = tokenizers.of(texts).links(len(tokenizers.bytes_b))
-                held.append(np.unique(pairs, return_counts=True))
-                size += len(held[-1][0])
-                if size > HELD:
-                    held = [_added([some for some, _ in held], [n for _, n in held])]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield emitted(held, part)
-                        held, size = [], 0
-        if size:
-            yield emitted(held, part)
-
-    return run
+    part = TaskContext.get().partitionId()
+    held, size = [], 0
+    for batch in batches:
+        for some in _together(batch):
+            pairs, counts = np.unique(_pairs(some), return_counts=True)
+            held.append((pairs.astype(np.int64), counts))
+            size += len(pairs)
+            if size > HELD:
+                held = [_added([some for some, _ in held], [n for _, n in held])]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield emitted(held, part)
+                    held, size = [], 0
+    if size:
+        yield emitted(held, part)
+
+
+def _together(batch: pa.RecordBatch):
+    """Parts of a batch of whole documents with about ``TOGETHER`` pairs."""
+    total = np.cumsum(batch.column("n_pairs").to_numpy())
+    start = 0
+    while start < len(total):
+        before = total[start - 1] if start else 0
+        end = max(int(np.searchsorted(total, before + TOGETHER, side="right")), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _pairs(some: pa.RecordBatch) -> np.ndarray:
+    """The pairs of some documents, one behind the other, in 32 or 64 bits as they were written."""
+    data, n = b"".join(some.column("pairs").to_pylist()), int(some.column("n_pairs").to_numpy().sum())
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else np.int64)
+
+
+def _times(some: pa.RecordBatch) -> np.ndarray:
+    """How often each document has its pairs."""
+    sizes = some.column("n_pairs").to_pylist()
+    parts = some.column("times").to_pylist()
+    if all(len(part) == n for part, n in zip(parts, sizes)):
+        return np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    return np.concatenate([np.frombuffer(part, np.uint8 if len(part) == n else np.int64) for part, n in zip(parts, sizes)])
 
 
 def _added(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -418,18 +444,26 @@ class Counts:
 
 SHA = "groups_sha256 string"
 LOCAL = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint"
+#: A row's number, how many distinct pairs it has, the pairs in order, and how often it has each.
+HELD_PAIRS = "row bigint, n_pairs bigint, pairs binary, times binary"
 
 
-def _second_pass(texts: DataFrame, paths, more, schema: str) -> DataFrame:
-    """Each text's own numbers, and what ``more(tokenizers)`` makes of a batch's links."""
+def _aligned(paths: tuple[str, str]):
+    """Each text's own numbers and its pairs."""
 
     def run(batches):
         tokenizers = Tokenizers(*paths)
-        names, derive = _written_ids(tokenizers), more(tokenizers)
+        names, size_b = _written_ids(tokenizers), len(tokenizers.bytes_b)
+        narrow = np.uint32 if len(tokenizers.bytes_a) * size_b <= 1 << 32 else np.int64
+        row = np.int64(TaskContext.get().partitionId()) << 40
         for batch in batches:
             for start, some in _portions(batch.column("text")):
                 found = tokenizers.of(some)
-                text, pair, times = found.links(len(tokenizers.bytes_b))
+                text, pair, times = found.links(size_b)
+                borders = np.searchsorted(text, np.arange(len(some) + 1))
+                pair, few = pair.astype(narrow), times.astype(np.uint8)
+                few_times = (few == times).all()
+                own = list(zip(borders.tolist(), borders[1:].tolist()))
                 columns = {
                     "doc_id": batch.column("doc_id").slice(start, len(some)),
                     "n_a": found.tokens[0],
@@ -437,12 +471,18 @@ def _second_pass(texts: DataFrame, paths, more, schema: str) -> DataFrame:
                     "n_groups": found.groups(),
                     "n_links": np.bincount(text, times, len(some)).astype(np.int64),
                     "groups_sha256": found.written_groups(names),
-                    **derive(text, pair, times, len(some)),
+                    "row": row + np.arange(len(some)),
+                    "n_pairs": np.diff(borders),
+                    "pairs": pa.array([pair[a:b].tobytes() for a, b in own], pa.binary()),
+                    "times": pa.array(
+                        [(few if few_times or (times[a:b] < 256).all() else times)[a:b].tobytes() for a, b in own], pa.binary()
+                    ),
                 }
+                row += len(some)
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()]
                 yield pa.RecordBatch.from_arrays(arrays, list(columns))
 
-    return texts.mapInArrow(run, schema)
+    return run
 
 
 def _table_of(best) -> np.ndarray:
@@ -451,28 +491,29 @@ def _table_of(best) -> np.ndarray:
     return out
 
 
-def _looked_up(texts: DataFrame, kind: str, paths, counts: DataFrame, best) -> DataFrame:
+def _looked_up(rows: DataFrame, kind: str, paths, counts: DataFrame, best) -> DataFrame:
     """The size of the collected rows has been checked."""
-    shared = texts.sparkSession.sparkContext.broadcast((counts.collect(), _table_of(best)))
+    shared = rows.sparkSession.sparkContext.broadcast((counts.collect(), _table_of(best)))
+    kept = [field.split()[0] for field in (*LOCAL.split(", "), SHA)]
 
-    def more(tokenizers):
+    def run(batches):
         counts, highest = Counts(shared.value[0]), shared.value[1]
-        size_b = len(tokenizers.bytes_b)
-
-        def derive(text, pair, times, size):
-            n = counts.of(pair)
-            sums = [np.zeros(size, np.int64) for _ in range(2)]
-            np.add.at(sums[0], text, times * (n == highest[pair // size_b]))
-            np.add.at(sums[1], text, times * n)
-            return {"n_best": sums[0], "count_sum": sums[1]}
-
-        return derive
+        size_b = len(Tokenizers(*paths).bytes_b)
+        for batch in batches:
+            for some in _together(batch):
+                pair, times = _pairs(some).astype(np.int64), _times(some)
+                text = np.repeat(np.arange(len(some)), some.column("n_pairs").to_numpy())
+                n = counts.of(pair)
+                sums = [np.zeros(len(some), np.int64) for _ in range(2)]
+                np.add.at(sums[0], text, times * (n == highest[pair // size_b]))
+                np.add.at(sums[1], text, times * n)
+                columns = [some.column(name) for name in ("doc_id", *kept)] + [pa.array(own) for own in sums]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *kept, "n_best", "count_sum"])
 
-    schema = f"doc_id {kind}, {LOCAL}, {SHA}, n_best bigint, count_sum bigint"
-    return _ordered(_second_pass(texts, paths, more, schema))
+    return _ordered(rows.mapInArrow(run, f"doc_id {kind}, {LOCAL}, {SHA}, n_best bigint, count_sum bigint"))
 
 
-def _joined(texts: DataFrame, kind: str, paths, counts: DataFrame, best) -> DataFrame:
+def _joined(rows: DataFrame, paths, counts: DataFrame, best) -> DataFrame:
     """The same by a join of the documents' pairs with the counts, which may be of any size."""
 
     def listed(batches):
@@ -483,22 +524,15 @@ def _joined(texts: DataFrame, kind: str, paths, counts: DataFrame, best) -> Data
                 columns = [pa.array(pairs), pa.array(n), pa.array(n == highest[pairs // size_b])]
                 yield pa.RecordBatch.from_arrays(columns, ["pair", "n", "best"])
 
-    def more(tokenizers):
-        part, seen = TaskContext.get().partitionId(), [0]
-
-        def derive(text, pair, times, size):
-            borders = pa.array(np.searchsorted(text, np.arange(size + 1)), pa.int32())
-            rows = (np.int64(part) << 40) + seen[0] + np.arange(size)
-            seen[0] += size
-            listed = [pa.ListArray.from_arrays(borders, pa.array(some)) for some in (pair, times)]
-            return {"row": rows, "pairs": listed[0], "times": listed[1]}
-
-        return derive
+    def linked(batches):
+        for batch in batches:
+            for some in _together(batch):
+                row = np.repeat(some.column("row").to_numpy(), some.column("n_pairs").to_numpy())
+                columns = [pa.array(own) for own in (row, _pairs(some).astype(np.int64), _times(some))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "pair", "times"])
 
-    schema = f"doc_id {kind}, {LOCAL}, {SHA}, row bigint, pairs array<bigint>, times array<bigint>"
-    rows = written(_second_pass(texts, paths, more, schema), "aligned")
-    links = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", "link.*")
-    met = links.withColumnRenamed("pairs", "pair").join(counts.mapInArrow(listed, "pair bigint, n bigint, best boolean"), "pair")
+    links = rows.select("row", "n_pairs", "pairs", "times").mapInArrow(linked, "row bigint, pair bigint, times bigint")
+    met = links.join(counts.mapInArrow(listed, "pair bigint, n bigint, best boolean"), "pair")
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum")
     )

@@ -75,6 +75,15 @@ def test_alignments_equal_brute_force(docs, monkeypatch):
     assert order(alignment.aligned(docs(rows).repartition(5), most=-1).collect()) == wanted
 
 
+def test_texts_are_encoded_once(docs):
+    """What comes after the first pass, the result included, reads what it has written."""
+    rows = [(n, f"word {n} of it") for n in range(4)] + [(9, "x" * 300 + " " + "ab" * 200)]
+    for most in (alignment.MOST_BROADCAST, -1):
+        found = alignment.aligned(docs(rows), most=most)
+        assert found.inputFiles() and all("parley-aligned" in file or "parley-pair" in file for file in found.inputFiles())
+        assert order(found.collect()) == order(brute(rows))
+
+
 def test_no_tokens_give_zeros(docs):
     assert alignment.aligned(docs([])).count() == 0
     assert [tuple(r) for r in alignment.aligned(docs([(1, None), (2, "")])).orderBy("doc_id").collect()] == [
