@@ -5,8 +5,8 @@ corpus; instead
 
 1. **Paths.** Consecutive edges that share their minimizer (the smallest hash of an 8-word
    k-mer in them, at one place) are one path: one row of (minimizer, hash of the path's words,
-   place). The minimizer follows from the edge's words alone, so an edge that occurs twice has
-   one minimizer in both places.
+   places), with all places in a text, so periodic texts have few rows. The minimizer follows
+   from the edge's words alone, so an edge that occurs twice has one minimizer in both places.
 2. **Nonbranching paths.** A minimizer with one path holds no repeated edge. One whose paths
    all spell the same words is nonbranching: all its edges are repeated, and a join marks the
    path as a whole.
@@ -14,7 +14,8 @@ corpus; instead
    one of its source coordinates, and counted with the number of its places.
 4. The marks of a document are joined to its text, which is cut by them.
 
-All steps are counts and equi-joins; no step pairs the places of a passage.
+All steps are counts and equi-joins; no step pairs the places of a passage. What paths are joined
+with is written first, so that Spark can split the partition of a minimizer that many texts have.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ KMER = 8
 #: k-mers in a window, and so the most edges of one path; their marks fit one 64-bit number.
 SPAN = WINDOW - KMER + 1
 KEY = ["key", "digest"]
+MARKS = ["starts", "masks", "further"]
+#: Places of a path in its text: its start, and as 32-bit numbers those of ``further``.
+PLACES = "1L + coalesce(length(further), 0) div 4"
 
 
 def repeated_words_removed(documents: DataFrame) -> DataFrame:
@@ -49,9 +53,9 @@ def repeated_words_removed(documents: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             sizes, removed, digests, kept = [], [], [], []
-            for text, starts, masks in zip(batch["text"], batch["starts"], batch["masks"]):
+            for text, *marks in zip(*(batch[name] for name in ("text", *MARKS))):
                 words = spaced_words(text)
-                keep = _uncovered(len(words), starts, masks)
+                keep = _uncovered(len(words), *marks)
                 left = words if keep is None else [words[i] for i in np.flatnonzero(keep)]
                 joined = b" ".join(left)
                 sizes.append(len(words))
@@ -67,7 +71,7 @@ def repeated_words_removed(documents: DataFrame) -> DataFrame:
             }
 
     out = map_batches(
-        marked.select("doc_id", "text", "starts", "masks"),
+        marked.select("doc_id", "text", *MARKS),
         cut,
         "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary",
     )
@@ -86,7 +90,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     same = (F.coalesce(documents["doc_id"], F.lit(0)) == marks["__key"]) & (digest == marks["__digest"])
     cut = F.pandas_udf(_cut_texts, "string")
     text = F.when(F.col("__starts").isNull(), documents["text"]).otherwise(
-        cut(as_bytes(documents["text"]), F.col("__starts"), F.col("__masks"))
+        cut(as_bytes(documents["text"]), *[F.col(f"__{name}") for name in MARKS])
     )
     joined = documents.join(marks, same, "left").withColumn("__text", text)
     size = F.when(F.col("__starts").isNull(), documents["n_chars"]).otherwise(F.length("__text"))
@@ -94,16 +98,16 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     return joined.select(*[changed.get(n, documents[n]).alias(n) for n in names])
 
 
-def _cut_texts(texts, starts, masks):
+def _cut_texts(texts, starts, masks, further):
     import pandas as pd
 
     out = []
-    for text, start, mask in zip(texts, starts, masks):
-        if start is None:
+    for text, *marks in zip(texts, starts, masks, further):
+        if marks[0] is None:
             out.append(None)
             continue
         words = spaced_words(text)
-        keep = _uncovered(len(words), start, mask)
+        keep = _uncovered(len(words), *marks)
         out.append(b" ".join(words[i] for i in np.flatnonzero(keep)).decode())
     return pd.Series(out, dtype=object)
 
@@ -118,7 +122,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
     )
 
 
-def _uncovered(size: int, starts, masks) -> np.ndarray | None:
+def _uncovered(size: int, starts, masks, further) -> np.ndarray | None:
     """Which words no marked window covers; null if none is marked."""
     if starts is None or not len(starts):
         return None
@@ -129,6 +133,12 @@ def _uncovered(size: int, starts, masks) -> np.ndarray | None:
     change = np.zeros(size + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, first + WINDOW, -1)
+    for own, more in zip(bits, further):
+        if more is not None:
+            for offset in np.flatnonzero(own):
+                first = np.frombuffer(more, np.int32) + offset  # each once
+                change[first] += 1
+                change[first + WINDOW] -= 1
     return np.cumsum(change[:size]) == 0
 
 
@@ -156,57 +166,73 @@ def _paths_of(words: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
     return least[start], spelled, start, edges
 
 
+def _met_again(least: np.ndarray, spelled: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
+    """The first places of the paths of one text, by number, and the starts of each path's further ones."""
+    order = np.lexsort((spelled, least))
+    new = np.append(True, (spelled[order[1:]] != spelled[order[:-1]]) | (least[order[1:]] != least[order[:-1]]))
+    if new.all():
+        return np.arange(len(start)), [None] * len(start)
+    borders = np.append(np.flatnonzero(new), len(order))
+    start = start[order].astype(np.int32)
+    return order[new], [start[a + 1 : b].tobytes() or None for a, b in zip(borders[:-1], borders[1:])]
+
+
 def _paths(keyed: DataFrame) -> DataFrame:
+    """A row for each distinct path of a text."""
+
     def find(batches):
         powers = Powers()
         for batch in batches:
-            found = []
+            found, further = [], []
             for key, digest, text in zip(batch["key"], batch["digest"], batch["text"]):
                 words = word_hashes(text, powers)
                 if len(words) >= WINDOW:
                     least, spelled, start, edges = _paths_of(words, powers)
-                    own = np.full((2, len(start)), [[key], [digest]], np.int64)
-                    found.append((least.astype(np.int64), spelled.astype(np.int64), *own, start, edges))
+                    first, more = _met_again(least, spelled, start)
+                    own = np.full((2, len(first)), [[key], [digest]], np.int64)
+                    found.append((least[first].astype(np.int64), spelled[first].astype(np.int64), *own, start[first], edges[first]))
+                    further += more
             if found:
                 columns = [np.concatenate(c) for c in zip(*found)]
                 names = ["least", "spelled", "key", "digest", "start", "edges"]
                 made = dict(zip(names, columns))
                 made["start"], made["edges"] = made["start"].astype(np.int32), made["edges"].astype(np.int32)
-                yield made
+                yield made | {"further": pa.array(further, pa.binary())}
 
     return map_batches(
         keyed.select("key", "digest", "text"),
         find,
-        "least bigint, spelled bigint, key bigint, digest bigint, start int, edges int",
+        "least bigint, spelled bigint, key bigint, digest bigint, start int, edges int, further binary",
     )
 
 
 def _marks(keyed: DataFrame) -> DataFrame:
-    """(key, digest, starts, masks): bit i of a mask marks the window at its start + i.
+    """(key, digest, starts, masks, further): bit i of a mask marks the window at its start + i, and at
+    its further starts + i.
 
     A document's marks are one row; there is at most one per window start of its text, also
     where rows repeat a text and its key.
     """
     with passing(_paths(keyed), "paths") as paths:
         met = paths.groupBy("least").agg(
-            F.count("*").alias("n"), F.min("spelled").alias("low"), F.max("spelled").alias("high")
+            F.sum(F.expr(PLACES)).alias("n"), F.min("spelled").alias("low"), F.max("spelled").alias("high")
         )
         shared = met.filter("n > 1").select("least", (F.col("low") != F.col("high")).alias("branching"))
-        seen = written(paths.join(shared, "least"), "shared-paths")
-    masks = _spelled_masks(keyed, seen.filter("branching"))
+        with passing(shared, "shared") as shared:
+            seen = written(paths.join(shared, "least"), "shared-paths")
+    masks = written(_spelled_masks(keyed, seen.filter("branching")), "masks")
     whole = F.expr("shiftleft(1L, edges) - 1")
-    plain = seen.filter("not branching").select(*KEY, "start", whole.alias("mask"))
-    branched = seen.filter("branching").join(masks, ["least", "spelled"]).select(*KEY, "start", "mask")
-    marked = F.collect_set(F.struct("start", "mask")).alias("marks")
-    return plain.union(branched).groupBy(*KEY).agg(marked).select(
-        *KEY, F.col("marks.start").alias("starts"), F.col("marks.mask").alias("masks")
-    )
+    plain = seen.filter("not branching").select(*KEY, "start", whole.alias("mask"), "further")
+    branched = seen.filter("branching").join(masks, ["least", "spelled"]).select(*KEY, "start", "mask", "further")
+    marked = F.collect_set(F.struct("start", "mask", "further")).alias("marks")
+    names = zip(("start", "mask", "further"), MARKS)
+    return plain.union(branched).groupBy(*KEY).agg(marked).select(*KEY, *[F.col(f"marks.{n}").alias(m) for n, m in names])
 
 
 def _spelled_masks(keyed: DataFrame, branching: DataFrame) -> DataFrame:
     """(least, spelled, mask): which edges of each distinct branching path are repeated."""
     place = F.min(F.struct(*KEY, "start", "edges")).alias("place")
-    distinct = branching.groupBy("least", "spelled").agg(F.count("*").alias("n"), place)
+    distinct = branching.groupBy("least", "spelled").agg(F.sum(F.expr(PLACES)).alias("n"), place)
     path = F.struct("least", "spelled", "n", "place.start", "place.edges")
     sources = distinct.groupBy(F.col("place.key").alias("key"), F.col("place.digest").alias("digest")).agg(
         F.collect_list(path).alias("paths")

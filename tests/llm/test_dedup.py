@@ -150,6 +150,21 @@ def test_marks_of_repeated_rows_do_not_multiply(docs):
     assert len(found) == 220 and all(r.n_words == r.n_removed == 80 for r in found)
 
 
+def test_periodic_texts_have_a_row_for_each_distinct_path(docs):
+    """A path that a text repeats is one row with all its places, and all of them are marked."""
+    line = prose(60, 50)
+    rows = [(n, "x " * (300 + n)) for n in range(30)] + [(50, " ".join(prose(61, 40)) + " x" * 90)]
+    rows += [(51, "x " * 60 + " ".join(prose(62, 40)) + " x" * 60), (52, "a b c " * 200), (53, "q " * 35), (54, "q " * 34 + "z")]
+    rows += [(55, " ".join(w for n in range(20) for w in [*line, *prose(100 + n, 3 + n)]))]
+    keyed = substring_dedup._keyed(docs(rows))
+    assert substring_dedup._paths(keyed).filter("key < 30").count() == 30
+    assert substring_dedup._marks(keyed).filter("key < 30").selectExpr("max(size(starts)) AS n").first().n == 1
+    found = substring_dedup.repeated_words_removed(docs(rows)).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found]) == sorted(brute_removed(rows))
+    cut = substring_dedup.without_repeats(docs(rows)).collect()
+    assert {r.doc_id: len(r.text.split()) for r in cut} == {r.doc_id: r.n_words - r.n_removed for r in found}
+
+
 def test_the_stage_cuts_texts_and_keeps_columns(docs):
     frame = docs(REPEATS)
     cut = substring_dedup.without_repeats(frame)
