@@ -7,6 +7,8 @@ import numpy as np
 BLOCK = 256
 #: Postings of a feature up to which they are added together with other features'.
 RARE = 1024
+#: Postings that are gathered in one step.
+SORTED = 1 << 18
 #: More than what sums of 32-bit weights lose.
 ROUNDING = 1e-5
 #: What a neighbour at no distance has for its distance in votes.
@@ -24,7 +26,7 @@ class BlockMaxIndex:
 
     def __init__(self, points: list[tuple[np.ndarray, np.ndarray]], positive, negative, names) -> None:
         sizes = np.array([len(ids) for ids, _ in points])
-        often = np.bincount(np.concatenate([ids for ids, _ in points]).astype(np.int64), minlength=1)
+        often = _often(points)
         order = sorted(range(len(points)), key=lambda i: (_kind(*points[i], often), int(sizes[i]), i))
         self.positive = np.array([positive[i] for i in order], float)
         self.total = self.positive + np.array([negative[i] for i in order], float)
@@ -32,19 +34,30 @@ class BlockMaxIndex:
         ids = np.concatenate([points[i][0] for i in order]).astype(np.int32)
         weights = np.concatenate([points[i][1] for i in order]).astype(np.float32)
         self.size, self.blocks = len(order), -(-len(order) // BLOCK)
-        place = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])
+        place = np.repeat(np.arange(len(order)).astype(np.min_scalar_type(self.size)), sizes[order])
         common = np.flatnonzero(often > max(len(order) // 8, 32))
         #: Row of each common feature, -1 for the others.
         self.row = np.full(len(often), -1, np.int32)
         self.row[common] = np.arange(len(common))
-        row = self.row[ids]
+        own = np.flatnonzero(self.row[ids] >= 0)
         self.common = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.common[place[row >= 0] // BLOCK, row[row >= 0], place[row >= 0] % BLOCK] = weights[row >= 0]
+        self.common[place[own] // BLOCK, self.row[ids[own]], place[own] % BLOCK] = weights[own]
         self.most = self.common.max(axis=2).T.astype(float)  # of each common feature and block
-        listed = np.flatnonzero(row < 0)
-        listed = listed[np.argsort(ids[listed], kind="stable")]  # places ascend already
-        self.places, self.listed = place[listed].astype(np.min_scalar_type(self.size)), weights[listed]
-        self.ends = np.cumsum(np.bincount(ids[listed], minlength=len(often)))
+        # Postings by feature and place, in few bytes: both are one number to sort.
+        listed = np.flatnonzero(self.row[ids] < 0)
+        for at in range(0, len(listed), SORTED):
+            some = listed[at : at + SORTED]
+            some |= ids[some].astype(np.int64) << 32
+        del ids
+        listed.sort()
+        self.places, self.listed = np.empty(len(listed), place.dtype), np.empty(len(listed), np.float32)
+        sizes = np.zeros(len(often), np.int64)
+        for at in range(0, len(listed), SORTED):
+            some = listed[at : at + SORTED]
+            sizes += np.bincount(some >> 32, minlength=len(often))
+            some &= (1 << 32) - 1
+            self.places[at : at + SORTED], self.listed[at : at + SORTED] = place[some], weights[some]
+        self.ends = np.cumsum(sizes)
 
     def point(self, place: int) -> tuple[np.ndarray, np.ndarray]:
         """Features and weights of a point, gathered from all lists."""
@@ -179,6 +192,16 @@ class BlockMaxIndex:
         return (yes + weight * prior) / (all_ + weight)
 
 
+def _often(points: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How many postings each feature has."""
+    often = np.zeros(1, np.int64)
+    for at in range(0, len(points), BLOCK):
+        some = np.bincount(np.concatenate([ids for ids, _ in points[at : at + BLOCK]]).astype(np.int64), minlength=len(often))
+        some[: len(often)] += often
+        often = some
+    return often
+
+
 def _kind(ids: np.ndarray, weights: np.ndarray, often: np.ndarray) -> tuple[int, int]:
     """Points of one most common and one heaviest feature stand together, which keeps bounds tight."""
     if not len(ids):

@@ -36,6 +36,8 @@ NEIGHBOURS = 10
 REMEMBERED_TEXTS = 20_000
 #: Texts that search the index together.
 TOGETHER = 64
+#: Examples whose terms are united in one step.
+SOME_POINTS = 1000
 #: Bytes of the beginnings of longer words.
 BEGINNINGS = range(3, 8)
 #: ASCII letters and digits lower-cased, other ASCII to blanks, other bytes as they are.
@@ -226,24 +228,34 @@ def _examples(documents: DataFrame, labels: DataFrame, examples: int) -> DataFra
 def _fitted(documents: DataFrame, texts: DataFrame):
     """(index, terms, prior, place of each example by doc_id), bounded by the examples' texts."""
     marked = _marked(texts)
-    points: dict[tuple[bytes, bytes], list] = {}
+    positive, negative, doc_ids, vectors, counts = [], [], [], [], []
+    points: dict[bytes, int] = {}
     for batch in _example_counts(texts, marked).toArrow().to_batches():  # one row per example at most
-        for row in batch.to_pylist():
-            point = points.setdefault((row["terms"], row["often"]), [0, 0, []])
-            point[1 - row["toxic"]] += 1
-            point[2].append(row["doc_id"])
-    vectors = [np.frombuffer(terms, np.int64) for terms, _ in points]
-    keys = np.unique(np.concatenate([np.empty(0, np.int64), *vectors]))
+        for doc_id, toxic, *own in zip(*(batch[n].to_pylist() for n in ("doc_id", "toxic")), batch["terms"], batch["often"]):
+            own = [value.as_buffer() for value in own]  # not copied
+            point = points.setdefault(b"".join(map(xxhash.xxh3_128_digest, own)), len(points))
+            if point == len(vectors):
+                for column, new in zip((positive, negative, doc_ids, vectors, counts), (0, 0, [], *own)):
+                    column.append(new)
+            positive[point] += toxic
+            negative[point] += 1 - toxic
+            doc_ids[point].append(doc_id)
+    keys = np.empty(0, np.int64)
+    for at in range(0, len(vectors), SOME_POINTS):
+        some = [np.frombuffer(terms, np.int64) for terms in vectors[at : at + SOME_POINTS]]
+        keys = np.union1d(keys, np.concatenate(some))
     terms = _frequencies(documents, keys, *marked)
     if not points:
         return None, terms, 0.0, {}
-    positive, negative, doc_ids = (list(c) for c in zip(*points.values()))
     prior = sum(positive) / (sum(positive) + sum(negative))
     weighted = []
-    for own, (_, often) in zip(vectors, points):
-        number = np.searchsorted(keys, own).astype(np.int32)
+    for own, often in zip(vectors, counts):
+        number = np.searchsorted(keys, np.frombuffer(own, np.int64)).astype(np.int32)
         weights = terms.vector(number, np.frombuffer(often, np.int32), number[:0])
         weighted.append((number, weights.astype(np.float32)))
+    # What the driver has at a time is bounded by the examples too, and is let go as soon as it is used.
+    del batch, own, often, some, vectors, counts
+    pa.default_memory_pool().release_unused()
     index = BlockMaxIndex(weighted, positive, negative, [min(ids) for ids in doc_ids])
     place = {name: at for at, name in enumerate(index.names)}
     return index, terms, prior, {doc_id: place[min(ids)] for ids in doc_ids for doc_id in ids}
@@ -253,8 +265,9 @@ def _shared(documents: DataFrame, labels: DataFrame, examples: int):
     """What a scorer needs, sent to the tasks, and the calibration; bounded by the examples' texts."""
     texts = _examples(documents, labels, examples)
     index, terms, prior, places = _fitted(documents, texts)
-    shared = documents.sparkSession.sparkContext.broadcast((index, terms, prior))
-    return shared, _calibration(texts, shared, places) if index else (1.0, 0.0)
+    shared, found = documents.sparkSession.sparkContext.broadcast((index, terms, prior)), index is not None
+    del index, terms
+    return shared, _calibration(texts, shared, places) if found else (1.0, 0.0)
 
 
 def _marked(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -149,6 +149,18 @@ def test_block_maxima_give_exact_neighbours():
         assert np.allclose(sorted(cosine[order]), sorted(c for c, _ in index.nearest(ids, weights, 25)))
 
 
+def test_building_the_index_takes_few_bytes_a_posting():
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    points = [(np.sort(draw.choice(40_000, 300, replace=False)).astype(np.int32), np.ones(300, np.float32)) for _ in range(2000)]
+    tracemalloc.start()
+    index = BlockMaxIndex(points, [1] * 2000, [0] * 2000, list(range(2000)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.listed) == 600_000 and most < 32 * 600_000
+
+
 def test_searching_together_finds_what_each_text_finds_alone():
     draw = np.random.default_rng(3)
 
