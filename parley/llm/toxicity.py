@@ -35,7 +35,9 @@ NEIGHBOURS = 10
 #: Texts whose scores a task remembers, in each of two generations; results do not depend on it.
 REMEMBERED_TEXTS = 20_000
 #: Texts that search the index together.
-TOGETHER = 64
+TOGETHER = 128
+#: Bytes of texts whose words are counted together.
+SOME_LETTERS = 1 << 16
 #: Examples whose terms are united in one step.
 SOME_POINTS = 1000
 #: Bytes of the beginnings of longer words.
@@ -138,6 +140,14 @@ def _counts(text: bytes | None, powers: Powers, heads: np.ndarray | None = None)
     return _Counts(words, counts, keys, np.bincount(which, often).astype(np.int64), head[at])
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where hashes stand in sorted ``keys``, -1 for those that do not."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, place, -1)
+
+
 class _Terms(NamedTuple):
     """The terms in order of their hashes, the heads of their beginnings, their emphasis and frequencies."""
 
@@ -151,13 +161,15 @@ class _Terms(NamedTuple):
         """(numbers of the terms of a text, how often they occur, how often its other words do)."""
         keys = np.concatenate([counts.words, counts.beginnings])
         often = np.concatenate([counts.often, counts.begun])
-        if not len(self.keys):
-            return np.empty(0, np.int64), np.empty(0, np.int64), counts.often
-        number = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[number] == keys
+        number = self.numbers(keys)
+        known = number >= 0
         order = np.argsort(number[known], kind="stable")
         return number[known][order], often[known][order], counts.often[~known[: len(counts.words)]]
 
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of these hashes, -1 for what is no term."""
+        return _places(self.keys, keys)
+
     def vector(self, number: np.ndarray, often: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Weights of terms, as parts of a unit vector to which a text's other words belong too."""
         weights = (1 + np.log(often)) * self.idf[number] * self.emphasis[number]
@@ -165,13 +177,80 @@ class _Terms(NamedTuple):
         return weights / np.sqrt(max(weights @ weights + rest @ rest, 1e-300))
 
 
+class _Words:
+    """The terms of texts, many texts at once; the same as ``_Terms.among`` gives for each."""
+
+    def __init__(self, terms: _Terms) -> None:
+        self.terms, self.powers = terms, Powers()
+        #: The numbers of the terms that are beginnings.
+        self.begun = np.flatnonzero(terms.keys & 1)
+        self.beginnings = terms.keys[self.begun]
+
+    def of(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text (numbers of its terms, how often they occur, how often its other words do)."""
+        out, some, size = [], [], 0
+        for text in texts:
+            if some and size + len(text or b"") > SOME_LETTERS:
+                out += self._of_some(some)
+                some, size = [], 0
+            some.append((text or b"").translate(FOLD))
+            size += len(some[-1])
+        return out + self._of_some(some)
+
+    def _of_some(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        letters = np.frombuffer(b" ".join(texts), np.uint8)
+        blank = np.concatenate([[True], letters == 32, [True]])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        first, end = edges[::2], edges[1::2]
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        text = np.searchsorted(ends, first, side="right")
+        sums = self.powers.sums(BYTES[letters])
+        words, at, which = np.unique(
+            self.powers.between(sums, first, end).view(np.int64) & ~1, return_index=True, return_inverse=True
+        )
+        numbers = self._numbers(words, sums, first[at], end[at])
+        pairs, often = np.unique(text * len(words) + which, return_counts=True)
+        text, which = np.divmod(pairs, max(len(words), 1))
+        numbers = numbers[which]
+        known = numbers >= 0
+        # A beginning may be one of several words; the number of a text and of a term are one key.
+        most = max(len(self.terms.keys), 1)
+        keys, which = np.unique((text[:, None] * most + numbers)[known], return_inverse=True)
+        counts = np.bincount(which, np.broadcast_to(often[:, None], known.shape)[known], len(keys)).astype(np.int64)
+        text, others = text[~known[:, 0]], often[~known[:, 0]]
+        each = np.arange(len(texts) + 1)
+        stop, other = np.searchsorted(keys, each * most).tolist(), np.searchsorted(text, each).tolist()
+        return [
+            (keys[stop[i] : stop[i + 1]] - i * most, counts[stop[i] : stop[i + 1]], others[other[i] : other[i + 1]])
+            for i in range(len(texts))
+        ]
+
+    def _numbers(self, words: np.ndarray, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A row for each word: the number of its own term, then of its beginnings'; -1 for none."""
+        out = np.full((len(words), 1 + len(BEGINNINGS)), -1)
+        out[:, 0] = self.terms.numbers(words)
+        if not len(self.begun):
+            return out
+        size = end - first
+        own = np.flatnonzero(size > BEGINNINGS[0])
+        own = own[_places(self.terms.heads, self._begun(sums, first[own], BEGINNINGS[0])) >= 0]
+        for column, n in enumerate(BEGINNINGS, 1):
+            own = own[size[own] > n]
+            place = _places(self.beginnings, self._begun(sums, first[own], n))
+            out[own, column] = np.where(place >= 0, self.begun[place], -1)
+        return out
+
+    def _begun(self, sums: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+        return self.powers.between(sums, first, first + size).view(np.int64) | 1
+
+
 class _Scorer(Remembered):
     """The score of a text and its nearest examples; copies of a text are scored once."""
 
     def __init__(self, index: BlockMaxIndex | None, terms: _Terms, prior: float, calibration: tuple[float, float]) -> None:
         super().__init__(REMEMBERED_TEXTS)
         self.index, self.calibration, self.terms, self.prior = index, calibration, terms, prior
-        self.powers = Powers()
+        self.words = _Words(terms)
 
     def of(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         if self.index is None:
@@ -191,15 +270,14 @@ class _Scorer(Remembered):
                     self[key] = self.before[key]
                 else:
                     new[key] = text
-        near = self.index.nearest_of_all([self.vector(text) for text in new.values()], NEIGHBOURS, [-1] * len(new))
+        near = self.index.nearest_of_all(self.vectors(list(new.values())), NEIGHBOURS, [-1] * len(new))
         for key, some in zip(new, near):
             score = _calibrated(self.index.share(some, NEIGHBOURS, self.prior), self.calibration)
             self[key] = score, [(self.index.names[place], cosine) for cosine, place in some[:3]]
         return [self[key] for key in keys]
 
-    def vector(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        number, often, others = self.terms.among(_counts(text, self.powers, self.terms.heads))
-        return number, self.terms.vector(number, often, others)
+    def vectors(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(own[0], self.terms.vector(*own)) for own in self.words.of(texts)]
 
 
 def _calibrated(share: float, calibration: tuple[float, float]) -> float:
@@ -335,11 +413,12 @@ def _frequencies(documents: DataFrame, keys: np.ndarray, marked: np.ndarray, bey
     shared = documents.sparkSession.sparkContext.broadcast(plain)
 
     def count(batches):
-        powers, terms = Powers(), shared.value
-        seen, total = np.zeros(len(terms.keys), np.int64), 0
+        words = _Words(shared.value)
+        seen, total = np.zeros(len(words.terms.keys), np.int64), 0
         for batch in batches:
-            for text in batch["text"]:
-                seen[terms.among(_counts(text, powers, terms.heads))[0]] += 1
+            for at in range(0, len(batch["text"]), TOGETHER):
+                for number, _, _ in words.of(batch["text"][at : at + TOGETHER]):
+                    seen[number] += 1
             total += len(batch["text"])
         some = np.flatnonzero(seen)
         yield {"term": np.append(some, -1), "n": np.append(seen[some], total)}
@@ -360,10 +439,12 @@ def _calibration(texts: DataFrame, shared, places: dict[int, int]) -> tuple[floa
         index, terms, prior = shared.value
         scorer = _Scorer(index, terms, prior, (1.0, 0.0))
         for batch in batches:
-            shares = [
-                index.vote(*scorer.vector(text), NEIGHBOURS, prior, places[doc_id], toxic)[0]
-                for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"])
-            ]
+            shares = []
+            for at in range(0, len(batch["text"]), TOGETHER):
+                own = [places[doc_id] for doc_id in batch["doc_id"][at : at + TOGETHER]]
+                near = index.nearest_of_all(scorer.vectors(batch["text"][at : at + TOGETHER]), NEIGHBOURS, own)
+                for some, place, toxic in zip(near, own, batch["toxic"][at : at + TOGETHER]):
+                    shares.append(index.share(some, NEIGHBOURS, prior, place, toxic))
             yield {
                 "doc_id": pa.array(batch["doc_id"], pa.int64()),
                 "share": pa.array(shares, pa.float64()),

@@ -190,6 +190,57 @@ def test_searching_together_finds_what_each_text_finds_alone():
         assert {place for _, place in near} == set(wanted)
 
 
+def test_light_features_stand_with_their_points():
+    """Searches add up few postings, and still find what a scan over all features finds."""
+    draw = np.random.default_rng(6)
+
+    def vector(weights):
+        ids = np.concatenate([draw.choice(40, draw.integers(0, 4), replace=False), 40 + draw.choice(400, 60, replace=False)])
+        weights = np.where(ids < 40, 30.0, draw.random(len(ids)) + 0.1) * weights
+        return ids, weights / np.sqrt(weights @ weights)
+
+    points = [vector(1.0) for _ in range(700)]
+    positive = draw.integers(0, 3, 700)
+    index = BlockMaxIndex(points, positive, [1] * 700, list(range(700)))
+    assert len(index.listed) - len(index.places) == len(index.features) > 0.4 * len(index.listed)
+    dense = np.zeros((700, 440))
+    for name, (ids, weights) in enumerate(points):
+        place = index.names.index(name)
+        found, own = index.point(place)
+        assert sorted(found) == sorted(ids)
+        dense[place, found] = own
+    queries = [vector(1.0) for _ in range(40)] + [(np.arange(40, 60), np.full(20, 0.2)), points[3], (np.arange(5, 9), np.full(4, 0.5))]
+    for (ids, weights), near in zip(queries, index.nearest_of_all(queries, 7, [-1] * len(queries))):
+        cosine = dense[:, ids] @ weights
+        order = [i for i in np.lexsort((np.arange(700), -cosine)) if cosine[i] > 0]
+        wanted = order[: int(np.searchsorted(np.cumsum(index.total[order]), 7)) + 1]
+        assert np.allclose([c for c, _ in near], cosine[wanted], atol=1e-9) and {place for _, place in near} == set(wanted)
+
+
+def test_an_index_of_few_points():
+    points = [(np.array([0, n + 1]), np.array([0.6, 0.8])) for n in range(100)]
+    index = BlockMaxIndex(points, [1] * 100, [0] * 100, list(range(100)))
+    assert [(round(c, 5), index.names[place]) for c, place in index.nearest(*points[70], 1)] == [(1.0, 70)]
+
+
+def test_words_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [" ".join(prose(n, 30)).encode() for n in range(40)] + [None, b"", b" ,", "Übel ünd Scoundrels, scoundrel".encode(), b"x" * 300 + b" of"]
+    counts = [toxicity._counts(text, toxicity.Powers()) for text in texts]
+    words = np.unique(np.concatenate([own.words for own in counts[::2]]))
+    begun = np.unique(np.concatenate([own.beginnings for own in counts[::3]]))[::2]
+    keys = np.sort(np.concatenate([words, begun]))
+    heads = np.unique(np.concatenate([own.heads[np.isin(own.beginnings, begun)] for own in counts]))
+    for some in (toxicity._Terms(keys, heads, np.ones(len(keys)), np.ones(len(keys)), 1.0), toxicity._Terms(keys[:0], heads[:0], np.ones(0), np.ones(0), 1.0)):
+        for letters in (1, 500, 1 << 16):
+            monkeypatch.setattr(toxicity, "SOME_LETTERS", letters)
+            found = toxicity._Words(some).of(texts)
+            assert len(found) == len(texts)
+            for own, (number, often, others) in zip(counts, found):
+                wanted = some.among(own)
+                assert np.array_equal(number, wanted[0]) and np.array_equal(often, wanted[1])
+                assert sorted(others) == sorted(wanted[2])
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 
 
