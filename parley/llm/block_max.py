@@ -8,7 +8,7 @@ BLOCK = 256
 #: Part of the points' squared weights that features which are not listed may hold.
 LIGHT = 0.01
 #: Blocks that a query opens before it knows what a neighbour must reach.
-FIRST = 4
+FIRST = 6
 #: Postings of a feature up to which they are added together with other features'.
 RARE = 1024
 #: Postings that are gathered in one step.
