@@ -389,7 +389,7 @@ def _example_counts(texts: DataFrame, marked: tuple[np.ndarray, np.ndarray, np.n
             terms, often = [], []
             for text in batch["text"]:
                 counts = _counts(text, powers, heads)
-                known = np.isin(counts.beginnings, strong)
+                known = _places(strong, counts.beginnings) >= 0
                 own = np.concatenate([counts.words, counts.beginnings[known]])
                 order = np.argsort(own)
                 terms.append(own[order].tobytes())
